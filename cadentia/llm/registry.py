@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_rules
+from . import decontaminate, minhash_dedup, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": minhash_dedup.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
-ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": minhash_dedup.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
+}
