@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash_dedup, quality_rules
+from . import decontaminate, minhash_dedup, quality_rules, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
