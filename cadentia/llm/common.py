@@ -108,3 +108,13 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the id's text, modulo n."""
     return F.crc32(column.cast("string")) % n
+
+
+#: Ids that may be broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (written, distinct), without moving the texts where the ids are few."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")

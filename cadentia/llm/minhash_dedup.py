@@ -13,7 +13,6 @@ in blocks.  No group is ever paired with itself in full.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_map, durable, hashed, longs, mix, table, texts, utf8
+from .common import WordHash, arrow_map, durable, hashed, longs, mix, table, texts, utf8, with_ids
 from .graph import components
 
 REGISTERS, BAND = 128, 4
@@ -32,8 +31,6 @@ COLLISION = 2.0**-MANTISSA / 3
 SLACK = 6.0
 #: Members of a bucket that one task compares with each other.
 BLOCK = 1024
-#: Ids that may be broadcast (8 bytes each); above this the texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 TOP = np.uint64(57)
 
@@ -128,9 +125,7 @@ def screen(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     pairs = durable(pairs.select("a", "b"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    held = texts(docs).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    held = with_ids(texts(docs), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).dropDuplicates(["doc_id"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last, x = WordHash(), None, np.empty(0, np.uint64)
