@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, minhash_dedup, quality_rules, suffix_dedup
+from . import decontaminate, line_dedup, minhash_dedup, quality_rules, source_mixing, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.query,
     "op2_line_dedup": line_dedup.query,
     "op3_suffix_dedup": suffix_dedup.query,
+    "op5_source_mixing": source_mixing.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
