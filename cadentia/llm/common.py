@@ -118,3 +118,40 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids`` (written, distinct), without moving the texts where the ids are few."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+
+#: Numbers that one row of a table of counts carries.
+STRIP = 1 << 13
+
+
+def strips(cells: np.ndarray) -> pa.RecordBatch:
+    """A task's table of counts (a multiple of STRIP int64) as rows; empty strips are left out."""
+    rows = cells.reshape(-1, STRIP)
+    full = np.nonzero(rows.any(axis=1))[0]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[i].tobytes() for i in full], pa.binary())], names=["strip", "cells"])
+
+
+def summed(part: DataFrame, size: int) -> np.ndarray:
+    """The tasks' tables of ``size`` counts added up; what reaches the driver is one table, whatever the corpus.
+
+    Two steps, so that no task adds up the strips of more than a 64th of the tasks.
+    """
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(STRIP, np.int64)
+        for x in t.column("cells"):
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"strip": t.column("strip")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "strip int, cells binary"
+    half = part.groupBy("strip", F.pmod(F.spark_partition_id(), F.lit(64))).applyInArrow(add, schema)
+    out = np.zeros(size, np.int64)
+    for r in half.groupBy("strip").applyInArrow(add, schema).toLocalIterator():
+        out[r.strip * STRIP : (r.strip + 1) * STRIP] = np.frombuffer(r.cells, np.int64)
+    return out
+
+
+def with_rows(docs: DataFrame, side: DataFrame) -> DataFrame:
+    """Inner join on doc_id with a narrow table of unique ids, broadcast only where it is counted to be small."""
+    small = side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(side) if small else side, "doc_id")

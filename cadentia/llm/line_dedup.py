@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_map, durable, hashed, longs, mix, ranges, table, texts, utf8, with_ids
+from .common import WordHash, arrow_map, durable, hashed, longs, mix, ranges, strips, summed, table, texts, utf8, with_ids
 
 PERCENT = 80
 #: Lines of fewer different tokens are left alone.
 MIN_TOKENS = 3
-#: Cells of the table of counts (4 bytes each), and those that one row carries.
-CELLS, STRIP = 1 << 21, 1 << 13
+#: Cells of the table of counts (4 bytes each).
+CELLS = 1 << 21
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -40,25 +40,9 @@ def token_counts(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             seen = Counter(b"\n".join(utf8(batch, "text")).lower().split())
             np.add.at(cells, (hashed(list(seen), known) % np.uint64(CELLS)).astype(np.int64), np.fromiter(seen.values(), np.int64, len(seen)))
-        strips = cells.reshape(-1, STRIP)
-        full = np.nonzero(strips.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([strips[i].tobytes() for i in full], pa.binary())], names=["strip", "cells"])
+        yield strips(cells)
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in t.column("cells").to_pylist())
-        return pa.table({"strip": t.column("strip")[:1], "cells": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-    part = arrow_map(texts(docs), count, "strip int, cells binary")
-    # two steps, so that no task adds up the strips of more than some hundred tasks
-    half = part.groupBy("strip", F.pmod(F.spark_partition_id(), F.lit(64))).applyInArrow(lambda t: widened(add(t)), "strip int, cells binary")
-    out = np.zeros(CELLS, np.int32)
-    for r in half.groupBy("strip").applyInArrow(add, "strip int, cells binary").toLocalIterator():
-        out[r.strip * STRIP : (r.strip + 1) * STRIP] = np.frombuffer(r.cells, np.int32)
-    return out
-
-
-def widened(t: pa.Table) -> pa.Table:
-    return pa.table({"strip": t.column("strip"), "cells": pa.array([np.frombuffer(x, np.int32).astype(np.int64).tobytes() for x in t.column("cells").to_pylist()], pa.binary())})
+    return np.minimum(summed(arrow_map(texts(docs), count, "strip int, cells binary"), CELLS), 2**31 - 1).astype(np.int32)
 
 
 def line_sets(batch_texts: list[bytes], known: WordHash) -> tuple[np.ndarray, ...]:

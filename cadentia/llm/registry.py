@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, minhash_dedup, quality_rules, source_mixing, suffix_dedup
+from . import decontaminate, language_id, line_dedup, minhash_dedup, quality_rules, secret_scan, source_mixing, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.query,
     "op2_line_dedup": line_dedup.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op5_source_mixing": source_mixing.query,
+    "op6_language_id": language_id.query,
+    "op7_secret_scan": secret_scan.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
