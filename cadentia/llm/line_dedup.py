@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHash, arrow_map, durable, hashed, longs, mix, ranges, strips, summed, table, texts, utf8, with_ids
+from .setjoin import candidates, prefix
 
 PERCENT = 80
 #: Lines of fewer different tokens are left alone.
@@ -80,11 +81,6 @@ def class_ids(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.add.reduceat(m, start).view(np.int64), np.bitwise_xor.reduceat(bits, start).view(np.int64)
 
 
-def overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Common tokens that sizes n and m need: the least i with 100 * i >= percent * (n + m - i)."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -115,58 +111,12 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                     fresh[i] = True
             pick = ranges(start[fresh], n[fresh])
             sa, sb, n, h = sa[fresh], sb[fresh], n[fresh], h[pick]
-            line = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, counted[(h % np.uint64(CELLS)).astype(np.int64)], line))
-            h = h[order]
-            start = np.cumsum(n) - n
-            long = n - -(-percent * n // 100) + 1
-            at = ranges(start, long)
-            own = np.repeat(np.arange(len(n)), long)
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(sa[own]), pa.array(sb[own]), pa.array((n[own] << 32) | (at - start[own]))], names=["token", "sa", "sb", "size_at"])
+            token, own, size_at = prefix(h, n, counted, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(sa[own]), pa.array(sb[own]), pa.array(size_at)], names=["token", "sa", "sb", "size_at"])
 
     return arrow_map(texts(docs), kernel, "token long, sa long, sb long, size_at long")
 
 
-def candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a prefix token and pass the length, position and parity bounds."""
-    names = ["a1", "a2", "b1", "b2"]
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by token and size; of a group that goes on, only rows within reach of the next size are held."""
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [longs(batch, c) for c in ("token", "sa", "sb", "size_at")]
-            held = 0
-            if rest is not None:
-                held = len(rest[0])
-                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
-            token, sa, sb, packed = cols
-            n, at = packed >> 32, packed & 0xFFFFFFFF
-            bits = sb.view(np.uint64)
-            active, d = np.arange(len(token)), 1
-            while len(active):
-                active = active[active + d < len(token)]
-                other = active + d
-                near = (token[other] == token[active]) & (100 * n[active] >= percent * n[other])
-                active, other = active[near], other[near]  # sorted by size: who is out of reach stays so
-                i, j = active[other >= held], other[other >= held]
-                need = overlap(n[i], n[j], percent)
-                ok = 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need
-                i, j, need = i[ok], j[ok], need[ok]
-                ok = (np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need) & ((sa[i] != sa[j]) | (sb[i] != sb[j]))
-                i, j = i[ok], j[ok]
-                if len(i):
-                    swap = (sa[i] > sa[j]) | ((sa[i] == sa[j]) & (sb[i] > sb[j]))
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sa[i], sb[i], sa[j], sb[j])], names=names)
-                d += 1
-            keep = (token == token[-1]) & (100 * n >= percent * n[-1])
-            rest = [c[keep] for c in cols]
-
-    found = arrow_map(entries.repartition("token").sortWithinPartitions("token", "size_at"), kernel, ", ".join(f"{c} long" for c in names))
-    return found.distinct()
-
-
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes (a1, a2, b1, b2) whose token sets reach the threshold.
 
@@ -204,7 +154,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     """Lines with their class, each class's first line, and the links between classes."""
     lines = durable(occurrences(docs))
     classes = durable(lines.groupBy("sa", "sb").agg(F.min(F.struct("doc_id", "line")).alias("first")).select("sa", "sb", "first.doc_id", "first.line"))
-    pairs = durable(candidates(prefixes(docs, token_counts(docs), percent), percent))
+    pairs = durable(candidates(prefixes(docs, token_counts(docs), percent), percent, labels=False))
     return lines, classes, durable(verified(pairs, classes, docs, percent))
 
 

@@ -7,8 +7,8 @@ only different sets meet.  Partners in a band's bucket are screened by the
 collision-corrected Jaccard estimate, and what passes is verified on full sets.
 
 A bucket is joined as a star around its least document; only where it then
-still holds several components are members of different components compared,
-in blocks.  No group is ever paired with itself in full.
+still holds several components do its members go through an exact prefix
+filter.  No group is ever paired with itself in full.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_map, durable, hashed, longs, mix, table, texts, utf8, with_ids
+from .common import WordHash, arrow_map, durable, hashed, longs, mix, strips, summed, table, texts, utf8, with_ids, with_rows
 from .graph import components
+from .setjoin import candidates, prefix
 
 REGISTERS, BAND = 128, 4
 MANTISSA, EMPTY = 10, 0xFFFF
@@ -29,8 +30,8 @@ MANTISSA, EMPTY = 10, 0xFFFF
 COLLISION = 2.0**-MANTISSA / 3
 #: The screen lets pass what lies within so many standard deviations below the threshold.
 SLACK = 6.0
-#: Members of a bucket that one task compares with each other.
-BLOCK = 1024
+#: Cells of the table of shingle counts that orders shingles by rarity (4 bytes each).
+CELLS = 1 << 21
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 TOP = np.uint64(57)
 
@@ -144,48 +145,39 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return arrow_map(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b"), kernel, "a long, b long")
 
 
-def across(members: DataFrame, labels: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Pairs from different components that share a bucket and pass the screen.
+def across(members: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs from different components, among documents whose bucket still holds several, that may reach the threshold.
 
-    members: (key, doc_id).  A bucket's largest labels are dealt into blocks;
-    each block meets the rest of its bucket, so a task holds 2 * BLOCK rows.
+    members: (key, doc_id).  Where copies of copies differ much, a bucket holds
+    many documents that nearly link, so registers can't tell them apart.  An
+    exact prefix filter over these documents' shingles can: the rarest
+    shingles of two linked documents meet, and a document's own edits meet
+    nobody's.
     """
     at = members.join(labels, members.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    split = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    sizes = at.join(split, "key", "left_semi").groupBy("key", "label").agg(F.count("*").alias("n_label"))
-    top = sizes.groupBy("key").agg(F.max_by("label", "n_label").alias("main"), F.max("n_label").alias("n_main"), F.sum("n_label").alias("n_key"))
-    rows = at.join(top, "key")
-    # blocks of the main component, and blocks of the rest
-    main_blocks = F.ceil(F.col("n_main") / BLOCK).cast("int")
-    rest_blocks = F.ceil((F.col("n_key") - F.col("n_main")) / BLOCK).cast("int")
-    own = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("doc_id"), main_blocks)).otherwise(F.pmod(F.xxhash64("doc_id"), rest_blocks)).cast("int")
-    rows = rows.withColumn("mb", main_blocks).withColumn("rb", rest_blocks).withColumn("own", own)
-    main = rows.where("label = main").select("key", "doc_id", "label", F.explode(F.expr("transform(sequence(0, rb - 1), r -> struct(own as i, r as j, true as main, 0 as side))")).alias("t"))
-    rest = rows.where("label <> main")
-    with_main = rest.select("key", "doc_id", "label", F.explode(F.expr("transform(sequence(0, mb - 1), m -> struct(m as i, own as j, true as main, 1 as side))")).alias("t"))
-    inner = rest.select("key", "doc_id", "label", F.explode(F.expr("transform(sequence(0, rb - 1), r -> struct(least(r, own) as i, greatest(r, own) as j, false as main, if(own <= r, 0, 1) as side))")).alias("t"))
-    tasks = main.unionAll(with_main).unionAll(inner).select("key", "t.*", "doc_id", "label")
-    held = tasks.join(sig.select("doc_id", "n", "regs"), "doc_id")
-
-    def kernel(t: pa.Table) -> pa.Table:
-        doc, label, n, side = (t.column(c).to_numpy() for c in ("doc_id", "label", "n", "side"))
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        alone = bool(t.column("i")[0].as_py() == t.column("j")[0].as_py() and not t.column("main")[0].as_py())
-        left = np.nonzero(side == 0)[0]
-        right = left if alone else np.nonzero(side == 1)[0]
-        a, b = [], []
-        for k in left:
-            o = right[(label[right] != label[k]) & fits(n[right], n[k], percent)]
-            if alone:
-                o = o[doc[o] > doc[k]]
-            if len(o):
-                o = o[near(*estimate(np.broadcast_to(regs[k], (len(o), REGISTERS)), regs[o]), percent)]
-                a.append(np.minimum(doc[o], doc[k]))
-                b.append(np.maximum(doc[o], doc[k]))
-        none = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
-
-    return held.groupBy("key", "i", "j", "main").applyInArrow(kernel, "a long, b long").distinct()
+    split = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    left = durable(at.join(split, "key", "left_semi").select("doc_id", "label").distinct())
+    chosen = with_rows(texts(docs), left).dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, known = np.zeros(CELLS, np.int64), WordHash()
+        for batch in batches:
+            for text in utf8(batch, "text"):
+                cells[(shingles(text, width, known) % np.uint64(CELLS)).astype(np.int64)] += 1
+        yield strips(cells)
+
+    counts = docs.sparkSession.sparkContext.broadcast(np.minimum(summed(arrow_map(chosen, count, "strip int, cells binary"), CELLS), 2**31 - 1).astype(np.int32))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for batch in batches:
+            sets = [shingles(t, width, known) for t in utf8(batch, "text")]
+            n = np.array([len(x) for x in sets], np.int64)
+            token, own, size_at = prefix(np.concatenate([np.empty(0, np.uint64), *sets]), n, counts.value, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(longs(batch, "doc_id")[own]), pa.array(longs(batch, "label")[own]), pa.array(size_at)], names=["token", "sa", "sb", "size_at"])
+
+    pairs = candidates(arrow_map(chosen, entries, "token long, sa long, sb long, size_at long"), percent, labels=True)
+    return pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -209,8 +201,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = screen(star, reps, percent).groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
     edges = durable(verify(first, docs, width, percent))
     labels = components(edges)
-    more = verify(across(members.select("key", "doc_id"), labels, reps, percent), docs, width, percent)
-    more = durable(more)
+    more = durable(verify(screen(across(members.select("key", "doc_id"), labels, docs, width, percent), reps, percent), docs, width, percent))
     if more.limit(1).count():
         labels = components(edges.unionAll(more))
     out = sig.join(classes, ["set_a", "set_b", "n"], "left").join(labels, F.col("rep") == F.col("node"), "left")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, minhash_dedup, quality_rules, secret_scan, source_mixing, suffix_dedup
+from . import decontaminate, language_id, line_dedup, minhash_dedup, quality_rules, secret_scan, source_mixing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": source_mixing.query,
     "op6_language_id": language_id.query,
     "op7_secret_scan": secret_scan.query,
+    "op8_toxicity": toxicity.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }

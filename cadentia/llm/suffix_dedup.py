@@ -70,7 +70,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, length: int, core: int) -> tuple[np.ndarray, ...]:
-    """For each run of windows that own one anchor: row, anchor hash, context hash, first and last window, anchor (within the row).
+    """For each run of windows that own one anchor: row, anchor hash, context hash, first and last window (within the row).
 
     data: the rows' bytes one after another, row i at first[i], each of ``length`` bytes at least.
     """
@@ -85,17 +85,17 @@ def anchors(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, length: int,
     hi = windows[np.concatenate([np.nonzero(new)[0][1:], [len(windows)]]) - 1]
     row = np.searchsorted(first, lo, "right") - 1
     context = mix(roll.of(lo, hi + length) ^ mix((a - lo).astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64)))
-    return row, rank[a], context, lo - first[row], hi - first[row], a - first[row]
+    return row, rank[a], context, lo - first[row], hi - first[row]
 
 
-#: off is where the anchor lies in its first window; rows with off -1 are bytes lo to hi to be removed.
-RUNS = "h long, context long, doc_id long, lo int, hi int, off int"
-RUN_TYPES = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
-RUN_NAMES = ["h", "context", "doc_id", "lo", "hi", "off"]
+#: at holds lo << 32 | size: windows lo to lo + size, or, with a null context, bytes lo to lo + size to be removed.
+RUNS = "h long, context long, doc_id long, at long"
+RUN_NAMES = ["h", "context", "doc_id", "at"]
 
 
-def run_batch(columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(t, copy=False)) for c, t in zip(columns, RUN_TYPES, strict=True)], names=RUN_NAMES)
+def run_batch(h: np.ndarray, context: np.ndarray | None, doc: np.ndarray, lo: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    context = pa.nulls(len(doc), pa.int64()) if context is None else pa.array(context)
+    return pa.RecordBatch.from_arrays([pa.array(h), context, pa.array(doc), pa.array(lo.astype(np.int64) << 32 | size.astype(np.int64))], names=RUN_NAMES)
 
 
 def removals(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
@@ -109,20 +109,20 @@ def removals(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate([[True], (row * span + lo)[1:] > reach[:-1]])
         last = np.concatenate([np.nonzero(new)[0][1:], [len(doc)]]) - 1
         doc, lo, hi = doc[new], lo[new], reach[last] - row[last] * span
-    return run_batch([mix(doc.view(np.uint64)).view(np.int64), np.zeros(len(doc), np.int64), doc, lo, hi, np.full(len(doc), -1)])
+    return run_batch(mix(doc.view(np.uint64)).view(np.int64), None, doc, lo, hi - lo)
 
 
 def distinct_runs(parts: list[list[np.ndarray]], length: int) -> Iterator[pa.RecordBatch]:
     """The earliest run of each context within a task; the others are repeats of it."""
-    h, context, doc, lo, hi, off = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h, context, doc, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((lo, doc, context, h))
-    h, context, doc, lo, hi, off = (x[order] for x in (h, context, doc, lo, hi, off))
+    h, context, doc, lo, hi = (x[order] for x in (h, context, doc, lo, hi))
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (context[1:] != context[:-1])])
     rep = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     again = ~new & ((doc != doc[rep]) | (lo != lo[rep]))
-    kept = [x[new] for x in (h, context, doc, lo, hi, off)]
+    kept = [x[new] for x in (h, context, doc, lo, hi - lo)]
     for i in range(0, len(kept[0]), 100_000):
-        yield run_batch([x[i : i + 100_000] for x in kept])
+        yield run_batch(*(x[i : i + 100_000] for x in kept))
     yield removals(doc[again], lo[again], hi[again] + length)
 
 
@@ -137,9 +137,9 @@ def local_runs(docs: DataFrame, length: int, core: int) -> DataFrame:
             nonlocal size
             if pieces:
                 sizes = np.array([len(p[2]) for p in pieces], np.int64)
-                row, h, context, lo, hi, a = anchors(np.frombuffer(b"".join(p[2] for p in pieces), np.uint8), np.cumsum(sizes) - sizes, sizes, length, core)
+                row, h, context, lo, hi = anchors(np.frombuffer(b"".join(p[2] for p in pieces), np.uint8), np.cumsum(sizes) - sizes, sizes, length, core)
                 doc, base = np.array([p[0] for p in pieces], np.int64)[row], np.array([p[1] for p in pieces], np.int64)[row]
-                parts.append([h.view(np.int64), context.view(np.int64), doc, (lo + base).astype(np.int32), (hi + base).astype(np.int32), (a - lo).astype(np.int32)])
+                parts.append([h.view(np.int64), context.view(np.int64), doc, (lo + base).astype(np.int32), (hi + base).astype(np.int32)])
                 pieces.clear()
                 size = 0
 
@@ -175,23 +175,24 @@ def shared_runs(runs: DataFrame, length: int) -> DataFrame:
         held: list[np.ndarray] | None = None  # the first run of the last context
         sent = several = False  # whether it was given out; whether its anchor has had another context
         for batch in batches:
-            cols = [batch.column(n).to_numpy() for n in RUN_NAMES]
-            done = cols[5] < 0
-            if done.any():
-                yield run_batch([c[done] for c in cols])
-                cols = [c[~done] for c in cols]
-            if not len(cols[0]):
+            done = batch.column("context").is_null()
+            if done.true_count:
+                yield batch.filter(done)
+                batch = batch.filter(batch.column("context").is_valid())
+            if not batch.num_rows:
                 continue
+            cols = [batch.column(n).to_numpy() for n in RUN_NAMES]
             if held is not None:
                 cols = [np.concatenate([k, c]) for k, c in zip(held, cols, strict=True)]
-            h, context, doc, lo, hi, off = cols
+            h, context, doc, at = cols
             n = len(h)
             new_h = np.concatenate([[True], h[1:] != h[:-1]])
             new = new_h | np.concatenate([[True], context[1:] != context[:-1]])
             rep = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            again = ~new & ((doc != doc[rep]) | (lo != lo[rep]))
+            again = ~new & ((doc != doc[rep]) | (at != at[rep]))
             if again.any():
-                yield removals(doc[again], lo[again], hi[again] + length)
+                lo = at[again] >> 32
+                yield removals(doc[again], lo, lo + (at[again] & 0xFFFFFFFF) + length)
             group = np.cumsum(new_h) - 1
             many = np.bincount(group, weights=new) >= 2
             if held is not None and several:
@@ -200,13 +201,13 @@ def shared_runs(runs: DataFrame, length: int) -> DataFrame:
             if held is not None and sent:
                 give[0] = False
             if give.any():
-                yield run_batch([c[give] for c in cols])
+                yield pa.RecordBatch.from_arrays([pa.array(c[give]) for c in cols], names=RUN_NAMES)
             k = int(rep[-1])
             several = bool(many[-1])
             sent = several
             held = [c[k : k + 1] for c in cols]
 
-    return arrow_map(runs.repartition("h").sortWithinPartitions("h", "context", "doc_id", "lo"), kernel, RUNS)
+    return arrow_map(runs.repartition("h").sortWithinPartitions("h", "context", "doc_id", "at"), kernel, RUNS)
 
 
 def ranked(x: np.ndarray) -> np.ndarray:
@@ -283,27 +284,32 @@ def repeats(h: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, snip
 def compared(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Removals among the runs whose anchor has several contexts."""
     large = wanted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("h", F.lit(True).alias("large"))
-    asked = wanted.join(large, "h", "left").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "hi", F.coalesce("large", F.lit(False)).alias("large"))).alias("asked"))
+    asked = wanted.join(large, "h", "left").groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", F.coalesce("large", F.lit(False)).alias("large"))).alias("asked"))
+
+    def asks(batch: pa.RecordBatch, large: bool) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """(h, doc_id, lo, hi, bytes) of the runs asked for; rows without any pass by."""
+        batch = batch.filter(batch.column("asked").is_valid())
+        for doc, text, asked in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("asked").to_pylist(), strict=True):
+            for x in asked:
+                lo = x["at"] >> 32
+                hi = lo + (x["at"] & 0xFFFFFFFF)
+                if x["large"] == large and hi + length <= len(text):  # else of another row of the same doc_id
+                    yield x["h"], doc, lo, hi, text[lo : hi + length]
+
+    def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(zip(*asks(batch, False), strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["h", "doc_id", "lo", "hi", "bytes"])
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "doc_id", "lo", "hi", "bytes"]
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every window by itself, its bytes' hash as its key."""
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for doc, text, asks in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("asked").to_pylist(), strict=True):
-                for x in asks or ():
-                    lo, hi = x["lo"], x["hi"]
-                    if hi + length > len(text):
-                        continue  # another row of the same doc_id
-                    if not x["large"]:
-                        rows = [(x["h"], doc, lo, hi, text[lo : hi + length])]
-                    else:  # every window by itself: its own bytes are its key
-                        data = np.frombuffer(text[lo : hi + length], np.uint8)
-                        k = np.arange(hi - lo + 1)
-                        rows = [(w, doc, lo + i, lo + i, None) for i, w in enumerate(Rolling(data).of(k, k + length).view(np.int64).tolist())]
-                    for r in rows:
-                        for c, v in zip(out, r, strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=names)
+            parts = []
+            for _, doc, lo, hi, data in asks(batch, True):
+                k = np.arange(hi - lo + 1)
+                parts.append((Rolling(np.frombuffer(data, np.uint8)).of(k, k + length).view(np.int64), np.full(len(k), doc), lo + k))
+            cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "doc_id", "lo"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; whole groups are gathered up to a few megabytes."""
@@ -330,11 +336,13 @@ def compared(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
         if parts:
             yield solved(parts)
 
-    fetched = durable(arrow_map(texts(docs).join(asked, "doc_id", "left"), fetch, "h long, doc_id long, lo int, hi int, bytes binary"))
-    by_suffix = arrow_map(fetched.where("bytes is not null").repartition("h").sortWithinPartitions("h"), solve, RUNS).select("doc_id", "lo", "hi")
-    windows = fetched.where("bytes is null").select("h", "doc_id", "lo")
+    # a left join, so that this shuffle of the texts is the one that the result needs, and is made once
+    told = texts(docs).join(asked, "doc_id", "left")
+    fetched = arrow_map(told, snippets, "h long, doc_id long, lo int, hi int, bytes binary")
+    by_suffix = arrow_map(fetched.repartition("h").sortWithinPartitions("h"), solve, RUNS).select("doc_id", "at")
+    windows = durable(arrow_map(told, single, "h long, doc_id long, lo long")) if large.limit(1).count() else docs.sparkSession.createDataFrame([], "h long, doc_id long, lo long")
     earliest = windows.groupBy("h").agg(F.min(F.struct("doc_id", "lo")).alias("e"), F.count("*").alias("n")).where("n > 1").select("h", F.col("e.doc_id").alias("e_doc"), F.col("e.lo").alias("e_lo"))
-    by_window = windows.join(earliest, "h").where("doc_id <> e_doc or lo <> e_lo").select("doc_id", "lo", (F.col("lo") + length).alias("hi"))
+    by_window = windows.join(earliest, "h").where("doc_id <> e_doc or lo <> e_lo").select("doc_id", (F.shiftleft("lo", 32) + length).alias("at"))
     return by_suffix.unionAll(by_window)
 
 
@@ -348,15 +356,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> D
     lose the same bytes.
     """
     found = durable(shared_runs(local_runs(docs, length, core), length))
-    cut = found.where("off < 0").select("doc_id", "lo", "hi").unionAll(compared(found.where("off >= 0").select("h", "doc_id", "lo", "hi"), docs, length))
-    spans = cut.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    cut = found.where("context is null").select("doc_id", "at").unionAll(compared(found.where("context is not null").select("h", "doc_id", "at"), docs, length))
+    spans = cut.groupBy("doc_id").agg(F.collect_list("at").alias("spans"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             column = batch.column("spans")
-            flat = column.flatten()
-            lows, highs = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            at_all = column.flatten().to_numpy(zero_copy_only=False)
+            lows = at_all >> 32
+            highs = lows + (at_all & 0xFFFFFFFF)
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(sizes)
             for text, e, k in zip(utf8(batch, "text"), ends.tolist(), sizes.tolist(), strict=True):
