@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, minhash_dedup, quality_rules, secret_scan, source_mixing, suffix_dedup, toxicity
+from . import decontaminate, language_id, line_dedup, minhash_dedup, pii_sanitise, quality_rules, secret_scan, source_mixing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.query,
     "op2_line_dedup": line_dedup.query,
     "op3_suffix_dedup": suffix_dedup.query,
+    "op4_pii_sanitise": pii_sanitise.query,
     "op5_source_mixing": source_mixing.query,
     "op6_language_id": language_id.query,
     "op7_secret_scan": secret_scan.query,
