@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 # Kernels travel with the job, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
-#: Rows an Arrow batch may hold; documents may be long, so batches are short.
-BATCH_ROWS = 1000
+#: What an Arrow batch may hold: rows, and bytes, which bound it where documents are long.
+BATCH_ROWS, BATCH_BYTES = 100_000, 6 << 20
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch brings into a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -155,3 +155,10 @@ def with_rows(docs: DataFrame, side: DataFrame) -> DataFrame:
     """Inner join on doc_id with a narrow table of unique ids, broadcast only where it is counted to be small."""
     small = side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(side) if small else side, "doc_id")
+
+
+def with_lists(docs: DataFrame, side: DataFrame, column: str, name: str, how: str) -> DataFrame:
+    """Join docs with the lists of ``column`` by doc_id; rows of ``side`` (written) are broadcast only where they are counted to be few."""
+    small = side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    lists = side.groupBy("doc_id").agg(F.collect_list(column).alias(name))
+    return docs.join(F.broadcast(lists) if small else lists, "doc_id", how)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_map, durable, hashed, longs, mix, ranges, strips, summed, table, texts, utf8, with_ids
+from .common import WordHash, arrow_map, durable, hashed, longs, mix, ranges, strips, summed, table, texts, utf8, with_lists
 from .setjoin import candidates, prefix
 
 PERCENT = 80
@@ -47,29 +47,18 @@ def token_counts(docs: DataFrame) -> np.ndarray:
 
 
 def line_sets(batch_texts: list[bytes], known: WordHash) -> tuple[np.ndarray, ...]:
-    """Document row and line number of each line, where its tokens start, their number, and all tokens (distinct, sorted by hash)."""
+    """Document row and line number of each line, where its tokens start, their number, and all tokens (distinct within a line)."""
     rows, numbers, sizes, tokens = [], [], [], []
     for i, text in enumerate(batch_texts):
         for j, line in enumerate(text.lower().split(b"\n")):
-            w = line.split()
+            w = set(line.split())
             if len(w) >= MIN_TOKENS:
                 rows.append(i)
                 numbers.append(j)
                 sizes.append(len(w))
                 tokens.extend(w)
-    row, number, size = np.array(rows, np.int64), np.array(numbers, np.int64), np.array(sizes, np.int64)
-    h = hashed(tokens, known)
-    line = np.repeat(np.arange(len(row)), size)
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[new], line[new]
-    n = np.bincount(line, minlength=len(row)).astype(np.int64)
-    enough = n >= MIN_TOKENS
-    keep = enough[line]
-    n, h = n[enough], h[keep]
-    return row[enough], number[enough], np.cumsum(n) - n, n, h
+    n = np.array(sizes, np.int64)
+    return np.array(rows, np.int64), np.array(numbers, np.int64), np.cumsum(n) - n, n, hashed(tokens, known)
 
 
 def class_ids(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +112,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     classes: (sa, sb, doc_id, line), the first line of each.
     """
     used = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("sa"), F.col("a2").alias("sb")), F.struct(F.col("b1").alias("sa"), F.col("b2").alias("sb")))).alias("c")).select("c.*").distinct()
-    wanted = durable(classes.join(used, ["sa", "sb"], "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
+    wanted = durable(classes.join(used, ["sa", "sb"], "left_semi").select("doc_id", "line"))
+    near = with_lists(texts(docs), wanted, "line", "lines", "inner")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -134,7 +124,6 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
             sa, sb = class_ids(h, start)
             yield pa.RecordBatch.from_arrays([pa.array(sa), pa.array(sb), pa.array([h[s : s + k].tobytes() for s, k in zip(start.tolist(), n.tolist(), strict=True)], pa.binary())], names=["sa", "sb", "tokens"])
 
-    near = with_ids(texts(docs), wanted.select("doc_id")).join(wanted, "doc_id")
     sets = arrow_map(near, fetch, "sa long, sb long, tokens binary").dropDuplicates(["sa", "sb"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +147,15 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     return lines, classes, durable(verified(pairs, classes, docs, percent))
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, gone (numbers of the lines to remove) and n_links, for documents with either."""
+def judged_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, line, goes and n (links of its set), for lines that go or have links."""
     lines, classes, links = similar_lines(docs, percent)
     both = links.unionAll(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     first = classes.select(F.col("sa").alias("b1"), F.col("sb").alias("b2"), F.struct("doc_id", "line").alias("first"))
     linked = both.join(first, ["b1", "b2"]).groupBy(F.col("a1").alias("sa"), F.col("a2").alias("sb")).agg(F.min("first").alias("other"), F.count("*").alias("n"))
     from_where = classes.join(linked, ["sa", "sb"], "left").select("sa", "sb", F.least(F.struct("doc_id", "line"), F.coalesce("other", F.struct("doc_id", "line"))).alias("first"), F.coalesce("n", F.lit(0)).alias("n"))
-    told = lines.join(from_where, ["sa", "sb"]).withColumn("goes", F.struct("doc_id", "line") > F.col("first")).where("goes or n > 0")
-    return told.groupBy("doc_id").agg(F.collect_set(F.when(F.col("goes"), F.col("line"))).alias("gone"), F.sum("n").alias("n_links"))
+    told = lines.join(from_where, ["sa", "sb"]).withColumn("goes", F.struct("doc_id", "line") > F.col("first"))
+    return durable(told.where("goes or n > 0").select("doc_id", "line", "goes", "n"))
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -191,7 +180,11 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols[:2], [pa.int64()] * 2, strict=True)), batch.column("n_links"), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["doc_id", "n_lines", "n_removed", "n_links", "kept_sha256", "kept"])
 
-    told = texts(docs).join(removed_lines(docs, percent), "doc_id", "left").select("doc_id", "text", "gone", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    judged = judged_lines(docs, percent).groupBy("doc_id", "line").agg(F.max("goes").alias("goes"), F.max("n").alias("n")).select("doc_id", (F.col("n") * 2 + F.col("goes").cast("int")).alias("n"), "line")
+    told = with_lists(texts(docs), judged.select("doc_id", F.struct("line", "n").alias("x")), "x", "told", "left")
+    gone = F.transform(F.filter("told", lambda x: x["n"] % 2 == 1), lambda x: x["line"])
+    links = F.coalesce(F.aggregate("told", F.lit(0).cast("long"), lambda acc, x: acc + F.floor(x["n"] / 2).cast("long")), F.lit(0))
+    told = told.select("doc_id", "text", gone.alias("gone"), links.alias("n_links"))
     return arrow_map(told, kernel, "doc_id long, n_lines long, n_removed long, n_links long, kept_sha256 string, kept string")
 
 
@@ -201,7 +194,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated lines; one that has no word left goes."""
-    told = docs.join(removed_lines(docs).where(F.size("gone") > 0).select("doc_id", "gone"), "doc_id", "left")
+    told = with_lists(docs, judged_lines(docs).where("goes").select("doc_id", "line").distinct(), "line", "gone", "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
     out = told.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).where(F.col("gone").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
