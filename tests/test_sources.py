@@ -1,0 +1,63 @@
+"""Readers, sinks and the streaming form on small files."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from cadentia.sources import readers, sinks
+from cadentia.streaming.coherence import sliding_participants
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a.beats").write_text("0.5 1\nbad\n1.0\n1.5 x\n")
+    assert [(r.stem, r.t, r.pos) for r in readers.beat_files(spark, f"{tmp_path}/a.beats").collect()] == [("a", 0.5, 1), ("a", 1.0, -1), ("a", 1.5, -1)]
+    (tmp_path / "m.txt").write_text("1.0001 1.0002,2.0 3\n1 2\n5 4 3 99\n")
+    got = readers.annotator_files(spark, f"{tmp_path}/m.txt", 0, 30).collect()
+    assert sorted((r.annotator, r.times) for r in got) == [(0, [1.0, 2.0, 3.0]), (2, [3.0, 4.0, 5.0])]
+    for batch, text in (("x", "participant_id,failed\n1,False\n"), ("y", 'participant_id,analysis\n1,"{""a"": 1}"\n')):
+        (tmp_path / batch).mkdir()
+        (tmp_path / batch / "t.csv").write_text(text)
+    m = readers.merged_exports(spark, [f"{tmp_path}/x/t.csv", f"{tmp_path}/y/t.csv"], ["participant_id", "failed", "analysis"])
+    assert sorted((r.participant_id, r.failed, r.analysis) for r in m.collect()) == [("x:p1", "False", None), ("y:p1", None, '{"a": 1}')]
+    (tmp_path / "v1").mkdir()
+    (tmp_path / "v2").mkdir()
+    (tmp_path / "v1/s_crowd_gs.txt").write_text("2.0\n1.0\n")
+    (tmp_path / "v2/s.txt").write_text("9\n")
+    (tmp_path / "v2/e.txt").write_text("\n")
+    assert {r.stem: r["values"] for r in readers.vector_files(spark, [f"{tmp_path}/v1/*", f"{tmp_path}/v2/*"]).collect()} == {"s": [1.0, 2.0], "e": []}
+    (tmp_path / "man.json").write_text(json.dumps([{"stem_id": "", "stimulus_id": "q", "dataset": "d"}]))
+    assert readers.manifest(spark, f"{tmp_path}/man.json").collect()[0].stem == "q"
+    r = spark.createDataFrame([([1.0, 2.0, 3.0], [0, 2, 2, 3])], "v array<double>, o array<int>")
+    assert readers.ragged(r, "v", "o").first().parts == [[1.0, 2.0], [], [3.0]]
+    assert readers.config('{"a": ["${X}/b", "${Y}"]}', {"X": "r"}) == {"a": ["r/b", "${Y}"]}
+    f = readers.files(spark, f"{tmp_path}/v1", "*.txt").first()
+    assert f.length == 8 and len(f.sha256) == 64
+
+
+def test_window_peaks_and_beats(spark):
+    p = spark.createDataFrame([("a", 1.0, 0.0, 30.0), ("a", 11.0, 10.0, 25.0), ("a", 12.0, 10.0, 25.0), ("b", 12.5, 0.0, 12.0)], "stimulus_id string, peak_time_s double, window_t0 double, window_t1 double")
+    assert sorted(map(tuple, readers.window_peaks(p, 10, 25).collect())) == [("a", 11.0), ("a", 12.0), ("b", 12.5)]
+    b = spark.createDataFrame([("x.wav", 2.0, "m"), ("x.wav", 1.0, "m"), ("x.wav", 5.0, "o")], "wav string, beat_time_s double, algorithm string")
+    assert readers.algorithm_beats(b, "m").first().beats == [1.0, 2.0]
+
+
+def test_sinks(spark, tmp_path):
+    sinks.write_vectors(spark.createDataFrame([("s", [2.0, 1.0])], "stem string, beats array<double>"), f"{tmp_path}/o")
+    assert "".join(p.read_text() for p in (tmp_path / "o/stem=s").glob("*.txt")).split() == ["1.000000000", "2.000000000"]
+    sinks.write_csv(spark.range(3), f"{tmp_path}/c", gzip=True)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/c").count() == 3
+    f = readers.files(spark, f"{tmp_path}/c", "*.gz")
+    assert sinks.provenance(f, f.limit(0), "x").where("role = 'input'").count() == f.count()
+
+
+def test_stream_closes_bins(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 3, "s", i * 40) for i in range(100)], "participant long, stem_id string, ms long").select("participant", "stem_id", F.timestamp_millis("ms").alias("ts"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = sliding_participants(stream, late="1 second").writeStream.outputMode("append").format("memory").queryName("bins").start()
+    try:
+        q.processAllAvailable()
+        got = spark.sql("select max(n_participants) as most, count(*) as n from bins").first()
+    finally:
+        q.stop()
+    assert got.most == 3 and got.n > 20
