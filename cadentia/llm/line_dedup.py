@@ -22,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_map, durable, hashed, longs, mix, ranges, strips, summed, table, texts, utf8, with_lists
-from .setjoin import candidates, prefix
+from .common import BROADCAST_IDS, WordHash, arrow_map, durable, hashed, longs, mix, ranges, strips, summed, table, texts, utf8, with_lists
+from .setjoin import overlap, prefix
 
 PERCENT = 80
 #: Lines of fewer different tokens are left alone.
 MIN_TOKENS = 3
 #: Cells of the table of counts (4 bytes each).
 CELLS = 1 << 21
+#: Tokens that a task gathers before it drops the repeated lines among them.
+GATHER = 4_000_000
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -70,102 +72,252 @@ def class_ids(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.add.reduceat(m, start).view(np.int64), np.bitwise_xor.reduceat(bits, start).view(np.int64)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
+
+
+#: A row's size tells what it is: a prefix token of a set (its size), a set's first line in a task, or a line found to repeat.
+FIRST, REPEAT = 1, 0
+ENTRY = ["token", "sa", "sb", "doc_id", "packed"]
+
+
+def pack(size, place, line):
+    return size << 42 | place << 22 | line
+
+
+def entries(docs: DataFrame, counts: np.ndarray, percent: int, only: np.ndarray | None = None) -> DataFrame:
+    """Rows (token, set, doc_id, size | place | line) for the rarest tokens of each set, from its first line in each task.
+
+    That line is a row by itself, and the task's other lines of the set are
+    repeats of it.  With ``only``, just the rows of these tokens.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((counts, only))
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, (counted, chosen) = WordHash(), held.value
+        first: dict[tuple[int, int], tuple[int, int]] = {}
+        kept: list[list[np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """The gathered sets in order of lines; of each only the first goes on."""
+            if not kept:
+                return
+            sa, sb, doc, line, n, h = (np.concatenate(x) for x in zip(*kept, strict=True))
+            kept.clear()
+            start = np.cumsum(n) - n
+            order = np.lexsort((line, doc, sb, sa))
+            a, b = sa[order], sb[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            lead, rest = order[new], order[~new]
+            of = order[new][np.cumsum(new) - 1][~new]
+            rest = rest[(doc[rest] != doc[of]) | (line[rest] != line[of])]
+            if chosen is None:
+                zero = np.zeros(len(rest), np.int64)
+                yield rows(line_key(doc[rest], line[rest]).view(np.int64), zero, zero, doc[rest], pack(REPEAT, 0, line[rest]))
+                yield rows(mix(sa[lead].view(np.uint64) ^ SALT).view(np.int64), sa[lead], sb[lead], doc[lead], pack(FIRST, 0, line[lead]))
+            lead.sort()
+            for k in range(0, len(lead), 100_000):
+                some = lead[k : k + 100_000]
+                token, own, size_at = prefix(h[ranges(start[some], n[some])], n[some], counted, percent)
+                if chosen is not None:
+                    use = np.isin(token, chosen)
+                    token, own, size_at = token[use], own[use], size_at[use]
+                own = some[own]
+                yield rows(token, sa[own], sb[own], doc[own], pack(size_at >> 32, size_at & 0xFFFFFFFF, line[own]))
+
+        gathered = 0
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
             row, number, start, n, h = line_sets(utf8(batch, "text"), known)
             sa, sb = class_ids(h, start)
-            yield pa.RecordBatch.from_arrays([pa.array(sa), pa.array(sb), pa.array(longs(batch, "doc_id")[row]), pa.array(number.astype(np.int32))], names=["sa", "sb", "doc_id", "line"])
+            kept.append([sa, sb, longs(batch, "doc_id")[row], number, n, h])
+            gathered += len(h)
+            if gathered > GATHER:
+                yield from flush()
+                gathered = 0
+        yield from flush()
 
-    return arrow_map(texts(docs), kernel, "sa long, sb long, doc_id long, line int")
+    def rows(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=ENTRY)
 
+    return arrow_map(texts(docs), kernel, ", ".join(f"{c} long" for c in ENTRY))
 
-def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(token, class, size, position) for the rarest tokens of each class, once a task."""
-    held = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counted, sent = WordHash(), held.value, set()
-        for batch in batches:
-            _, _, start, n, h = line_sets(utf8(batch, "text"), known)
-            sa, sb = class_ids(h, start)
-            if len(sent) > 500_000:
-                sent.clear()
-            fresh = np.zeros(len(sa), bool)
-            for i, x in enumerate(zip(sa.tolist(), sb.tolist(), strict=True)):
-                if x not in sent:
-                    sent.add(x)
-                    fresh[i] = True
-            pick = ranges(start[fresh], n[fresh])
-            sa, sb, n, h = sa[fresh], sb[fresh], n[fresh], h[pick]
-            token, own, size_at = prefix(h, n, counted, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(sa[own]), pa.array(sb[own]), pa.array(size_at)], names=["token", "sa", "sb", "size_at"])
 
-    return arrow_map(texts(docs), kernel, "token long, sa long, sb long, size_at long")
+FOUND = "doc_id long, line long, e_doc long, e_line long, apart int, n long"
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes (a1, a2, b1, b2) whose token sets reach the threshold.
+def matches(entered: DataFrame, percent: int, every: np.ndarray | None = None) -> DataFrame:
+    """For each set that may have a similar earlier one, the likeliest earlier set of each token's group, and how many there are.
 
-    classes: (sa, sb, doc_id, line), the first line of each.
+    Rows: (doc_id, line) of the set's first line, (e_doc, e_line) of the
+    earlier set's, the bits in which their parities differ, the number of such
+    sets.  Lines whose set stands earlier have no e_doc.  With ``every``, keys
+    of lines: all earlier sets of these lines, and nothing else.
     """
-    used = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("sa"), F.col("a2").alias("sb")), F.struct(F.col("b1").alias("sa"), F.col("b2").alias("sb")))).alias("c")).select("c.*").distinct()
-    wanted = durable(classes.join(used, ["sa", "sb"], "left_semi").select("doc_id", "line"))
+    names = ["doc_id", "line", "e_doc", "e_line", "apart", "n"]
+
+    def out(doc, line, e_doc, e_line, apart, n) -> pa.RecordBatch:
+        big = lambda x: pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), big(e_doc), big(e_line), pa.array(apart.astype(np.int32)), pa.array(n)], names=names)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by token, size, place, set, line; of a group that goes on, only rows within reach of the next size are held."""
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [longs(batch, c) for c in ENTRY]
+            held = 0
+            if rest is not None:
+                held = len(rest[0])
+                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
+            token, sa, sb, doc, packed = cols
+            size = packed >> 42
+            same = np.zeros(len(token), bool)  # the same set from another task: it comes after the earliest
+            same[1:] = (token[1:] == token[:-1]) & (packed[1:] >> 22 == packed[:-1] >> 22) & (sa[1:] == sa[:-1]) & (sb[1:] == sb[:-1]) & (size[1:] != REPEAT)
+            gone = (size == REPEAT) | (same & (size == FIRST))
+            gone[:held] = False
+            if gone.any() and every is None:
+                # a row that repeats the very line it stands for is another row of one document
+                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(token))))
+                told = gone & ((size == REPEAT) | (doc != doc[lead]) | ((packed ^ packed[lead]) & 0x3FFFFF != 0))
+                k = int(told.sum())
+                yield out(doc[told], packed[told] & 0x3FFFFF, None, None, np.zeros(k), np.ones(k, np.int64))
+            go = ~same & (size != REPEAT)
+            shift = held - int((~go[:held]).sum())
+            token, sa, sb, doc, packed, size = (x[go] for x in (token, sa, sb, doc, packed, size))
+            held = shift
+            total = len(token)
+            place, line, bits = packed >> 22 & 0xFFFFF, packed & 0x3FFFFF, sb.view(np.uint64)
+            least, likely, count = np.full(total, 1 << 30), np.full(total, -1), np.zeros(total, np.int64)
+            asked = np.isin(line_key(doc, line), every) if every is not None else None
+            active, d = np.nonzero(size > FIRST)[0], 1
+            while len(active):
+                active = active[active + d < total]
+                other = active + d
+                near = (token[other] == token[active]) & (100 * size[active] >= percent * size[other])
+                active, other = active[near], other[near]  # sorted by size: who is out of reach stays so
+                i, j = active[other >= held], other[other >= held]
+                need = overlap(size[i], size[j], percent)
+                apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
+                ok = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (apart <= size[i] + size[j] - 2 * need)
+                i, j, apart = i[ok], j[ok], apart[ok]
+                forward = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
+                for late, early, use in ((j, i, forward), (i, j, ~forward)):
+                    late, early, far = late[use], early[use], apart[use]  # a row is late once here
+                    if every is not None:
+                        pick = asked[late]
+                        late, early, far = late[pick], early[pick], far[pick]
+                        if len(late):
+                            yield out(doc[late], line[late], doc[early], line[early], far, np.ones(len(late), np.int64))
+                        continue
+                    count[late] += 1
+                    better = far < least[late]
+                    least[late[better]], likely[late[better]] = far[better], early[better]
+                d += 1
+            k = np.nonzero(count)[0]
+            if len(k):
+                e = likely[k]
+                yield out(doc[k], line[k], doc[e], line[e], least[k], count[k])
+            if total:
+                keep = (token == token[-1]) & (100 * size >= percent * size[-1])
+                rest = [c[keep] for c in (token, sa, sb, doc, packed)]
+
+    ordered = entered.repartition("token").sortWithinPartitions("token", F.shiftright("packed", 22), "sa", "sb", "doc_id", "packed")
+    return arrow_map(ordered, kernel, FOUND)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs of lines (doc_id, line, e_doc, e_line) whose token sets reach the threshold."""
+    wanted = durable(pairs.select(F.explode(F.array(F.struct("doc_id", "line"), F.struct(F.col("e_doc").alias("doc_id"), F.col("e_line").alias("line")))).alias("x")).select("x.*").distinct())
     near = with_lists(texts(docs), wanted, "line", "lines", "inner")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
-            asked = [set(x) for x in batch.column("lines").to_pylist()]
-            chosen = [b"\n".join(line for j, line in enumerate(t.split(b"\n")) if j in a) for t, a in zip(utf8(batch, "text"), asked, strict=True)]
-            _, _, start, n, h = line_sets(chosen, known)
-            sa, sb = class_ids(h, start)
-            yield pa.RecordBatch.from_arrays([pa.array(sa), pa.array(sb), pa.array([h[s : s + k].tobytes() for s, k in zip(start.tolist(), n.tolist(), strict=True)], pa.binary())], names=["sa", "sb", "tokens"])
-
-    sets = arrow_map(near, fetch, "sa long, sb long, tokens binary").dropDuplicates(["sa", "sb"])
+            doc, line, tokens = [], [], []
+            for d, t, asked in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("lines").to_pylist(), strict=True):
+                lines = t.lower().split(b"\n")
+                for j in asked:
+                    if j < len(lines):
+                        doc.append(d)
+                        line.append(j)
+                        tokens.append(hashed(list(set(lines[j].split())), known).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int64()), pa.array(tokens, pa.binary())], names=["doc_id", "line", "tokens"])
+
+    sets = arrow_map(near, fetch, "doc_id long, line long, tokens binary").dropDuplicates(["doc_id", "line"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+            for x, y in zip(batch.column("tokens").to_pylist(), batch.column("e_tokens").to_pylist(), strict=True):
                 both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) // 8 + len(y) // 8 - both))
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a1", "a2", "b1", "b2"])
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["doc_id", "line"])
+
+    other = sets.select(F.col("doc_id").alias("e_doc"), F.col("line").alias("e_line"), F.col("tokens").alias("e_tokens"))
+    return arrow_map(pairs.select("doc_id", "line", "e_doc", "e_line").join(sets, ["doc_id", "line"]).join(other, ["e_doc", "e_line"]), check, "doc_id long, line long")
 
-    a = sets.select(F.col("sa").alias("a1"), F.col("sb").alias("a2"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("sa").alias("b1"), F.col("sb").alias("b2"), F.col("tokens").alias("tb"))
-    return arrow_map(pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]), check, "a1 long, a2 long, b1 long, b2 long")
 
+def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, line) of every line with an equal or similar one before it, written to the shared folder.
+
+    Of each set the likeliest earlier one is verified first; where that fails
+    and there are others, all of them are, so copies don't meet in all pairs
+    and no match is missed.
+    """
+    counts = token_counts(docs)
+    found = durable(matches(entries(docs, counts, percent), percent))
+    repeats = found.where("e_doc is null").select("doc_id", "line")
+    tries = durable(found.where("e_doc is not null").groupBy("doc_id", "line").agg(F.min_by(F.struct("e_doc", "e_line"), F.struct("apart", "e_doc", "e_line")).alias("e"), F.sum("n").alias("n"), F.count_distinct("e_doc", "e_line").alias("others")).select("doc_id", "line", "e.*", "n", "others"))
+    hit = durable(verified(tries, docs, percent))
+    open_ = durable(tries.where("n > 1").join(hit, ["doc_id", "line"], "left_anti").select("doc_id", "line"))
+    n_open = open_.limit(BROADCAST_IDS + 1).count()
+    if n_open:
+        # only the tokens of the open lines matter, and only pairs in which these are the later ones
+        mine = open_.toPandas() if n_open <= BROADCAST_IDS else None
+        keys = np.unique(line_key(mine["doc_id"].to_numpy(np.int64), mine["line"].to_numpy(np.int64))) if mine is not None else None
+        only = open_tokens(docs, open_, counts, percent) if mine is not None else None
+        more = matches(entries(docs, counts, percent, only), percent, keys) if keys is not None else matches_all(docs, counts, percent, open_)
+        hit = hit.unionAll(verified(durable(more.select("doc_id", "line", "e_doc", "e_line").distinct()), docs, percent))
+    return durable(repeats.unionAll(hit.select("doc_id", "line")).distinct())
+
+
+def open_tokens(docs: DataFrame, open_: DataFrame, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Prefix tokens of the open lines (BROADCAST_IDS lines at most)."""
+    held = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for batch in batches:
+            chosen = [b"\n".join(x for j, x in enumerate(t.split(b"\n")) if j in a) for t, a in zip(utf8(batch, "text"), map(set, batch.column("lines").to_pylist()), strict=True)]
+            _, _, _, n, h = line_sets(chosen, known)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(prefix(h, n, held.value, percent)[0]))], names=["token"])
 
-def similar_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines with their class, each class's first line, and the links between classes."""
-    lines = durable(occurrences(docs))
-    classes = durable(lines.groupBy("sa", "sb").agg(F.min(F.struct("doc_id", "line")).alias("first")).select("sa", "sb", "first.doc_id", "first.line"))
-    pairs = durable(candidates(prefixes(docs, token_counts(docs), percent), percent, labels=False))
-    return lines, classes, durable(verified(pairs, classes, docs, percent))
+    near = with_lists(texts(docs), open_, "line", "lines", "inner")
+    return arrow_map(near, kernel, "token long").distinct().toPandas()["token"].to_numpy(np.int64)
 
 
-def judged_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, line, goes and n (links of its set), for lines that go or have links."""
-    lines, classes, links = similar_lines(docs, percent)
-    both = links.unionAll(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
-    first = classes.select(F.col("sa").alias("b1"), F.col("sb").alias("b2"), F.struct("doc_id", "line").alias("first"))
-    linked = both.join(first, ["b1", "b2"]).groupBy(F.col("a1").alias("sa"), F.col("a2").alias("sb")).agg(F.min("first").alias("other"), F.count("*").alias("n"))
-    from_where = classes.join(linked, ["sa", "sb"], "left").select("sa", "sb", F.least(F.struct("doc_id", "line"), F.coalesce("other", F.struct("doc_id", "line"))).alias("first"), F.coalesce("n", F.lit(0)).alias("n"))
-    told = lines.join(from_where, ["sa", "sb"]).withColumn("goes", F.struct("doc_id", "line") > F.col("first"))
-    return durable(told.where("goes or n > 0").select("doc_id", "line", "goes", "n"))
+def matches_all(docs: DataFrame, counts: np.ndarray, percent: int, open_: DataFrame) -> DataFrame:
+    """As ``matches`` for all earlier sets of the open lines, where these are too many to broadcast: by hash, in parts."""
+    out, parts = None, 2 * (open_.count() // BROADCAST_IDS + 1)
+    for part in range(parts):
+        some = open_.where(F.pmod(F.xxhash64("doc_id", "line"), F.lit(parts)) == part)
+        mine = some.toPandas()
+        keys = np.unique(line_key(mine["doc_id"].to_numpy(np.int64), mine["line"].to_numpy(np.int64)))
+        more = durable(matches(entries(docs, counts, percent), percent, keys))
+        out = more if out is None else out.unionAll(more)
+    return out
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_links, kept_sha256 and kept (text) of every row.
+    """doc_id, n_lines, n_removed, kept_sha256 and kept (text) of every row.
 
     A line's set is its lower-cased words; sets A and B are similar where
-    100 * |A & B| >= percent * |A | B|.  n_links counts, over the document's
-    lines, the other sets that theirs is similar to.  Null text has no lines;
-    lines of fewer than MIN_TOKENS different words stay; a row with a null
-    doc_id is left whole; rows that repeat a doc_id lose the same lines.
+    100 * |A & B| >= percent * |A | B|.  Null text has no lines; lines of fewer
+    than MIN_TOKENS different words stay; a row with a null doc_id is left
+    whole; rows that repeat a doc_id lose the same lines.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +330,10 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 rest = b"\n".join(kept)
                 out.append((len(lines), len(lines) - len(kept), hashlib.sha256(rest).hexdigest(), rest.decode()))
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols[:2], [pa.int64()] * 2, strict=True)), batch.column("n_links"), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["doc_id", "n_lines", "n_removed", "n_links", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True))], names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept"])
 
-    judged = judged_lines(docs, percent).groupBy("doc_id", "line").agg(F.max("goes").alias("goes"), F.max("n").alias("n")).select("doc_id", (F.col("n") * 2 + F.col("goes").cast("int")).alias("n"), "line")
-    told = with_lists(texts(docs), judged.select("doc_id", F.struct("line", "n").alias("x")), "x", "told", "left")
-    gone = F.transform(F.filter("told", lambda x: x["n"] % 2 == 1), lambda x: x["line"])
-    links = F.coalesce(F.aggregate("told", F.lit(0).cast("long"), lambda acc, x: acc + F.floor(x["n"] / 2).cast("long")), F.lit(0))
-    told = told.select("doc_id", "text", gone.alias("gone"), links.alias("n_links"))
-    return arrow_map(told, kernel, "doc_id long, n_lines long, n_removed long, n_links long, kept_sha256 string, kept string")
+    told = with_lists(texts(docs), removed_lines(docs, percent), "line", "gone", "left").select("doc_id", "text", "gone")
+    return arrow_map(told, kernel, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,9 +342,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated lines; one that has no word left goes."""
-    told = with_lists(docs, judged_lines(docs).where("goes").select("doc_id", "line").distinct(), "line", "gone", "left")
+    told = with_lists(docs, removed_lines(docs), "line", "gone", "left")
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
     out = told.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).where(F.col("gone").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
