@@ -124,13 +124,13 @@ def guess(text_list: list[str], model: Model, letters: Letters) -> tuple[list[st
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score of every row; "und" and 0 for a text without letters, or without a model."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast((model.names, model.logs) if model else None)  # plain data: its class may not be installed there
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = Letters()
+        letters, model = Letters(), Model(*held.value) if held.value else None
         for batch in batches:
             found = [x or "" for x in batch.column("text").to_pylist()]
-            names, scores = guess(found, held.value, letters) if held.value and found else (["und"] * len(found), [0.0] * len(found))
+            names, scores = guess(found, model, letters) if model and found else (["und"] * len(found), [0.0] * len(found))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return arrow_map(texts(docs), kernel, "doc_id long, lang_pred string, score double")
