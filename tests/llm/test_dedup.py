@@ -59,11 +59,12 @@ def test_estimate_is_close():
         assert abs(np.mean(errors)) < 0.03
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_components(spark, one_task):
     edges = [(1, 2), (2, 3), (10, 11), (12, 11), (13, 12), (14, 13), (20, 20)] + [(30, 30 + i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(30)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got[3] == 1 and got[14] == 10 and got[69] == 30 and got[130] == 100 and 20 not in got
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
+    assert got[3] == 1 and got[14] == 10 and got[69] == 30 and got[130] == 100 and 20 not in got and len(got) == 3 + 5 + 40 + 31
+    assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
 
 
 def lines_brute(rows, percent=80):
