@@ -12,6 +12,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Kernels travel with the job, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
@@ -50,7 +51,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def arrow_map(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     tune(df.sparkSession)
     return df.mapInArrow(kernel, schema)
 
@@ -155,10 +156,3 @@ def with_rows(docs: DataFrame, side: DataFrame) -> DataFrame:
     """Inner join on doc_id with a narrow table of unique ids, broadcast only where it is counted to be small."""
     small = side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(side) if small else side, "doc_id")
-
-
-def with_lists(docs: DataFrame, side: DataFrame, column: str, name: str, how: str) -> DataFrame:
-    """Join docs with the lists of ``column`` by doc_id; rows of ``side`` (written) are broadcast only where they are counted to be few."""
-    small = side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    lists = side.groupBy("doc_id").agg(F.collect_list(column).alias(name))
-    return docs.join(F.broadcast(lists) if small else lists, "doc_id", how)

@@ -19,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BROADCAST_IDS, WordHash, arrow_map, durable, hashed, longs, mix, ranges, strips, summed, table, texts, utf8, with_lists
+from .common import BROADCAST_IDS, WordHash, arrow_map, durable, hashed, longs, mix, ranges, strips, summed, table, texts, utf8
 from .setjoin import overlap, prefix
 
 PERCENT = 80
@@ -76,6 +78,35 @@ def line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
 
 
+def with_lines(docs: DataFrame, side: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the numbers of their lines that are in ``side`` (doc_id, line; written, distinct) as a list, empty or null for none.
+
+    Up to BROADCAST_IDS lines, counted first, go to the executors as hashes of
+    64 bits and no text moves; more are joined by shuffle.
+    """
+    if side.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return docs.join(side.groupBy("doc_id").agg(F.collect_list("line").alias(name)), "doc_id", "left").select(*docs.columns, name)
+    mine = side.select("doc_id", "line").toPandas()
+    held = docs.sparkSession.sparkContext.broadcast(np.unique(line_key(mine["doc_id"].to_numpy(np.int64), mine["line"].to_numpy(np.int64))))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = held.value
+        for batch in batches:
+            doc = batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            size = pc.count_substring(batch.column("text"), "\n").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            size[~batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)] = 0
+            line = ranges(np.zeros(len(size), np.int64), size)
+            row = np.repeat(np.arange(len(size)), size)
+            key = line_key(doc[row], line)
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(size)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(line[hit]))], names=[*batch.schema.names, name])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
+    return arrow_map(docs, kernel, schema)
+
+
 #: A row's size tells what it is: a prefix token of a set (its size), a set's first line in a task, or a line found to repeat.
 FIRST, REPEAT = 1, 0
 ENTRY = ["token", "sa", "sb", "doc_id", "packed"]
@@ -231,7 +262,7 @@ def matches(entered: DataFrame, percent: int, every: np.ndarray | None = None) -
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs of lines (doc_id, line, e_doc, e_line) whose token sets reach the threshold."""
     wanted = durable(pairs.select(F.explode(F.array(F.struct("doc_id", "line"), F.struct(F.col("e_doc").alias("doc_id"), F.col("e_line").alias("line")))).alias("x")).select("x.*").distinct())
-    near = with_lists(texts(docs), wanted, "line", "lines", "inner")
+    near = with_lines(texts(docs), wanted, "lines").where(F.size("lines") > 0)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -295,7 +326,7 @@ def open_tokens(docs: DataFrame, open_: DataFrame, counts: np.ndarray, percent:
             _, _, _, n, h = line_sets(chosen, known)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(prefix(h, n, held.value, percent)[0]))], names=["token"])
 
-    near = with_lists(texts(docs), open_, "line", "lines", "inner")
+    near = with_lines(texts(docs), open_, "lines").where(F.size("lines") > 0)
     return arrow_map(near, kernel, "token long").distinct().toPandas()["token"].to_numpy(np.int64)
 
 
@@ -332,7 +363,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True))], names=["doc_id", "n_lines", "n_removed", "kept_sha256", "kept"])
 
-    told = with_lists(texts(docs), removed_lines(docs, percent), "line", "gone", "left").select("doc_id", "text", "gone")
+    told = with_lines(texts(docs), removed_lines(docs, percent), "gone").select("doc_id", "text", "gone")
     return arrow_map(told, kernel, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept string")
 
 
@@ -342,7 +373,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated lines; one that has no word left goes."""
-    told = with_lists(docs, removed_lines(docs), "line", "gone", "left")
+    told = with_lines(docs, removed_lines(docs), "gone").withColumn("gone", F.when(F.size("gone") > 0, F.col("gone")))
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
     out = told.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).where(F.col("gone").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
