@@ -147,8 +147,8 @@ def summed(part: DataFrame, size: int) -> np.ndarray:
     schema = "strip int, cells binary"
     half = part.groupBy("strip", F.pmod(F.spark_partition_id(), F.lit(64))).applyInArrow(add, schema)
     out = np.zeros(size, np.int64)
-    for r in half.groupBy("strip").applyInArrow(add, schema).toLocalIterator():
-        out[r.strip * STRIP : (r.strip + 1) * STRIP] = np.frombuffer(r.cells, np.int64)
+    for r in half.groupBy("strip").applyInArrow(add, schema).toArrow().to_pylist():
+        out[r["strip"] * STRIP : (r["strip"] + 1) * STRIP] = np.frombuffer(r["cells"], np.int64)
     return out
 
 

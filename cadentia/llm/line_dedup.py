@@ -31,9 +31,9 @@ PERCENT = 80
 #: Lines of fewer different tokens are left alone.
 MIN_TOKENS = 3
 #: Cells of the table of counts (4 bytes each).
-CELLS = 1 << 21
+CELLS = 1 << 20
 #: Tokens that a task gathers before it drops the repeated lines among them.
-GATHER = 4_000_000
+GATHER = 2_000_000
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -78,6 +78,12 @@ def line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
 
 
+def keys_of(lines: DataFrame) -> np.ndarray:
+    """Sorted hashes of lines (doc_id, line) that are counted to be few."""
+    t = lines.select("doc_id", "line").toArrow()
+    return np.unique(line_key(t.column("doc_id").to_numpy(), t.column("line").to_numpy()))
+
+
 def with_lines(docs: DataFrame, side: DataFrame, name: str) -> DataFrame:
     """``docs`` with the numbers of their lines that are in ``side`` (doc_id, line; written, distinct) as a list, empty or null for none.
 
@@ -86,8 +92,7 @@ def with_lines(docs: DataFrame, side: DataFrame, name: str) -> DataFrame:
     """
     if side.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
         return docs.join(side.groupBy("doc_id").agg(F.collect_list("line").alias(name)), "doc_id", "left").select(*docs.columns, name)
-    mine = side.select("doc_id", "line").toPandas()
-    held = docs.sparkSession.sparkContext.broadcast(np.unique(line_key(mine["doc_id"].to_numpy(np.int64), mine["line"].to_numpy(np.int64))))
+    held = docs.sparkSession.sparkContext.broadcast(keys_of(side))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = held.value
@@ -148,8 +153,8 @@ def entries(docs: DataFrame, counts: np.ndarray, percent: int, only: np.ndarray
                 yield rows(line_key(doc[rest], line[rest]).view(np.int64), zero, zero, doc[rest], pack(REPEAT, 0, line[rest]))
                 yield rows(mix(sa[lead].view(np.uint64) ^ SALT).view(np.int64), sa[lead], sb[lead], doc[lead], pack(FIRST, 0, line[lead]))
             lead.sort()
-            for k in range(0, len(lead), 100_000):
-                some = lead[k : k + 100_000]
+            for k in range(0, len(lead), 25_000):
+                some = lead[k : k + 25_000]
                 token, own, size_at = prefix(h[ranges(start[some], n[some])], n[some], counted, percent)
                 if chosen is not None:
                     use = np.isin(token, chosen)
@@ -307,10 +312,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     n_open = open_.limit(BROADCAST_IDS + 1).count()
     if n_open:
         # only the tokens of the open lines matter, and only pairs in which these are the later ones
-        mine = open_.toPandas() if n_open <= BROADCAST_IDS else None
-        keys = np.unique(line_key(mine["doc_id"].to_numpy(np.int64), mine["line"].to_numpy(np.int64))) if mine is not None else None
-        only = open_tokens(docs, open_, counts, percent) if mine is not None else None
-        more = matches(entries(docs, counts, percent, only), percent, keys) if keys is not None else matches_all(docs, counts, percent, open_)
+        if n_open <= BROADCAST_IDS:
+            more = matches(entries(docs, counts, percent, open_tokens(docs, open_, counts, percent)), percent, keys_of(open_))
+        else:
+            more = matches_all(docs, counts, percent, open_)
         hit = hit.unionAll(verified(durable(more.select("doc_id", "line", "e_doc", "e_line").distinct()), docs, percent))
     return durable(repeats.unionAll(hit.select("doc_id", "line")).distinct())
 
@@ -327,7 +332,7 @@ def open_tokens(docs: DataFrame, open_: DataFrame, counts: np.ndarray, percent:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(prefix(h, n, held.value, percent)[0]))], names=["token"])
 
     near = with_lines(texts(docs), open_, "lines").where(F.size("lines") > 0)
-    return arrow_map(near, kernel, "token long").distinct().toPandas()["token"].to_numpy(np.int64)
+    return arrow_map(near, kernel, "token long").distinct().toArrow().column("token").to_numpy()
 
 
 def matches_all(docs: DataFrame, counts: np.ndarray, percent: int, open_: DataFrame) -> DataFrame:
@@ -335,9 +340,7 @@ def matches_all(docs: DataFrame, counts: np.ndarray, percent: int, open_: DataFr
     out, parts = None, 2 * (open_.count() // BROADCAST_IDS + 1)
     for part in range(parts):
         some = open_.where(F.pmod(F.xxhash64("doc_id", "line"), F.lit(parts)) == part)
-        mine = some.toPandas()
-        keys = np.unique(line_key(mine["doc_id"].to_numpy(np.int64), mine["line"].to_numpy(np.int64)))
-        more = durable(matches(entries(docs, counts, percent), percent, keys))
+        more = durable(matches(entries(docs, counts, percent), percent, keys_of(some)))
         out = more if out is None else out.unionAll(more)
     return out
 
