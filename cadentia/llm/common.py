@@ -125,11 +125,27 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 STRIP = 1 << 13
 
 
+def packed_counts(row: np.ndarray) -> bytes:
+    """STRIP counts as bytes: places and counts where few are not 0, else all of them."""
+    at = np.nonzero(row)[0]
+    if len(at) < STRIP // 2 and row.max(initial=0) < 1 << 31:
+        return b"\1" + at.astype(np.uint16).tobytes() + row[at].astype(np.int32).tobytes()
+    return b"\0" + row.astype(np.int64).tobytes()
+
+
+def add_counts(total: np.ndarray, data: bytes) -> None:
+    if data[0]:
+        n = (len(data) - 1) // 6
+        total[np.frombuffer(data, np.uint16, n, 1)] += np.frombuffer(data, np.int32, n, 1 + 2 * n)
+    else:
+        total += np.frombuffer(data, np.int64, -1, 1)
+
+
 def strips(cells: np.ndarray) -> pa.RecordBatch:
-    """A task's table of counts (a multiple of STRIP int64) as rows; empty strips are left out."""
+    """A task's table of counts (a multiple of STRIP) as rows; empty strips are left out."""
     rows = cells.reshape(-1, STRIP)
     full = np.nonzero(rows.any(axis=1))[0]
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[i].tobytes() for i in full], pa.binary())], names=["strip", "cells"])
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([packed_counts(rows[i]) for i in full], pa.binary())], names=["strip", "cells"])
 
 
 def summed(part: DataFrame, size: int) -> np.ndarray:
@@ -141,14 +157,14 @@ def summed(part: DataFrame, size: int) -> np.ndarray:
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(STRIP, np.int64)
         for x in t.column("cells"):
-            total += np.frombuffer(x.as_buffer(), np.int64)
-        return pa.table({"strip": t.column("strip")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
+            add_counts(total, x.as_py())
+        return pa.table({"strip": t.column("strip")[:1], "cells": pa.array([packed_counts(total)], pa.binary())})
 
     schema = "strip int, cells binary"
     half = part.groupBy("strip", F.pmod(F.spark_partition_id(), F.lit(64))).applyInArrow(add, schema)
     out = np.zeros(size, np.int64)
     for r in half.groupBy("strip").applyInArrow(add, schema).toArrow().to_pylist():
-        out[r["strip"] * STRIP : (r["strip"] + 1) * STRIP] = np.frombuffer(r["cells"], np.int64)
+        add_counts(out[r["strip"] * STRIP : (r["strip"] + 1) * STRIP], r["cells"])
     return out
 
 
