@@ -28,11 +28,11 @@ from .common import BROADCAST_IDS, WordHash, arrow_map, durable, hashed, longs,
 from .setjoin import overlap, prefix
 
 PERCENT = 80
-#: Lines of fewer different tokens are left alone.
-MIN_TOKENS = 3
+#: Lines of fewer different tokens (those without a word) are left alone.
+MIN_TOKENS = 1
 #: Cells of the table of counts (4 bytes each).
 CELLS = 1 << 20
-#: Tokens that a task gathers before it drops the repeated lines among them.
+#: Tokens that a task gathers before it drops the repeated lines among them; a line counts as three at least.
 GATHER = 2_000_000
 SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -112,13 +112,13 @@ def with_lines(docs: DataFrame, side: DataFrame, name: str) -> DataFrame:
     return arrow_map(docs, kernel, schema)
 
 
-#: A row's size tells what it is: a prefix token of a set (its size), a set's first line in a task, or a line found to repeat.
-FIRST, REPEAT = 1, 0
+#: A row's size tells what it is: a prefix token of a set (its size, 1 or more), a set's first line in a task, or a line found to repeat.
+FIRST, REPEAT = 0, -1
 ENTRY = ["token", "sa", "sb", "doc_id", "packed"]
 
 
 def pack(size, place, line):
-    return size << 42 | place << 22 | line
+    return size + 1 << 42 | place << 22 | line
 
 
 def entries(docs: DataFrame, counts: np.ndarray, percent: int, only: np.ndarray | None = None) -> DataFrame:
@@ -153,6 +153,7 @@ def entries(docs: DataFrame, counts: np.ndarray, percent: int, only: np.ndarray
                 yield rows(line_key(doc[rest], line[rest]).view(np.int64), zero, zero, doc[rest], pack(REPEAT, 0, line[rest]))
                 yield rows(mix(sa[lead].view(np.uint64) ^ SALT).view(np.int64), sa[lead], sb[lead], doc[lead], pack(FIRST, 0, line[lead]))
             lead.sort()
+            lead = lead[100 * n[lead] >= percent * (n[lead] + 1)]  # smaller sets are similar to none but their equals
             for k in range(0, len(lead), 25_000):
                 some = lead[k : k + 25_000]
                 token, own, size_at = prefix(h[ranges(start[some], n[some])], n[some], counted, percent)
@@ -168,7 +169,7 @@ def entries(docs: DataFrame, counts: np.ndarray, percent: int, only: np.ndarray
             row, number, start, n, h = line_sets(utf8(batch, "text"), known)
             sa, sb = class_ids(h, start)
             kept.append([sa, sb, longs(batch, "doc_id")[row], number, n, h])
-            gathered += len(h)
+            gathered += max(len(h), 3 * len(n))
             if gathered > GATHER:
                 yield from flush()
                 gathered = 0
@@ -209,7 +210,7 @@ def matches(entered: DataFrame, percent: int, every: np.ndarray | None = None) -
                 held = len(rest[0])
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
             token, sa, sb, doc, packed = cols
-            size = packed >> 42
+            size = (packed >> 42) - 1
             same = np.zeros(len(token), bool)  # the same set from another task: it comes after the earliest
             same[1:] = (token[1:] == token[:-1]) & (packed[1:] >> 22 == packed[:-1] >> 22) & (sa[1:] == sa[:-1]) & (sb[1:] == sb[:-1]) & (size[1:] != REPEAT)
             gone = (size == REPEAT) | (same & (size == FIRST))
@@ -349,8 +350,8 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 and kept (text) of every row.
 
     A line's set is its lower-cased words; sets A and B are similar where
-    100 * |A & B| >= percent * |A | B|.  Null text has no lines; lines of fewer
-    than MIN_TOKENS different words stay; a row with a null doc_id is left
+    100 * |A & B| >= percent * |A | B|.  Null text has no lines; lines without
+    a word stay; a row with a null doc_id is left
     whole; rows that repeat a doc_id lose the same lines.
     """
 

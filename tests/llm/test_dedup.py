@@ -9,6 +9,8 @@ import pytest
 from cadentia.llm import line_dedup, minhash_dedup, suffix_dedup
 from cadentia.llm.graph import components
 
+from .conftest import frame
+
 
 def near_brute(rows, width, percent):
     sets = {}
@@ -95,6 +97,16 @@ def test_lines(docs, corpus, odd, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_short_lines(spark):
+    """Lines of one or two different words go as any others; lines without a word stay."""
+    texts = ["Menu", "menu\n\nHome Page\n \na a a a", "home page menu\nPAGE home\na\n日本語の行", "日本語の行\n\nb\nb b\nb c\nMENU menu", "x\ny\nmenu page"]
+    want = [[0], [1, 2, 3, 4], [0, 3], [1, 2, 4], [0, 1, 2]]
+    got = {r.doc_id: (r.n_removed, r.kept) for r in line_dedup.dedup(frame(spark, list(enumerate(texts))).repartition(3)).collect()}
+    for i, (t, keep) in enumerate(zip(texts, want, strict=True)):
+        lines = t.split("\n")
+        assert got[i] == (len(lines) - len(keep), "\n".join(lines[j] for j in keep)), i
+
+
 def test_line_stage(spark, docs, corpus):
     out = line_dedup.stage(spark, docs, "")
     assert out.columns == docs.columns
