@@ -64,3 +64,22 @@ def test_flags_and_filters(spark):
 def test_rounding_and_wrap(spark):
     r = spark.range(1).select(X.half_even(F.lit(2.5), 0).alias("a"), X.wrap_cycles(F.lit(0.5)).alias("b"), X.wrap_cycles(F.lit(-0.75)).alias("c")).first()
     assert r.a == 2.0 and r.b == -0.5 and math.isclose(r.c, 0.25)
+
+
+def test_resampling_is_the_whole_job(spark, monkeypatch):
+    """Seven participants in 500 draws, null where there are fewer; 9,999 permutations; 2,000 draws."""
+    from cadentia.plans import panel_queries as Q
+
+    full = [("a", 1, u, 1_000_000 * s + 37_000 * u * (s % 3)) for u in range(7) for s in range(20)]
+    few = [("a", 2, u, 500_000 * s) for u in range(6) for s in range(9)] + [("a", 2, 6, 5)]  # the seventh has one tap
+    more = [("b", 1, u, 1_000_000 * s + 90_000 * (u % 4)) for u in range(12) for s in range(30)]
+    taps = spark.createDataFrame([*full, *few, *more], "stem_id string, panel int, participant long, tap_us long").cache()
+    monkeypatch.setattr(Q, "taps", lambda spark, sf_dir: taps)
+    got = {(r.stem_id, r.panel): (r.istc, r.draws) for r in Q.subsample_istc(spark, "").collect()}
+    whole = T.coherence(taps.where("stem_id = 'a' and panel = 1")).first().istc
+    assert got["a", 1] == (pytest.approx(whole), 500) and got["a", 2] == (None, 0)
+    all_of_b = T.coherence(taps.where("stem_id = 'b'")).first().istc
+    assert got["b", 1][1] == 500 and 2 < got["b", 1][0] < all_of_b and len(got) == 3
+    monkeypatch.undo()
+    assert Q.permutation_p(spark, SF).first().permutations == 9_999
+    assert {r.draws for r in Q.bootstrap_ci(spark, SF).collect()} == {2_000}
