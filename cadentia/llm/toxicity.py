@@ -29,14 +29,13 @@ GRAMS, LENGTHS = 1 << 21, (5, 6, 7, 8)
 LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 3, 1.0, 30.0
 #: Labelled documents that the logistic curve is fitted on at most, taken by hash of the id.
 FIT_ROWS = 50_000
-LONGEST = 30
 
 #: What a disguised character may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c"}
 GAPS = " .-_*"
-#: What a token in disguise looks like: letters beside stand-ins or split by gaps, or a letter three times running.
-HIDDEN = re.compile(r"[^\W\d_][0-9@$!|+€(*.\-_]+[^\W\d_]|[0-9@$|+€(][^\W\d_]|[^\W\d_][0-9@$|+€(]|([^\W\d_])\1\1")
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
+#: What a token in disguise looks like: letters beside stand-ins or split by gaps, or a letter twice running.
+HIDDEN = re.compile(r"[^\W\d_][0-9@$!|+€(*.\-_]+[^\W\d_]|[0-9@$|+€(][^\W\d_]|[^\W\d_][0-9@$|+€(]|([^\W\d_])\1")
+DOUBLE = re.compile(r"([^\W\d_])\1")
 EDGES = ".,;:?\"'`)]}>#%&*~-_ "
 
 
@@ -88,7 +87,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The likeliest plain word behind ``token``: Viterbi over what each character may stand for."""
+    """The likeliest plain word behind ``token``: Viterbi over what each run of a character may stand for, linear in the token's length."""
     steps: list[list[str]] = []  # alternatives of each place; "" drops it
     i = 0
     while i < len(token):
@@ -105,9 +104,10 @@ def restore(token: str, model: CharModel) -> str:
         else:
             return token
         i = j
-    best: dict[tuple[int, int], tuple[float, str]] = {(32, 32): (0.0, "")}
+    # a path is (the path before, what was added)
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(32, 32): (0.0, None)}
     for options in steps:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in best.items():
             for option in options:
                 x, y, s = a, b, score
@@ -115,9 +115,14 @@ def restore(token: str, model: CharModel) -> str:
                     s += model.log(x, y, c)
                     x, y = y, c
                 if (x, y) not in after or after[x, y][0] < s:
-                    after[x, y] = (s, path + option)
+                    after[x, y] = (s, (path, option))
         best = after
-    return max((s + model.log(a, b, 32), p) for (a, b), (s, p) in best.items())[1]
+    _, path = max(((s + model.log(a, b, 32), p) for (a, b), (s, p) in best.items()), key=lambda x: x[0])
+    plain = []
+    while path:
+        path, option = path
+        plain.append(option)
+    return "".join(reversed(plain))
 
 
 class Restorer:
@@ -136,7 +141,9 @@ class Restorer:
                 t = t.rstrip("$")  # decoration, as a run of any other symbol
             if "@" in t and "." in t:
                 t = ""  # an address
-            known = restore(t, self.model) if len(t) <= LONGEST and (TRIPLE if t.isalpha() else HIDDEN).search(t) and sum(c.isalpha() for c in t) >= 2 else ""
+            known = restore(t, self.model) if (DOUBLE if t.isalpha() else HIDDEN).search(t) and sum(c.isalpha() for c in t) >= 2 else ""
+            if known == t:
+                known = ""  # the text has it
             if len(self.known) >= self.LIMIT:
                 self.known.clear()
             self.known[token] = known
@@ -155,10 +162,10 @@ class Restorer:
             if len(t) == 1:
                 spaced += t
             elif spaced:
-                if 3 <= len(spaced) <= LONGEST:
+                if len(spaced) >= 3:
                     found.append(restore(spaced, self.model))
                 spaced = ""
-        if 3 <= len(spaced) <= LONGEST:
+        if len(spaced) >= 3:
             found.append(restore(spaced, self.model))
         return " ".join(found)
 

@@ -183,6 +183,23 @@ def test_toxicity(spark, labels, empty):
     assert toxicity.score(empty, labels).count() == 0
 
 
+def test_long_and_doubled_disguises(spark):
+    """Tokens and runs of single letters of any length are decoded, and doubled letters too."""
+    rng = random.Random(9)
+    plain = [f"{a}{b}" for a in ("ba", "de", "ki", "lo", "mu") for b in ("ra", "to", "ne", "si")]
+    rows = [(i, " ".join([*rng.choices(plain, k=20), *(["stinker"] if i % 3 == 0 else []), *rng.choices(plain, k=5)])) for i in range(300)]
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    spelled = " ".join("debarastinkerkisilotomunestinkerdera")
+    bad = [spelled, "dera st" + "1" * 40 + "nk3r kisi", "st1nk3r_dera.kisi_loto.mune_st1nk3r", "dera sttinnkeer kisi"]
+    good = [" ".join("debarakisilotomunederakisilotomune"), "d3ra" * 20, "dderaa kiisi", "k1" * 5000]
+    docs = frame(spark, [*rows, *((1000 + i, t) for i, t in enumerate(bad)), *((2000 + i, t) for i, t in enumerate(good))])
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, marks).collect()}
+    assert [got[1000 + i] for i in range(len(bad))] == [1] * len(bad)
+    assert [got[2000 + i] for i in range(len(good))] == [0] * len(good)
+    model = toxicity.CharModel(toxicity.char_counts(docs))
+    assert toxicity.restore("st1nk3r" * 1000, model) == "stinker" * 1000
+
+
 def test_mixing(spark, docs, corpus, odd, empty):
     tokens = {"a": 1000, "b": 100, "c": 10, "d": 0}
     x = source_mixing.exponent_for(tokens, 1110, 2.0)
