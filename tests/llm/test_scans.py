@@ -125,6 +125,16 @@ def test_pii(spark, corpus, empty):
     assert pii_sanitise.sanitise(empty).count() == 0
 
 
+def test_terms_in_copies(spark):
+    """Copies count in both counts; a short name is a term; a word that the window cuts is none."""
+    copy = "ask Lee at zed@hidden.example now"
+    edge = "bob@other.example " + "a " * 31 + "Leeds"
+    rows = [*((i, copy) for i in range(40)), *((100 + i, edge) for i in range(40)), *((200 + i, f"ask at now a Leeds{'' if i else ' le'} {i}") for i in range(60))]
+    got = {r.doc_id: r for r in pii_sanitise.sanitise(frame(spark, rows)).collect()}
+    assert all(got[i].spans == "email:11:29,term:4:7" and got[i].sanitised == "ask  at [EMAIL] now" for i in range(40))
+    assert all(got[100 + i].n_term == 0 and got[100 + i].sanitised.endswith("Leeds") for i in range(40))
+
+
 def secret_brute(t):
     t = t or ""
     a = [(m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m.group(2)) >= 6]
