@@ -1,8 +1,8 @@
 """Secrets, told from examples by how many owners use the same value.
 
 A scan finds candidates; their hashes are counted over the corpus by distinct
-documents and distinct sources.  A value that several sources share is a
-copied example; one that stays with its owner and looks random is live.
+documents and distinct sources.  A value that several sources share, or very
+many documents of whatever source, is a copied example; one that stays with its owner and looks random is live.
 Candidates of the looser kinds are reported only where they come out as live.
 """
 
@@ -30,10 +30,10 @@ BASE = {
 MORE = {
     "key": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "opaque": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,120}(?![A-Za-z0-9+/_=-])"),
+    "opaque": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,}(?![A-Za-z0-9+/_=-])"),
 }
-#: A value that so many sources hold is an example.
-SHARED_OWNERS = 3
+#: A value that so many sources, or so many documents, hold is an example.
+SHARED_OWNERS, SHARED_DOCS = 3, 100
 #: Bits a character, and characters, that a live secret has at least.
 LIVE_BITS, LIVE_LENGTH = 3.0, 16
 
@@ -80,14 +80,16 @@ def secrets(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, their digest, all spans, and verdicts, for every row.
 
     n_live, n_example and n_weak count candidate spans by verdict: shared by
-    SHARED_OWNERS sources or more (example), else random-looking (live), else
-    weak.  Null text has none; a null source is an owner of its own kind; rows
-    that repeat a doc_id get a row each.
+    SHARED_OWNERS sources or SHARED_DOCS documents or more (example), else
+    random-looking (live), else weak.  Null text has none; a null source is an
+    owner of its own kind; a null doc_id is no document in the counts; rows
+    that repeat a doc_id get a row each and count as one document.
     """
     rows = durable(scan(docs))
     each = rows.where(F.size("found") > 0).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.explode("found.h").alias("h"))
-    per_owner = each.groupBy("h", "source").agg(F.count("*").alias("n"))  # a row for each value and owner, however often it is copied
-    shared = per_owner.groupBy("h").agg(F.count("*").alias("owners")).where(F.col("owners") >= SHARED_OWNERS).select("h")
+    per_doc = each.select("h", "source", "doc_id").distinct()  # a row for each value, owner and document, however often it stands there
+    held = per_doc.groupBy("h").agg(F.count_distinct("source").alias("owners"), F.count_distinct("doc_id").alias("n_docs"))
+    shared = held.where((F.col("owners") >= SHARED_OWNERS) | (F.col("n_docs") >= SHARED_DOCS)).select("h")
     examples = each.select("doc_id", "h").distinct().join(shared, "h").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("h").alias("examples"))
     told = rows.join(examples, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "found", "examples")
 

@@ -155,6 +155,18 @@ def test_secrets(spark, corpus, empty):
     assert secret_scan.secrets(empty).count() == 0
 
 
+def test_secrets_by_documents(spark):
+    """A value in very many documents of one source is an example; a long random value without a keyword is found."""
+    copied, own, once = (hashlib.sha256(x).hexdigest() for x in (b"copied", b"own", b"once"))
+    long = "".join(hashlib.sha256(bytes([i])).hexdigest().upper() for i in range(5))
+    n = secret_scan.SHARED_DOCS
+    rows = [*((4 * i, f"token={copied}") for i in range(n)), *((4000 + 4 * i, f"token={own}") for i in range(n - 1)), (8000, f"token={once} " * (n + 5)), (8004, f"see {long} here")]
+    got = {r.doc_id: r for r in secret_scan.secrets(frame(spark, [*rows, *[(4000, f"token={own}")] * 3])).collect()}
+    assert all(got[4 * i].n_example == 2 and got[4 * i].n_live == 0 for i in range(n))  # by keyword and as hex
+    assert all(got[4000 + 4 * i].n_live == 2 for i in range(n - 1)) and got[8000].n_live == 2 * (n + 5)
+    assert got[8004].n_live == 1 and got[8004].spans == f"opaque:4:{4 + len(long)}"
+
+
 def test_language(spark, empty):
     d = language_id.query(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     assert (d.lang == d.lang_pred)[d.held_out].mean() > 0.95 and d.score.between(0, 1).all()
