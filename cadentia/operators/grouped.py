@@ -85,6 +85,7 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, draws: int, see
     """Percentile interval of the mean by a Poisson bootstrap: each row's weight in a draw is a Poisson(1) number from its hash.
 
     Sums per draw combine on the map side, so a group of any size is never held whole.
+    A draw in which all weights of a small group are 0 has no mean and is not counted.
     """
     u = (F.pmod(F.xxhash64("draw", *rows.columns, F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     steps, total, term = [], 0.0, float(np.exp(-1))
@@ -94,8 +95,8 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, draws: int, see
         term /= k + 1
     weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
     d = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("weight", weight)
-    means = d.groupBy(*keys, "draw").agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("mean"))
-    return means.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"), F.count("*").alias("draws"))
+    means = d.groupBy(*keys, "draw").agg(F.try_divide(F.sum(F.col("weight") * F.col(value)), F.sum("weight")).alias("mean"))
+    return means.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"), F.count("mean").alias("draws"))
 
 
 def permutation_test(vectors: DataFrame, group: str, columns: list[str], permutations: int, seed: int, limit: int = 200_000) -> DataFrame:

@@ -83,3 +83,11 @@ def test_resampling_is_the_whole_job(spark, monkeypatch):
     monkeypatch.undo()
     assert Q.permutation_p(spark, SF).first().permutations == 9_999
     assert {r.draws for r in Q.bootstrap_ci(spark, SF).collect()} == {2_000}
+
+
+def test_bootstrap_of_a_small_group(spark):
+    """Draws without a row have no mean, and are no error."""
+    from cadentia.operators import grouped
+
+    r = grouped.bootstrap_mean(spark.createDataFrame([("a", 3.0)], "k string, v double"), ["k"], "v", 200, 1).first()
+    assert r.lo == r.hi == 3.0 and 80 < r.draws < 200
