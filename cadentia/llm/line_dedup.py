@@ -2,10 +2,16 @@
 
 A line's tokens are ordered by rarity, so two lines that are similar enough
 share a token among the first few of each (prefix filter).  Lines that meet in
-a token are screened by length, by position and by a parity bitmap, which are
-exact bounds, and verified on their token sets.  Lines with equal sets form one
-class first, and only classes are joined.  A line goes if an equal or similar
-line stands earlier, in a smaller doc_id or higher up in the same text.
+a token are screened by length and position, before they are paired, and by a
+bitmap of parities, which are exact bounds; the likeliest earlier lines are
+verified on their token sets.  Lines with equal sets form one class first, and
+only classes are joined.  A line goes if an equal or similar line stands
+earlier, in a smaller doc_id or higher up in the same text.
+
+A line whose likeliest partners fail, though it has others, is looked up once
+more: such lines are broadcast in blocks of bounded size, and every line of
+the corpus is compared with those whose prefix it meets.  So each step gives
+rows in proportion to lines, whatever the size of a group.
 
 Rarity comes from counts of all tokens of all documents, kept in a table of a
 fixed number of cells; any order gives the same result, as long as all use it.
@@ -14,7 +20,6 @@ fixed number of cells; any order gives the same result, as long as all use it.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,66 +29,96 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_IDS, WordHash, arrow_map, durable, hashed, longs, mix, ranges, strips, summed, table, texts, utf8
-from .setjoin import overlap, prefix
+from .common import BROADCAST_IDS, arrow_map, durable, longs, mix, ranges, strips, summed, table, texts, utf8
+from .setjoin import by_line, overlap
+from .tokens import Words
 
 PERCENT = 80
-#: Lines of fewer different tokens (those without a word) are left alone.
-MIN_TOKENS = 1
 #: Cells of the table of counts (4 bytes each).
 CELLS = 1 << 20
 #: Tokens that a task gathers before it drops the repeated lines among them; a line counts as three at least.
 GATHER = 2_000_000
+#: Likeliest earlier sets that a token's group names for a line, unless the first is near beyond doubt.
+LIKELIEST = 3
+#: Tokens of open lines in one broadcast block (8 bytes each).
+BLOCK_TOKENS = 1_000_000
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
+def cells_of(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(CELLS)).astype(np.int64)
+
+
 def token_counts(docs: DataFrame) -> np.ndarray:
     """Occurrences of tokens by cell, over all documents; CELLS numbers, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, known = np.zeros(CELLS, np.int64), WordHash()
+        cells = np.zeros(CELLS, np.int64)
         for batch in batches:
-            seen = Counter(b"\n".join(utf8(batch, "text")).lower().split())
-            np.add.at(cells, (hashed(list(seen), known) % np.uint64(CELLS)).astype(np.int64), np.fromiter(seen.values(), np.int64, len(seen)))
+            np.add.at(cells, cells_of(Words(batch.column("text")).hash), 1)
         yield strips(cells)
 
     return np.minimum(summed(arrow_map(texts(docs), count, "strip int, cells binary"), CELLS), 2**31 - 1).astype(np.int32)
 
 
-def line_sets(batch_texts: list[bytes], known: WordHash) -> tuple[np.ndarray, ...]:
-    """Document row and line number of each line, where its tokens start, their number, and all tokens (distinct within a line)."""
-    rows, numbers, sizes, tokens = [], [], [], []
-    for i, text in enumerate(batch_texts):
-        for j, line in enumerate(text.lower().split(b"\n")):
-            w = set(line.split())
-            if len(w) >= MIN_TOKENS:
-                rows.append(i)
-                numbers.append(j)
-                sizes.append(len(w))
-                tokens.extend(w)
-    n = np.array(sizes, np.int64)
-    return np.array(rows, np.int64), np.array(numbers, np.int64), np.cumsum(n) - n, n, hashed(tokens, known)
-
-
-def class_ids(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each set's id in two parts: a sum of hashes, and the parities of 64 groups of tokens."""
+class Lines:
+    """The lines with a word: row, number, and their distinct tokens in order of rarity, one line after another."""
+
+    def __init__(self, column: pa.Array, counts: np.ndarray):
+        w = Words(column)
+        row = w.rows()
+        number = w.lines(row)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
+        of = np.cumsum(new) - 1
+        order = by_line(of, w.hash, counts[cells_of(w.hash)])
+        of, h = of[order], w.hash[order]
+        once = np.ones(len(h), bool)
+        once[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+        self.row, self.number = row[new], number[new]
+        self.tokens = h[once]
+        self.size = np.bincount(of[once], minlength=len(self.row)).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+
+def class_ids(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each set's id in three parts: a sum of hashes, and the parities of 128 groups of tokens."""
     if not len(start):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    m = mix(h)
-    bits = np.uint64(1) << (mix(h ^ SALT) >> np.uint64(58))
-    return np.add.reduceat(m, start).view(np.int64), np.bitwise_xor.reduceat(bits, start).view(np.int64)
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    m = mix(h ^ SALT)
+    bit, upper = np.uint64(1) << (m >> np.uint64(58)), (m & np.uint64(1)).astype(bool)
+    low, high = (np.bitwise_xor.reduceat(np.where(use, bit, np.uint64(0)), start).view(np.int64) for use in (~upper, upper))
+    return np.add.reduceat(mix(h), start).view(np.int64), low, high
 
 
 def line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
 
 
+def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens of a set's prefix; 0 for sets so small that they are similar to none but their equals."""
+    return np.where(100 * n >= percent * (n + 1), n - -(-percent * n // 100) + 1, 0)
+
+
+def largest_partner(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The largest size with which a set of ``n`` tokens can be similar if their first common token is at ``place``."""
+    return np.minimum(100 * n // percent, (n - place) * (100 + percent) // percent - n)
+
+
 def keys_of(lines: DataFrame) -> np.ndarray:
     """Sorted hashes of lines (doc_id, line) that are counted to be few."""
     t = lines.select("doc_id", "line").toArrow()
     return np.unique(line_key(t.column("doc_id").to_numpy(), t.column("line").to_numpy()))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_lines(docs: DataFrame, side: DataFrame, name: str) -> DataFrame:
     """``docs`` with the numbers of their lines that are in ``side`` (doc_id, line; written, distinct) as a list, empty or null for none.
 
@@ -114,92 +149,79 @@ def with_lines(docs: DataFrame, side: DataFrame, name: str) -> DataFrame:
 
 #: A row's size tells what it is: a prefix token of a set (its size, 1 or more), a set's first line in a task, or a line found to repeat.
 FIRST, REPEAT = 0, -1
-ENTRY = ["token", "sa", "sb", "doc_id", "packed"]
-
-
-def pack(size, place, line):
-    return size + 1 << 42 | place << 22 | line
+ENTRY = ["token", "at", "sa", "sb", "sc", "doc_id", "line"]
 
 
-def entries(docs: DataFrame, counts: np.ndarray, percent: int, only: np.ndarray | None = None) -> DataFrame:
-    """Rows (token, set, doc_id, size | place | line) for the rarest tokens of each set, from its first line in each task.
+def entries(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """Rows (token, size and place, set, doc_id, line) for the rarest tokens of each set, from its first line in each task.
 
     That line is a row by itself, and the task's other lines of the set are
-    repeats of it.  With ``only``, just the rows of these tokens.
+    repeats of it.  ``at`` is (size + 1) << 32 | place.
     """
-    held = docs.sparkSession.sparkContext.broadcast((counts, only))
+    held = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def rows(token, size, place, sa, sb, sc, doc, line) -> pa.RecordBatch:
+        at = (np.asarray(size, np.int64) + 1) << 32 | place
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(np.broadcast_to(c, len(doc)), np.int64)) for c in (token, at, sa, sb, sc, doc, line)], names=ENTRY)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (counted, chosen) = WordHash(), held.value
-        first: dict[tuple[int, int], tuple[int, int]] = {}
+        counted = held.value
         kept: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             """The gathered sets in order of lines; of each only the first goes on."""
             if not kept:
                 return
-            sa, sb, doc, line, n, h = (np.concatenate(x) for x in zip(*kept, strict=True))
+            sa, sb, sc, doc, line, n, h = (np.concatenate(x) for x in zip(*kept, strict=True))
             kept.clear()
             start = np.cumsum(n) - n
-            order = np.lexsort((line, doc, sb, sa))
-            a, b = sa[order], sb[order]
+            order = np.lexsort((line, doc, sc, sb, sa))
+            a, b, c = sa[order], sb[order], sc[order]
             new = np.ones(len(order), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
             lead, rest = order[new], order[~new]
             of = order[new][np.cumsum(new) - 1][~new]
             rest = rest[(doc[rest] != doc[of]) | (line[rest] != line[of])]
-            if chosen is None:
-                zero = np.zeros(len(rest), np.int64)
-                yield rows(line_key(doc[rest], line[rest]).view(np.int64), zero, zero, doc[rest], pack(REPEAT, 0, line[rest]))
-                yield rows(mix(sa[lead].view(np.uint64) ^ SALT).view(np.int64), sa[lead], sb[lead], doc[lead], pack(FIRST, 0, line[lead]))
-            lead.sort()
-            lead = lead[100 * n[lead] >= percent * (n[lead] + 1)]  # smaller sets are similar to none but their equals
+            yield rows(line_key(doc[rest], line[rest]).view(np.int64), REPEAT, 0, 0, 0, 0, doc[rest], line[rest])
+            yield rows(mix(sa[lead].view(np.uint64) ^ SALT).view(np.int64), FIRST, 0, sa[lead], sb[lead], sc[lead], doc[lead], line[lead])
+            length = prefix_sizes(n[lead], percent)
             for k in range(0, len(lead), 25_000):
-                some = lead[k : k + 25_000]
-                token, own, size_at = prefix(h[ranges(start[some], n[some])], n[some], counted, percent)
-                if chosen is not None:
-                    use = np.isin(token, chosen)
-                    token, own, size_at = token[use], own[use], size_at[use]
-                own = some[own]
-                yield rows(token, sa[own], sb[own], doc[own], pack(size_at >> 32, size_at & 0xFFFFFFFF, line[own]))
+                some, m = lead[k : k + 25_000], length[k : k + 25_000]
+                own, at = np.repeat(some, m), ranges(np.zeros(len(m), np.int64), m)
+                yield rows(h[start[own] + at].view(np.int64), n[own], at, sa[own], sb[own], sc[own], doc[own], line[own])
 
         gathered = 0
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
-            row, number, start, n, h = line_sets(utf8(batch, "text"), known)
-            sa, sb = class_ids(h, start)
-            kept.append([sa, sb, longs(batch, "doc_id")[row], number, n, h])
-            gathered += max(len(h), 3 * len(n))
+            x = Lines(batch.column("text"), counted)
+            kept.append([*class_ids(x.tokens, x.start), longs(batch, "doc_id")[x.row], x.number, x.size, x.tokens])
+            gathered += max(len(x.tokens), 3 * len(x.size))
             if gathered > GATHER:
                 yield from flush()
                 gathered = 0
         yield from flush()
 
-    def rows(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=ENTRY)
-
     return arrow_map(texts(docs), kernel, ", ".join(f"{c} long" for c in ENTRY))
 
 
-FOUND = "doc_id long, line long, e_doc long, e_line long, apart int, n long"
+FOUND = "doc_id long, line long, e_doc long, e_line long, more long"
 
 
-def matches(entered: DataFrame, percent: int, every: np.ndarray | None = None) -> DataFrame:
-    """For each set that may have a similar earlier one, the likeliest earlier set of each token's group, and how many there are.
+def matches(entered: DataFrame, percent: int) -> DataFrame:
+    """For each set that may have similar earlier ones, the likeliest of each token's group.
 
-    Rows: (doc_id, line) of the set's first line, (e_doc, e_line) of the
-    earlier set's, the bits in which their parities differ, the number of such
-    sets.  Lines whose set stands earlier have no e_doc.  With ``every``, keys
-    of lines: all earlier sets of these lines, and nothing else.
+    Rows: (doc_id, line) of the set's first line, (e_doc, e_line) of an earlier
+    set's, and the number of other earlier sets of the group (told once a group
+    and line).  Lines whose set stands earlier have no e_doc.
     """
-    names = ["doc_id", "line", "e_doc", "e_line", "apart", "n"]
+    names = ["doc_id", "line", "e_doc", "e_line", "more"]
 
-    def out(doc, line, e_doc, e_line, apart, n) -> pa.RecordBatch:
+    def out(doc, line, e_doc, e_line, more) -> pa.RecordBatch:
         big = lambda x: pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), big(e_doc), big(e_line), pa.array(apart.astype(np.int32)), pa.array(n)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), big(e_doc), big(e_line), pa.array(more)], names=names)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by token, size, place, set, line; of a group that goes on, only rows within reach of the next size are held."""
+        """Rows come sorted by token, size, place, set, line; of a group that goes on, only rows that can meet the next size are held."""
         rest: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
@@ -209,141 +231,187 @@ def matches(entered: DataFrame, percent: int, every: np.ndarray | None = None) -
             if rest is not None:
                 held = len(rest[0])
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
-            token, sa, sb, doc, packed = cols
-            size = (packed >> 42) - 1
+            token, at, sa, sb, sc, doc, line = cols
+            size = (at >> 32) - 1
             same = np.zeros(len(token), bool)  # the same set from another task: it comes after the earliest
-            same[1:] = (token[1:] == token[:-1]) & (packed[1:] >> 22 == packed[:-1] >> 22) & (sa[1:] == sa[:-1]) & (sb[1:] == sb[:-1]) & (size[1:] != REPEAT)
+            same[1:] = (token[1:] == token[:-1]) & (at[1:] == at[:-1]) & (sa[1:] == sa[:-1]) & (sb[1:] == sb[:-1]) & (sc[1:] == sc[:-1]) & (size[1:] != REPEAT)
             gone = (size == REPEAT) | (same & (size == FIRST))
             gone[:held] = False
-            if gone.any() and every is None:
+            if gone.any():
                 # a row that repeats the very line it stands for is another row of one document
                 lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(token))))
-                told = gone & ((size == REPEAT) | (doc != doc[lead]) | ((packed ^ packed[lead]) & 0x3FFFFF != 0))
-                k = int(told.sum())
-                yield out(doc[told], packed[told] & 0x3FFFFF, None, None, np.zeros(k), np.ones(k, np.int64))
+                told = gone & ((size == REPEAT) | (doc != doc[lead]) | (line != line[lead]))
+                yield out(doc[told], line[told], None, None, np.zeros(int(told.sum()), np.int64))
             go = ~same & (size != REPEAT)
-            shift = held - int((~go[:held]).sum())
-            token, sa, sb, doc, packed, size = (x[go] for x in (token, sa, sb, doc, packed, size))
-            held = shift
-            total = len(token)
-            place, line, bits = packed >> 22 & 0xFFFFF, packed & 0x3FFFFF, sb.view(np.uint64)
-            least, likely, count = np.full(total, 1 << 30), np.full(total, -1), np.zeros(total, np.int64)
-            asked = np.isin(line_key(doc, line), every) if every is not None else None
+            held -= int((~go[:held]).sum())
+            token, at, sa, sb, sc, doc, line = cols = [x[go] for x in cols]
+            size, place = size[go], at & 0xFFFFFFFF
+            total, reach = len(token), largest_partner(size, place, percent)
+            low, high = sb.view(np.uint64), sc.view(np.uint64)
+            least, likely, count = np.full((LIKELIEST, total), 1 << 30), np.full((LIKELIEST, total), -1), np.zeros(total, np.int64)
+            sure = np.zeros(total, bool)
             active, d = np.nonzero(size > FIRST)[0], 1
             while len(active):
                 active = active[active + d < total]
                 other = active + d
-                near = (token[other] == token[active]) & (100 * size[active] >= percent * size[other])
+                near = (token[other] == token[active]) & (size[other] <= reach[active])
                 active, other = active[near], other[near]  # sorted by size: who is out of reach stays so
                 i, j = active[other >= held], other[other >= held]
                 need = overlap(size[i], size[j], percent)
-                apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
-                ok = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (apart <= size[i] + size[j] - 2 * need)
-                i, j, apart = i[ok], j[ok], apart[ok]
+                ok = size[j] - place[j] >= need
+                i, j, need = i[ok], j[ok], need[ok]
+                apart = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j])
+                most = size[i] + size[j] - 2 * need
+                ok = apart <= most
+                i, j, apart, most = i[ok], j[ok], apart[ok], most[ok]
                 forward = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
                 for late, early, use in ((j, i, forward), (i, j, ~forward)):
                     late, early, far = late[use], early[use], apart[use]  # a row is late once here
-                    if every is not None:
-                        pick = asked[late]
-                        late, early, far = late[pick], early[pick], far[pick]
-                        if len(late):
-                            yield out(doc[late], line[late], doc[early], line[early], far, np.ones(len(late), np.int64))
-                        continue
                     count[late] += 1
-                    better = far < least[late]
-                    least[late[better]], likely[late[better]] = far[better], early[better]
+                    sure[late[2 * far <= most[use]]] = True
+                    for k in range(LIKELIEST):
+                        better = far < least[k, late]
+                        to = late[better]
+                        far[better], least[k, to] = least[k, to], far[better]
+                        early[better], likely[k, to] = likely[k, to], early[better]
                 d += 1
             k = np.nonzero(count)[0]
-            if len(k):
-                e = likely[k]
-                yield out(doc[k], line[k], doc[e], line[e], least[k], count[k])
+            for rank in range(LIKELIEST):
+                if rank:
+                    k = k[(likely[rank, k] >= 0) & ~sure[k]]
+                if len(k):
+                    e = likely[rank, k]
+                    given = np.minimum(np.where(sure[k], 1, LIKELIEST), count[k])
+                    yield out(doc[k], line[k], doc[e], line[e], count[k] - given if rank == 0 else np.zeros(len(k), np.int64))
             if total:
-                keep = (token == token[-1]) & (100 * size >= percent * size[-1])
-                rest = [c[keep] for c in (token, sa, sb, doc, packed)]
+                keep = (token == token[-1]) & (reach >= size[-1])
+                keep[-1] = True
+                rest = [c[keep] for c in cols]
 
-    ordered = entered.repartition("token").sortWithinPartitions("token", F.shiftright("packed", 22), "sa", "sb", "doc_id", "packed")
+    ordered = entered.repartition("token").sortWithinPartitions(*ENTRY)
     return arrow_map(ordered, kernel, FOUND)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs of lines (doc_id, line, e_doc, e_line) whose token sets reach the threshold."""
-    wanted = durable(pairs.select(F.explode(F.array(F.struct("doc_id", "line"), F.struct(F.col("e_doc").alias("doc_id"), F.col("e_line").alias("line")))).alias("x")).select("x.*").distinct())
+def fetched(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, line, tokens) of the lines asked for (written, distinct): sorted hashes of their sets."""
     near = with_lines(texts(docs), wanted, "lines").where(F.size("lines") > 0)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
         for batch in batches:
-            doc, line, tokens = [], [], []
+            doc, line, found = [], [], []
             for d, t, asked in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("lines").to_pylist(), strict=True):
-                lines = t.lower().split(b"\n")
+                lines = t.split(b"\n")
                 for j in asked:
                     if j < len(lines):
                         doc.append(d)
                         line.append(j)
-                        tokens.append(hashed(list(set(lines[j].split())), known).tobytes())
+                        found.append(lines[j])
+            w = Words(pa.array(found, pa.binary()))
+            tokens = [np.unique(w.hash[a:b]).tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int64()), pa.array(tokens, pa.binary())], names=["doc_id", "line", "tokens"])
 
-    sets = arrow_map(near, fetch, "doc_id long, line long, tokens binary").dropDuplicates(["doc_id", "line"])
+    return arrow_map(near, fetch, "doc_id long, line long, tokens binary").dropDuplicates(["doc_id", "line"])
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs of lines (doc_id, line, e_doc, e_line) whose token sets reach the threshold."""
+    wanted = durable(pairs.select("doc_id", "line").union(pairs.select("e_doc", "e_line")).distinct())
+    sets = fetched(wanted, docs)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("tokens").to_pylist(), batch.column("e_tokens").to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) // 8 + len(y) // 8 - both))
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("tokens").to_pylist(), batch.column("e_tokens").to_pylist(), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["doc_id", "line"])
 
     other = sets.select(F.col("doc_id").alias("e_doc"), F.col("line").alias("e_line"), F.col("tokens").alias("e_tokens"))
     return arrow_map(pairs.select("doc_id", "line", "e_doc", "e_line").join(sets, ["doc_id", "line"]).join(other, ["e_doc", "e_line"]), check, "doc_id long, line long")
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def blocks(open_: DataFrame, docs: DataFrame, limit: int) -> Iterator[list[np.ndarray]]:
+    """Open lines (doc, line, size, tokens) in blocks of at most ``limit`` tokens or one line."""
+    held, size = [], 0
+    for r in durable(fetched(open_, docs)).toLocalIterator():
+        n = len(r.tokens) // 8
+        if held and size + n > limit:
+            yield block_of(held)
+            held, size = [], 0
+        held.append(r)
+        size += n
+    if held:
+        yield block_of(held)
+
+
+def block_of(rows: list) -> list[np.ndarray]:
+    return [np.array([r.doc_id for r in rows], np.int64), np.array([r.line for r in rows], np.int64), np.array([len(r.tokens) // 8 for r in rows], np.int64), np.frombuffer(b"".join(bytes(r.tokens) for r in rows), np.uint64)]
+
+
+def looked_up(docs: DataFrame, block: list[np.ndarray], counts: np.ndarray, percent: int) -> DataFrame:
+    """The block's lines that have a similar earlier line anywhere: each line of the corpus meets those with a common prefix token."""
+    held = docs.sparkSession.sparkContext.broadcast((block, counts))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (doc, number, n, sets), counted = held.value
+        start = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(n)), n)
+        ordered = sets[by_line(owner, sets, counted[cells_of(sets)])]
+        length = prefix_sizes(n, percent)
+        own = np.repeat(np.arange(len(n)), length)
+        place = ranges(np.zeros(len(n), np.int64), length)
+        token = ordered[start[own] + place]
+        by = np.argsort(token, kind="stable")
+        token, own, place = token[by], own[by], place[by]
+        _, low, high = (x.view(np.uint64) for x in class_ids(sets, start))
+        done = np.zeros(len(n), bool)
+        for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            x = Lines(batch.column("text"), counted)
+            docs_of = longs(batch, "doc_id")[x.row]
+            _, x_low, x_high = (v.view(np.uint64) for v in class_ids(x.tokens, x.start))
+            size = prefix_sizes(x.size, percent)
+            line = np.repeat(np.arange(len(size)), size)
+            at = ranges(np.zeros(len(size), np.int64), size)
+            key = x.tokens[x.start[line] + at]
+            lo, hi = np.searchsorted(token, key), np.searchsorted(token, key, "right")
+            met = hi > lo
+            line, at, lo, hi = line[met], at[met], lo[met], hi[met]
+            for k in range(0, len(line), 10_000):
+                some = slice(k, k + 10_000)
+                times = hi[some] - lo[some]
+                a, a_at = np.repeat(line[some], times), np.repeat(at[some], times)
+                e = ranges(lo[some], times)
+                b, b_at = own[e], place[e]
+                need = overlap(x.size[a], n[b], percent)
+                apart = np.bitwise_count(x_low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(x_high[a] ^ high[b])
+                ok = ~done[b] & (np.minimum(x.size[a] - a_at, n[b] - b_at) >= need) & (apart <= x.size[a] + n[b] - 2 * need) & ((docs_of[a] < doc[b]) | ((docs_of[a] == doc[b]) & (x.number[a] < number[b])))
+                for i, j in np.unique(np.stack([b[ok], a[ok]], axis=1), axis=0).tolist():
+                    if not done[i]:
+                        done[i] = similar(sets[start[i] : start[i] + n[i]], np.sort(x.tokens[x.start[j] : x.start[j] + x.size[j]]), percent)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[done]), pa.array(number[done])], names=["doc_id", "line"])
+
+    return arrow_map(texts(docs), kernel, "doc_id long, line long").distinct()
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, line) of every line with an equal or similar one before it, written to the shared folder.
 
-    Of each set the likeliest earlier one is verified first; where that fails
-    and there are others, all of them are, so copies don't meet in all pairs
-    and no match is missed.
+    The likeliest earlier sets of each line are verified first; a line for
+    which they fail and that has others is looked up among all lines, so copies
+    don't meet in all pairs and no match is missed.
     """
     counts = token_counts(docs)
     found = durable(matches(entries(docs, counts, percent), percent))
     repeats = found.where("e_doc is null").select("doc_id", "line")
-    tries = durable(found.where("e_doc is not null").groupBy("doc_id", "line").agg(F.min_by(F.struct("e_doc", "e_line"), F.struct("apart", "e_doc", "e_line")).alias("e"), F.sum("n").alias("n"), F.count_distinct("e_doc", "e_line").alias("others")).select("doc_id", "line", "e.*", "n", "others"))
-    hit = durable(verified(tries, docs, percent))
-    open_ = durable(tries.where("n > 1").join(hit, ["doc_id", "line"], "left_anti").select("doc_id", "line"))
-    n_open = open_.limit(BROADCAST_IDS + 1).count()
-    if n_open:
-        # only the tokens of the open lines matter, and only pairs in which these are the later ones
-        if n_open <= BROADCAST_IDS:
-            more = matches(entries(docs, counts, percent, open_tokens(docs, open_, counts, percent)), percent, keys_of(open_))
-        else:
-            more = matches_all(docs, counts, percent, open_)
-        hit = hit.unionAll(verified(durable(more.select("doc_id", "line", "e_doc", "e_line").distinct()), docs, percent))
-    return durable(repeats.unionAll(hit.select("doc_id", "line")).distinct())
-
-
-def open_tokens(docs: DataFrame, open_: DataFrame, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Prefix tokens of the open lines (BROADCAST_IDS lines at most)."""
-    held = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
-        for batch in batches:
-            chosen = [b"\n".join(x for j, x in enumerate(t.split(b"\n")) if j in a) for t, a in zip(utf8(batch, "text"), map(set, batch.column("lines").to_pylist()), strict=True)]
-            _, _, _, n, h = line_sets(chosen, known)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(prefix(h, n, held.value, percent)[0]))], names=["token"])
-
-    near = with_lines(texts(docs), open_, "lines").where(F.size("lines") > 0)
-    return arrow_map(near, kernel, "token long").distinct().toArrow().column("token").to_numpy()
-
-
-def matches_all(docs: DataFrame, counts: np.ndarray, percent: int, open_: DataFrame) -> DataFrame:
-    """As ``matches`` for all earlier sets of the open lines, where these are too many to broadcast: by hash, in parts."""
-    out, parts = None, 2 * (open_.count() // BROADCAST_IDS + 1)
-    for part in range(parts):
-        some = open_.where(F.pmod(F.xxhash64("doc_id", "line"), F.lit(parts)) == part)
-        more = durable(matches(entries(docs, counts, percent), percent, keys_of(some)))
-        out = more if out is None else out.unionAll(more)
-    return out
+    tries = durable(found.where("e_doc is not null").groupBy("doc_id", "line", "e_doc", "e_line").agg(F.sum("more").alias("more")))
+    hit = durable(verified(tries, docs, percent).distinct())
+    open_ = durable(tries.where("more > 0").select("doc_id", "line").distinct().join(hit, ["doc_id", "line"], "left_anti"))
+    for block in blocks(open_, docs, block_tokens):
+        hit = hit.unionAll(durable(looked_up(docs, block, counts, percent)))
+    return durable(repeats.unionAll(hit).distinct())
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -377,10 +445,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated lines; one that has no word left goes."""
-    told = with_lines(docs, removed_lines(docs), "gone").withColumn("gone", F.when(F.size("gone") > 0, F.col("gone")))
+    gone = unused(docs, "gone")
+    told = with_lines(docs, removed_lines(docs), gone).withColumn(gone, F.when(F.size(gone) > 0, F.col(gone)))
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
-    out = told.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).where(F.col("gone").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(gone, i.cast("long")), x)), lambda x: x.isNotNull()), "\n")
+    out = told.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).where(F.col(gone).isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)

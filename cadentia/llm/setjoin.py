@@ -24,14 +24,15 @@ def by_line(line: np.ndarray, h: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Order by line, rarity of the token, token.
 
     One sort of packed keys (line, rarity in 4096 grades, 32 bits of the hash)
-    does it; where two keys are equal, which is rare, all bits are compared.
+    does it; where different tokens have equal keys, which is rare, all bits are compared.
     """
     grade = (np.log2(count.astype(np.float64) + 1) * 128).astype(np.uint64)
     if len(line) and line[-1] < 1 << 20:
         key = line.astype(np.uint64) << np.uint64(44) | grade << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
         order = np.argsort(key)
         key = key[order]
-        if not (key[1:] == key[:-1]).any():
+        twins = np.flatnonzero(key[1:] == key[:-1])
+        if (h[order[twins]] == h[order[twins + 1]]).all():
             return order
     return np.lexsort((h, h & np.uint64(0xFFFFFFFF), grade, line))
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, durable, longs, mix, ranges, table, texts, utf8
+from .tokens import BASE, BYTE, INVERSE, powers
 
 LENGTH = 100
 #: Bytes of an anchor.  Longer anchors repeat less by chance; there is one for every (LENGTH - CORE) / 2 bytes.
@@ -29,20 +30,6 @@ CORE = 40
 PIECE, GATHER = 2 << 20, 32 << 20
 #: Different contexts of one anchor that one suffix array may hold; larger groups are dealt out window by window.
 GROUP = 20_000
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n - 1 modulo 2 ** 64."""
-    out = np.ones(max(n, 1), np.uint64)
-    done = 1
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-        done += more
-    return out
 
 
 class Rolling:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -75,7 +76,7 @@ def lines_brute(rows, percent=80):
         per[d] = [] if t is None else t.split("\n")
         for j, x in enumerate(per[d]):
             s = frozenset(x.encode().lower().split())
-            if len(s) >= line_dedup.MIN_TOKENS:
+            if s:
                 occ.setdefault(s, []).append((d, j))
     sets = list(occ)
     gone = collections.defaultdict(set)
@@ -97,6 +98,37 @@ def test_lines(docs, corpus, odd, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("block_tokens", [1_000_000, 50])
+def test_lines_looked_up(docs, corpus, block_tokens):
+    """The second way, by itself: all lines as open ones, in one block and in many."""
+    counts = line_dedup.token_counts(docs)
+    lines = line_dedup.entries(docs, counts, 80).where("shiftright(at, 32) = 1").select("doc_id", "line").distinct()
+    got = set()
+    for block in line_dedup.blocks(line_dedup.durable(lines), docs, block_tokens):
+        got |= {tuple(r) for r in line_dedup.looked_up(docs, block, counts, 80).collect()}
+    occ = {(d, j): frozenset(x.encode().lower().split()) for d, t in corpus for j, x in enumerate((t or "").split("\n")) if x.split()}
+    want = {a for a, s in occ.items() if len(s) >= 4 and any(b < a and 100 * len(s & z) >= 80 * len(s | z) for b, z in occ.items())}
+    assert got == {a for a in want if a in {tuple(r) for r in lines.collect()}} and got
+
+
+def test_lines_far_down(spark):
+    """Lines and places beyond what few bits hold."""
+    far = "\n" * 4_200_000 + "w1 w2 w3 w4 w5 w6"
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(frame(spark, [(1, far), (2, "w1 w2 w3 w4 w5 w6"), (3, "w1 w2 w3 w4 w5 w7 w6\nq r s")])).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}
+
+
+def test_template_lines_take_linear_time(spark):
+    """One frequent token in every line's prefix, and no line like another."""
+    took = []
+    for n in (4_000, 32_000):
+        text = "\n".join(f"u{i} v{i} x{i} " + " ".join(f"t{k}" for k in range(12)) for i in range(n))
+        start = time.time()
+        assert line_dedup.dedup(frame(spark, [(1, text)])).collect()[0].n_removed == 0
+        took.append(time.time() - start)
+    assert took[1] < 4 * took[0] + 5
+
+
 def test_short_lines(spark):
     """Lines of one or two different words go as any others; lines without a word stay."""
     texts = ["Menu", "menu\n\nHome Page\n \na a a a", "home page menu\nPAGE home\na\n日本語の行", "日本語の行\n\nb\nb b\nb c\nMENU menu", "x\ny\nmenu page"]
