@@ -37,15 +37,25 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there, so a lost executor loses nothing.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``;
-    only where that is unset (tests on one machine) a temporary one is used.
+    only where that is unset, and executors run in this very process, a
+    temporary one is used.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cadentia-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one where it is unset and all runs in one process."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return tempfile.mkdtemp(prefix="cadentia-checkpoint-")
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (and more columns), whatever else the input has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ranges, table, texts, utf8
+from .common import arrow_map, durable, ranges, table, texts, utf8
 
 WINDOW = 10
+ROW = "row_number"
 #: Windows that are broadcast at once; a larger benchmark is searched in several rounds.
 CHUNK_WINDOWS = 500_000
 #: Words that one cursor covers.
@@ -46,6 +47,12 @@ class Matcher:
         self.order = np.argsort(code, kind="stable")
         self.bucket = np.searchsorted(code[self.order], np.arange(self.size + 1))
 
+    @classmethod
+    def of(cls, state: dict) -> Matcher:
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def code(self, before: np.ndarray | None, last: np.ndarray) -> np.ndarray:
         x = last.astype(np.int64) * 0x9E3779B1
         if before is not None:
@@ -97,12 +104,14 @@ def tables(rows: list[tuple[int, bytes | str | None]]) -> tuple[dict[bytes, int]
     return known, [Matcher(np.array(list(x), np.int32).reshape(len(x), m), [np.array(sorted(s)) for s in x.values()], len(known)) for m, x in sorted(windows.items())], ids
 
 
-def scan(docs: DataFrame, rows: list[tuple[int, str | None]], schema: str = "doc_id long, n_words long, runs array<long>, items array<long>") -> DataFrame:
-    """For each document the runs of hit words (start * 2**32 + end) and the items found."""
-    held = docs.sparkSession.sparkContext.broadcast(rows)
+def scan(docs: DataFrame, rows: list[tuple[int, str | None]]) -> DataFrame:
+    """``docs`` (ROW, doc_id, text) with, for each row, its number of words, the runs of hit words (start * 2**32 + end) and the items found."""
+    known, built, ids = tables(rows)
+    held = docs.sparkSession.sparkContext.broadcast((known, [vars(m) for m in built], ids))  # plain data: its class may not be installed there
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, matchers, ids = tables(held.value)
+        known, plain, ids = held.value
+        matchers = [Matcher.of(x) for x in plain]
         get = known.get
         for batch in batches:
             lists = [words(x) for x in utf8(batch, "text")]
@@ -119,9 +128,9 @@ def scan(docs: DataFrame, rows: list[tuple[int, str | None]], schema: str = "doc
                 for d, s, p in zip(of.tolist(), (at - first[of]).tolist(), which.tolist(), strict=True):
                     runs[d].append(s << 32 | s + m.m)
                     items[d].update(m.items[p].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array([merged(x) for x in runs], pa.list_(pa.int64())), pa.array([sorted(ids[k] for k in x) for x in items], pa.list_(pa.int64()))], names=["doc_id", "n_words", "runs", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(sizes), pa.array([merged(x) for x in runs], pa.list_(pa.int64())), pa.array([sorted(ids[k] for k in x) for x in items], pa.list_(pa.int64()))], names=[ROW, "doc_id", "n_words", "runs", "items"])
 
-    return arrow_map(texts(docs), kernel, schema)
+    return arrow_map(docs, kernel, f"{ROW} long, doc_id long, n_words long, runs array<long>, items array<long>")
 
 
 def merged(runs: list[int]) -> list[int]:
@@ -157,17 +166,21 @@ def mark(docs: DataFrame, benchmark: DataFrame, limit: int = CHUNK_WINDOWS) -> D
     """Per document: words, hit words, items found, and whether any was found.
 
     Null or wordless texts and items match nothing; with an empty benchmark no
-    document is contaminated; repeated rows of one document get a row each (one
-    row if the benchmark takes several rounds, as a doc_id names one text).
+    document is contaminated; rows that repeat a doc_id, or have none, get a
+    row each.  Over several rounds a row is known by a number of its own,
+    which is written with its text before the first.
     """
-    found = [scan(docs, rows) for rows in chunks(benchmark, limit)] or [scan(docs, [])]
-    if len(found) == 1:
-        all_of = found[0]
+    rounds = list(chunks(benchmark, limit)) or [[]]
+    own = texts(docs)
+    if len(rounds) == 1:
+        all_of = scan(own.withColumn(ROW, F.lit(0).cast("long")), rounds[0])
     else:
+        own = durable(own.withColumn(ROW, F.monotonically_increasing_id()))
+        found = [scan(own, rows) for rows in rounds]
         all_of = found[0]
         for x in found[1:]:
-            all_of = all_of.unionAll(x)
-        all_of = all_of.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+            all_of = all_of.unionAll(x.where(F.size("runs") > 0))  # the first round has all rows
+        all_of = all_of.groupBy(ROW, "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,7 +3,7 @@
 A model is the log-likelihood of letter trigrams in each language, counted over
 all training documents.  A document's words are a mixture over languages:
 expectation-maximisation estimates the proportions, and a likelihood penalised
-for each language chooses between all that matter, the two best and the best.
+for each language selects the set, from which languages leave one by one.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, strips, summed, table, texts
+from .common import STRIP, arrow_map, crc_mod, strips, summed, table, texts
 
-#: Cells of trigrams for each language, and languages that a model may have (the table is broadcast).
-CELLS, MAX_LANGUAGES = 1 << 16, 256
-ROUNDS, LEAST_SHARE = 12, 0.02
+#: Cells of trigrams for each language, fewer where there are so many languages that the table (which is broadcast) would have more numbers.
+CELLS, TABLE = 1 << 16, 1 << 24
+#: Rounds of EM at most, the change of a share that ends it, and the share of words that a language needs to be considered.
+ROUNDS, SETTLED, LEAST_SHARE = 100, 1e-3, 0.02
+#: Words times languages that are worked on at once.
+NUMBERS = 1 << 20
 SMOOTH = 0.5
 
 
@@ -36,7 +39,7 @@ class Letters:
         return out
 
 
-def trigrams(text_list: list[str], letters: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trigrams(text_list: list[str], letters: Letters, size: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells of the trigrams around each letter, where each word starts among them, and each word's text."""
     points = np.frombuffer(("\n" + "\n\n".join(text_list) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     mark = letters.of(points)
@@ -46,7 +49,7 @@ def trigrams(text_list: list[str], letters: Letters) -> tuple[np.ndarray, np.nda
         none = np.empty(0, np.int64)
         return none, none, none
     code = p[at - 1] * np.uint64(0x9E3779B97F4A7C15) + p[at] * np.uint64(0xC2B2AE3D27D4EB4F) + p[at + 1] * np.uint64(0x165667B19E3779F9)
-    cells = (code >> np.uint64(48)).astype(np.int64)
+    cells = (code >> np.uint64(64 - (size - 1).bit_length())).astype(np.int64)
     word = np.nonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))[0]
     sizes = np.array([len(x) for x in text_list], np.int64)
     first = 1 + np.cumsum(sizes + 2) - (sizes + 2)
@@ -59,66 +62,107 @@ class Model:
 
 
 def train(docs: DataFrame, training) -> Model | None:
-    """Trigram counts of all documents where ``training`` holds, by their lang."""
+    """Trigram counts of all documents where ``training`` holds, by their lang, however many there are."""
     chosen = docs.where(training & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    names = sorted(r.lang for r in chosen.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    names = sorted(r.lang for r in chosen.select("lang").distinct().collect())
     if not names:
         return None
     number = {x: i for i, x in enumerate(names)}
+    size = CELLS
+    while size * len(names) > TABLE and size > STRIP:
+        size //= 2
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, letters = np.zeros((len(number), CELLS), np.int64), Letters()
+        cells, letters = np.zeros((len(number), size), np.int64), Letters()
         for batch in batches:
             langs = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
-            found, word, doc = trigrams([x or "" for x in batch.column("text").to_pylist()], letters)
+            found, word, doc = trigrams([x or "" for x in batch.column("text").to_pylist()], letters, size)
             of = np.repeat(langs[doc], np.diff(np.append(word, len(found)))) if len(word) else word
-            cells += np.bincount(of * CELLS + found, minlength=cells.size).reshape(cells.shape)
+            cells += np.bincount(of * size + found, minlength=cells.size).reshape(cells.shape)
         yield strips(cells.ravel())
 
-    counts = summed(arrow_map(texts(chosen, "lang"), kernel, "strip int, cells binary"), len(names) * CELLS).reshape(-1, CELLS)
-    return Model(names, (np.log(counts + SMOOTH) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTH * CELLS)).astype(np.float32))
+    counts = summed(arrow_map(texts(chosen, "lang"), kernel, "strip int, cells binary"), len(names) * size).reshape(-1, size)
+    return Model(names, (np.log(counts + SMOOTH) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTH * size)).astype(np.float32))
 
 
-def proportions(w: np.ndarray, doc: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM over words: shares of the allowed languages in each document, and its log-likelihood."""
-    top = w.max(axis=1, keepdims=True)
-    like = np.exp(w - top)
-    share = allowed / allowed.sum(axis=1, keepdims=True)
-    n = np.diff(np.append(first, len(doc)))[:, None]
-    for _ in range(ROUNDS):
-        r = share[doc] * like
-        total = np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
-        share = np.add.reduceat(r / total, first, axis=0) / n
-    mixed = np.log(np.maximum((share[doc] * like).sum(axis=1), 1e-30)) + top[:, 0]
-    return share, np.add.reduceat(mixed, first)
+def shares(like: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """EM over words: shares of the allowed languages in each document.
+
+    like: a row of likelihoods for each word, documents one after another
+    from ``first``.  Documents leave as they converge.
+    """
+    out = allowed / allowed.sum(axis=1, keepdims=True)
+    open_, n = np.arange(len(first)), np.diff(np.append(first, len(like)))
+    for turn in range(ROUNDS):
+        size = n[open_]
+        share = out[open_]
+        r = np.repeat(share, size, axis=0) * like
+        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
+        new = np.add.reduceat(r, np.cumsum(size) - size, axis=0) / size[:, None]
+        out[open_] = new
+        moving = np.abs(new - share).max(axis=1) > SETTLED
+        if not moving.any():
+            break
+        if turn % 4 == 3 and not moving.all():
+            like, open_ = like[np.repeat(moving, size)], open_[moving]
+    return out
+
+
+def log_likelihood(like: np.ndarray, top: np.ndarray, first: np.ndarray, share: np.ndarray) -> np.ndarray:
+    n = np.diff(np.append(first, len(like)))
+    return np.add.reduceat(np.log(np.maximum((np.repeat(share, n, axis=0) * like).sum(axis=1), 1e-30)) + top, first)
+
+
+def selected(w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Shares under each document's language set.
+
+    The set is chosen by likelihood less a penalty for each language: from all
+    that hold LEAST_SHARE of the words, the one with the least share leaves
+    at a time, down to one; the single likeliest language competes as well.
+    """
+    top = w.max(axis=1)
+    like = np.exp(w - top[:, None])
+    n = np.diff(np.append(first, len(w)))
+    penalty = 0.5 * np.log(n + 1.0)
+    alone = np.add.reduceat(w, first, axis=0)
+    best = np.zeros(alone.shape)
+    best[np.arange(len(best)), alone.argmax(axis=1)] = 1.0
+    value = alone.max(axis=1) - penalty
+    allowed = shares(like, first, np.ones(alone.shape)) >= LEAST_SHARE
+    docs = np.flatnonzero(allowed.sum(axis=1) > 1)
+    while len(docs):
+        use = np.zeros(len(first), bool)
+        use[docs] = True
+        words = np.repeat(use, n)
+        at = np.cumsum(n[docs]) - n[docs]
+        share = shares(like[words], at, allowed[docs].astype(float))
+        now = log_likelihood(like[words], top[words], at, share) - allowed[docs].sum(axis=1) * penalty[docs]
+        better = now > value[docs]
+        best[docs[better]], value[docs[better]] = share[better], now[better]
+        allowed[docs, np.where(allowed[docs], share, np.inf).argmin(axis=1)] = False
+        docs = docs[allowed[docs].sum(axis=1) > 1]
+    return best
 
 
 def guess(text_list: list[str], model: Model, letters: Letters) -> tuple[list[str], list[float]]:
-    cells, word, of = trigrams(text_list, letters)
+    cells, word, of = trigrams(text_list, letters, model.logs.shape[1])
     names, scores = ["und"] * len(text_list), [0.0] * len(text_list)
     if not len(word):
         return names, scores
-    w = np.stack([np.add.reduceat(x[cells], word) for x in model.logs], axis=1).astype(np.float64)
-    first = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0]
-    doc = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]]))
-    penalty = 0.5 * np.log(np.diff(np.append(first, len(doc))) + 1.0)
-    alone = np.add.reduceat(w, first, axis=0)
-    best = np.zeros(alone.shape)
-    best[np.arange(len(best)), alone.argmax(axis=1)] = 1.0
-    value = alone.max(axis=1) - penalty
-    every, _ = proportions(w, doc, first, np.ones(alone.shape))
-    rank = np.argsort(np.argsort(-every, axis=1, kind="stable"), axis=1, kind="stable")
-    for allowed in ((every >= LEAST_SHARE) | (rank < 1), rank < 2):
-        size = allowed.sum(axis=1)
-        share, like = proportions(w, doc, first, allowed.astype(float))
-        now = like - size * penalty
-        better = (now > value) & (size > 1)
-        best[better], value[better] = share[better], now[better]
-    for i, b in zip(of[first].tolist(), best, strict=True):
-        k = int(b.argmax())
-        names[i], scores[i] = model.names[k], float(min(1.0, b[k]))
+    start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    stop = np.append(start[1:], len(word))
+    most = max(1, NUMBERS // len(model.names))
+    i = 0
+    while i < len(start):  # documents with so many words at once
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + most, "right")))
+        lo, hi = start[i], stop[j - 1]
+        end = word[hi] if hi < len(word) else len(cells)
+        part, at = cells[word[lo] : end], word[lo:hi] - word[lo]
+        w = np.stack([np.add.reduceat(x[part], at) for x in model.logs], axis=1).astype(np.float64)
+        for d, b in zip(of[start[i:j]].tolist(), selected(w, start[i:j] - lo), strict=True):
+            k = int(b.argmax())
+            names[d], scores[d] = model.names[k], float(min(1.0, b[k]))
+        i = j
     return names, scores
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, texts, utf8
+from .common import arrow_map, durable, table, texts, utf8, with_ids
 
 #: A stratum's good documents may be rejected at this rate in all, with this probability of error in all.
 ALPHA, DELTA = 0.05, 0.05
@@ -119,7 +119,9 @@ def thresholds(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     and label at most.
     """
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    held = measure(docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("stratum")), "stratum")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("stratum"))
+    marked = durable(marked)
+    held = measure(with_ids(own, marked.select("doc_id")), "stratum")  # only labelled texts are measured
     long = held.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words").join(marked, "doc_id").select("stratum", "quality", F.posexplode(F.array(*(share(*x) for x in FEATURES.values()))).alias("feature", "bin"))
     names, by = list(FEATURES), {}
     for r in long.groupBy("stratum", "feature", "bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).toLocalIterator():

@@ -8,7 +8,9 @@ Candidates of the looser kinds are reported only where they come out as live.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -29,9 +31,11 @@ BASE = {
 }
 MORE = {
     "key": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     "opaque": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,}(?![A-Za-z0-9+/_=-])"),
 }
+#: What follows a private key's first line: its body, which tells one key from another.
+BODY = re.compile(r"[A-Za-z0-9+/=\s]*+")
 #: A value that so many sources, or so many documents, hold is an example.
 SHARED_OWNERS, SHARED_DOCS = 3, 100
 #: Bits a character, and characters, that a live secret has at least.
@@ -56,10 +60,17 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
             if len(value) >= least:
                 out.append((m.start(), m.end(), k, value))
     base = sorted(out)
+    ends = list(itertools.accumulate((e for _, e, _, _ in base), max))  # the furthest end so far
     for kind, pattern in MORE.items():
         for m in pattern.finditer(text):
-            if kind != "opaque" or (looks_random(m.group()) and not any(s < m.end() and m.start() < e for s, e, _, _ in base)):
-                out.append((m.start(), m.end(), KINDS.index(kind), m.group()))
+            value = m.group()
+            if kind == "opaque":
+                i = bisect.bisect_left(base, (m.end(),))
+                if not looks_random(value) or (i and ends[i - 1] > m.start()):
+                    continue
+            if kind == "key":
+                value += "".join(BODY.match(text, m.end()).group().split())
+            out.append((m.start(), m.end(), KINDS.index(kind), value))
     return sorted(out)
 
 
@@ -86,9 +97,10 @@ def secrets(docs: DataFrame) -> DataFrame:
     that repeat a doc_id get a row each and count as one document.
     """
     rows = durable(scan(docs))
-    each = rows.where(F.size("found") > 0).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.explode("found.h").alias("h"))
+    each = rows.where(F.size("found") > 0).select("doc_id", F.concat(F.lit("="), "source").alias("source"), F.explode("found.h").alias("h"))
     per_doc = each.select("h", "source", "doc_id").distinct()  # a row for each value, owner and document, however often it stands there
-    held = per_doc.groupBy("h").agg(F.count_distinct("source").alias("owners"), F.count_distinct("doc_id").alias("n_docs"))
+    owners = F.count_distinct("source") + F.max(F.col("source").isNull().cast("int"))
+    held = per_doc.groupBy("h").agg(owners.alias("owners"), F.count_distinct("doc_id").alias("n_docs"))
     shared = held.where((F.col("owners") >= SHARED_OWNERS) | (F.col("n_docs") >= SHARED_DOCS)).select("h")
     examples = each.select("doc_id", "h").distinct().join(shared, "h").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("h").alias("examples"))
     told = rows.join(examples, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "found", "examples")

@@ -14,19 +14,19 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, durable, table, texts, utf8
 
 #: Passes over one source at most.
 MAX_REPEATS = 1.25
-#: Blocks of a source; sums over blocks are what orders documents, so no task sees a source whole.
-BLOCKS = 1024
+#: Blocks of a source, twice as many again while they would hold more rows on average; sums over blocks are what orders documents, so no task sees a source whole.
+BLOCKS, BLOCK_ROWS = 1024, 10_000
 SEED = 20240501
 
 
-def tempered(tokens: dict[str, int], exponent: float) -> dict[str, float]:
+def tempered(tokens: dict, exponent: float) -> dict:
     """Weights proportional to share ** exponent; a source without tokens has none."""
     total = sum(tokens.values())
     raw = {s: (n / total) ** exponent if n else 0.0 for s, n in tokens.items()} if total else dict.fromkeys(tokens, 0.0)
@@ -79,6 +79,45 @@ def sized(docs: DataFrame) -> DataFrame:
     return arrow_map(texts(docs, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")), kernel, "doc_id long, source string, n_tokens long")
 
 
+def in_block(seed: int, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "source", F.lit(seed)), F.lit(n_blocks)).cast("int")
+
+
+def layout(sizes: DataFrame, max_repeats: float, target_entropy: float | None, budget: int | None, seed: int) -> tuple[DataFrame, int]:
+    """Blocks of each source in their order (source, block, in_block, before, place, weight, passes, part), and the number of blocks.
+
+    sizes: doc_id, source, n_tokens.  The driver gets the token totals of
+    sources, equal ones once.
+    """
+    n_blocks = BLOCKS
+    while n_blocks * BLOCK_ROWS < sizes.count():
+        n_blocks *= 2
+    blocks = durable(sizes.groupBy("source", in_block(seed, n_blocks).alias("block")).agg(F.sum("n_tokens").alias("in_block")))
+    totals = durable(blocks.groupBy("source").agg(F.sum("in_block").alias("tokens")))
+    counted = [(int(r.tokens or 0), r.sources) for r in totals.groupBy("tokens").agg(F.count("*").alias("sources")).toLocalIterator()]
+    tokens = {(n, i): n for n, times in counted for i in range(times)}
+    goal = sum(tokens.values()) if budget is None else budget
+    weights = tempered(tokens, exponent_for(tokens, goal, max_repeats, target_entropy))
+    each = [(n, weights[n, 0]) for n, _ in sorted(counted)]
+    weighed = totals.join(totals.sparkSession.createDataFrame(each, "tokens long, weight double"), "tokens")
+    aim = F.col("weight") * F.lit(float(goal))
+    passes = F.when(F.col("tokens") > 0, F.floor(aim / F.col("tokens"))).otherwise(F.lit(0)).cast("long")
+    sources = weighed.select("source", "weight", passes.alias("passes"), F.when(F.col("tokens") > 0, F.floor(aim - passes * F.col("tokens"))).otherwise(F.lit(0)).cast("long").alias("part"))
+    order = Window.partitionBy("source").orderBy(F.xxhash64("block", "source", F.lit(seed + 1)), "block")
+    # as many rows of a source as there are blocks
+    placed = blocks.withColumn("place", F.row_number().over(order)).withColumn("before", F.sum("in_block").over(order) - F.col("in_block")).join(sources, "source")
+    return durable(placed), n_blocks
+
+
+def with_copies(rows: DataFrame, placed: DataFrame, seed: int, columns: list[str]) -> DataFrame:
+    """``rows`` (doc_id, source, block, n_tokens, columns) with their block's place, weight and copies; only the rows of a source's cut block are put in order."""
+    rows = rows.join(placed, ["source", "block"])
+    whole = rows.where("before + in_block <= part or before >= part").withColumn("extra", (F.col("before") < F.col("part")).cast("long"))
+    within = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.where("before < part and before + in_block > part").withColumn("extra", (F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)) < F.col("part")).cast("long"))
+    return whole.unionByName(cut).select(*columns, "weight", (F.col("passes") + F.col("extra")).alias("copies"), "block", "place")
+
+
 def mix_plan(docs: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
     """How often each document is used, for every row of ``docs``.
 
@@ -90,25 +129,27 @@ def mix_plan(docs: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy:
     rows that repeat a doc_id are placed next to each other, each with its own
     copies; an empty table gives no rows.
     """
-    sizes = durable(sized(docs).withColumn("block", F.pmod(F.xxhash64("doc_id", "source", F.lit(seed)), F.lit(BLOCKS)).cast("int")))
-    blocks = durable(sizes.groupBy("source", "block").agg(F.sum("n_tokens").alias("in_block")))
-    tokens = {r.source: int(r.n or 0) for r in blocks.groupBy("source").agg(F.sum("in_block").alias("n")).toLocalIterator()}
-    goal = sum(tokens.values()) if budget is None else budget
-    weights = tempered(tokens, exponent_for(tokens, goal, max_repeats, target_entropy))
-    share = {s: weights[s] * goal for s in tokens}
-    passes = {s: int(share[s] // tokens[s]) if tokens[s] else 0 for s in tokens}
-    part = {s: int(share[s] - passes[s] * tokens[s]) for s in tokens}
-    spark = docs.sparkSession
-    sources = spark.createDataFrame([(s, weights[s], passes[s], part[s]) for s in sorted(tokens)], "source string, weight double, passes long, part long")
-    order = Window.partitionBy("source").orderBy(F.xxhash64("block", "source", F.lit(seed + 1)), "block")
-    # at most BLOCKS rows of each source
-    placed = blocks.withColumn("place", F.row_number().over(order)).withColumn("before", F.sum("in_block").over(order) - F.col("in_block")).join(sources, "source")
-    rows = sizes.join(placed, ["source", "block"])
-    whole = rows.where("before + in_block <= part or before >= part").withColumn("extra", (F.col("before") < F.col("part")).cast("long"))
-    within = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    cut = rows.where("before < part and before + in_block > part").withColumn("extra", (F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)) < F.col("part")).cast("long"))
-    out = whole.unionByName(cut)
-    return out.select("doc_id", "source", "n_tokens", "weight", (F.col("passes") + F.col("extra")).alias("copies"), "block", "place")
+    sizes = durable(sized(docs))
+    placed, n_blocks = layout(sizes, max_repeats, target_entropy, budget, seed)
+    return with_copies(sizes.withColumn("block", in_block(seed, n_blocks)), placed, seed, ["doc_id", "source", "n_tokens"])
+
+
+def mixed(docs: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as the plan uses it.
+
+    All columns of ``docs`` and one, ``mix``: weight, copy (1, 2, ...), block
+    and place.  Sorted by copy, place and block, a source's rows are in the
+    order in which they are read.  Texts meet the blocks, which are few, and
+    only those of a source's cut block are shuffled.
+    """
+    sizes = durable(sized(docs))
+    placed, n_blocks = layout(sizes, max_repeats, target_entropy, budget, seed)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    words = F.size(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda x: x != "")).cast("long")
+    rows = rows.select("row", "doc_id", "source", words.alias("n_tokens"), in_block(seed, n_blocks).alias("block"))
+    used = with_copies(rows, placed, seed, ["row"]).where("copies > 0")
+    each = used.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("row.*", F.struct("weight", "copy", "block", "place").alias("mix"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,5 +157,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their source's weight, their copies in the mix, and the block that they are read in."""
-    return mix_plan(docs)
+    """The documents of the mix, texts included, each as often as it is read."""
+    return mixed(docs)

@@ -46,11 +46,12 @@ def test_decontaminate(spark, docs, corpus, odd, empty, limit):
     want = leaks_brute(corpus, items)
     assert {r[0]: tuple(r[1:6]) for r in decontaminate.mark(docs, bench, limit).collect()} == want
     assert sum(v[4] for v in want.values()) > 1
-    if limit > 1000:
-        again = decontaminate.mark(odd, bench).collect()
-        assert len(again) == len(corpus) + 4
-        assert decontaminate.mark(empty, bench).count() == 0
-        assert not decontaminate.mark(docs, bench.where("item_id < 0")).where("contaminated").count()
+    again = decontaminate.mark(odd, bench, limit).collect()
+    assert len(again) == len(corpus) + 4
+    assert {r[0]: tuple(r[1:6]) for r in again if r[0] is not None} == want
+    assert sorted(r.n_words for r in again if r[0] is None) == sorted((0, want[corpus[1][0]][0]))
+    assert decontaminate.mark(empty, bench, limit).count() == 0
+    assert not decontaminate.mark(docs, bench.where("item_id < 0"), limit).where("contaminated").count()
 
 
 def quality_brute(t):
@@ -79,6 +80,44 @@ def test_quality(spark, corpus, labels, empty, odd):
     assert quality_rules.judge(docs, labels.where("doc_id < 0")).where("kept = base_failed").count() == 0
 
 
+def test_certified_cutoffs_end_to_end(spark):
+    """Enough labels per stratum: cutoffs are certified, act, and are those of a plain search with exact binomial sums."""
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i in range(6000):
+        bad, lang = rng.random() < 0.3, "en" if i % 2 else "de"
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        if bad:
+            words = [w + "#" * rng.randrange(1, 4) for w in words]
+        elif rng.random() < 0.02:
+            words[0] += "##"
+        rows.append((i, " ".join(words), lang, "s", 1))
+        marks.append((i, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    cuts = quality_rules.thresholds(docs, labels)
+    good, bad = {}, {}
+    for (i, t, lang, _, _), (_, q) in zip(rows, marks, strict=True):
+        share = 1000 * sum(c in "#*$%&|<>" for c in t) // sum(map(len, t.split()))
+        (good if q else bad).setdefault(lang, []).append(share)
+    for lang in ("en", "de"):
+        n, best, gain = len(good[lang]), 1000, 0.0
+        for cut in range(999, -1, -1):
+            lost = sum(x > cut for x in good[lang])
+            p = 0.05 / 4
+            tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)) for k in range(lost + 1))
+            if tail > 0.05 / len(cuts):
+                break
+            if sum(x > cut for x in bad[lang]) - 3 * lost > gain:
+                best, gain = cut, sum(x > cut for x in bad[lang]) - 3 * lost
+        assert cuts[lang, "symbol_share"] == best < 1000
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()}
+    assert sum(not kept[i] for i, q in marks if not q) > 0.95 * sum(not q for _, q in marks)
+    assert sum(not kept[i] for i, q in marks if q) < 0.05 * sum(q for _, q in marks)
+    again = quality_rules.judge(docs.unionAll(docs.where("doc_id < 3")).unionAll(docs.where("doc_id = 5").withColumn("doc_id", docs.doc_id * None)), labels)
+    assert again.count() == 6004
+
+
 def test_certified_cutoff_keeps_its_promise():
     assert quality_rules.log_binomial_cdf(2, 20, 0.1) == pytest.approx(math.log(sum(math.comb(20, k) * 0.1**k * 0.9 ** (20 - k) for k in range(3))))
     rng, broken = np.random.default_rng(0), 0
@@ -167,6 +206,24 @@ def test_secrets_by_documents(spark):
     assert got[8004].n_live == 1 and got[8004].spans == f"opaque:4:{4 + len(long)}"
 
 
+def test_private_keys_are_told_by_their_bodies(spark):
+    """Three sources with one example key make no example of another key; null sources are one owner of their own."""
+    key = lambda x: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(hashlib.sha256(f"{x}{i}".encode()).hexdigest() for i in range(4)) + "\n-----END"
+    rows = [*((i, key("example")) for i in range(4)), (10, key("own"))]
+    got = {r.doc_id: r for r in secret_scan.secrets(frame(spark, rows)).collect()}
+    assert all("key:" not in got[i].spans for i in range(4)) and "key:0:31" in got[10].spans
+    value = hashlib.sha256(b"x").hexdigest()
+    owners = spark.createDataFrame([(i, f"token={value}", s) for i, s in enumerate([None, "", "a", None])], "doc_id long, text string, source string")
+    assert all(r.n_example == 2 for r in secret_scan.secrets(owners).collect())
+    assert all(r.n_live == 2 for r in secret_scan.secrets(owners.where("source is null or source = ''")).collect())
+
+
+def test_secrets_in_long_texts():
+    """Linear time where candidates almost match, and a span inside a long one is no second one."""
+    text = "eyJ" + "eyJ_a" * 100_000 + " token=" + "a1B2c3D4" * 20_000
+    assert [x[2] for x in secret_scan.find(text)] == [0]
+
+
 def test_language(spark, empty):
     d = language_id.query(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     assert (d.lang == d.lang_pred)[d.held_out].mean() > 0.95 and d.score.between(0, 1).all()
@@ -176,6 +233,50 @@ def test_language(spark, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_many_languages(spark, monkeypatch):
+    """More languages than a table of full width holds: all are learned, on fewer cells."""
+    monkeypatch.setattr(language_id, "TABLE", 1 << 20)
+    rng = random.Random(3)
+    lex = [["".join(rng.choices(f"{chr(97 + i % 26)}{chr(97 + i // 26)}aeo", k=6)) for _ in range(12)] for i in range(60)]
+    rows = [(i * 20 + k, " ".join(rng.choices(lex[i], k=40)), f"l{i}") for i in range(60) for k in range(20)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    told = {d: x for d, _, x in rows}
+    assert sum(r.lang_pred == told[r.doc_id] for r in got) > 0.95 * len(rows)
+
+
+def brute_shares(w, allowed):
+    """EM for one document by plain loops, to convergence."""
+    share = [1 / sum(allowed) if a else 0.0 for a in allowed]
+    for _ in range(100):
+        new = [0.0] * len(share)
+        for row in w:
+            t = [s * math.exp(x - max(row)) for s, x in zip(share, row)]
+            for k, x in enumerate(t):
+                new[k] += x / sum(t) / len(w)
+        done = max(abs(a - b) for a, b in zip(share, new)) <= language_id.SETTLED
+        share = new
+        if done:
+            break
+    return share, sum(math.log(sum(s * math.exp(x - max(row)) for s, x in zip(share, row))) + max(row) for row in w)
+
+
+def test_language_sets_by_loops():
+    rng = np.random.default_rng(4)
+    sizes = [1, 7, 40, 25]
+    docs_w = [rng.normal(-20, 3, (n, 5)) + np.where(np.arange(5) == k % 5, 6.0, 0.0) * (rng.random((n, 1)) < 0.6) + np.where(np.arange(5) == (k + 2) % 5, 6.0, 0.0) * (rng.random((n, 1)) < 0.4) for k, n in enumerate(sizes)]
+    got = language_id.selected(np.concatenate(docs_w), np.cumsum(sizes) - sizes)
+    for w, share in zip(docs_w, got):
+        penalty = 0.5 * math.log(len(w) + 1)
+        best, value = np.eye(5)[int(w.sum(axis=0).argmax())], float(w.sum(axis=0).max()) - penalty
+        allowed = [s >= language_id.LEAST_SHARE for s in brute_shares(w, [True] * 5)[0]]
+        while sum(allowed) > 1:
+            s, like = brute_shares(w, allowed)
+            if like - sum(allowed) * penalty > value:
+                best, value = s, like - sum(allowed) * penalty
+            allowed[min((k for k in range(5) if allowed[k]), key=lambda k: s[k])] = False
+        assert np.allclose(share, best, atol=0.02)
+
+
 def test_language_mixture_finds_both():
     en, de = "the then with other things and more words of this kind", "der die das und nicht mit einer anderen sache wort"
     letters = language_id.Letters()
@@ -222,6 +323,30 @@ def test_long_and_doubled_disguises(spark):
     assert toxicity.restore("st1nk3r" * 1000, model) == "stinker" * 1000
 
 
+def test_mixing_by_loops(spark):
+    """The plan against plain loops over documents in the same order of blocks and rows."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), "abc"[min(2, rng.randrange(20) // 8)], f"{i}") for i in range(400)]
+    plan = source_mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string, x string"), 1.6).collect()
+    size, total = {i: len(t.split()) for i, t, _, _ in rows}, {}
+    for i, _, s, _ in rows:
+        total[s] = total.get(s, 0) + size[i]
+    goal = sum(total.values())
+    x = next(x / 10_000 for x in range(10_001) if max((n / goal) ** (x / 10_000) / sum((m / goal) ** (x / 10_000) for m in total.values()) * goal / n for n in total.values()) <= 1.6 + 1e-9)
+    for s, n in total.items():
+        weight = (n / goal) ** x / sum((m / goal) ** x for m in total.values())
+        own = [r for r in plan if r.source == s]
+        assert abs(own[0].weight - weight) < 1e-3
+        aim = own[0].weight * goal
+        used = sum(r.copies * r.n_tokens for r in own)
+        assert aim - 1 <= used + max(r.n_tokens for r in own) and used <= aim + max(r.n_tokens for r in own)
+        whole = int(aim // n)
+        assert {r.copies for r in own} <= {whole, whole + 1}
+        more = {r.place for r in own if r.copies > whole}
+        less = {r.place for r in own if r.copies == whole}
+        assert not more or not less or max(more) <= min(less)  # the part pass takes blocks in order, and cuts one
+
+
 def test_mixing(spark, docs, corpus, odd, empty):
     tokens = {"a": 1000, "b": 100, "c": 10, "d": 0}
     x = source_mixing.exponent_for(tokens, 1110, 2.0)
@@ -236,6 +361,17 @@ def test_mixing(spark, docs, corpus, odd, empty):
         used = (g.n_tokens * g.copies).sum()
         assert goal - 1 <= used + g.n_tokens.max() and used <= goal + g.n_tokens.max()
     assert source_mixing.mix_plan(odd).count() == len(corpus) + 4
+    mix = source_mixing.mixed(odd)
+    assert mix.columns == [*odd.columns, "mix"]
+    want = {}
+    for r in source_mixing.mix_plan(odd).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    got = {}
+    for r in mix.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+        assert r.text == dict(corpus).get(r.doc_id, r.text) and 1 <= r.mix.copy
+    assert got == {k: v for k, v in want.items() if v}
+    assert source_mixing.mixed(empty).count() == 0
     assert source_mixing.mix_plan(empty).count() == 0
 
 
@@ -244,6 +380,8 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(docs.columns) < set(kept.columns) and kept.text.notna().all()
+    kept = kept.drop_duplicates("doc_id")
     judged = {r.doc_id for r in quality_rules.judge(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").collect()}
     assert set(kept.doc_id) <= judged and len(kept) > 0.5 * len(judged) and kept.doc_id.is_unique
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "minhash_dedup", "decontaminate", "source_mixing"]
