@@ -7,12 +7,12 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cadentia.llm import decontaminate, line_dedup, minhash_dedup, quality_rules, source_mixing
+from cadentia.llm.common import shared_folder
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
@@ -28,8 +28,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, through the shared folder of spark.checkpoint.dir."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    folder = f"{folder}/corpus-pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}.parquet"
