@@ -59,8 +59,15 @@ class CharModel:
     def __init__(self, counts: np.ndarray):
         self.pairs, self.triples = np.log(counts[:PAIRS] + 2.0).tolist(), np.log(counts[PAIRS:] + 0.05).tolist()
 
+        self.known: dict[tuple[int, int, int], float] = {}
+
     def log(self, a: int, b: int, c: int) -> float:
-        return self.triples[triple_cell(a, b, c)] - self.pairs[pair_cell(a, b)]
+        found = self.known.get((a, b, c))
+        if found is None:
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            self.known[a, b, c] = found = self.triples[triple_cell(a, b, c)] - self.pairs[pair_cell(a, b)]
+        return found
 
 
 def char_counts(docs: DataFrame) -> np.ndarray:
@@ -87,7 +94,11 @@ def char_counts(docs: DataFrame) -> np.ndarray:
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The likeliest plain word behind ``token``: Viterbi over what each run of a character may stand for, linear in the token's length."""
+    """The likeliest plain word behind ``token``: Viterbi over what each run of a character may stand for, linear in the token's length.
+
+    Where all paths have met in one state and there is one way on, their
+    common score is of no matter and not added up.
+    """
     steps: list[list[str]] = []  # alternatives of each place; "" drops it
     i = 0
     while i < len(token):
@@ -107,6 +118,12 @@ def restore(token: str, model: CharModel) -> str:
     # a path is (the path before, what was added)
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(32, 32): (0.0, None)}
     for options in steps:
+        if len(options) == 1 and len(best) == 1:
+            (((a, b), (_, path)),) = best.items()
+            for c in map(ord, options[0]):
+                a, b = b, c
+            best = {(a, b): (0.0, (path, options[0]))}
+            continue
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in best.items():
             for option in options:
@@ -126,7 +143,7 @@ def restore(token: str, model: CharModel) -> str:
 
 
 class Restorer:
-    """Restores tokens, each once; what it knows is emptied when it has grown large."""
+    """Restores tokens, each once; what it knows is emptied before a text when it has grown large."""
 
     LIMIT = 500_000
 
@@ -135,38 +152,29 @@ class Restorer:
 
     def plain(self, token: str) -> str:
         """The word behind a token in disguise, "" for any other."""
-        if (known := self.known.get(token)) is None:
-            t = token.strip(EDGES)
+        t = token.strip(EDGES)
+        if t.isalpha():
+            known = restore(t, self.model) if DOUBLE.search(t) else ""
+        else:
             if t.endswith("$$$"):
                 t = t.rstrip("$")  # decoration, as a run of any other symbol
             if "@" in t and "." in t:
                 t = ""  # an address
-            known = restore(t, self.model) if (DOUBLE if t.isalpha() else HIDDEN).search(t) and sum(c.isalpha() for c in t) >= 2 else ""
-            if known == t:
-                known = ""  # the text has it
-            if len(self.known) >= self.LIMIT:
-                self.known.clear()
-            self.known[token] = known
-        return known
+            known = restore(t, self.model) if HIDDEN.search(t) and sum(c.isalpha() for c in t) >= 2 else ""
+        return "" if known == t else known  # the text has it
 
     def extra(self, text: str) -> str:
         """Plain forms of the words in disguise."""
-        found, spaced = [], ""
-        get = self.known.get
-        for t in text.lower().split():
-            known = get(t)
-            if known is None:
-                known = self.plain(t)
-            if known:
-                found.append(known)
-            if len(t) == 1:
-                spaced += t
-            elif spaced:
-                if len(spaced) >= 3:
-                    found.append(restore(spaced, self.model))
-                spaced = ""
-        if len(spaced) >= 3:
-            found.append(restore(spaced, self.model))
+        tokens = text.lower().split()
+        if len(self.known) >= self.LIMIT:
+            self.known.clear()
+        for t in set(tokens).difference(self.known):
+            self.known[t] = self.plain(t)
+        found = [x for x in map(self.known.__getitem__, tokens) if x]
+        alone = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], alone, [0]])))
+        for a, b in edge.reshape(-1, 2)[edge[1::2] - edge[::2] >= 3].tolist():
+            found.append(restore("".join(tokens[a:b]), self.model))
         return " ".join(found)
 
 
