@@ -16,8 +16,11 @@ def grid_points(params: DataFrame, start_us: int = 0, stop_us: int = 30 * SECOND
 
 
 def grid_scores(params: DataFrame, peaks: DataFrame, stop_us: int = 30 * SECOND) -> DataFrame:
-    """Share of a stem's peaks within 0.12 T + 20 ms of the grid, for each (period, phase); the nearest point comes by arithmetic."""
-    p = peaks.join(F.broadcast(params), "stem_id") if "stem_id" in params.columns else peaks.crossJoin(F.broadcast(params))
+    """Share of a stem's peaks within 0.12 T + 20 ms of the grid, for each (period, phase); the nearest point comes by arithmetic.
+
+    Without ``stem_id`` the parameters are a list of constants that every peak is tried with.
+    """
+    p = peaks.join(params, "stem_id") if "stem_id" in params.columns else peaks.withColumn("of", F.explode(F.array(*(F.struct(*(F.lit(v).cast("long").alias(c) for c, v in r.asDict().items())) for r in params.select("period_us", "phase_us").collect())))).select("stem_id", "tap_us", "of.*")
     t, phi, x = F.col("period_us"), F.col("phase_us"), F.col("tap_us")
     lo, hi = F.ceil((0 - phi) / t.cast("double")), F.floor((stop_us - phi) / t.cast("double"))
     k = F.greatest(lo, F.least(hi, F.rint((x - phi) / t.cast("double")).cast("long")))
@@ -25,14 +28,14 @@ def grid_scores(params: DataFrame, peaks: DataFrame, stop_us: int = 30 * SECOND)
     return p.groupBy("stem_id", "period_us", "phase_us").agg(F.count("*").alias("n"), F.count_if(near).alias("n_near")).withColumn("coverage", F.col("n_near") / F.col("n"))
 
 
-def refine(peaks: DataFrame, params: DataFrame, fraction: float = 0.25, rounds: int = 3) -> DataFrame:
+def refine(peaks: DataFrame, params: DataFrame, fraction: float = 0.15, rounds: int = 3) -> DataFrame:
     """Least-squares period and phase over the peaks near the grid, refitted ``rounds`` times.
 
     A stem with fewer than three peaks near, or a period under 0.1 s, keeps its last fit.
     """
     fit = params.select("stem_id", F.col("period_us").cast("double").alias("period"), F.col("phase_us").cast("double").alias("phase"))
     for _ in range(rounds):
-        p = peaks.join(F.broadcast(fit), "stem_id")
+        p = peaks.join(fit, "stem_id")
         k = F.rint((F.col("tap_us") - F.col("phase")) / F.col("period"))
         p = p.withColumn("k", k).where(F.abs(F.col("tap_us") - F.col("phase") - F.col("k") * F.col("period")) <= fraction * F.col("period"))
         y = F.col("tap_us").cast("double")
@@ -83,7 +86,7 @@ def steady_runs(beats: DataFrame, least: int = 6) -> DataFrame:
 def bimodal_score(peaks: DataFrame, period_us: DataFrame) -> DataFrame:
     """Largest gap between sorted intervals under 0.9 T, over T; 0 below eight peaks or three such intervals."""
     w = Window.partitionBy("stem_id").orderBy("tap_us")
-    d = peaks.withColumn("ioi", F.col("tap_us") - F.lag("tap_us").over(w)).join(F.broadcast(period_us), "stem_id")
+    d = peaks.withColumn("ioi", F.col("tap_us") - F.lag("tap_us").over(w)).join(period_us, "stem_id")
     n = d.groupBy("stem_id").agg(F.count("*").alias("n_peaks"), F.count_if(F.col("ioi") < 0.9 * F.col("period_us")).alias("n_short"))
     s = d.where(F.col("ioi") < 0.9 * F.col("period_us"))
     v = Window.partitionBy("stem_id").orderBy("ioi")
@@ -94,7 +97,7 @@ def bimodal_score(peaks: DataFrame, period_us: DataFrame) -> DataFrame:
 def bimodal_strength(peaks: DataFrame, period_us: DataFrame) -> DataFrame:
     """Intervals near half or double the period, against those near the period itself."""
     w = Window.partitionBy("stem_id").orderBy("tap_us")
-    r = (peaks.withColumn("ioi", F.col("tap_us") - F.lag("tap_us").over(w)).where("ioi is not null").join(F.broadcast(period_us), "stem_id")).withColumn("r", F.col("ioi") / F.col("period_us"))
+    r = (peaks.withColumn("ioi", F.col("tap_us") - F.lag("tap_us").over(w)).where("ioi is not null").join(period_us, "stem_id")).withColumn("r", F.col("ioi") / F.col("period_us"))
     open_in = lambda a, b: F.count_if((F.col("r") > a) & (F.col("r") < b))
     c = r.groupBy("stem_id").agg(open_in(0.40, 0.60).alias("n_half"), open_in(1.70, 2.30).alias("n_double"), open_in(0.85, 1.15).alias("n_base"))
     s = F.try_divide(F.greatest("n_half", "n_double"), F.col("n_base"))
@@ -104,7 +107,7 @@ def bimodal_strength(peaks: DataFrame, period_us: DataFrame) -> DataFrame:
 def phase_groups(peaks: DataFrame, threshold_us: DataFrame) -> DataFrame:
     """Peaks labelled A or B by runs of short intervals: inside a run every other one starts a pair."""
     w = Window.partitionBy("stem_id").orderBy("tap_us")
-    d = peaks.join(F.broadcast(threshold_us), "stem_id").withColumn("after", F.lead("tap_us").over(w) - F.col("tap_us"))
+    d = peaks.join(threshold_us, "stem_id").withColumn("after", F.lead("tap_us").over(w) - F.col("tap_us"))
     d = d.withColumn("short", F.coalesce(F.col("after") < F.col("threshold_us"), F.lit(False)))
     d = d.withColumn("run", F.sum(F.when(F.col("short"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     place = Window.partitionBy("stem_id", F.coalesce("run", F.lit(0))).orderBy("tap_us")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import cascade as grids
-from ..kernels import matching, signal
+from ..kernels import matching, panels, periods, signal
 
 SECOND = 1_000_000.0
 
@@ -31,13 +31,13 @@ def density_peaks(density: DataFrame, step_us: int = 5_000, distance: int = 30,
 
 
 def consensus(peaks: DataFrame, params: grids.Params = grids.Params()) -> DataFrame:
-    """Each stem's grid: beats, period, score and the path that the cascade took."""
+    """Each stem's grid: beats, period, variation, and the path and scores of the cascade."""
 
     def kernel(t: pa.Table) -> pa.Table:
         f = grids.cascade(np.sort(t.column("tap_us").to_numpy() / SECOND), params)
-        return pa.table({"stem_id": [one(t, "stem_id")], "beats_us": pa.array([np.rint(f.beats * SECOND).astype(np.int64)], pa.list_(pa.int64())), "period_s": [f.period], "score": [f.score], "path": ["->".join(f.path)]})
+        return pa.table({"stem_id": [one(t, "stem_id")], "beats_us": pa.array([np.rint(f.beats * SECOND).astype(np.int64)], pa.list_(pa.int64())), "period_s": [grids.middle_interval(f.beats)], "cv": [grids.cv(f.beats)], "label": [f.label], "path": ["->".join(f.path)], "scores": pa.array([list(f.scores.items())], pa.map_(pa.string(), pa.float64()))})
 
-    return peaks.select("stem_id", "tap_us").groupBy("stem_id").applyInArrow(kernel, "stem_id string, beats_us array<long>, period_s double, score double, path string")
+    return peaks.select("stem_id", "tap_us").groupBy("stem_id").applyInArrow(kernel, "stem_id string, beats_us array<long>, period_s double, cv double, label string, path string, scores map<string,double>")
 
 
 def paired(reference: DataFrame, estimate: DataFrame, key: str, kernel, schema: str) -> DataFrame:
@@ -73,28 +73,37 @@ def matchings(reference: DataFrame, estimate: DataFrame, key: str = "stem_id", t
 
 def subsample(rows: DataFrame, keys: list[str], unit: str, n: int, draws: int, seed: int) -> DataFrame:
     """``draws`` samples of ``n`` units without replacement per key: units ranked by a hash of id, draw and seed."""
-    from pyspark.sql import Window
-
     units = rows.select(*keys, unit).distinct().select(*keys, unit, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     w = Window.partitionBy(*keys, "draw").orderBy(F.xxhash64(unit, "draw", F.lit(seed)), unit)
     chosen = units.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
     return rows.join(chosen, [*keys, unit])
 
 
-def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, draws: int, seed: int) -> DataFrame:
-    """Percentile interval of the mean by a Poisson bootstrap: each row's weight in a draw is a Poisson(1) number from its hash.
-
-    Sums per draw combine on the map side, so a group of any size is never held whole.
-    A draw in which all weights of a small group are 0 has no mean and is not counted.
-    """
-    u = (F.pmod(F.xxhash64("draw", *rows.columns, F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+def poisson(*parts) -> Column:
+    """A Poisson(1) number from a hash of the parts."""
+    u = (F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     steps, total, term = [], 0.0, float(np.exp(-1))
     for k in range(12):
         total += term
         steps.append(total)
         term /= k + 1
     weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    d = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("weight", weight)
+    return weight
+
+
+def numbered(rows: DataFrame, name: str = "copy") -> DataFrame:
+    """Equal rows told apart by a number among themselves, the same in every run."""
+    each = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    return each.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+
+
+def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, draws: int, seed: int) -> DataFrame:
+    """Percentile interval of the mean by a Poisson bootstrap: each row's weight in a draw is a Poisson(1) number from its hash.
+
+    Sums per draw combine on the map side, so a group of any size is never held whole.
+    A draw in which all weights of a small group are 0 has no mean and is not counted.
+    """
+    d = numbered(rows).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("weight", poisson("draw", *rows.columns, "copy", F.lit(seed)))
     means = d.groupBy(*keys, "draw").agg(F.try_divide(F.sum(F.col("weight") * F.col(value)), F.sum("weight")).alias("mean"))
     return means.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"), F.count("mean").alias("draws"))
 
@@ -102,13 +111,14 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, draws: int, see
 def permutation_test(vectors: DataFrame, group: str, columns: list[str], permutations: int, seed: int, limit: int = 200_000) -> DataFrame:
     """Share of label permutations whose between-group statistic reaches the observed one, (exceed + 1) / (n + 1).
 
-    vectors: one row for each participant.  They are broadcast (``limit`` rows
-    at most, or an error) and permutations are dealt over tasks.
+    vectors: one row for each participant.  Up to ``limit`` rows, counted
+    first, are broadcast and permutations are dealt over tasks; more stay
+    where they are, and each permutation is an order of hashes.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(group, *columns).orderBy(group, *columns).limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} participants")
+    if vectors.limit(limit + 1).count() > limit:
+        return permuted_by_hash(vectors, group, columns, permutations, seed)
+    rows = vectors.select(group, *columns).orderBy(group, *columns).toPandas()
     held = spark.sparkContext.broadcast((rows[group].astype("category").cat.codes.to_numpy(), rows[columns].to_numpy(float)))
 
     def statistic(labels: np.ndarray, x: np.ndarray) -> float:
@@ -125,3 +135,142 @@ def permutation_test(vectors: DataFrame, group: str, columns: list[str], permuta
 
     t = spark.range(permutations).mapInArrow(kernel, "observed double, exceed long, n long")
     return t.agg(F.max("observed").alias("observed"), F.sum("n").alias("permutations"), ((F.sum("exceed") + 1) / (F.sum("n") + 1)).alias("p"))
+
+
+def permuted_by_hash(vectors: DataFrame, group: str, columns: list[str], permutations: int, seed: int) -> DataFrame:
+    """As ``permutation_test`` for any number of rows: in each draw rows are sorted by a hash, and groups take their sizes' places."""
+    rows = numbered(vectors.select(group, *columns))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
+    edge = Window.orderBy(group)  # a row for each group
+    places = sizes.withColumn("to", F.sum("size").over(edge)).select(F.col(group).alias("label"), (F.col("to") - F.col("size")).alias("from"), "to")
+    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(permutations))))  # draw 0 is the table as it is
+    order = Window.partitionBy("draw").orderBy(F.when(F.col("draw") > 0, F.xxhash64(*rows.columns, "draw", F.lit(seed))).otherwise(F.lit(0)), group, *columns, "copy")
+    placed = each.withColumn("place", F.row_number().over(order))
+    at = F.filter(F.col("places"), lambda p: (p["from"] < F.col("place")) & (F.col("place") <= p["to"]))
+    told = placed.crossJoin(F.broadcast(places.agg(F.collect_list(F.struct("label", "from", "to")).alias("places")))).select("draw", F.element_at(at, 1)["label"].alias("label"), *columns)
+    g = told.groupBy("draw", "label").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in columns))
+    total = g.groupBy("draw").agg(F.sum("n").alias("all"), *(F.sum(c).alias(f"t_{c}") for c in columns))
+    d = sum((F.pow(F.col(c) / F.col("n") - F.col(f"t_{c}") / F.col("all"), 2) for c in columns), F.lit(0.0))
+    s = g.join(total, "draw").groupBy("draw").agg(F.sum(F.col("n") * d).alias("statistic"))
+    observed = s.where("draw = 0").select(F.col("statistic").alias("observed"))
+    return s.where("draw > 0").crossJoin(F.broadcast(observed)).agg(F.max("observed").alias("observed"), F.count("*").alias("permutations"), ((F.count_if(F.col("statistic") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def bootstrap_shares(rows: DataFrame, keys: list[str], unit: str, flags: list[str], draws: int, seed: int) -> DataFrame:
+    """Shares of categories with percentile intervals, units (participants) drawn whole; rows: keys, unit and 0/1 flags.
+
+    A unit's Poisson(1) weight in a draw comes from its hash, so sums per draw combine on the map side.
+    """
+    own = rows.groupBy(*keys, unit).agg(F.count("*").alias("total"), *(F.sum(c).alias(c) for c in flags))
+    d = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("weight", F.when(F.col("draw") == 0, 1).otherwise(poisson("draw", *keys, unit, F.lit(seed))))
+    s = d.groupBy(*keys, "draw").agg(*(F.try_divide(F.sum(F.col("weight") * F.col(c)), F.sum(F.col("weight") * F.col("total"))).alias(c) for c in flags))
+    long = s.select(*keys, "draw", F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("share")) for c in flags))).alias("x")).select(*keys, "draw", "x.*")
+    boot = F.when(F.col("draw") > 0, F.col("share"))
+    return long.groupBy(*keys, "category").agg(F.max(F.when(F.col("draw") == 0, F.col("share"))).alias("share"), F.percentile(boot, F.lit(0.025)).alias("lo"), F.percentile(boot, F.lit(0.975)).alias("hi"), F.count(boot).alias("draws"))
+
+
+def bootstrap_median(rows: DataFrame, keys: list[str], value: str, draws: int, seed: int) -> DataFrame:
+    """Percentile interval of the median by a Poisson bootstrap: weights are frequencies of an exact percentile."""
+    d = numbered(rows.select(*keys, value)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("weight", F.when(F.col("draw") == 0, 1).otherwise(poisson("draw", *keys, value, "copy", F.lit(seed))))
+    m = d.where("weight > 0").groupBy(*keys, "draw").agg(F.percentile(value, F.lit(0.5), F.col("weight")).alias("median"))
+    boot = F.when(F.col("draw") > 0, F.col("median"))
+    return m.groupBy(*keys).agg(F.max(F.when(F.col("draw") == 0, F.col("median"))).alias("median"), F.percentile(boot, F.lit(0.025)).alias("lo"), F.percentile(boot, F.lit(0.975)).alias("hi"), F.count(boot).alias("draws"))
+
+
+def rebuilt_permutation(trials: DataFrame, permutations: int, seed: int, limit: int = 2_000_000) -> DataFrame:
+    """Panel labels of participants permuted, and references, classes and residuals rebuilt each time: observed statistic and p.
+
+    trials: stem_id, participant, panel, period_us.  ``limit`` trials at most
+    are broadcast (32 bytes each), which is what a permutation of a whole
+    study needs in one place; permutations are dealt over tasks.
+    """
+    spark = trials.sparkSession
+    if trials.limit(limit + 1).count() > limit:
+        raise ValueError(f"a permutation of more than {limit} trials does not fit a task")
+    t = trials.select("stem_id", "participant", "panel", F.col("period_us").cast("double").alias("period")).orderBy("stem_id", "participant").toPandas()
+    codes = {c: np.unique(t[c], return_inverse=True) for c in ("stem_id", "participant", "panel")}
+    stem, who, panel = (codes[c][1].astype(np.int64) for c in ("stem_id", "participant", "panel"))
+    label = np.zeros(len(codes["participant"][0]), np.int64)
+    label[who] = panel
+    held = spark.sparkContext.broadcast((stem, who, label, t["period"].to_numpy(float)))
+
+    def kernel(batches):
+        stem, who, label, period = held.value
+        observed = panels.metrical_statistic(stem, who, label, period) if len(stem) else 0.0
+        for b in batches:
+            s = [panels.metrical_statistic(stem, who, np.random.default_rng([seed, i]).permutation(label), period) for i in b.column("id").to_pylist()] if len(stem) else []
+            yield pa.RecordBatch.from_arrays([pa.array([observed]), pa.array([sum(v >= observed - 1e-12 for v in s)], pa.int64()), pa.array([len(s)], pa.int64())], names=["observed", "exceed", "n"])
+
+    found = spark.range(permutations).mapInArrow(kernel, "observed double, exceed long, n long")
+    return found.agg(F.max("observed").alias("observed"), F.sum("n").alias("permutations"), ((F.sum("exceed") + 1) / (F.sum("n") + 1)).alias("p"))
+
+
+def convergence(taps: DataFrame, sizes: list[int], reps: int, seed: int, start_s: float = 10.0, stop_s: float = 25.0) -> DataFrame:
+    """Samples of n participants against all, and disjoint samples against each other: density correlation, peak F, peak offset.
+
+    taps: stem_id, participant, tap_us.  A row for each stem, size, repetition
+    and comparison.  Samples are orders of a hash of participant, repetition
+    and seed.  Means of densities are densities of weighted taps, so a sample
+    is one pass over a stem's taps.
+    """
+    blocks = taps.select("stem_id", "participant", F.col("tap_us").cast("long").alias("tap_us"), F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(b).alias("block")) for n in sizes for b in range(0, reps, 20)))).alias("x")).select("stem_id", "participant", "tap_us", "x.*")
+
+    def kernel(t: pa.Table) -> pa.Table:
+        n, first = one(t, "n"), one(t, "block")
+        ids, who = np.unique(t.column("participant").to_numpy(), return_inverse=True)
+        sec = t.column("tap_us").to_numpy() / SECOND
+        out = []
+        if n <= len(ids):
+            whole = signal.participant_density(sec, who, np.ones(len(ids)))
+            for rep in range(first, min(first + 20, reps)):
+                order = np.random.default_rng([seed, n, rep]).permutation(len(ids))
+                pick = lambda a, b: np.isin(np.arange(len(ids)), order[a:b]).astype(float)  # noqa: B023, E731
+                half = signal.participant_density(sec, who, pick(0, n))
+                out.append(("subsample_vs_full", rep, *signal.compared(whole, half, start_s, stop_s)))
+                if 2 * n <= len(ids):
+                    out.append(("independent_n_vs_n", rep, *signal.compared(half, signal.participant_density(sec, who, pick(n, 2 * n)), start_s, stop_s)))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.table({"stem_id": pa.array([one(t, "stem_id")] * len(out), pa.string()), "n": pa.array([n] * len(out), pa.int32()), "comparison": pa.array(cols[0], pa.string()), "rep": pa.array(cols[1], pa.int32()), **{k: pa.array(c, pa.float64(), from_pandas=True) for k, c in zip(("density_r", "peak_f", "offset_ms"), cols[2:], strict=True)}})
+
+    return blocks.groupBy("stem_id", "n", "block").applyInArrow(kernel, "stem_id string, n int, comparison string, rep int, density_r double, peak_f double, offset_ms double")
+
+
+def estimated_periods(peaks: DataFrame) -> DataFrame:
+    """Period of each stem's peaks by autocorrelation, and refined over candidates, multiples and phases."""
+
+    def kernel(t: pa.Table) -> pa.Table:
+        x = np.sort(t.column("tap_us").to_numpy() / SECOND)
+        rough, found = periods.by_autocorrelation(x)
+        period, phase = periods.estimate(x)
+        return pa.table({"stem_id": [one(t, "stem_id")], "acf_period_s": [rough], "n_candidates": pa.array([len(found)], pa.int32()), "period_s": [period], "phase_s": [phase]})
+
+    return peaks.select("stem_id", "tap_us").groupBy("stem_id").applyInArrow(kernel, "stem_id string, acf_period_s double, n_candidates int, period_s double, phase_s double")
+
+
+def compared_grids(reference: DataFrame, estimate: DataFrame, key: str = "stem_id", start_s: float = 10.0, stop_s: float = 25.0) -> DataFrame:
+    """F by maximum matching, periods, their ratio, circular phase offset and median greedy offset, in the evaluation window."""
+
+    def kernel(k, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        x, y = (v[(v >= start_s) & (v <= stop_s)] for v in (x, y))
+        p, q = (float(np.median(np.diff(v))) if len(v) > 1 else None for v in (x, y))
+        off = [abs(float(y[j] - x[i])) for i, j in matching.greedy_match(x, y, 0.07)]
+        phase = None
+        if p and q and 0.80 <= q / p <= 1.25:
+            a = 2 * np.pi * (y - x[matching.nearest_index(x, y)]) / p
+            phase = float(np.arctan2(np.sin(a).mean(), np.cos(a).mean()) / (2 * np.pi))
+        f = matching.f_measure(x, y) if len(x) and len(y) else None
+        values = {"f": f, "reference_period_s": p, "estimate_period_s": q, "ratio": q / p if p and q else None, "phase_offset": phase, "median_offset_ms": float(np.median(off)) * 1000 if off else None}
+        return pa.table({key: [k], **{n: pa.array([v], pa.float64()) for n, v in values.items()}})
+
+    return paired(reference, estimate, key, kernel, f"{key} string, f double, reference_period_s double, estimate_period_s double, ratio double, phase_offset double, median_offset_ms double")
+
+
+def levels_of(reference: DataFrame, estimate: DataFrame, key: str = "stem_id", start_s: float = 10.0, stop_s: float = 25.0) -> DataFrame:
+    """F, and the shares tracked at the annotated and at any metrical level, untrimmed within the window."""
+
+    def kernel(k, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        x, y = (v[(v >= start_s) & (v <= stop_s)] for v in (x, y))
+        _, cmlt, _, amlt = matching.continuity(x, y)
+        return pa.table({key: [k], "f": [matching.f_measure(x, y)], "cmlt": [cmlt], "amlt": [amlt]})
+
+    return paired(reference, estimate, key, kernel, f"{key} string, f double, cmlt double, amlt double")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running_total
+
 
 def average_rank(order: Column, partition: Sequence[Column | str]) -> Column:
     """Ranks where equal values share the mean of their places."""
@@ -29,10 +31,9 @@ def mann_whitney(rows: DataFrame, keys: Sequence[str], first: Column, value: str
 
 
 def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """H over the groups with the correction for ties; ranks come from counts of distinct values."""
+    """H over the groups with the correction for ties; ranks come from counts of distinct values, summed range by range."""
     v = rows.groupBy(value).agg(F.count("*").alias("c"))
-    w = Window.orderBy(value)
-    v = v.withColumn("rank", F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("c") + 1) / 2.0)
+    v = running_total(v, value, "c", "below").withColumn("rank", F.col("below") + (F.col("c") + 1) / 2.0)
     total = v.agg(F.sum("c").alias("n"), F.sum(F.pow(F.col("c").cast("double"), 3) - F.col("c")).alias("ties"))
     g = rows.join(v, value).groupBy(group).agg(F.count("*").alias("m"), F.sum("rank").alias("s")).agg(F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"), F.count("*").alias("k"))
     n = F.col("n").cast("double")
@@ -73,9 +74,10 @@ def fixed_effect_meta(effects: DataFrame) -> DataFrame:
 
 def two_way_effect(cells: DataFrame, row: str, column: str, x: str, y: str) -> DataFrame:
     """Coefficient of x on y with both fixed effects of a balanced table, and its error clustered by row."""
-    by_row, by_column, every = Window.partitionBy(row), Window.partitionBy(column), Window.partitionBy(F.lit(1))
-    within = lambda c: F.col(c) - F.avg(c).over(by_row) - F.avg(c).over(by_column) + F.avg(c).over(every)
-    t = cells.select(row, column, within(x).alias("x"), within(y).alias("y"))
+    by_row, by_column = Window.partitionBy(row), Window.partitionBy(column)
+    grand = cells.agg(F.avg(x).alias("grand_x"), F.avg(y).alias("grand_y"))  # one row
+    within = lambda c, g: F.col(c) - F.avg(c).over(by_row) - F.avg(c).over(by_column) + F.col(g)
+    t = cells.crossJoin(F.broadcast(grand)).select(row, column, within(x, "grand_x").alias("x"), within(y, "grand_y").alias("y"))
     fit = t.agg((F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("beta"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.count("*").alias("n"), F.count_distinct(row).alias("g"), F.count_distinct(column).alias("c"))
     scores = t.crossJoin(F.broadcast(fit)).groupBy(row, "beta", "xx", "n", "g", "c").agg(F.sum(F.col("x") * (F.col("y") - F.col("beta") * F.col("x"))).alias("u"))
     meat = scores.groupBy("beta", "xx", "n", "g", "c").agg(F.sum(F.col("u") * F.col("u")).alias("meat"))

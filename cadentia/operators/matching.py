@@ -10,17 +10,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(events: DataFrame, beats: DataFrame, keys: list[str]) -> DataFrame:
+def nearest(events: DataFrame, beats: DataFrame, keys: list[str], start_us: int = 0, stop_us: int = 30_000_000, slice_us: int = 2_000_000) -> DataFrame:
     """Each event (``t_us``) with its nearest beat and the signed distance ``off_us``; ties take the earlier beat.
 
-    events keep their columns; beats: keys and ``beat_us``.  Stems are also
-    split by windows of time only where asked for by the keys.
+    events keep their columns; beats: keys and ``beat_us``.  Time is cut into
+    slices, so that a key's events are not one task's; what lies beyond start
+    and stop goes with the first and the last slice.  A beat stands in each
+    slice from its predecessor's to its successor's, so every event meets both
+    its neighbours.  Two running frames, forward and back, carry them.
     """
     extra = [c for c in events.columns if c not in (*keys, "t_us")]
-    u = events.select(*keys, "t_us", F.lit(None).cast("long").alias("beat"), *extra).unionByName(beats.select(*keys, F.col("beat_us").alias("t_us"), F.col("beat_us").alias("beat")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("t_us")
-    before = F.max("beat").over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min("beat").over(w.rangeBetween(0, Window.unboundedFollowing))
+    at = lambda t: F.floor(F.greatest(F.lit(start_us), F.least(F.lit(stop_us), t)) / slice_us)
+    order = Window.partitionBy(*keys).orderBy("beat_us")
+    first, last = at(F.coalesce(F.lag("beat_us").over(order), F.lit(start_us))), at(F.coalesce(F.lead("beat_us").over(order), F.lit(stop_us)))
+    placed = beats.select(*keys, F.col("beat_us").alias("t_us"), F.col("beat_us").alias("beat"), first.alias("first"), last.alias("last"))
+    dealt = placed.withColumn("slice", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    u = events.select(*keys, "t_us", F.lit(None).cast(beats.schema["beat_us"].dataType).alias("beat"), at(F.col("t_us")).alias("slice"), *extra).unionByName(dealt, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "slice")
+    before = F.max("beat").over(w.orderBy("t_us").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min("beat").over(w.orderBy(F.desc("t_us")).rangeBetween(Window.unboundedPreceding, 0))
     u = u.withColumns({"before": before, "after": after}).where("beat is null")
     pick = F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull() | (F.col("t_us") - F.col("before") <= F.col("after") - F.col("t_us")), F.col("before")).otherwise(F.col("after"))
     return u.withColumn("nearest_us", pick).withColumn("off_us", F.col("t_us") - F.col("nearest_us")).select(*keys, "t_us", *extra, "nearest_us", "off_us")
@@ -35,7 +43,7 @@ def hit_rates(events: DataFrame, beats: DataFrame, keys: list[str], tolerance_us
 
 
 def alignment(events: DataFrame, beats: DataFrame, keys: list[str], tolerance_us: int) -> DataFrame:
-    """Pooled over a stem: hit share, signed and absolute mean, median and root mean square of the distance."""
+    """Pooled over a stem: hit share, signed and absolute mean, median, sample deviation and root mean square of the distance."""
     n = nearest(events, beats, keys)
     d = F.col("off_us")
     return n.groupBy(*keys).agg(
@@ -44,6 +52,7 @@ def alignment(events: DataFrame, beats: DataFrame, keys: list[str], tolerance_us
         F.avg(d).alias("mean_us"),
         F.avg(F.abs(d)).alias("mean_abs_us"),
         F.median(F.abs(d)).alias("median_abs_us"),
+        F.stddev_samp(d).alias("sd_us"),
         F.sqrt(F.avg(d.cast("double") * d.cast("double"))).alias("rms_us"),
     )
 

@@ -117,7 +117,7 @@ def tempo(taps: DataFrame, least_ioi_us: int = 50_000) -> DataFrame:
 
 def tempo_gate(taps: DataFrame, bpm: DataFrame, tolerance: float) -> DataFrame:
     """Trials whose tempo lies within ``tolerance`` of their stem's; bpm: (stem_id, target)."""
-    return tempo(taps).join(F.broadcast(bpm), "stem_id").where(F.abs(F.col("bpm") - F.col("target")) / F.col("target") <= tolerance)
+    return tempo(taps).join(bpm, "stem_id").where(F.abs(F.col("bpm") - F.col("target")) / F.col("target") <= tolerance)
 
 
 def coherence(taps: DataFrame, keys: Sequence[str] = ("stem_id",), least_taps: int = 0, least_participants: int = 0) -> DataFrame:
@@ -173,4 +173,5 @@ def train_autocorrelation(events: DataFrame, step_us: int = 5_000, max_lag: int
     left = b.select("stem_id", "bin", F.explode(F.array(F.floor(F.col("bin") / max_lag), F.floor(F.col("bin") / max_lag) + 1)).alias("block"))
     right = b.select("stem_id", F.col("bin").alias("later"), F.floor(F.col("bin") / max_lag).alias("block"))
     lag = F.col("later") - F.col("bin")
-    return left.join(right, ["stem_id", "block"]).where(lag.between(0, max_lag)).groupBy("stem_id", lag.alias("lag")).agg(F.count("*").alias("n_pairs"))
+    pairs = left.join(right, ["stem_id", "block"]).where(lag.between(0, max_lag)).groupBy("stem_id", lag.alias("lag")).agg(F.count("*").alias("n_pairs"))
+    return pairs.withColumn("acf", F.col("n_pairs") / F.max("n_pairs").over(Window.partitionBy("stem_id")))

@@ -33,11 +33,11 @@ def trial_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.withColumns({c: X.half_even(F.col(c), 6) for c in ("mean_off_us", "sd_off_us")})
 
 
-ALIGN = f"count(*) AS n, {R6.format('avg(CASE WHEN abs(t_us - nearest_us) <= 70000 THEN 1.0::DOUBLE ELSE 0 END)')} AS hit_rate, {R6.format('avg(t_us - nearest_us)')} AS mean_us, {R6.format('avg(abs(t_us - nearest_us))')} AS mean_abs_us, median(abs(t_us - nearest_us)) AS median_abs_us, round_even(sqrt(avg(CAST(t_us - nearest_us AS DOUBLE) * (t_us - nearest_us))) * 1e3, 0) / 1e3 AS rms_us"
+ALIGN = f"count(*) AS n, {R6.format('avg(CASE WHEN abs(t_us - nearest_us) <= 70000 THEN 1.0::DOUBLE ELSE 0 END)')} AS hit_rate, {R6.format('avg(t_us - nearest_us)')} AS mean_us, {R6.format('avg(abs(t_us - nearest_us))')} AS mean_abs_us, median(abs(t_us - nearest_us)) AS median_abs_us, round_even(stddev_samp(t_us - nearest_us) * 1e3, 0) / 1e3 AS sd_us, round_even(sqrt(avg(CAST(t_us - nearest_us AS DOUBLE) * (t_us - nearest_us))) * 1e3, 0) / 1e3 AS rms_us"
 
 
 def rounded_alignment(a: DataFrame) -> DataFrame:
-    return a.withColumns({c: X.half_even(F.col(c), 6) for c in ("hit_rate", "mean_us", "mean_abs_us")} | {"rms_us": X.half_even(F.col("rms_us"), 3)})
+    return a.withColumns({c: X.half_even(F.col(c), 6) for c in ("hit_rate", "mean_us", "mean_abs_us")} | {c: X.half_even(F.col(c), 3) for c in ("sd_us", "rms_us")})
 
 
 @query(f"{TAP_NEAR} SELECT stem_id, {ALIGN} FROM n GROUP BY 1")
@@ -133,7 +133,7 @@ def grid_score_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refine_sql() -> str:
     out = [f"WITH {ESTS}, f0 AS (SELECT stem_id, CAST(410000 + 50000 * ord AS DOUBLE) AS period, CAST(90000 * ord AS DOUBLE) AS phase FROM stems)"]
     for i in range(3):
-        out.append(f"n{i} AS (SELECT stem_id, count(*) AS n, regr_slope(CAST(beat_us AS DOUBLE), k) AS slope, regr_intercept(CAST(beat_us AS DOUBLE), k) AS inter FROM (SELECT e.stem_id, beat_us, period, phase, round_even((beat_us - phase) / period, 0) AS k FROM ests e JOIN f{i} USING (stem_id)) WHERE abs(beat_us - phase - k * period) <= 0.25 * period GROUP BY 1), f{i + 1} AS (SELECT stem_id, CASE WHEN n >= 3 AND slope >= 100000 THEN slope ELSE period END AS period, CASE WHEN n >= 3 AND slope >= 100000 THEN inter ELSE phase END AS phase FROM f{i} LEFT JOIN n{i} USING (stem_id))")
+        out.append(f"n{i} AS (SELECT stem_id, count(*) AS n, regr_slope(CAST(beat_us AS DOUBLE), k) AS slope, regr_intercept(CAST(beat_us AS DOUBLE), k) AS inter FROM (SELECT e.stem_id, beat_us, period, phase, round_even((beat_us - phase) / period, 0) AS k FROM ests e JOIN f{i} USING (stem_id)) WHERE abs(beat_us - phase - k * period) <= 0.15 * period GROUP BY 1), f{i + 1} AS (SELECT stem_id, CASE WHEN n >= 3 AND slope >= 100000 THEN slope ELSE period END AS period, CASE WHEN n >= 3 AND slope >= 100000 THEN inter ELSE phase END AS phase FROM f{i} LEFT JOIN n{i} USING (stem_id))")
     return ", ".join(out) + " SELECT stem_id, round_even(period, 2) AS period_us, round_even(phase, 1) AS phase_us FROM f3"
 
 

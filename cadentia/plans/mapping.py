@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import dense_places
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,8 +26,7 @@ def taps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stem and ordinal; as many rows as there are event types."""
-    s = table(spark, sf_dir, "events").select(F.col("event_type").alias("stem_id")).distinct()
-    return s.join(s.select(F.col("stem_id").alias("o")), F.col("o") <= F.col("stem_id")).groupBy("stem_id").agg(F.count("*").alias("ord"))
+    return dense_places(table(spark, sf_dir, "events").select(F.col("event_type").alias("stem_id")), "stem_id", "ord")
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:

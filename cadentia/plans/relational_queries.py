@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators.ordering import dense_places
 from .mapping import REFS, TAPS, references, table, taps
 from .registry import query
 
@@ -66,20 +67,17 @@ def tap_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("stem_id", "participant", F.size("t").cast("long").alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda x, y: x + y).alias("total_us"), F.element_at("t", 1).alias("first_us"), F.element_at("t", -1).alias("last_us"))
 
 
-@query(f"WITH {TAPS} SELECT stem_id, participant, CAST(row_number() OVER (PARTITION BY stem_id, participant ORDER BY tap_us, event_id) - 1 AS INTEGER) AS pos, tap_us FROM taps WHERE panel = 3")
+@query(f"WITH {TAPS} SELECT stem_id, participant, CAST(row_number() OVER (PARTITION BY stem_id, participant ORDER BY tap_us, event_id) - 1 AS INTEGER) AS pos, tap_us FROM taps")
 def tap_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = taps(spark, sf_dir).where("panel = 3").groupBy("stem_id", "participant").agg(F.array_sort(F.collect_list("tap_us")).alias("t"))
+    a = taps(spark, sf_dir).groupBy("stem_id", "participant").agg(F.array_sort(F.collect_list("tap_us")).alias("t"))
     return a.select("stem_id", "participant", F.posexplode("t").alias("pos", "tap_us"))
 
 
 @query("SELECT user_id AS participant, 'gt-' || lpad(CAST(dense_rank() OVER (ORDER BY user_id) AS VARCHAR), 4, '0') AS pseudonym FROM (SELECT DISTINCT user_id FROM events)")
 def pseudonym_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys in the order of ids: ids are ranked within ranges and the ranges' sizes added, so no task sees all of them."""
-    ids = table(spark, sf_dir, "events").select(F.col("user_id").alias("participant")).distinct().withColumn("range", F.floor(F.col("participant") / 4096))
-    before = ids.groupBy("range").agg(F.count("*").alias("n"))
-    before = before.join(before.select(F.col("range").alias("lower"), F.col("n").alias("m")), F.col("lower") < F.col("range"), "left").groupBy("range").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("offset"))
-    r = F.col("offset") + F.row_number().over(Window.partitionBy("range").orderBy("participant"))
-    return ids.join(F.broadcast(before), "range").select("participant", F.format_string("gt-%04d", r).alias("pseudonym"))
+    ids = table(spark, sf_dir, "events").select(F.col("user_id").alias("participant"))
+    return dense_places(ids, "participant", "place").select("participant", F.format_string("gt-%04d", "place").alias("pseudonym"))
 
 
 @query("SELECT o_custkey, c_name, c_mktsegment, count(*) AS n_orders, count(n_name) AS n_known FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 2 GROUP BY 1, 2, 3")
@@ -183,8 +181,9 @@ def permutations_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.explode("v").alias("a"), "v").select("a", F.explode("v").alias("b"), "v").where("a <> b").select("a", "b", F.explode("v").alias("c")).where("c <> a and c <> b")
 
 
-@query("WITH t(name) AS (VALUES ('x10'), ('x9'), ('y'), ('x100'), ('b2')) SELECT name, row_number() OVER (ORDER BY coalesce(TRY_CAST(regexp_extract(name, '([0-9]+)$', 1) AS INTEGER), 999), name) AS place FROM t")
+@query("WITH t AS (SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1) SELECT name, n, row_number() OVER (ORDER BY coalesce(TRY_CAST(regexp_extract(name, '([0-9]+)$', 1) AS INTEGER), 999) * 100 + length(name)) AS place FROM t")
 def computed_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(x,) for x in ("x10", "x9", "y", "x100", "b2")], "name string")
-    key = F.coalesce(F.regexp_extract("name", "([0-9]+)$", 1).try_cast("int"), F.lit(999))
-    return t.select("name", F.row_number().over(Window.orderBy(key, "name")).cast("long").alias("place"))
+    """Brands by their trailing number, 999 without one."""
+    key = F.coalesce(F.regexp_extract("name", "([0-9]+)$", 1).try_cast("int"), F.lit(999)) * 100 + F.length("name")
+    t = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n")).withColumn("key", key)
+    return t.join(dense_places(t, "key", "place"), "key").select("name", "n", "place")

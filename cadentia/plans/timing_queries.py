@@ -119,9 +119,10 @@ def kde_participant_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.tap_histogram(taps(spark, sf_dir)).withColumn("weight", X.half_even(F.col("weight"), 6))
 
 
-@query(f"WITH {TAPS}, b AS (SELECT DISTINCT stem_id, tap_us // 5000 AS bin FROM taps WHERE panel = 1) SELECT x.stem_id, CAST(y.bin - x.bin AS INTEGER) AS lag, count(*) AS n_pairs FROM b x JOIN b y ON x.stem_id = y.stem_id AND y.bin - x.bin BETWEEN 0 AND 400 GROUP BY ALL")
+@query(f"WITH {TAPS}, b AS (SELECT DISTINCT stem_id, tap_us // 5000 AS bin FROM taps), p AS (SELECT x.stem_id, CAST(y.bin - x.bin AS INTEGER) AS lag, count(*) AS n_pairs FROM b x JOIN b y ON x.stem_id = y.stem_id AND y.bin - x.bin BETWEEN 0 AND 400 GROUP BY ALL) SELECT *, round_even(n_pairs / (max(n_pairs) OVER (PARTITION BY stem_id))::DOUBLE, 9) AS acf FROM p")
 def acf_peak_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.train_autocorrelation(taps(spark, sf_dir).where("panel = 1"))
+    """Pairs at each lag, and their share of those at lag 0, which is the largest."""
+    return T.train_autocorrelation(taps(spark, sf_dir)).withColumn("acf", X.half_even(F.col("acf"), 9))
 
 
 @query()
@@ -134,4 +135,4 @@ def find_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cascade_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consensus grid of each stem, from taps to beats."""
     c = grouped.consensus(find_peaks(spark, sf_dir))
-    return c.select("stem_id", F.size("beats_us").alias("n_beats"), F.element_at("beats_us", 1).alias("first_us"), "period_s", "score", "path")
+    return c.select("stem_id", F.size("beats_us").alias("n_beats"), F.get("beats_us", F.lit(0)).alias("first_us"), "period_s", "cv", "label", "path", F.element_at("scores", "post_ge").alias("score_extended"))

@@ -7,6 +7,6 @@ from pyspark.sql import functions as F
 
 
 def sliding_participants(taps: DataFrame, time: str = "ts", late: str = "10 seconds") -> DataFrame:
-    """(stem_id, bin start, participants) of bins that the watermark has closed; the count is approximate, so state stays small."""
+    """(stem_id, bin start, participants) of bins that the watermark has closed; the count is exact, so a bin's state holds its participants until the watermark closes it."""
     w = F.window(time, "100 milliseconds", "50 milliseconds")
-    return taps.withWatermark(time, late).groupBy("stem_id", w.alias("bin")).agg(F.approx_count_distinct("participant", 0.01).alias("n_participants")).select("stem_id", F.col("bin.start").alias("bin_start"), "n_participants")
+    return taps.withWatermark(time, late).groupBy("stem_id", w.alias("bin")).agg(F.size(F.collect_set("participant")).cast("long").alias("n_participants")).select("stem_id", F.col("bin.start").alias("bin_start"), "n_participants")

@@ -82,7 +82,7 @@ def test_resampling_is_the_whole_job(spark, monkeypatch):
     assert got["b", 1][1] == 500 and 2 < got["b", 1][0] < all_of_b and len(got) == 3
     monkeypatch.undo()
     assert Q.permutation_p(spark, SF).first().permutations == 9_999
-    assert {r.draws for r in Q.bootstrap_ci(spark, SF).collect()} == {2_000}
+    assert all(1_990 <= r.draws <= 2_000 for r in Q.bootstrap_ci(spark, SF).collect())  # ten rows: a draw is empty with a chance of 1 in 22,000
 
 
 def test_bootstrap_of_a_small_group(spark):
