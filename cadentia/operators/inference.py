@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels import periods
 from .ordering import running_total
 
 
@@ -84,3 +86,64 @@ def two_way_effect(cells: DataFrame, row: str, column: str, x: str, y: str) -> D
     k = F.col("g") + F.col("c")
     factor = F.col("g") / (F.col("g") - 1.0) * (F.col("n") - 1.0) / (F.col("n") - k)
     return meat.select("n", "beta", (F.sqrt(factor * F.col("meat")) / F.col("xx")).alias("se"))
+
+
+def guarded_corr(rows: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 5) -> DataFrame:
+    """Pearson's r per group; null below ``least`` rows or where a side does not vary."""
+    enough = (F.count("*") >= least) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.when(enough, F.corr(x, y)).alias("r"))
+
+
+def paired(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """Over rows that have both: means, the first one's standard error, and the mean difference over its deviation."""
+    d = F.col(a) - F.col(b)
+    return rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), (F.stddev_samp(a) / F.sqrt(F.count("*"))).alias("se_a"), F.try_divide(F.avg(d), F.stddev_samp(d)).alias("dz"))
+
+
+def tie_sum(rows: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """Sum of t ** 3 - t over the groups of equal values."""
+    c = F.col("c").cast("double")
+    return rows.groupBy(*keys, value.alias("tied")).agg(F.count("*").alias("c")).groupBy(*keys).agg(F.sum(c * c * c - c).alias("ties"))
+
+
+def wilcoxon_z(pairs: DataFrame, key: str, difference: str) -> DataFrame:
+    """W+ standardised by its variance with ties, per key."""
+    d = pairs.where(F.col(difference) != 0)
+    w = wilcoxon(pairs, [key], difference).join(tie_sum(d, [key], F.abs(F.col(difference))), key)
+    n = F.col("n").cast("double")
+    z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    return w.select(F.lit("wilcoxon").alias("test"), F.col(key).cast("string").alias("group"), "n", F.lit(None).cast("long").alias("freedom"), z.alias("value"))
+
+
+def mann_whitney_z(rows: DataFrame, key: str, first: Column, value: str) -> DataFrame:
+    """U standardised with ties and continuity, for the first group being the larger, per key."""
+    u = mann_whitney(rows, [key], first, value).join(tie_sum(rows, [key], F.col(value)), key)
+    a, b = F.col("n_first").cast("double"), F.col("n_second").cast("double")
+    n = a + b
+    z = (F.col("u") - a * b / 2 - 0.5) / F.sqrt(a * b / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    return u.select(F.lit("mann_whitney").alias("test"), F.col(key).cast("string").alias("group"), n.cast("long").alias("n"), F.lit(None).cast("long").alias("freedom"), z.alias("value"))
+
+
+def with_p(w: DataFrame, u: DataFrame, h: DataFrame, r: DataFrame) -> DataFrame:
+    """One table of tests (test, group, n, freedom, value, p): two-sided, but one-sided for Mann-Whitney; Kruskal-Wallis by chi-square, Spearman by Student's t."""
+    h = h.select(F.lit("kruskal").alias("test"), F.lit("all").alias("group"), F.col("n").cast("long").alias("n"), (F.col("k") - 1).alias("freedom"), F.col("h").alias("value"))
+    key = next(c for c in r.columns if c not in ("n", "rho"))
+    t = F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2.0), F.sqrt(1 - F.col("rho") * F.col("rho")))
+    r = r.select(F.lit("spearman").alias("test"), F.col(key).cast("string").alias("group"), "n", (F.col("n") - 2).alias("freedom"), t.alias("value"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = []
+            for test, freedom, x in zip(b.column("test").to_pylist(), b.column("freedom").to_pylist(), b.column("value").to_pylist(), strict=True):
+                if x is None or x != x or (freedom is not None and freedom < 1):
+                    p.append(None)
+                elif test == "kruskal":
+                    p.append(periods.chi_square_tail(x, freedom))
+                elif test == "spearman":
+                    p.append(min(1.0, 2 * periods.student_tail(abs(x), freedom)))
+                else:
+                    p.append(periods.normal_tail(x) if test == "mann_whitney" else 2 * periods.normal_tail(abs(x)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "p"])
+
+    tests = w.unionAll(u).unionAll(h).unionAll(r)
+    return tests.mapInArrow(kernel, "test string, group string, n long, freedom long, value double, p double")

@@ -24,6 +24,6 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import beat_queries, panel_queries, relational_queries, timing_queries  # noqa: F401
+    from . import beat_queries, export_queries, panel_queries, relational_queries, stage_queries, timing_queries  # noqa: F401
 
     return QUERIES, ORACLES
