@@ -53,6 +53,26 @@ def annotator_files(spark: SparkSession, path: str, start: float, stop: float, l
     return files.select("stem", "annotator", times.alias("times")).where(F.size("times") >= least)
 
 
+def first_columns(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, times): the first column of beat files, sorted."""
+    b = beat_files(spark, path)
+    return b.groupBy("stem").agg(F.array_sort(F.collect_list("t")).alias("times"))
+
+
+def annotator_line(spark: SparkSession, path: str, start: float, stop: float, index: int) -> DataFrame:
+    """(stem, times): one annotator's line, by its place in the file, in the window and sorted; not rounded."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)\.[^.]*$", 1).alias("stem"), F.get(F.split("value", "\n"), F.lit(index)).alias("line"))
+    numbers = F.transform(F.split(F.trim("line"), BLANKS), lambda x: x.try_cast("double"))
+    return files.select("stem", F.array_sort(F.filter(numbers, lambda x: x.isNotNull() & x.between(start, stop))).alias("times")).where("line is not null")
+
+
+def annotators_pooled(spark: SparkSession, path: str, start: float, stop: float) -> DataFrame:
+    """(stem, times): all annotators' times in the window, sorted together, repeats included."""
+    numbers = F.transform(F.split(F.trim("value"), BLANKS), lambda x: x.try_cast("double"))
+    lines = spark.read.text(path).select(F.regexp_extract("_metadata.file_name", r"^(.*?)\.[^.]*$", 1).alias("stem"), F.explode(numbers).alias("t"))
+    return lines.where(F.col("t").between(start, stop)).groupBy("stem").agg(F.array_sort(F.collect_list("t")).alias("times"))
+
+
 def vector_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
     """(stem, values): a number a line; where a stem matches several patterns the first one counts."""
     out = None
@@ -61,16 +81,30 @@ def vector_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
         out = v if out is None else out.unionAll(v)
     if out is None:
         raise ValueError("no patterns")
-    g = out.groupBy("stem", "rank").agg(F.array_sort(F.collect_list("t")).alias("values"))
+    listed = None
+    for rank, pattern in enumerate(patterns):  # a file without a line still names its stem
+        f = spark.read.format("binaryFile").load(pattern).select(F.regexp_extract("path", r"([^/]*?)(?:_crowd_gs)?\.[^./]*$", 1).alias("stem"), F.lit(rank).alias("rank"), F.lit(None).cast("double").alias("t"))
+        listed = f if listed is None else listed.unionAll(f)
+    g = out.unionAll(listed).groupBy("stem", "rank").agg(F.array_sort(F.collect_list("t")).alias("values"))
     w = Window.partitionBy("stem").orderBy("rank")
     return g.withColumn("r", F.row_number().over(w)).where("r = 1").select("stem", "values")
 
 
+def vectors(rows: DataFrame, key: str, time: str, name: str = "beats") -> DataFrame:
+    """(stem, sorted times) from rows of a key, of which a .wav ending is taken off, and a time."""
+    return rows.groupBy(F.regexp_replace(F.col(key), r"\.wav$", "").alias("stem")).agg(F.array_sort(F.collect_list(time)).alias(name))
+
+
 def algorithm_beats(rows: DataFrame, algorithm: str | None = None) -> DataFrame:
     """(stem, beats) sorted, from rows of wav, beat_time_s and algorithm."""
     if algorithm is not None:
         rows = rows.where(F.col("algorithm") == algorithm)
-    return rows.groupBy(F.regexp_replace("wav", r"\.wav$", "").alias("stem")).agg(F.array_sort(F.collect_list("beat_time_s")).alias("beats"))
+    return vectors(rows, "wav", "beat_time_s")
+
+
+def peak_vectors(rows: DataFrame) -> DataFrame:
+    """(stem, peaks) sorted, from a peak table."""
+    return vectors(rows, "stimulus_id", "peak_time_s", "peaks")
 
 
 def window_peaks(rows: DataFrame, start: float, stop: float) -> DataFrame:
@@ -122,3 +156,62 @@ def config(text: str, env: dict[str, str] | None = None) -> dict:
         return [expand(x) for x in v] if isinstance(v, list) else v
 
     return expand(json.loads(text))
+
+
+def resolved(path: str, roots: Sequence[str], must_exist: bool = False) -> str:
+    """An absolute path as it is, else under the first root that has it, else under the last one; driver-side, for small local files."""
+    found = [path] if os.path.isabs(path) else [os.path.join(r, path) for r in roots]
+    for p in found:
+        if os.path.exists(p):
+            return p
+    if must_exist:
+        raise FileNotFoundError(path)
+    return found[-1]
+
+
+def first_readable(spark: SparkSession, paths: Sequence[str], read) -> DataFrame:
+    """The table of the first path that Spark can list; an error if there is none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        p = hadoop.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return read(path)
+    raise FileNotFoundError(", ".join(paths))
+
+
+def merged_config(base: dict, over: dict) -> dict:
+    """``over`` laid over a deep copy of ``base``: objects are merged, anything else is replaced."""
+    out = {k: merged_config(v, {}) if isinstance(v, dict) else v for k, v in base.items()}
+    for k, v in over.items():
+        out[k] = merged_config(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def stem_tempo(rows: DataFrame, dataset: str) -> DataFrame:
+    """(stem, bpm) of one data set's metadata; what is no number is left out."""
+    return rows.where(F.lower(F.trim("dataset")) == dataset.lower()).select(F.trim("stem").alias("stem"), F.col("bpm").cast("string").try_cast("double").alias("bpm")).where("bpm is not null and not isnan(bpm)")
+
+
+def source_countries(rows: DataFrame, stem: str = "stim_name", country: str = "source_country") -> DataFrame:
+    """(stem, source_country), a row for each stem."""
+    return rows.select(F.trim(F.col(stem)).alias("stem"), F.trim(F.col(country)).alias("source_country")).dropDuplicates(["stem"])
+
+
+def split_roles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Recruitment panels and music sources of one table of countries."""
+    return rows.where(F.col("role") == "panel").drop("role"), rows.where(F.col("role") == "source").drop("role")
+
+
+def wav_headers(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(path, stem, rate, channels, seconds) of WAV files, from the bytes of their headers; other files have nulls."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.{wav,WAV}").option("recursiveFileLookup", recursive).load(path)
+    le = lambda at, n: F.conv(F.concat(*(F.hex(F.substring("content", at + n - 1 - i, 1)) for i in range(n))), 16, 10).cast("long")
+    is_wav = (F.substring("content", 1, 4).cast("string") == "RIFF") & (F.substring("content", 13, 4).cast("string") == "fmt ")
+    when = lambda c: F.when(is_wav, c)
+    return df.select("path", F.trim(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)).alias("stem"), when(le(25, 4)).alias("rate"), when(le(23, 2)).cast("int").alias("channels"), when((F.col("length") - 44) / le(29, 4)).alias("seconds"))
+
+
+def located(stems: DataFrame, listing: DataFrame) -> DataFrame:
+    """Stems with the path of their file, null where there is none; of several the first path."""
+    first = listing.groupBy("stem").agg(F.min("path").alias("path"))
+    return stems.join(first, "stem", "left")

@@ -20,3 +20,24 @@ def provenance(inputs: DataFrame, outputs: DataFrame, config_sha256: str) -> Dat
     """A row for each file with its role and digest; both tables as ``readers.files`` gives them."""
     role = lambda d, r: d.select(F.lit(r).alias("role"), "path", "length", "sha256")
     return role(inputs, "input").unionAll(role(outputs, "output")).withColumns({"config_sha256": F.lit(config_sha256), "written_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")})
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A JSON object a line."""
+    df.write.mode("overwrite").json(path)
+
+
+def markdown(df: DataFrame, title: str, most: int = 1_000) -> str:
+    """A small table as Markdown; a larger one is an error, as a report is read by people."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    text = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    return "\n".join([f"# {title}", "", line(df.columns), line(["---"] * len(df.columns)), *(line([text(v) for v in r]) for r in rows), ""])
+
+
+def run_summary(manifests: DataFrame) -> DataFrame:
+    """One row for a run of several stages' manifests: files and bytes by role, and one digest over theirs in order of path."""
+    files = F.array_sort(F.collect_list(F.struct("path", "sha256")))
+    return manifests.groupBy("role").agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(F.transform(files, lambda x: x["sha256"]), ","), 256).alias("sha256"))

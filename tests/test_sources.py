@@ -61,3 +61,62 @@ def test_stream_closes_bins(spark, tmp_path):
     finally:
         q.stop()
     assert got.most == 3 and got.n > 20
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("1.0001 3 2\n9 8.5,99\n")
+    got = lambda d: [(r.stem, r.times) for r in d.collect()]
+    assert got(readers.annotator_line(spark, f"{tmp_path}/m.txt", 0, 30, 1)) == [("m", [8.5, 9.0])]
+    assert got(readers.annotators_pooled(spark, f"{tmp_path}/m.txt", 0, 30)) == [("m", [1.0001, 2.0, 3.0, 8.5, 9.0])]
+    assert readers.annotator_line(spark, f"{tmp_path}/m.txt", 0, 30, 7).count() == 0
+    assert got(readers.first_columns(spark, f"{tmp_path}/m.txt")) == [("m", [1.0001, 9.0])]
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v/empty.txt").write_text("")
+    assert {r.stem: r["values"] for r in readers.vector_files(spark, [f"{tmp_path}/v/*"]).collect()} == {"empty": []}
+    (tmp_path / "w").mkdir()
+    head = b"RIFF" + (36 + 800).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") + (1).to_bytes(2, "little") + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + (2).to_bytes(2, "little") + (16).to_bytes(2, "little") + b"data" + (8000).to_bytes(4, "little")
+    (tmp_path / "w/a .wav").write_bytes(head + bytes(8000))
+    (tmp_path / "w/b.wav").write_bytes(b"none")
+    w = {r.stem: r for r in readers.wav_headers(spark, f"{tmp_path}/w").collect()}
+    assert (w["a"].rate, w["a"].channels, w["a"].seconds) == (8000, 1, 0.5) and w["b"].rate is None
+    stems = spark.createDataFrame([("a",), ("z",)], "stem string")
+    assert {r.stem: r.path is not None for r in readers.located(stems, readers.wav_headers(spark, f"{tmp_path}/w")).collect()} == {"a": True, "z": False}
+    assert readers.resolved("m.txt", ["/nowhere", str(tmp_path)], True) == f"{tmp_path}/m.txt" and readers.resolved("x", ["/a", "/b"]) == "/b/x"
+    assert readers.first_readable(spark, [f"{tmp_path}/no", f"{tmp_path}/m.txt"], spark.read.text).count() == 2
+    base = {"a": {"b": 1, "c": [1]}, "d": 2}
+    assert readers.merged_config(base, {"a": {"b": 5}, "e": 1}) == {"a": {"b": 5, "c": [1]}, "d": 2, "e": 1} and base["a"]["b"] == 1
+    meta = spark.createDataFrame([("s1 ", "Ballroom", "120"), ("s2", "ballroom", "fast"), ("s3", "other", "90")], "stem string, dataset string, bpm string")
+    assert [tuple(r) for r in readers.stem_tempo(meta, "ballroom").collect()] == [("s1", 120.0)]
+    panels, sources = readers.split_roles(spark.createDataFrame([("FR", "panel"), ("MX", "source")], "country string, role string"))
+    assert panels.first().country == "FR" and sources.first().country == "MX"
+    assert readers.source_countries(spark.createDataFrame([("a", " FR")], "stim_name string, source_country string")).first().source_country == "FR"
+    peaks = spark.createDataFrame([("x", 2.0), ("x", 1.0)], "stimulus_id string, peak_time_s double")
+    assert readers.peak_vectors(peaks).first().peaks == [1.0, 2.0]
+
+
+def test_reports(spark, tmp_path):
+    t = spark.createDataFrame([("a|b", 1.23456, None)], "k string, v double, n int")
+    assert sinks.markdown(t, "T").splitlines() == ["# T", "", "| k | v | n |", "| --- | --- | --- |", "| a\\|b | 1.235 |  |"]
+    sinks.write_json(t, f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").first().k == "a|b"
+    f = spark.createDataFrame([("input", "p", 3, "aa"), ("input", "q", 4, "bb")], "role string, path string, length long, sha256 string")
+    assert sinks.run_summary(f).first().bytes == 7
+
+
+def test_consensus_of_annotators(spark, tmp_path):
+    """Annotators as trials: their lines, cleaned, pooled, and one grid."""
+    from cadentia.operators import grouped
+    from cadentia.operators import timing as T
+
+    (tmp_path / "song.txt").write_text("\n".join(" ".join(f"{0.5 * k + 0.01 * a:.3f}" for k in range(1, 59)) for a in range(4)))
+    a = readers.annotator_files(spark, f"{tmp_path}/song.txt", 0, 30)
+    taps = a.select(F.col("stem").alias("stem_id"), F.col("annotator").cast("long").alias("participant"), F.explode("times").alias("t")).withColumn("tap_us", F.rint(F.col("t") * 1e6).cast("long"))
+    r = grouped.consensus(grouped.density_peaks(T.pooled_density(T.cleaned_fast(taps)))).first()
+    assert abs(r.period_s - 0.5) < 0.01 and 55 <= len(r.beats_us) <= 62
+
+
+def test_payload_texts(spark):
+    from cadentia.operators import exports as E
+
+    d = spark.createDataFrame([("['1.5', 2]", None), ("(250, 300)", None), (None, "[0.25, 0.5]"), ("oops", "")], "a string, b string")
+    assert [r.v for r in d.select(E.tap_list_ms([F.col("a"), F.col("b")]).alias("v")).collect()] == [[1500.0, 2000.0], [250.0, 300.0], [250.0, 500.0], []]
