@@ -73,6 +73,17 @@ def annotators_pooled(spark: SparkSession, path: str, start: float, stop: float)
     return lines.where(F.col("t").between(start, stop)).groupBy("stem").agg(F.array_sort(F.collect_list("t")).alias("times"))
 
 
+def stem_of(name: str) -> str:
+    return re.sub(r"(_crowd_gs)?\.[^.]*$", "", name)
+
+
+def empty_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of files without a byte, which Spark's scans pass over; a listing of the folder on the driver."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
+    return [f.getPath().getName() for f in found if f.isFile() and f.getLen() == 0]
+
+
 def vector_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
     """(stem, values): a number a line; where a stem matches several patterns the first one counts."""
     out = None
@@ -81,11 +92,8 @@ def vector_files(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
         out = v if out is None else out.unionAll(v)
     if out is None:
         raise ValueError("no patterns")
-    listed = None
-    for rank, pattern in enumerate(patterns):  # a file without a line still names its stem
-        f = spark.read.format("binaryFile").load(pattern).select(F.regexp_extract("path", r"([^/]*?)(?:_crowd_gs)?\.[^./]*$", 1).alias("stem"), F.lit(rank).alias("rank"), F.lit(None).cast("double").alias("t"))
-        listed = f if listed is None else listed.unionAll(f)
-    g = out.unionAll(listed).groupBy("stem", "rank").agg(F.array_sort(F.collect_list("t")).alias("values"))
+    bare = [(stem_of(name), rank, None) for rank, pattern in enumerate(patterns) for name in empty_files(spark, pattern)]
+    g = out.unionAll(spark.createDataFrame(bare, "stem string, rank int, t double")).groupBy("stem", "rank").agg(F.array_sort(F.collect_list("t")).alias("values"))
     w = Window.partitionBy("stem").orderBy("rank")
     return g.withColumn("r", F.row_number().over(w)).where("r = 1").select("stem", "values")
 
