@@ -206,21 +206,43 @@ def ranked(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the ``length`` bytes at each start, by prefix doubling from 8 bytes."""
-    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)]).astype(np.uint64)
+def suffix_levels(data: np.ndarray, reach: int) -> list[tuple[int, np.ndarray]]:
+    """(width, ranks of the ``width`` bytes at each position), by prefix doubling from 8 bytes to ``reach`` at least.
+
+    The last ranks are the suffix order as far as any common prefix matters.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     n = len(data)
-    have, width = np.zeros(n, np.uint64), min(8, length)
-    for k in range(width):
+    have = np.zeros(n, np.uint64)
+    for k in range(8):
         have = have << np.uint64(8) | padded[k : n + k]
-    rank = ranked(have)
-    while width < length:
-        if 2 * width >= length:
-            return ranked(rank[starts] * np.int64(n + 1) + rank[starts + length - width])
-        after = np.concatenate([rank[width:], np.zeros(width, np.int64)])
+    rank, width = ranked(have), 8
+    out = [(width, rank.astype(np.int32))]
+    while width < reach:
+        after = np.concatenate([rank[width:] + 1, np.zeros(min(width, n), np.int64)])[:n]
         rank = ranked(rank * np.int64(n + 1) + after)
         width *= 2
-    return rank[starts]
+        out.append((width, rank.astype(np.int32)))
+    return out
+
+
+def common_prefix(data: np.ndarray, levels: list[tuple[int, np.ndarray]], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of the suffixes at x and y, as far as the widest level sees."""
+    size, n = np.zeros(len(x), np.int64), len(data)
+
+    def step(width: int, values: np.ndarray, going: np.ndarray) -> np.ndarray:
+        i, j = x + size, y + size
+        same = going & (i + width <= n) & (j + width <= n)
+        same[same] = values[i[same]] == values[j[same]]
+        size[same] += width
+        return same
+
+    for width, rank in reversed(levels):
+        step(width, rank, np.ones(len(x), bool))
+    going = np.ones(len(x), bool)
+    for _ in range(7):
+        going = step(1, data, going)
+    return size
 
 
 def nearest_smaller(x: np.ndarray) -> np.ndarray:
@@ -234,37 +256,40 @@ def nearest_smaller(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def previous_factor(rank: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor reaches the ranked length, for each window.
+def previous_factor(data: np.ndarray, levels: list[tuple[int, np.ndarray]], start: np.ndarray, stop: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Longest previous factor of the suffixes at ``start``, each within its own snippet, which ends at ``stop``.
 
-    In suffix order the earlier window with the longest common prefix is next
-    to the window among those with smaller positions: the previous or the next
+    In suffix order the earlier suffix with the longest common prefix is next
+    to a suffix among those with smaller positions: the previous or the next
     smaller position.
     """
-    order = np.lexsort((position, rank))
-    p, r = position[order], rank[order]
+    order = np.lexsort((position, levels[-1][1][start]))
+    p = position[order]
     before = nearest_smaller(p)
     after = len(p) - 1 - nearest_smaller(p[::-1])[::-1]
-    reach = ((before >= 0) & (r[before] == r)) | ((after < len(p)) & (r[np.minimum(after, len(p) - 1)] == r))
-    out = np.empty(len(p), bool)
-    out[order] = reach
+    out = np.zeros(len(p), np.int64)
+    for other in (before, after):
+        here = np.flatnonzero((other >= 0) & (other < len(p)))
+        i, j = order[here], order[other[here]]
+        common = np.minimum(common_prefix(data, levels, start[i], start[j]), np.minimum(stop[i] - start[i], stop[j] - start[j]))
+        out[i] = np.maximum(out[i], common)
     return out
 
 
 def repeats(h: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, snippets: list[bytes], length: int) -> pa.RecordBatch:
-    """Windows with an earlier equal one within the group of their anchor, from one suffix order."""
+    """Windows whose longest previous factor within the group of their anchor reaches ``length``, from one suffix order."""
     sizes = np.array([len(x) for x in snippets], np.int64)
     first = np.cumsum(sizes) - sizes
     count = (hi - lo + 1).astype(np.int64)
     starts = ranges(first, count)
     row = np.repeat(np.arange(len(count)), count)
     at = lo[row] + (starts - first[row])
-    rank = suffix_ranks(np.frombuffer(b"".join(snippets), np.uint8), starts, length)
+    data = np.frombuffer(b"".join(snippets), np.uint8)
     order = np.lexsort((at, doc[row]))
     d, a = doc[row][order], at[order]
     position = np.empty(len(order), np.int64)
     position[order] = np.concatenate([[0], np.cumsum((d[1:] != d[:-1]) | (a[1:] != a[:-1]))])
-    hit = previous_factor(rank, position)
+    hit = previous_factor(data, suffix_levels(data, 2 * length), starts, (first + sizes)[row], position) >= length
     return removals(doc[row][hit], at[hit], at[hit] + length)
 
 

@@ -174,11 +174,33 @@ def test_suffix(docs, corpus, odd, empty, monkeypatch, group):
 
 
 def test_previous_factor_against_literal():
+    """Lengths of longest previous factors, within snippets, in any order of positions."""
     rng = np.random.default_rng(3)
-    for _ in range(100):
-        data = rng.integers(97, 99, 60).astype(np.uint8)
-        starts = np.arange(50)
-        rank = suffix_dedup.suffix_ranks(data, starts, 9)
-        got = suffix_dedup.previous_factor(rank, starts)
+    for trial in range(100):
+        sizes = rng.integers(20, 60, 4)
+        data = rng.integers(97, 99, int(sizes.sum())).astype(np.uint8)
+        if trial % 3 == 0:
+            data[sizes[0] : sizes[0] + 20] = data[:20]
+        stop = np.repeat(np.cumsum(sizes), sizes - 9)
+        start = np.concatenate([np.arange(e - n, e - 9) for e, n in zip(np.cumsum(sizes), sizes)])
+        position = rng.permutation(len(start))
+        got = suffix_dedup.previous_factor(data, suffix_dedup.suffix_levels(data, 80), start, stop, position)
         text = data.tobytes()
-        assert got.tolist() == [any(text[j : j + 9] == text[i : i + 9] for j in range(i)) for i in range(50)]
+        for i in range(len(start)):
+            best = 0
+            for j in range(len(start)):
+                if position[j] < position[i]:
+                    k = 0
+                    while start[i] + k < stop[i] and start[j] + k < stop[j] and text[start[i] + k] == text[start[j] + k]:
+                        k += 1
+                    best = max(best, k)
+            full = max((k for j in range(len(start)) if position[j] < position[i] for k in [min(stop[j] - start[j], stop[i] - start[i])] if text[start[j] : start[j] + k] == text[start[i] : start[i] + k]), default=0)
+            assert got[i] <= best and (got[i] >= 9) == (best >= 9) and got[i] >= min(best, full)
+
+
+def test_suffix_zero_bytes_and_repeated_ids(spark):
+    """Zero bytes are bytes; rows that repeat a doc_id lose the same places, as far as their texts reach."""
+    zero = "\0" * 130 + "x" * 5
+    rows = [(1, zero), (2, zero), (3, "ab" * 120), (3, "short")]
+    got = [tuple(r)[:4] for r in suffix_dedup.remove_repeats(frame(spark, rows)).orderBy("doc_id", "n_bytes").collect()]
+    assert got[1] == (2, 135, 135, 1) and got[0][2] == 129 and got[2] == (3, 5, 3, 1) and got[3][:3] == (3, 240, 238)

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadentia.llm import decontaminate, language_id, pii_sanitise, quality_rules, secret_scan, source_mixing, toxicity
 
@@ -381,7 +382,28 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.run(spark, SF).toPandas()
     assert set(docs.columns) < set(kept.columns) and kept.text.notna().all()
+    from cadentia.llm import minhash_dedup
+
     kept = kept.drop_duplicates("doc_id")
+    left = spark.createDataFrame(kept[["doc_id", "text"]])
+    assert not minhash_dedup.near_duplicates(left).where("not kept").count()  # no two near copies are left at the end
     judged = {r.doc_id for r in quality_rules.judge(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").collect()}
     assert set(kept.doc_id) <= judged and len(kept) > 0.5 * len(judged) and kept.doc_id.is_unique
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "minhash_dedup", "decontaminate", "source_mixing"]
+
+
+def test_stages_on_odd_rows(spark, odd, empty, corpus):
+    """Every stage takes null ids and texts, repeated rows, an empty table, and columns named as its own."""
+    import corpus_pipeline
+
+    long = spark.createDataFrame([(900 + i, " ".join(f"z{i}q{j}" for j in range(60)), "en", "s", 1) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = long
+    for name in ("gone", "half", "stratum", "of", "kept", "block", "copies", "lines", "row_number", "weight"):
+        clash = clash.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        for d in (odd, clash):
+            out = stage(spark, d, SF)
+            n = out.count()
+            assert set(d.columns) <= set(out.columns) and (name == "source_mixing" or n <= d.count()), name
+        assert {r.doc_id for r in stage(spark, clash, SF).collect()} == {900, 901, 902} or name == "source_mixing"
+        assert stage(spark, empty, SF).count() == 0, name
