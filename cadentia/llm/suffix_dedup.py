@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ LENGTH = 100
 CORE = 40
 #: Text bytes hashed at once, and those whose anchors a task gathers before it drops the repeats within them.
 PIECE, GATHER = 2 << 20, 32 << 20
+#: Snippet bytes in one suffix order (about a hundred bytes of memory each), or those of one group.
+ORDERED = 1 << 20
 #: Different contexts of one anchor that one suffix array may hold; larger groups are dealt out window by window.
 GROUP = 20_000
 
@@ -323,8 +326,18 @@ def compared(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "doc_id", "lo"])
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches in slices of about ORDERED bytes of snippets."""
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ORDERED, "right")))
+                yield batch.slice(at, to - at)
+                at = to
+
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; whole groups are gathered up to a few megabytes."""
+        """Rows come sorted by anchor; whole groups are gathered up to ORDERED bytes, or one group."""
         parts: list[tuple] = []
         size = 0
 
@@ -332,12 +345,12 @@ def compared(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             h, doc, lo, hi = (np.concatenate([x[i] for x in p]) for i in range(4))
             return repeats(h, doc, lo.astype(np.int64), hi.astype(np.int64), [b for x in p for b in x[4]], length)
 
-        for batch in batches:
+        for batch in slices(batches):
             h = longs(batch, "h")
             rows = (h, longs(batch, "doc_id"), longs(batch, "lo"), longs(batch, "hi"), batch.column("bytes").to_pylist())
             parts.append(rows)
             size += sum(map(len, rows[4]))
-            if size > PIECE:
+            if size > ORDERED:
                 whole = tuple(np.concatenate([x[i] for x in parts]) for i in range(4))
                 snippets = [b for x in parts for b in x[4]]
                 cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
