@@ -182,3 +182,29 @@ def with_rows(docs: DataFrame, side: DataFrame) -> DataFrame:
     """Inner join on doc_id with a narrow table of unique ids, broadcast only where it is counted to be small."""
     small = side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(side) if small else side, "doc_id")
+
+
+#: Rows of one key that a join brings to one task, about; a key of more is dealt out in parts.
+PART_ROWS = 1000
+
+
+def hot_keys(rows: DataFrame, key: list[str], size: Column | None = None) -> DataFrame:
+    """(key, parts) of the keys with more than PART_ROWS rows (or of that summed ``size``), written; at most one for each PART_ROWS rows."""
+    size = F.count("*") if size is None else F.sum(size)
+    return durable(rows.groupBy(*key).agg(F.ceil(size / PART_ROWS).cast("long").alias("parts")).where("parts > 1"))
+
+
+def split_join(rows: DataFrame, side: DataFrame, key: list[str], by: str, hot: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, whose keys are unique, where one key may hold any share of the rows.
+
+    ``hot`` comes from hot_keys.  The rows of such a key are dealt to its parts by the
+    column ``by``, and its row of ``side`` is repeated once for each part.
+    """
+    n = hot.limit(BROADCAST_IDS + 1).count()
+    if not n:
+        return rows.join(side, key)
+    hot = F.broadcast(hot) if n <= BROADCAST_IDS else hot
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = rows.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(by), parts)).drop("parts")
+    repeated = side.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return dealt.join(repeated, [*key, "part"]).drop("part")

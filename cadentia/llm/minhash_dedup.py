@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_map, durable, hashed, longs, mix, strips, summed, table, texts, utf8, with_ids, with_rows
+from .common import WordHash, arrow_map, durable, hashed, hot_keys, longs, mix, split_join, strips, summed, table, texts, utf8, with_ids, with_rows
 from .graph import components
 from .setjoin import candidates, prefix
 
@@ -109,9 +109,17 @@ def fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
+def both_sides(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b; written) with columns of both documents; neither a document with very many partners nor they meet in one task."""
+    found = pairs
+    for own, other in (("b", "a"), ("a", "b")):
+        of = side.select(F.col("doc_id").alias(own), *(F.col(c).alias(f"{c}_{own}") for c in columns))
+        found = split_join(found, of, [own], other, hot_keys(pairs, [own]))
+    return found
+
+
 def screen(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and registers allow the threshold, with the estimate."""
-    of = lambda side: sig.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("regs").alias(f"regs_{side}"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +128,7 @@ def screen(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
             ok = near(est, used, percent) & fits(longs(batch, "n_a"), longs(batch, "n_b"), percent)
             yield pa.RecordBatch.from_arrays([pa.array(longs(batch, "a")[ok]), pa.array(longs(batch, "b")[ok]), pa.array(est[ok])], names=["a", "b", "est"])
 
-    return arrow_map(pairs.join(of("b"), "b").join(of("a"), "a"), kernel, "a long, b long, est double")
+    return arrow_map(both_sides(durable(pairs), sig, "n", "regs"), kernel, "a long, b long, est double")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -141,8 +149,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             ok = np.array(ok, bool)
             yield pa.RecordBatch.from_arrays([pa.array(longs(batch, "a")[ok]), pa.array(longs(batch, "b")[ok])], names=["a", "b"])
 
-    of = lambda side: held.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    return arrow_map(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b"), kernel, "a long, b long")
+    return arrow_map(both_sides(pairs, held, "text").select("a", "b", "text_a", "text_b"), kernel, "a long, b long")
 
 
 def across(members: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -191,8 +198,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     sig = durable(signatures(docs, width))
     full = sig.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"))
-    classes = durable(classes)
+    same = ["set_a", "set_b", "n"]
+    classes = durable(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = durable(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "regs"))
     keys = band_keys(reps)
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "pivot")
@@ -204,9 +211,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = durable(verify(screen(across(members.select("key", "doc_id"), labels, docs, width, percent), reps, percent), docs, width, percent))
     if more.limit(1).count():
         labels = components(edges.unionAll(more))
-    out = sig.join(classes, ["set_a", "set_b", "n"], "left").join(labels, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("label", "rep", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("label", "rep").alias("component_id"))
+    linked = split_join(full, named, same, "doc_id", hot_keys(classes, same, F.col("copies")))
+    alone = sig.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return linked.unionByName(alone.select(linked.columns)).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

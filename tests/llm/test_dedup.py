@@ -7,7 +7,7 @@ import time
 import numpy as np
 import pytest
 
-from cadentia.llm import line_dedup, minhash_dedup, suffix_dedup
+from cadentia.llm import common, line_dedup, minhash_dedup, suffix_dedup
 from cadentia.llm.graph import components
 
 from .conftest import frame
@@ -40,6 +40,17 @@ def test_minhash(docs, corpus, width, percent):
     assert got == near_brute(corpus, width, percent)
 
 
+@pytest.mark.parametrize("ids", [1_000_000, 0])
+def test_minhash_splits_hot_keys(odd, corpus, monkeypatch, ids):
+    """Every pivot and class is dealt out, with the hot keys broadcast or shuffled; rows without an id stand alone."""
+    monkeypatch.setattr(common, "PART_ROWS", 1)
+    monkeypatch.setattr(common, "BROADCAST_IDS", ids)
+    rows = minhash_dedup.near_duplicates(odd, 5, 80).collect()
+    assert len(rows) == len(corpus) + 4
+    assert {r[0]: tuple(r[1:4]) for r in rows if r[0] is not None} == near_brute(corpus, 5, 80)
+    assert all(r.kept and r.component_id is None for r in rows if r[0] is None)
+
+
 def test_minhash_odd_rows(odd, empty, corpus):
     rows = minhash_dedup.near_duplicates(odd, 3, 85).collect()
     assert len(rows) == len(corpus) + 4
