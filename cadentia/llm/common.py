@@ -188,22 +188,25 @@ def with_rows(docs: DataFrame, side: DataFrame) -> DataFrame:
 PART_ROWS = 1000
 
 
-def hot_keys(rows: DataFrame, key: list[str], size: Column | None = None) -> DataFrame:
-    """(key, parts) of the keys with more than PART_ROWS rows (or of that summed ``size``), written; at most one for each PART_ROWS rows."""
+def hot_keys(rows: DataFrame, key: list[str], size: Column | None = None) -> DataFrame | None:
+    """(key, parts) of the keys with more than PART_ROWS of ``rows`` (written), or of that summed ``size``: one for each PART_ROWS rows at most, broadcast only where they are counted to be few; None if there are none."""
     size = F.count("*") if size is None else F.sum(size)
-    return durable(rows.groupBy(*key).agg(F.ceil(size / PART_ROWS).cast("long").alias("parts")).where("parts > 1"))
+    hot = rows.groupBy(*key).agg(F.ceil(size / PART_ROWS).cast("long").alias("parts")).where("parts > 1")
+    n = hot.limit(BROADCAST_IDS + 1).count()
+    if not n:
+        return None
+    hot = durable(hot)
+    return F.broadcast(hot) if n <= BROADCAST_IDS else hot
 
 
-def split_join(rows: DataFrame, side: DataFrame, key: list[str], by: str, hot: DataFrame) -> DataFrame:
+def split_join(rows: DataFrame, side: DataFrame, key: list[str], by: str, hot: DataFrame | None) -> DataFrame:
     """Inner join of ``rows`` with ``side``, whose keys are unique, where one key may hold any share of the rows.
 
-    ``hot`` comes from hot_keys.  The rows of such a key are dealt to its parts by the
+    The rows of a key in ``hot`` (of hot_keys) are dealt to its parts by the
     column ``by``, and its row of ``side`` is repeated once for each part.
     """
-    n = hot.limit(BROADCAST_IDS + 1).count()
-    if not n:
+    if hot is None:
         return rows.join(side, key)
-    hot = F.broadcast(hot) if n <= BROADCAST_IDS else hot
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     dealt = rows.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(by), parts)).drop("parts")
     repeated = side.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")

@@ -109,16 +109,16 @@ def fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
-def both_sides(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
-    """Pairs (a, b; written) with columns of both documents; neither a document with very many partners nor they meet in one task."""
+def both_sides(pairs: DataFrame, side: DataFrame, hot: dict[str, DataFrame | None], *columns: str) -> DataFrame:
+    """Pairs (a, b) with columns of both documents; a document of ``hot``, with very many partners, does not meet them in one task."""
     found = pairs
     for own, other in (("b", "a"), ("a", "b")):
         of = side.select(F.col("doc_id").alias(own), *(F.col(c).alias(f"{c}_{own}") for c in columns))
-        found = split_join(found, of, [own], other, hot_keys(pairs, [own]))
+        found = split_join(found, of, [own], other, hot.get(own))
     return found
 
 
-def screen(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+def screen(pairs: DataFrame, sig: DataFrame, percent: int, hot: dict[str, DataFrame | None]) -> DataFrame:
     """Pairs (a, b) whose sizes and registers allow the threshold, with the estimate."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +128,10 @@ def screen(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
             ok = near(est, used, percent) & fits(longs(batch, "n_a"), longs(batch, "n_b"), percent)
             yield pa.RecordBatch.from_arrays([pa.array(longs(batch, "a")[ok]), pa.array(longs(batch, "b")[ok]), pa.array(est[ok])], names=["a", "b", "est"])
 
-    return arrow_map(both_sides(durable(pairs), sig, "n", "regs"), kernel, "a long, b long, est double")
+    return arrow_map(both_sides(pairs, sig, hot, "n", "regs"), kernel, "a long, b long, est double")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, hot: dict[str, DataFrame | None]) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     pairs = durable(pairs.select("a", "b"))
     held = with_ids(texts(docs), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).dropDuplicates(["doc_id"])
@@ -149,7 +149,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             ok = np.array(ok, bool)
             yield pa.RecordBatch.from_arrays([pa.array(longs(batch, "a")[ok]), pa.array(longs(batch, "b")[ok])], names=["a", "b"])
 
-    return arrow_map(both_sides(pairs, held, "text").select("a", "b", "text_a", "text_b"), kernel, "a long, b long")
+    return arrow_map(both_sides(pairs, held, hot, "text").select("a", "b", "text_a", "text_b"), kernel, "a long, b long")
 
 
 def across(members: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -204,13 +204,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keys = band_keys(reps)
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "pivot")
     members = durable(keys.join(shared, "key"))
-    star = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = screen(star, reps, percent).groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
-    edges = durable(verify(first, docs, width, percent))
+    star = durable(members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
+    hot = {"a": hot_keys(star, ["a"])}  # as b a document stands once for each of its bands at most
+    first = screen(star, reps, percent, hot).groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
+    edges = durable(verify(first, docs, width, percent, hot))
     labels = components(edges)
-    more = durable(verify(screen(across(members.select("key", "doc_id"), labels, docs, width, percent), reps, percent), docs, width, percent))
-    if more.limit(1).count():
-        labels = components(edges.unionAll(more))
+    pairs = durable(across(members.select("key", "doc_id"), labels, docs, width, percent))
+    if pairs.limit(1).count():
+        hot = {side: hot_keys(pairs, [side]) for side in ("a", "b")}
+        more = durable(verify(screen(pairs, reps, percent, hot), docs, width, percent, hot))
+        if more.limit(1).count():
+            labels = components(edges.unionAll(more))
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("label", "rep").alias("component_id"))
     linked = split_join(full, named, same, "doc_id", hot_keys(classes, same, F.col("copies")))
     alone = sig.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
