@@ -112,3 +112,55 @@ def phase_groups(peaks: DataFrame, threshold_us: DataFrame) -> DataFrame:
     d = d.withColumn("run", F.sum(F.when(F.col("short"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     place = Window.partitionBy("stem_id", F.coalesce("run", F.lit(0))).orderBy("tap_us")
     return d.withColumn("i", F.row_number().over(place)).select("stem_id", "tap_us", F.when(F.col("i") % 2 == 1, "A").otherwise("B").alias("phase_group"))
+
+
+def interpolated(points: DataFrame, curve: DataFrame, step_us: int, name: str = "y") -> DataFrame:
+    """Points with the value at ``t_us`` of their stem's curve, which is linear between grid points and 0 outside.
+
+    curve: stem_id, g (each index of the grid) and y; point g lies at g * step_us.
+    It is divided by its greatest value.  A point meets one row of the curve, so
+    nothing is joined by range.
+    """
+    top = F.max("y").over(Window.partitionBy("stem_id")) + 1e-12
+    after = F.lead("y").over(Window.partitionBy("stem_id").orderBy("g"))
+    c = curve.select("stem_id", "g", (F.col("y") / top).alias("_y"), (after / top).alias("_next"))
+    at = points.withColumns({"g": F.floor(F.col("t_us") / step_us), "_part": F.pmod(F.col("t_us"), F.lit(step_us)) / step_us})
+    value = F.when(F.col("_part") == 0, F.col("_y")).otherwise(F.col("_y") + (F.col("_next") - F.col("_y")) * F.col("_part"))
+    return at.join(c, ["stem_id", "g"], "left").withColumn(name, F.coalesce(value, F.lit(0.0))).drop("g", "_part", "_y", "_next")
+
+
+def placement_cost(beats: DataFrame, weights: tuple[float, float, float]) -> DataFrame:
+    """Cost of each stem's beats: squared misses of the wanted interval, less density, plus squared distances to peaks.
+
+    beats: stem_id, t_us, target_us (the interval wanted before this beat),
+    density, off_us (to the nearest peak; null where a stem has none).  In
+    seconds.  A stem with one beat costs a million.
+    """
+    w = Window.partitionBy("stem_id").orderBy("t_us")
+    d = beats.withColumn("miss", (F.col("t_us") - F.lag("t_us").over(w) - F.col("target_us")) / SECOND)
+    off = F.col("off_us") / SECOND
+    parts = d.groupBy("stem_id").agg(F.count("*").alias("n_beats"), F.avg(F.col("miss") * F.col("miss")).alias("c_interval"), (-F.avg("density")).alias("c_density"), F.coalesce(F.avg(off * off), F.lit(0.0)).alias("c_peaks"))
+    cost = sum((F.col(c) * v for c, v in zip(("c_interval", "c_density", "c_peaks"), weights, strict=True)), F.lit(0.0))
+    return parts.withColumn("cost", F.when(F.col("n_beats") < 2, 1e6).otherwise(cost))
+
+
+def nudged(beats: DataFrame, start_us: int = 0, stop_us: int = 30 * SECOND, share: float = 0.05) -> DataFrame:
+    """Inner beats moved toward the middle of their neighbours, by ``share`` of the median interval at most.
+
+    Rows: stem_id, i, beat_us, nudged_us and cv, the variation of the new
+    intervals.  A stem of fewer than four beats, or one in which an interval
+    would fall under half the median, stays as it is, with no cv.
+    """
+    stem = Window.partitionBy("stem_id")
+    w = stem.orderBy("beat_us")
+    b = beats.select("stem_id", F.col("beat_us").cast("double").alias("beat_us"))
+    b = b.withColumns({"i": F.row_number().over(w), "before": F.lag("beat_us").over(w), "after": F.lead("beat_us").over(w)})
+    b = b.withColumns({"n": F.count("*").over(stem), "period": F.median(F.col("beat_us") - F.col("before")).over(stem)})
+    cap = share * F.col("period")
+    by = F.greatest(-cap, F.least(cap, (F.col("before") + F.col("after")) / 2 - F.col("beat_us")))
+    inside = lambda x: F.greatest(F.lit(float(start_us)), F.least(F.lit(float(stop_us)), x))
+    b = b.withColumn("moved", inside(F.when(F.col("before").isNull() | F.col("after").isNull(), F.col("beat_us")).otherwise(F.col("beat_us") + by)))
+    places = b.select("stem_id", "moved", F.row_number().over(stem.orderBy("moved")).alias("i"), (F.col("moved") - F.lag("moved").over(stem.orderBy("moved"))).alias("ioi"))
+    b = b.drop("moved", "before", "after").join(places, ["stem_id", "i"])
+    ok = (F.col("n") >= 4) & (F.min("ioi").over(stem) >= 0.5 * F.col("period"))
+    return b.select("stem_id", "i", "beat_us", F.when(ok, F.col("moved")).otherwise(F.col("beat_us")).alias("nudged_us"), F.when(ok, F.stddev_pop("ioi").over(stem) / F.avg("ioi").over(stem)).alias("cv"))

@@ -180,3 +180,38 @@ def greedy_and_maximum_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def beat_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.beat_metrics(references(spark, sf_dir), estimates(spark, sf_dir))
+
+
+STEP = 100_000
+CURVE = f"curve AS (SELECT s.stem_id, g, count(t.tap_us)::DOUBLE AS y FROM (SELECT stem_id, unnest(range(0, 300)) AS g FROM stems) s LEFT JOIN taps t ON t.stem_id = s.stem_id AND t.tap_us // {STEP} = g GROUP BY 1, 2), slopes AS (SELECT stem_id, g, y / (max(y) OVER (PARTITION BY stem_id) + 1e-12) AS y, lead(y) OVER (PARTITION BY stem_id ORDER BY g) / (max(y) OVER (PARTITION BY stem_id) + 1e-12) AS later FROM curve)"
+VALUE = f"CASE WHEN g IS NULL THEN 0 WHEN e.beat_us % {STEP} = 0 THEN y ELSE coalesce(y + (later - y) * (e.beat_us % {STEP}) / {STEP}.0::DOUBLE, 0) END"
+AT = f"placed AS (SELECT e.stem_id, e.k, e.beat_us, {VALUE} AS density FROM ests e LEFT JOIN slopes l ON l.stem_id = e.stem_id AND l.g = floor(e.beat_us / {STEP}.0::DOUBLE))"
+
+
+def density_at_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated beats with the density of taps there, from counts in steps of 100 ms."""
+    every = references(spark, sf_dir).select("stem_id").distinct().withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(299).cast("long"))))
+    n = taps(spark, sf_dir).groupBy("stem_id", F.floor(F.col("tap_us") / STEP).alias("g")).agg(F.count("*").alias("n"))
+    curve = every.join(n, ["stem_id", "g"], "left").select("stem_id", "g", F.coalesce("n", F.lit(0)).cast("double").alias("y"))
+    return G.interpolated(estimates(spark, sf_dir).select("stem_id", "k", F.col("beat_us").alias("t_us")), curve, STEP, "density")
+
+
+@query(f"WITH {TAPS}, {ESTS}, {CURVE}, {AT} SELECT stem_id, k, beat_us AS t_us, round_even(density * 1e9, 0) / 1e9 AS density FROM placed")
+def interpolated_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density_at_beats(spark, sf_dir).withColumn("density", X.half_even(F.col("density"), 9))
+
+
+@query(f"WITH {TAPS}, {ESTS}, {CURVE}, {AT}, near AS {NEAR.format(cols='a.stem_id, a.k', t='a.beat_us', a='ests', b='refs')}, d AS (SELECT a.stem_id, a.beat_us, density, (t_us - nearest_us) / 1e6::DOUBLE AS off, (a.beat_us - lag(a.beat_us) OVER w) AS ioi FROM placed a JOIN near n ON n.stem_id = a.stem_id AND n.k = a.k WINDOW w AS (PARTITION BY a.stem_id ORDER BY a.beat_us)), m AS (SELECT stem_id, median(ioi) AS target FROM d GROUP BY 1), c AS (SELECT stem_id, count(*) AS n_beats, avg(((ioi - target) / 1e6::DOUBLE) ** 2) AS c_interval, -avg(density) AS c_density, avg(off * off) AS c_peaks FROM d JOIN m USING (stem_id) GROUP BY 1) SELECT stem_id, n_beats, {R6.format('c_interval')} AS c_interval, {R6.format('c_density')} AS c_density, {R6.format('c_peaks')} AS c_peaks, {R6.format('CASE WHEN n_beats < 2 THEN 1e6 ELSE 2.0 * c_interval + 0.3 * c_density + 0.3 * c_peaks END')} AS cost FROM c")
+def placement_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a free placement would minimise, for the estimated beats; the wanted interval is their median."""
+    at = M.nearest(density_at_beats(spark, sf_dir), references(spark, sf_dir), ["stem_id"])
+    w = Window.partitionBy("stem_id")
+    gap = F.col("t_us") - F.lag("t_us").over(w.orderBy("t_us"))
+    c = G.placement_cost(at.withColumn("gap", gap).withColumn("target_us", F.median("gap").over(w)), (2.0, 0.3, 0.3))
+    return c.withColumns({n: X.half_even(F.col(n), 6) for n in ("c_interval", "c_density", "c_peaks", "cost")})
+
+
+@query(f"WITH {ESTS}, b AS (SELECT stem_id, beat_us, row_number() OVER w AS i, lag(beat_us) OVER w AS before, lead(beat_us) OVER w AS later FROM ests WINDOW w AS (PARTITION BY stem_id ORDER BY beat_us)), p AS (SELECT stem_id, count(*) AS n, median(beat_us - before) AS period FROM b GROUP BY 1), m AS (SELECT stem_id, greatest(0, least(30000000, CASE WHEN before IS NULL OR later IS NULL THEN beat_us ELSE beat_us + greatest(-0.05::DOUBLE * period, least(0.05::DOUBLE * period, (before + later) / 2.0::DOUBLE - beat_us)) END)) AS moved FROM b JOIN p USING (stem_id)), o AS (SELECT stem_id, moved, row_number() OVER w AS i, moved - lag(moved) OVER w AS ioi FROM m WINDOW w AS (PARTITION BY stem_id ORDER BY moved)), f AS (SELECT stem_id, min(ioi) AS least_ioi, stddev_pop(ioi) / avg(ioi) AS cv FROM o GROUP BY 1) SELECT b.stem_id, b.i, CAST(b.beat_us AS DOUBLE) AS beat_us, round_even(CASE WHEN n >= 4 AND least_ioi >= 0.5 * period THEN moved ELSE b.beat_us END, 3) AS nudged_us, CASE WHEN n >= 4 AND least_ioi >= 0.5 * period THEN {R6.format('cv')} END AS cv FROM b JOIN p USING (stem_id) JOIN o ON o.stem_id = b.stem_id AND o.i = b.i JOIN f ON f.stem_id = b.stem_id")
+def nudged_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = G.nudged(estimates(spark, sf_dir))
+    return n.withColumns({"nudged_us": X.half_even(F.col("nudged_us"), 3), "cv": X.half_even(F.col("cv"), 6)})

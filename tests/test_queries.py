@@ -91,3 +91,35 @@ def test_bootstrap_of_a_small_group(spark):
 
     r = grouped.bootstrap_mean(spark.createDataFrame([("a", 3.0)], "k string, v double"), ["k"], "v", 200, 1).first()
     assert r.lo == r.hi == 3.0 and 80 < r.draws < 200
+
+
+def test_nudges_and_curves_by_hand(spark):
+    import statistics
+
+    from cadentia.operators import grid as G
+
+    sets = {"even": [0, 520, 1000, 1510, 2000], "short": [0, 500, 900], "close": [0, 500, 600, 1000, 1500, 2000], "late": [29_000_000, 29_510_000, 29_980_000, 30_500_000]}
+    beats = spark.createDataFrame([(s, x if s == "late" else x * 1000) for s, v in sets.items() for x in v], "stem_id string, beat_us long")
+    got = {}
+    for r in G.nudged(beats).orderBy("stem_id", "i").collect():
+        got.setdefault(r.stem_id, []).append((r.nudged_us, r.cv))
+    for s, v in sets.items():
+        x = [float(y if s == "late" else y * 1000) for y in v]
+        gaps = [b - a for a, b in zip(x, x[1:], strict=False)]
+        period = statistics.median(gaps)
+        new = sorted(min(30e6, max(0.0, y if k in (0, len(x) - 1) else y + max(-0.05 * period, min(0.05 * period, (x[k - 1] + x[k + 1]) / 2 - y)))) for k, y in enumerate(x))
+        after = [b - a for a, b in zip(new, new[1:], strict=False)]
+        ok = len(x) >= 4 and min(after) >= 0.5 * period
+        assert [y for y, _ in got[s]] == pytest.approx(new if ok else x)
+        assert all(cv == pytest.approx(statistics.pstdev(after) / statistics.mean(after)) if ok else cv is None for _, cv in got[s])
+    assert got["close"][0][1] is None and got["even"][0][1] is not None
+
+    curve = spark.createDataFrame([("a", g, float(y)) for g, y in enumerate([0, 4, 2])] + [("z", 0, 0.0)], "stem_id string, g long, y double")
+    points = spark.createDataFrame([("a", t) for t in (-5, 0, 5, 10, 15, 20, 21, 99)] + [("z", 0), ("none", 3)], "stem_id string, t_us long")
+    value = {(r.stem_id, r.t_us): r.y for r in G.interpolated(points, curve, 10).collect()}
+    want = {-5: 0, 0: 0, 5: 0.5, 10: 1, 15: 0.75, 20: 0.5, 21: 0, 99: 0}
+    assert value == pytest.approx({("a", t): y for t, y in want.items()} | {("z", 0): 0, ("none", 3): 0})
+
+    one = spark.createDataFrame([("a", 0, 0.0, 1.0, None), ("b", 0, 10.0, 0.5, 1_000_000), ("b", 500_000, 400_000.0, 1.0, 0)], "stem_id string, t_us long, target_us double, density double, off_us long")
+    cost = {r.stem_id: r.cost for r in G.placement_cost(one, (1.0, 2.0, 3.0)).collect()}
+    assert cost == pytest.approx({"a": 1e6, "b": 0.01 - 1.5 + 1.5})
