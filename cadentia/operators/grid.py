@@ -154,13 +154,13 @@ def nudged(beats: DataFrame, start_us: int = 0, stop_us: int = 30 * SECOND, shar
     stem = Window.partitionBy("stem_id")
     w = stem.orderBy("beat_us")
     b = beats.select("stem_id", F.col("beat_us").cast("double").alias("beat_us"))
-    b = b.withColumns({"i": F.row_number().over(w), "before": F.lag("beat_us").over(w), "after": F.lead("beat_us").over(w)})
+    b = b.withColumns({"i": F.row_number().over(w).cast("long"), "before": F.lag("beat_us").over(w), "after": F.lead("beat_us").over(w)})
     b = b.withColumns({"n": F.count("*").over(stem), "period": F.median(F.col("beat_us") - F.col("before")).over(stem)})
     cap = share * F.col("period")
     by = F.greatest(-cap, F.least(cap, (F.col("before") + F.col("after")) / 2 - F.col("beat_us")))
     inside = lambda x: F.greatest(F.lit(float(start_us)), F.least(F.lit(float(stop_us)), x))
     b = b.withColumn("moved", inside(F.when(F.col("before").isNull() | F.col("after").isNull(), F.col("beat_us")).otherwise(F.col("beat_us") + by)))
-    places = b.select("stem_id", "moved", F.row_number().over(stem.orderBy("moved")).alias("i"), (F.col("moved") - F.lag("moved").over(stem.orderBy("moved"))).alias("ioi"))
+    places = b.select("stem_id", "moved", F.row_number().over(stem.orderBy("moved")).cast("long").alias("i"), (F.col("moved") - F.lag("moved").over(stem.orderBy("moved"))).alias("ioi"))
     b = b.drop("moved", "before", "after").join(places, ["stem_id", "i"])
     ok = (F.col("n") >= 4) & (F.min("ioi").over(stem) >= 0.5 * F.col("period"))
     return b.select("stem_id", "i", "beat_us", F.when(ok, F.col("moved")).otherwise(F.col("beat_us")).alias("nudged_us"), F.when(ok, F.stddev_pop("ioi").over(stem) / F.avg("ioi").over(stem)).alias("cv"))
