@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, pii_sanitise, quality_rules, secret_scan, source_mixing, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, language_id, lexical_search, line_dedup, minhash_dedup, pii_sanitise, quality_rules, secret_scan, source_mixing, suffix_dedup, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.query,
@@ -20,9 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
     "op11_exact_dedup": exact_dedup.query,
+    "op12_lexical_search": lexical_search.query,
+    "op13_vector_codes": vector_codes.query,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": minhash_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
