@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import cascade as grids
-from ..kernels import matching, panels, periods, signal
+from ..kernels import matching, periods, signal
 
 SECOND = 1_000_000.0
 
@@ -108,54 +108,6 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, draws: int, see
     return means.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"), F.count("mean").alias("draws"))
 
 
-def permutation_test(vectors: DataFrame, group: str, columns: list[str], permutations: int, seed: int, limit: int = 200_000) -> DataFrame:
-    """Share of label permutations whose between-group statistic reaches the observed one, (exceed + 1) / (n + 1).
-
-    vectors: one row for each participant.  Up to ``limit`` rows, counted
-    first, are broadcast and permutations are dealt over tasks; more stay
-    where they are, and each permutation is an order of hashes.
-    """
-    spark = vectors.sparkSession
-    if vectors.limit(limit + 1).count() > limit:
-        return permuted_by_hash(vectors, group, columns, permutations, seed)
-    rows = vectors.select(group, *columns).orderBy(group, *columns).toPandas()
-    held = spark.sparkContext.broadcast((rows[group].astype("category").cat.codes.to_numpy(), rows[columns].to_numpy(float)))
-
-    def statistic(labels: np.ndarray, x: np.ndarray) -> float:
-        n = np.bincount(labels)
-        means = np.stack([np.bincount(labels, x[:, j]) for j in range(x.shape[1])], axis=1) / np.maximum(n, 1)[:, None]
-        return float((n[:, None] * (means - x.mean(axis=0)) ** 2).sum())
-
-    def kernel(batches):
-        labels, x = held.value
-        observed = statistic(labels, x) if len(labels) else 0.0
-        for b in batches:
-            s = [statistic(np.random.default_rng([seed, i]).permutation(labels), x) for i in b.column("id").to_pylist()] if len(labels) else []
-            yield pa.RecordBatch.from_arrays([pa.array([observed]), pa.array([sum(v >= observed - 1e-12 for v in s)], pa.int64()), pa.array([len(s)], pa.int64())], names=["observed", "exceed", "n"])
-
-    t = spark.range(permutations).mapInArrow(kernel, "observed double, exceed long, n long")
-    return t.agg(F.max("observed").alias("observed"), F.sum("n").alias("permutations"), ((F.sum("exceed") + 1) / (F.sum("n") + 1)).alias("p"))
-
-
-def permuted_by_hash(vectors: DataFrame, group: str, columns: list[str], permutations: int, seed: int) -> DataFrame:
-    """As ``permutation_test`` for any number of rows: in each draw rows are sorted by a hash, and groups take their sizes' places."""
-    rows = numbered(vectors.select(group, *columns))
-    sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
-    edge = Window.orderBy(group)  # a row for each group
-    places = sizes.withColumn("to", F.sum("size").over(edge)).select(F.col(group).alias("label"), (F.col("to") - F.col("size")).alias("from"), "to")
-    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(permutations))))  # draw 0 is the table as it is
-    order = Window.partitionBy("draw").orderBy(F.when(F.col("draw") > 0, F.xxhash64(*rows.columns, "draw", F.lit(seed))).otherwise(F.lit(0)), group, *columns, "copy")
-    placed = each.withColumn("place", F.row_number().over(order))
-    at = F.filter(F.col("places"), lambda p: (p["from"] < F.col("place")) & (F.col("place") <= p["to"]))
-    told = placed.crossJoin(F.broadcast(places.agg(F.collect_list(F.struct("label", "from", "to")).alias("places")))).select("draw", F.element_at(at, 1)["label"].alias("label"), *columns)
-    g = told.groupBy("draw", "label").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in columns))
-    total = g.groupBy("draw").agg(F.sum("n").alias("all"), *(F.sum(c).alias(f"t_{c}") for c in columns))
-    d = sum((F.pow(F.col(c) / F.col("n") - F.col(f"t_{c}") / F.col("all"), 2) for c in columns), F.lit(0.0))
-    s = g.join(total, "draw").groupBy("draw").agg(F.sum(F.col("n") * d).alias("statistic"))
-    observed = s.where("draw = 0").select(F.col("statistic").alias("observed"))
-    return s.where("draw > 0").crossJoin(F.broadcast(observed)).agg(F.max("observed").alias("observed"), F.count("*").alias("permutations"), ((F.count_if(F.col("statistic") >= F.col("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
-
-
 def bootstrap_shares(rows: DataFrame, keys: list[str], unit: str, flags: list[str], draws: int, seed: int) -> DataFrame:
     """Shares of categories with percentile intervals, units (participants) drawn whole; rows: keys, unit and 0/1 flags.
 
@@ -177,34 +129,6 @@ def bootstrap_median(rows: DataFrame, keys: list[str], value: str, draws: int, s
     return m.groupBy(*keys).agg(F.max(F.when(F.col("draw") == 0, F.col("median"))).alias("median"), F.percentile(boot, F.lit(0.025)).alias("lo"), F.percentile(boot, F.lit(0.975)).alias("hi"), F.count(boot).alias("draws"))
 
 
-def rebuilt_permutation(trials: DataFrame, permutations: int, seed: int, limit: int = 2_000_000) -> DataFrame:
-    """Panel labels of participants permuted, and references, classes and residuals rebuilt each time: observed statistic and p.
-
-    trials: stem_id, participant, panel, period_us.  ``limit`` trials at most
-    are broadcast (32 bytes each), which is what a permutation of a whole
-    study needs in one place; permutations are dealt over tasks.
-    """
-    spark = trials.sparkSession
-    if trials.limit(limit + 1).count() > limit:
-        raise ValueError(f"a permutation of more than {limit} trials does not fit a task")
-    t = trials.select("stem_id", "participant", "panel", F.col("period_us").cast("double").alias("period")).orderBy("stem_id", "participant").toPandas()
-    codes = {c: np.unique(t[c], return_inverse=True) for c in ("stem_id", "participant", "panel")}
-    stem, who, panel = (codes[c][1].astype(np.int64) for c in ("stem_id", "participant", "panel"))
-    label = np.zeros(len(codes["participant"][0]), np.int64)
-    label[who] = panel
-    held = spark.sparkContext.broadcast((stem, who, label, t["period"].to_numpy(float)))
-
-    def kernel(batches):
-        stem, who, label, period = held.value
-        observed = panels.metrical_statistic(stem, who, label, period) if len(stem) else 0.0
-        for b in batches:
-            s = [panels.metrical_statistic(stem, who, np.random.default_rng([seed, i]).permutation(label), period) for i in b.column("id").to_pylist()] if len(stem) else []
-            yield pa.RecordBatch.from_arrays([pa.array([observed]), pa.array([sum(v >= observed - 1e-12 for v in s)], pa.int64()), pa.array([len(s)], pa.int64())], names=["observed", "exceed", "n"])
-
-    found = spark.range(permutations).mapInArrow(kernel, "observed double, exceed long, n long")
-    return found.agg(F.max("observed").alias("observed"), F.sum("n").alias("permutations"), ((F.sum("exceed") + 1) / (F.sum("n") + 1)).alias("p"))
-
-
 def convergence(taps: DataFrame, sizes: list[int], reps: int, seed: int, start_s: float = 10.0, stop_s: float = 25.0) -> DataFrame:
     """Samples of n participants against all, and disjoint samples against each other: density correlation, peak F, peak offset.
 

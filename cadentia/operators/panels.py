@@ -33,6 +33,26 @@ def other_panels_direction(vectors: DataFrame) -> DataFrame:
     return m.select("stem_id", "panel", (F.atan2("y", "x") / (2 * 3.141592653589793)).alias("reference_phase"))
 
 
+def phases_to_other_panels(trials: DataFrame, references: DataFrame, low: float = 0.80, high: float = 1.25) -> DataFrame:
+    """stem_id, participant, panel, phase_sin and phase_cos of trials whose period matches their panel's reference.
+
+    A trial's phase is the direction of its taps (taps_us) at the reference
+    period, against the mean of the other panels' unit directions at that
+    period; references: stem_id, panel, reference, a row for each stem and panel.
+    """
+    turn = 2 * 3.141592653589793 * F.col("tap_us") / F.col("reference")
+    sums = (F.sum(F.cos(turn)).alias("re"), F.sum(F.sin(turn)).alias("im"))
+    size = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    taps = trials.select("stem_id", "participant", "panel", F.explode("taps_us").alias("tap_us"))
+    other = references.withColumnRenamed("panel", "own")
+    pooled = taps.join(other, "stem_id").where("panel <> own").groupBy("stem_id", "own", "panel").agg(*sums).where(size > 0)
+    angle = pooled.groupBy("stem_id", F.col("own").alias("panel")).agg(F.atan2(F.sum(F.col("im") / size), F.sum(F.col("re") / size)).alias("angle"))
+    near = trials.join(references, ["stem_id", "panel"]).where((F.col("period_us") / F.col("reference")).between(low, high)).select("stem_id", "participant", "panel", "reference")
+    own = taps.join(near, ["stem_id", "participant", "panel"]).groupBy("stem_id", "participant", "panel").agg(*sums).where(size > 0)
+    a = F.atan2("im", "re") - F.col("angle")
+    return own.join(angle, ["stem_id", "panel"]).select("stem_id", "participant", "panel", F.sin(a).alias("phase_sin"), F.cos(a).alias("phase_cos"))
+
+
 def proportions(rows: DataFrame, key: str, category: str, categories: Sequence[str]) -> DataFrame:
     """Row-normalised contingency table in a fixed order of columns."""
     t = rows.groupBy(key).pivot(category, list(categories)).count().na.fill(0)

@@ -9,6 +9,7 @@ from ..functions import expressions as X
 from ..operators import grouped
 from ..operators import inference as S
 from ..operators import panels as P
+from ..operators import permutation
 from ..operators import timing as T
 from .mapping import TAPS, table, taps
 from .registry import query
@@ -151,7 +152,49 @@ def fixed_effect_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped.permutation_test(vectors(spark, sf_dir), "panel", [f"is_{c}" for c in CLASSES], 9_999, 20260717)
+    return permutation.permutation_test(vectors(spark, sf_dir), "panel", [f"is_{c}" for c in CLASSES], 9_999, 20260717)
+
+
+@query()
+def panel_pairwise_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of panels: 9,999 permutations within the pair, and step-up q values."""
+    return permutation.pairwise_tests(vectors(spark, sf_dir), "panel", [f"is_{c}" for c in CLASSES], 9_999, 20260717)
+
+
+PAIRS = RESID + ", g AS (SELECT panel, count(*) AS n, " + ", ".join(f"avg(is_{c}) AS m_{c}" for c in CLASSES) + " FROM v GROUP BY 1)"
+
+
+@query(f"{PAIRS} SELECT CAST(a.panel AS VARCHAR) AS panel_a, CAST(b.panel AS VARCHAR) AS panel_b, a.n AS n_a, b.n AS n_b, round_even((a.n * b.n / (a.n + b.n)::DOUBLE) * (" + " + ".join(f"pow(a.m_{c} - b.m_{c}, 2)" for c in CLASSES) + ") * 1e6, 0) / 1e6 AS observed FROM g a JOIN g b ON a.panel < b.panel")
+def panel_pairwise_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs' observed statistics, as the tests report them."""
+    t = permutation.pairwise_tests(vectors(spark, sf_dir), "panel", [f"is_{c}" for c in CLASSES], 0, 20260717)
+    return t.select("panel_a", "panel_b", "n_a", "n_b", X.half_even(F.col("observed"), 6).alias("observed"))
+
+
+def trials_with_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stem_id, participant, panel, period_us and the trial's taps."""
+    t = T.clipped(taps(spark, sf_dir).select("stem_id", "participant", "panel", "tap_us"))
+    own = t.groupBy("stem_id", "participant", "panel").agg(F.collect_list("tap_us").alias("taps_us"))
+    return trial_periods(spark, sf_dir).join(own, ["stem_id", "participant", "panel"])
+
+
+@query()
+def rebuilt_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that depends on panels rebuilt in each of 9,999 permutations."""
+    return permutation.rebuilt_permutation(trials_with_taps(spark, sf_dir), 9_999, 20260720)
+
+
+PHASE = PERIOD + ", r3 AS (SELECT stem_id, panel, reference FROM lo WHERE n_other >= 3), tt AS (SELECT t.* FROM t0 t JOIN tp USING (stem_id, participant, panel)), z AS (SELECT t.stem_id, r.panel AS own, t.panel AS other, sum(cos(2 * pi() * tap_us / reference)) AS re, sum(sin(2 * pi() * tap_us / reference)) AS im FROM tt t JOIN r3 r ON t.stem_id = r.stem_id AND t.panel <> r.panel GROUP BY 1, 2, 3), an AS (SELECT stem_id, own AS panel, atan2(sum(im / sqrt(re * re + im * im)), sum(re / sqrt(re * re + im * im))) AS angle FROM z WHERE sqrt(re * re + im * im) > 0 GROUP BY 1, 2), dv AS (SELECT t.stem_id, participant, t.panel, atan2(sum(sin(2 * pi() * tap_us / reference)), sum(cos(2 * pi() * tap_us / reference))) AS a FROM tt t JOIN r3 USING (stem_id, panel) GROUP BY 1, 2, 3), ph AS (SELECT dv.stem_id, dv.participant, dv.panel, sin(a - angle) AS s, cos(a - angle) AS c FROM dv JOIN an USING (stem_id, panel) JOIN (SELECT stem_id, participant, tp.period_us / reference AS ratio FROM tp JOIN r3 USING (stem_id, panel)) q ON q.stem_id = dv.stem_id AND q.participant = dv.participant WHERE ratio BETWEEN 0.80 AND 1.25), rs AS (SELECT participant, panel, s - avg(s) OVER (PARTITION BY stem_id) AS s, c - avg(c) OVER (PARTITION BY stem_id) AS c FROM ph), pv AS (SELECT participant, panel, avg(s) AS s, avg(c) AS c FROM rs GROUP BY 1, 2), gp AS (SELECT panel, count(*) AS n, avg(s) AS s, avg(c) AS c FROM pv GROUP BY 1), al AS (SELECT avg(s) AS s, avg(c) AS c FROM pv)"
+
+
+@query(f"{PHASE} SELECT round_even(sum(n * (pow(gp.s - al.s, 2) + pow(gp.c - al.c, 2))) * 1e6, 0) / 1e6 AS statistic, count(*) AS n_groups FROM gp, al")
+def phase_group_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between-panel statistic of participants' residual phases against the other panels' direction."""
+    t = trials_with_taps(spark, sf_dir)
+    ref = lopo_reference_period(spark, sf_dir).where("n_other >= 3").select("stem_id", "panel", "reference")
+    v = P.phases_to_other_panels(t, ref)
+    b = P.between_groups(P.participant_residuals(v, ["phase_sin", "phase_cos"]), "panel", ["phase_sin", "phase_cos"])
+    return b.select(X.half_even(F.col("statistic"), 6).alias("statistic"), "n_groups")
 
 
 @query()

@@ -195,12 +195,6 @@ def median_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.bootstrap_median(panel_periods(spark, sf_dir).select("stem_id", "panel", F.col("period_us").cast("double").alias("period_us")), ["stem_id"], "period_us", 20_000, 20260718)
 
 
-@query()
-def rebuilt_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything that depends on panels rebuilt in each of 9,999 permutations."""
-    return grouped.rebuilt_permutation(trial_periods(spark, sf_dir), 9_999, 20260720)
-
-
 @query()
 def rank_test_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wilcoxon, Mann-Whitney, Kruskal-Wallis and Spearman with their p."""

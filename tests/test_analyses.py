@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from cadentia.kernels import cascade as C
-from cadentia.kernels import panels, periods, signal
+from cadentia.kernels import periods, signal
 from cadentia.operators import grouped
 
 W0, W1 = 0.0, 30.0
@@ -268,34 +268,6 @@ def test_density_of_participants():
     assert np.allclose(got[1000:1400], np.mean(rows, axis=0))
 
 
-def test_metrical_statistic_by_loops():
-    rng = np.random.default_rng(8)
-    stem, who = np.repeat(np.arange(6), 20), np.tile(np.arange(20), 6)
-    label, period = np.arange(20) % 5, rng.choice([0.25, 0.5, 1.0], 120) * rng.uniform(0.9, 1.1, 120)
-    med = {(s, c): np.median([p for a, w, p in zip(stem, who, period) if a == s and label[w] == c]) for s in range(6) for c in range(5)}
-    cat = []
-    for s, w, p in zip(stem, who, period):
-        r = p / np.median([med[s, c] for c in range(5) if c != label[w]])
-        cat.append(0 if 0.35 <= r <= 0.65 else 1 if 0.8 <= r <= 1.25 else 2 if 1.75 <= r <= 2.25 else 3)
-    hot = np.eye(5)[cat]
-    own = {w: np.mean([hot[i] - hot[stem == stem[i]].mean(axis=0) for i in range(120) if who[i] == w], axis=0) for w in range(20)}
-    grand = np.mean(list(own.values()), axis=0)
-    want = sum(4 * ((np.mean([own[w] for w in range(20) if label[w] == c], axis=0) - grand) ** 2).sum() for c in range(5))
-    assert panels.metrical_statistic(stem, who, label, period) == pytest.approx(want)
-
-
-def test_permutation_beyond_the_limit(spark):
-    """Both ways see the same statistic, and agree on a clear and on an absent difference."""
-    rng = np.random.default_rng(0)
-    for shift, low in ((2.0, True), (0.0, False)):
-        rows = [(i % 3, float(rng.normal(shift * (i % 3), 1)), float(rng.normal())) for i in range(60)]
-        v = spark.createDataFrame(rows, "panel int, a double, b double")
-        x = grouped.permutation_test(v, "panel", ["a", "b"], 199, 5).first()
-        y = grouped.permutation_test(v, "panel", ["a", "b"], 199, 5, limit=10).first()
-        assert x.observed == pytest.approx(y.observed) and x.permutations == y.permutations == 199
-        assert (x.p <= 0.01) == (y.p <= 0.01) == low or abs(x.p - y.p) < 0.15
-
-
 def test_bootstraps(spark):
     equal = spark.createDataFrame([("a", 1.0)] * 50 + [("a", 3.0)] * 50, "k string, v double")
     r = grouped.bootstrap_mean(equal, ["k"], "v", 400, 1).first()
