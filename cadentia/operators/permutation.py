@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from .durable import durable
 from .inference import step_up
 from .ordering import dense_places
 
@@ -27,7 +28,9 @@ from .ordering import dense_places
 BLOCK, SHARD = 2_000, 1_000
 #: Rows whose arrays a kernel works on at once.
 STEP = 64
-ROUNDS = 8
+ROUNDS = 6
+#: Places whose panels are looked up in a table; those of more are searched for.
+TABLE = 1 << 20
 #: Bounds of the classes of a period ratio, in order: double, matched, half (fixed values); then other and unclear.
 RATIOS = ((0.35, 0.65), (0.80, 1.25), (1.75, 2.25))
 MATCHED, N_CLASSES = 1, 5
@@ -57,11 +60,18 @@ class Labels:
         b = max(2, -(-n // a))
         keys = scrambled(scrambled(draws.astype(np.uint64) + np.uint64(self.seed << 20))[:, None] + np.arange(ROUNDS, dtype=np.uint64))
 
+        def shifted(half: np.ndarray, other: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+            h = (other + key) * np.uint64(0x7FB5D329728EA185)
+            h = (h ^ h >> np.uint64(29)) * np.uint64(0x81DADEF4BC2DD44D) >> np.uint64(32)
+            half = half + (h * np.uint64(size) >> np.uint64(32))
+            return half - np.uint64(size) * (half >= size)
+
         def once(x: np.ndarray, key: np.ndarray) -> np.ndarray:
-            left, right = x // np.uint64(b), x % np.uint64(b)
+            left = x // np.uint64(b)
+            right = x - left * np.uint64(b)
             for r in range(0, ROUNDS, 2):
-                left = (left + scrambled(right + key[..., r])) % np.uint64(a)
-                right = (right + scrambled(left + key[..., r + 1])) % np.uint64(b)
+                left = shifted(left, right, key[..., r], a)
+                right = shifted(right, left, key[..., r + 1], b)
             return left * np.uint64(b) + right
 
         out = once(np.broadcast_to(place.astype(np.uint64)[:, None], (len(place), len(draws))), keys)
@@ -75,7 +85,10 @@ class Labels:
         return out
 
     def of(self, place: np.ndarray, draws: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.cumsum(self.sizes), self.moved(place, draws), side="right")
+        ends = np.cumsum(self.sizes)
+        if ends[-1] > TABLE:
+            return np.searchsorted(ends, self.moved(place, draws), side="right")
+        return np.repeat(np.arange(len(ends)), self.sizes)[self.moved(place, draws)]
 
 
 def placed(units: DataFrame, unit: str, group: str) -> tuple[DataFrame, list, tuple[int, ...]]:
@@ -154,14 +167,10 @@ def statistics(sums: DataFrame, n_groups: int, width: int) -> DataFrame:
 
 
 def p_value(stats: DataFrame, *keys: str) -> DataFrame:
-    """observed, permutations and p = (those that reach it + 1) / (permutations + 1) from (keys, draw, statistic)."""
-    observed = F.max(F.when(F.col("draw") == 0, F.col("statistic"))).alias("observed")
-    if not keys:
-        stats, keys = stats.withColumn("_all", F.lit(0)), ("_all",)
-    s = stats.join(stats.groupBy(*keys).agg(observed), list(keys))
-    reach = (F.col("draw") > 0) & (F.col("statistic") >= F.col("observed") * (1 - CLOSE) - CLOSE)
-    out = s.groupBy(*keys).agg(F.max("observed").alias("observed"), F.count_if(F.col("draw") > 0).alias("permutations"), ((F.count_if(reach) + 1) / (F.count_if(F.col("draw") > 0) + 1)).alias("p"))
-    return out.drop("_all")
+    """observed, permutations and p = (those that reach it + 1) / (permutations + 1) from (keys, draw, statistic); a key has a number for each draw."""
+    out = stats.groupBy(*keys).agg(F.max(F.when(F.col("draw") == 0, F.col("statistic"))).alias("observed"), F.collect_list(F.when(F.col("draw") > 0, F.col("statistic"))).alias("drawn"))
+    reach = F.size(F.filter("drawn", lambda x: x >= F.col("observed") * (1 - CLOSE) - CLOSE))
+    return out.select(*keys, "observed", F.size("drawn").cast("long").alias("permutations"), ((reach + 1) / (F.size("drawn") + 1)).alias("p"))
 
 
 def group_sums(labels: Labels, place: np.ndarray, x: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,14 +354,32 @@ class Stem:
             label = self.labels.of(self.place[rows], self.draws)
             yield rows, label, class_of(self.period[rows, None] / self.reference[np.arange(len(self.draws)), label])
 
-    def directions(self, rows: slice) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per trial with taps: its number among ``rows``, the number of its taps and the sums of their directions, for every draw and panel's reference."""
+    def directions(self, rows: slice) -> Iterator[tuple[int, np.ndarray]]:
+        """Per trial with taps its number among ``rows`` and the sums of its taps' directions, for every draw and panel's reference."""
         periods, at = np.unique(self.reference, return_inverse=True)
-        at = at.reshape(self.reference.shape)
+        for i, taps in self.taps(rows):
+            yield i, summed_directions(taps, periods)[at.reshape(self.reference.shape)]
+
+    def own_directions(self, rows: slice, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The same for its own panel's reference alone."""
+        column = np.arange(len(self.draws))
+        for i, taps in self.taps(rows):
+            periods, at = np.unique(self.reference[column, label[i]], return_inverse=True)
+            yield i, summed_directions(taps, periods)[at]
+
+    def taps(self, rows: slice) -> Iterator[tuple[int, np.ndarray]]:
         for i, taps in enumerate(self.t.column("taps")[rows.start : rows.stop].to_pylist()):
             if taps:
-                x = np.asarray(taps, float)
-                yield i, np.array(len(x)), np.exp(2j * np.pi * x[:, None] / periods).sum(axis=0)[at]
+                yield i, np.asarray(taps, float)
+
+
+def summed_directions(taps: np.ndarray, periods: np.ndarray) -> np.ndarray:
+    """Sum of the unit vectors of the taps' phases, for each period."""
+    out = np.zeros(len(periods), complex)
+    for i in range(0, len(taps), STEP):
+        turn = taps[i : i + STEP, None] * (2 * np.pi / periods)
+        out += np.cos(turn).sum(axis=0) + 1j * np.sin(turn).sum(axis=0)
+    return out
 
 
 def over_stems(trials: DataFrame, refs: DataFrame, labels: Labels, n_draws: int, kernel: Callable[[Stem, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -431,7 +458,7 @@ def phase_vectors(trials: DataFrame, refs: DataFrame, labels: Labels, n_draws: i
         d = len(s.draws)
         total, column = np.zeros((d, k, k), complex), np.arange(d)
         for rows, label, _kind in s.steps():
-            for i, _n, z in s.directions(rows):
+            for i, z in s.directions(rows):
                 total[column, :, label[i]] += z
         return row_of(s.t, KEYS, pooled=total.view(np.float64))
 
@@ -451,8 +478,8 @@ def phase_vectors(trials: DataFrame, refs: DataFrame, labels: Labels, n_draws: i
             return
         angle, column = array_of(r, "angle", (len(s.draws), k)), np.arange(len(s.draws))
         for rows, label, kind in s.steps():
-            for i, _n, z in s.directions(rows):
-                own, ref = z[column, label[i]], angle[column, label[i]]
+            for i, own in s.own_directions(rows, label):
+                ref = angle[column, label[i]]
                 a = np.angle(own) - ref
                 ok = (kind[i] == MATCHED) & np.isfinite(ref) & (np.abs(own) > 0)
                 yield s.place[rows][i], np.where(ok, np.stack([np.sin(a), np.cos(a)]), 0), ok
@@ -518,7 +545,8 @@ def rebuilt_permutation(trials: DataFrame, permutations: int, seed: int) -> Data
     labels = Labels(sizes, seed)
     share = trials.groupBy("participant").agg((1.0 / F.count("*")).alias("weight"))
     rows = trials.join(people.select("participant", "place"), "participant").join(share, "participant").select(F.col("stem_id").cast("string").alias("stem_id"), "place", F.col("period_us").cast("double").alias("period_us"), "weight", F.col("taps_us").alias("taps"))
-    refs = reference_periods(rows, labels, permutations)
+    rows = durable(rows)
+    refs = durable(reference_periods(rows, labels, permutations))
     a = p_value(metrical_statistics(rows.drop("taps"), refs, labels, permutations)).select(F.lit("metrical_choice").alias("outcome"), "*")
     b = p_value(phase_statistics(phase_vectors(rows, refs, labels, permutations), labels)).select(F.lit("circular_phase").alias("outcome"), "*")
     return a.unionAll(b)

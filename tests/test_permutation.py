@@ -10,7 +10,7 @@ from cadentia.operators import permutation as P
 
 
 @pytest.mark.parametrize("sizes", [(1,), (1, 1), (3, 2), (10, 0, 7), (40, 60, 23)])
-def test_labels_are_permutations(sizes):
+def test_labels_are_permutations(sizes, monkeypatch):
     n = sum(sizes)
     lab = P.Labels(sizes, 7)
     moved = lab.moved(np.arange(n), np.arange(200))
@@ -18,6 +18,9 @@ def test_labels_are_permutations(sizes):
     assert (np.sort(moved, axis=0) == np.arange(n)[:, None]).all()
     counts = np.stack([np.bincount(c, minlength=len(sizes)) for c in lab.of(np.arange(n), np.arange(50)).T])
     assert (counts == np.array(sizes)).all()
+    own = lab.of(np.arange(n), np.arange(50))
+    monkeypatch.setattr(P, "TABLE", 0)
+    assert (lab.of(np.arange(n), np.arange(50)) == own).all()
 
 
 def test_labels_are_even():
