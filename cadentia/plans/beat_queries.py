@@ -9,12 +9,12 @@ from ..functions import expressions as X
 from ..operators import grid as G
 from ..operators import grouped
 from ..operators import matching as M
-from .mapping import ESTS, REFS, TAPS, estimates, references, taps
+from .mapping import ESTS, REFS, TAPPED_ESTS, TAPPED_REFS, TAPS, estimates, references, tapped_estimates, tapped_references, taps
 from .registry import query
 
 R6 = "round_even(({}) * 1e6, 0) / 1e6"
 NEAR = "(SELECT {cols}, {t} AS t_us, arg_min(b.beat_us, abs({t} - b.beat_us) * 100000000 + b.beat_us) AS nearest_us FROM {a} a JOIN {b} b ON a.stem_id = b.stem_id GROUP BY ALL)"
-TAP_NEAR = f"WITH {TAPS}, {REFS}, n AS {NEAR.format(cols='a.stem_id, a.participant, a.event_id', t='a.tap_us', a='taps', b='refs')}"
+TAP_NEAR = f"WITH {TAPS}, {TAPPED_REFS}, n AS {NEAR.format(cols='a.stem_id, a.participant, a.event_id', t='a.tap_us', a='taps', b='refs')}"
 
 
 def tap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +24,12 @@ def tap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{TAP_NEAR} SELECT stem_id, event_id, nearest_us, t_us - nearest_us AS off_us FROM n")
 def hit_miss_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest reference beat of every tap, the earlier of two equally near."""
-    return M.nearest(tap_events(spark, sf_dir), references(spark, sf_dir), ["stem_id"]).select("stem_id", "event_id", "nearest_us", "off_us")
+    return M.nearest(tap_events(spark, sf_dir), tapped_references(spark, sf_dir), ["stem_id"]).select("stem_id", "event_id", "nearest_us", "off_us")
 
 
 @query(f"{TAP_NEAR}, h AS (SELECT *, CASE WHEN abs(t_us - nearest_us) <= 70000 THEN t_us - nearest_us END AS off FROM n) SELECT stem_id, participant, count(*) AS n_taps, count(off) AS n_hits, {R6.format('avg(off)')} AS mean_off_us, {R6.format('CASE WHEN count(off) = 1 THEN 0.0 ELSE stddev_samp(off) END')} AS sd_off_us FROM h GROUP BY 1, 2")
 def trial_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = M.hit_rates(tap_events(spark, sf_dir), references(spark, sf_dir), ["stem_id"], 70_000, ["stem_id", "participant"])
+    h = M.hit_rates(tap_events(spark, sf_dir), tapped_references(spark, sf_dir), ["stem_id"], 70_000, ["stem_id", "participant"])
     return h.withColumns({c: X.half_even(F.col(c), 6) for c in ("mean_off_us", "sd_off_us")})
 
 
@@ -42,7 +42,7 @@ def rounded_alignment(a: DataFrame) -> DataFrame:
 
 @query(f"{TAP_NEAR} SELECT stem_id, {ALIGN} FROM n GROUP BY 1")
 def tap_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_alignment(M.alignment(tap_events(spark, sf_dir), references(spark, sf_dir), ["stem_id"], 70_000))
+    return rounded_alignment(M.alignment(tap_events(spark, sf_dir), tapped_references(spark, sf_dir), ["stem_id"], 70_000))
 
 
 @query(f"WITH {ESTS}, n AS {NEAR.format(cols='a.stem_id, a.k', t='a.beat_us', a='ests', b='refs')} SELECT stem_id, {ALIGN} FROM n GROUP BY 1")
@@ -76,7 +76,7 @@ def phase_aligned_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.best_shift(estimates(spark, sf_dir), references(spark, sf_dir), ["stem_id"])
 
 
-PERIODS = f"WITH {ESTS}, pr AS (SELECT stem_id, median(ioi) AS ref_us FROM (SELECT stem_id, beat_us - lag(beat_us) OVER (PARTITION BY stem_id ORDER BY beat_us) AS ioi FROM refs) GROUP BY 1), pe AS (SELECT stem_id, median(ioi) * (CASE stem_id WHEN 'click' THEN 2.0 WHEN 'view' THEN 0.5 ELSE 1.0 END) AS est_us FROM (SELECT stem_id, beat_us - lag(beat_us) OVER (PARTITION BY stem_id ORDER BY beat_us) AS ioi FROM ests) GROUP BY 1)"
+PERIODS = f"WITH {ESTS}, pr AS (SELECT stem_id, median(ioi) AS ref_us FROM (SELECT stem_id, beat_us - lag(beat_us) OVER (PARTITION BY stem_id ORDER BY beat_us) AS ioi FROM refs) GROUP BY 1), pe AS (SELECT stem_id, median(ioi) * (CASE WHEN stem_id LIKE '%3' THEN 2.0 WHEN stem_id LIKE '%7' THEN 0.5 ELSE 1.0 END) AS est_us FROM (SELECT stem_id, beat_us - lag(beat_us) OVER (PARTITION BY stem_id ORDER BY beat_us) AS ioi FROM ests) GROUP BY 1)"
 
 
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
         w = Window.partitionBy("stem_id").orderBy("beat_us")
         return b.withColumn("ioi", F.col("beat_us") - F.lag("beat_us").over(w)).groupBy("stem_id").agg(F.median("ioi").alias(name))
 
-    e = of(estimates(spark, sf_dir), "est_us").withColumn("est_us", F.col("est_us") * F.when(F.col("stem_id") == "click", 2.0).when(F.col("stem_id") == "view", 0.5).otherwise(1.0))
+    e = of(estimates(spark, sf_dir), "est_us").withColumn("est_us", F.col("est_us") * F.when(F.col("stem_id").endswith("3"), 2.0).when(F.col("stem_id").endswith("7"), 0.5).otherwise(1.0))
     return of(references(spark, sf_dir), "ref_us").join(e, "stem_id")
 
 
@@ -190,21 +190,21 @@ AT = f"placed AS (SELECT e.stem_id, e.k, e.beat_us, {VALUE} AS density FROM ests
 
 def density_at_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated beats with the density of taps there, from counts in steps of 100 ms."""
-    every = references(spark, sf_dir).select("stem_id").distinct().withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(299).cast("long"))))
+    every = tapped_references(spark, sf_dir).select("stem_id").distinct().withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(299).cast("long"))))
     n = taps(spark, sf_dir).groupBy("stem_id", F.floor(F.col("tap_us") / STEP).alias("g")).agg(F.count("*").alias("n"))
     curve = every.join(n, ["stem_id", "g"], "left").select("stem_id", "g", F.coalesce("n", F.lit(0)).cast("double").alias("y"))
-    return G.interpolated(estimates(spark, sf_dir).select("stem_id", "k", F.col("beat_us").alias("t_us")), curve, STEP, "density")
+    return G.interpolated(tapped_estimates(spark, sf_dir).select("stem_id", "k", F.col("beat_us").alias("t_us")), curve, STEP, "density")
 
 
-@query(f"WITH {TAPS}, {ESTS}, {CURVE}, {AT} SELECT stem_id, k, beat_us AS t_us, round_even(density * 1e9, 0) / 1e9 AS density FROM placed")
+@query(f"WITH {TAPS}, {TAPPED_ESTS}, {CURVE}, {AT} SELECT stem_id, k, beat_us AS t_us, round_even(density * 1e9, 0) / 1e9 AS density FROM placed")
 def interpolated_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density_at_beats(spark, sf_dir).withColumn("density", X.half_even(F.col("density"), 9))
 
 
-@query(f"WITH {TAPS}, {ESTS}, {CURVE}, {AT}, near AS {NEAR.format(cols='a.stem_id, a.k', t='a.beat_us', a='ests', b='refs')}, d AS (SELECT a.stem_id, a.beat_us, density, (t_us - nearest_us) / 1e6::DOUBLE AS off, (a.beat_us - lag(a.beat_us) OVER w) AS ioi FROM placed a JOIN near n ON n.stem_id = a.stem_id AND n.k = a.k WINDOW w AS (PARTITION BY a.stem_id ORDER BY a.beat_us)), m AS (SELECT stem_id, median(ioi) AS target FROM d GROUP BY 1), c AS (SELECT stem_id, count(*) AS n_beats, avg(((ioi - target) / 1e6::DOUBLE) ** 2) AS c_interval, -avg(density) AS c_density, avg(off * off) AS c_peaks FROM d JOIN m USING (stem_id) GROUP BY 1) SELECT stem_id, n_beats, {R6.format('c_interval')} AS c_interval, {R6.format('c_density')} AS c_density, {R6.format('c_peaks')} AS c_peaks, {R6.format('CASE WHEN n_beats < 2 THEN 1e6 ELSE 2.0 * c_interval + 0.3 * c_density + 0.3 * c_peaks END')} AS cost FROM c")
+@query(f"WITH {TAPS}, {TAPPED_ESTS}, {CURVE}, {AT}, near AS {NEAR.format(cols='a.stem_id, a.k', t='a.beat_us', a='ests', b='refs')}, d AS (SELECT a.stem_id, a.beat_us, density, (t_us - nearest_us) / 1e6::DOUBLE AS off, (a.beat_us - lag(a.beat_us) OVER w) AS ioi FROM placed a JOIN near n ON n.stem_id = a.stem_id AND n.k = a.k WINDOW w AS (PARTITION BY a.stem_id ORDER BY a.beat_us)), m AS (SELECT stem_id, median(ioi) AS target FROM d GROUP BY 1), c AS (SELECT stem_id, count(*) AS n_beats, avg(((ioi - target) / 1e6::DOUBLE) ** 2) AS c_interval, -avg(density) AS c_density, avg(off * off) AS c_peaks FROM d JOIN m USING (stem_id) GROUP BY 1) SELECT stem_id, n_beats, {R6.format('c_interval')} AS c_interval, {R6.format('c_density')} AS c_density, {R6.format('c_peaks')} AS c_peaks, {R6.format('CASE WHEN n_beats < 2 THEN 1e6 ELSE 2.0 * c_interval + 0.3 * c_density + 0.3 * c_peaks END')} AS cost FROM c")
 def placement_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a free placement would minimise, for the estimated beats; the wanted interval is their median."""
-    at = M.nearest(density_at_beats(spark, sf_dir), references(spark, sf_dir), ["stem_id"])
+    at = M.nearest(density_at_beats(spark, sf_dir), tapped_references(spark, sf_dir), ["stem_id"])
     w = Window.partitionBy("stem_id")
     gap = F.col("t_us") - F.lag("t_us").over(w.orderBy("t_us"))
     c = G.placement_cost(at.withColumn("gap", gap).withColumn("target_us", F.median("gap").over(w)), (2.0, 0.3, 0.3))

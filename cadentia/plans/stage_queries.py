@@ -11,7 +11,7 @@ from ..operators import inference as S
 from ..operators import matching as M
 from ..operators import timing as T
 from .beat_queries import NEAR, uneven_peaks
-from .mapping import ESTS, REFS, estimates, references, table, taps
+from .mapping import ESTS, REFS, TAPPED_ESTS, TAPPED_REFS, estimates, references, table, tapped_estimates, tapped_references, taps
 from .panel_queries import panel_periods, trial_periods
 from .registry import query
 from .timing_queries import CLEAN, distinct_taps
@@ -24,17 +24,17 @@ def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stage, stem_id, t_us): raw taps, cleaned taps, and two sets of peaks."""
     raw = distinct_taps(spark, sf_dir).select(F.lit("raw").alias("stage"), "stem_id", F.col("tap_us").alias("t_us"))
     clean = T.cleaned_fast(taps(spark, sf_dir).select("stem_id", "participant", "tap_us")).select(F.lit("clean").alias("stage"), "stem_id", F.col("tap_us").alias("t_us"))
-    e = estimates(spark, sf_dir)
+    e = tapped_estimates(spark, sf_dir)
     return raw.unionAll(clean).unionAll(e.select(F.lit("peaks"), "stem_id", "beat_us")).unionAll(e.select(F.lit("peaks_shifted"), "stem_id", F.col("beat_us") + 30_000))
 
 
 def stage_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percent of events within 70 ms of a reference beat, and their mean distance, per stem and stage; one nearest join for all stages."""
-    n = M.nearest(stage_events(spark, sf_dir), references(spark, sf_dir), ["stem_id"])
+    n = M.nearest(stage_events(spark, sf_dir), tapped_references(spark, sf_dir), ["stem_id"])
     return n.groupBy("stem_id", "stage").agg(F.avg(F.when(F.abs("off_us") <= 70_000, 100.0).otherwise(0.0)).alias("percent"), F.avg(F.abs("off_us")).alias("distance_us"))
 
 
-STAGED = f"WITH {CLEAN}, {ESTS}, ev AS (SELECT 'raw' AS stage, stem_id, tap_us AS t FROM t0 UNION ALL SELECT 'clean', stem_id, tap_us FROM t3 UNION ALL SELECT 'peaks', stem_id, beat_us FROM ests UNION ALL SELECT 'peaks_shifted', stem_id, beat_us + 30000 FROM ests), u AS (SELECT DISTINCT stem_id, t FROM ev), nu AS {NEAR.format(cols='a.stem_id, a.t', t='a.t', a='u', b='refs')}, n AS (SELECT stage, ev.stem_id, t_us, nearest_us FROM ev JOIN nu ON ev.stem_id = nu.stem_id AND ev.t = nu.t), sa AS (SELECT stem_id, stage, avg(CASE WHEN abs(t_us - nearest_us) <= 70000 THEN 100.0::DOUBLE ELSE 0 END) AS percent, avg(abs(t_us - nearest_us)) AS distance_us FROM n GROUP BY 1, 2)"
+STAGED = f"WITH {CLEAN}, {TAPPED_ESTS}, ev AS (SELECT 'raw' AS stage, stem_id, tap_us AS t FROM t0 UNION ALL SELECT 'clean', stem_id, tap_us FROM t3 UNION ALL SELECT 'peaks', stem_id, beat_us FROM ests UNION ALL SELECT 'peaks_shifted', stem_id, beat_us + 30000 FROM ests), u AS (SELECT DISTINCT stem_id, t FROM ev), nu AS {NEAR.format(cols='a.stem_id, a.t', t='a.t', a='u', b='refs')}, n AS (SELECT stage, ev.stem_id, t_us, nearest_us FROM ev JOIN nu ON ev.stem_id = nu.stem_id AND ev.t = nu.t), sa AS (SELECT stem_id, stage, avg(CASE WHEN abs(t_us - nearest_us) <= 70000 THEN 100.0::DOUBLE ELSE 0 END) AS percent, avg(abs(t_us - nearest_us)) AS distance_us FROM n GROUP BY 1, 2)"
 
 
 @query(f"{STAGED} SELECT stage, count(*) AS n_stems, {R6.format('avg(percent)')} AS percent, round_even(avg(distance_us), 3) AS distance_us FROM sa GROUP BY 1")
@@ -64,12 +64,12 @@ def cleaning_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("stem_id").agg(X.half_even(F.avg("gone"), 6).alias("mean_removed"), F.median("gone").alias("median_removed"), X.half_even(F.avg(F.when(F.col("gone") > 0, 1.0).otherwise(0.0)), 6).alias("share_touched"))
 
 
-@query(f"WITH {CLEAN}, {REFS}, ev AS (SELECT 'raw' AS variant, stem_id, participant, tap_us FROM t0 UNION ALL SELECT 'clean', stem_id, participant, tap_us FROM t3), u AS (SELECT DISTINCT stem_id, tap_us FROM ev), nu AS {NEAR.format(cols='a.stem_id, a.tap_us', t='a.tap_us', a='u', b='refs')}, h AS (SELECT variant, ev.stem_id, participant, count(*) FILTER (abs(t_us - nearest_us) <= 70000) / count(*)::DOUBLE AS rate, avg(CASE WHEN abs(t_us - nearest_us) <= 70000 THEN t_us - nearest_us END) AS mean_off FROM ev JOIN nu ON ev.stem_id = nu.stem_id AND ev.tap_us = nu.tap_us GROUP BY 1, 2, 3) SELECT stem_id, variant, count(*) AS n_trials, {R6.format('avg(rate)')} AS hit_rate, round_even(avg(mean_off), 3) AS mean_off_us FROM h GROUP BY 1, 2")
+@query(f"WITH {CLEAN}, {TAPPED_REFS}, ev AS (SELECT 'raw' AS variant, stem_id, participant, tap_us FROM t0 UNION ALL SELECT 'clean', stem_id, participant, tap_us FROM t3), u AS (SELECT DISTINCT stem_id, tap_us FROM ev), nu AS {NEAR.format(cols='a.stem_id, a.tap_us', t='a.tap_us', a='u', b='refs')}, h AS (SELECT variant, ev.stem_id, participant, count(*) FILTER (abs(t_us - nearest_us) <= 70000) / count(*)::DOUBLE AS rate, avg(CASE WHEN abs(t_us - nearest_us) <= 70000 THEN t_us - nearest_us END) AS mean_off FROM ev JOIN nu ON ev.stem_id = nu.stem_id AND ev.tap_us = nu.tap_us GROUP BY 1, 2, 3) SELECT stem_id, variant, count(*) AS n_trials, {R6.format('avg(rate)')} AS hit_rate, round_even(avg(mean_off), 3) AS mean_off_us FROM h GROUP BY 1, 2")
 def stimulus_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trials, mean hit rate and mean asynchrony (of trials with a hit) for each stimulus and variant."""
     raw = taps(spark, sf_dir).select("stem_id", "participant", "tap_us")
     ev = T.clipped(raw).withColumn("variant", F.lit("raw")).unionByName(T.cleaned_fast(raw).withColumn("variant", F.lit("clean"))).withColumnRenamed("tap_us", "t_us")
-    h = M.hit_rates(ev, references(spark, sf_dir), ["stem_id"], 70_000, ["variant", "stem_id", "participant"])
+    h = M.hit_rates(ev, tapped_references(spark, sf_dir), ["stem_id"], 70_000, ["variant", "stem_id", "participant"])
     return h.groupBy("stem_id", "variant").agg(F.count("*").alias("n_trials"), X.half_even(F.avg(F.col("n_hits") / F.col("n_taps")), 6).alias("hit_rate"), X.half_even(F.avg("mean_off_us"), 3).alias("mean_off_us"))
 
 
