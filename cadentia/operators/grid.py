@@ -63,22 +63,23 @@ def fill_gaps(beats: DataFrame, period_us: int | None = None) -> DataFrame:
     return b.select("stem_id", F.col("beat_us").cast("double").alias("beat_us"), F.lit(False).alias("added")).unionAll(added)
 
 
-def steady_runs(beats: DataFrame, least: int = 6) -> DataFrame:
-    """The run of at least ``least`` intervals with the highest n * exp(-cv / 0.05) per stem.
+def steady_runs(beats: DataFrame, least: int = 6, most_cv: float = 0.15) -> DataFrame:
+    """The run of at least ``least`` beats, varying by ``most_cv`` at most, with the highest n * exp(-cv / 0.05) per stem; n counts beats.
 
     Prefix sums give any run's variation in closed form; of equal scores the
     shortest, then the earliest.  Pairs are of one stem's grid only, whose
-    length the 30 s window bounds.
+    length the 30 s window bounds.  A stem without such a run has no row.
     """
     w = Window.partitionBy("stem_id").orderBy("beat_us")
     d = beats.withColumn("ioi", (F.col("beat_us") - F.lag("beat_us").over(w)) / 1000.0).where("ioi is not null")
     d = d.withColumns({"i": F.row_number().over(w), "s1": F.sum("ioi").over(w), "s2": F.sum(F.col("ioi") * F.col("ioi")).over(w)})
     a = d.select("stem_id", F.col("i").alias("i0"), (F.col("s1") - F.col("ioi")).alias("a1"), (F.col("s2") - F.col("ioi") * F.col("ioi")).alias("a2"))
     b = d.select("stem_id", F.col("i").alias("i1"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    n = F.col("i1") - F.col("i0") + 1
-    mean = (F.col("b1") - F.col("a1")) / n
-    cv = F.sqrt(F.greatest(F.lit(0.0), (F.col("b2") - F.col("a2")) / n - mean * mean)) / mean
-    runs = a.join(b, "stem_id").where(n >= least).select("stem_id", F.col("i0").alias("first"), n.alias("n"), cv.alias("cv"), (n * F.exp(-cv / 0.05)).alias("score"))
+    k = F.col("i1") - F.col("i0") + 1
+    mean = (F.col("b1") - F.col("a1")) / k
+    cv = F.sqrt(F.greatest(F.lit(0.0), (F.col("b2") - F.col("a2")) / k - mean * mean)) / mean
+    runs = a.join(b, "stem_id").where(k + 1 >= least).select("stem_id", F.col("i0").alias("first"), (k + 1).alias("n"), cv.alias("cv")).where(F.col("cv") <= most_cv)
+    runs = runs.withColumn("score", F.col("n") * F.exp(-F.col("cv") / 0.05))
     top = Window.partitionBy("stem_id").orderBy(F.desc(F.round("score", 9)), "n", "first")
     return runs.withColumn("r", F.row_number().over(top)).where("r = 1").drop("r")
 
@@ -108,7 +109,7 @@ def phase_groups(peaks: DataFrame, threshold_us: DataFrame) -> DataFrame:
     """Peaks labelled A or B by runs of short intervals: inside a run every other one starts a pair."""
     w = Window.partitionBy("stem_id").orderBy("tap_us")
     d = peaks.join(threshold_us, "stem_id").withColumn("after", F.lead("tap_us").over(w) - F.col("tap_us"))
-    d = d.withColumn("short", F.coalesce(F.col("after") < F.col("threshold_us"), F.lit(False)))
+    d = d.withColumn("short", F.coalesce(F.col("after") <= F.col("threshold_us"), F.lit(False)))
     d = d.withColumn("run", F.sum(F.when(F.col("short"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     place = Window.partitionBy("stem_id", F.coalesce("run", F.lit(0))).orderBy("tap_us")
     return d.withColumn("i", F.row_number().over(place)).select("stem_id", "tap_us", F.when(F.col("i") % 2 == 1, "A").otherwise("B").alias("phase_group"))

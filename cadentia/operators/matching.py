@@ -69,9 +69,38 @@ def f_measure(predicted: DataFrame, reference: DataFrame, keys: list[str], toler
     return m.select(*keys, "n_predicted", "n_reference", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f"))
 
 
-def best_shift(predicted: DataFrame, reference: DataFrame, keys: list[str], tolerance_us: int = 70_000, reach_us: int = 250_000, step_us: int = 5_000) -> DataFrame:
-    """The shift of the prediction with the most hits; of equals the smallest."""
-    shifted = predicted.select(*keys, F.explode(F.sequence(F.lit(-reach_us), F.lit(reach_us), F.lit(step_us))).alias("shift_us"), "beat_us").withColumn("t_us", F.col("beat_us") + F.col("shift_us")).drop("beat_us")
-    hits = nearest(shifted, reference, keys).groupBy(*keys, "shift_us").agg(F.count_if(F.abs("off_us") <= tolerance_us).alias("hits"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("hits"), "shift_us")
-    return hits.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+def middle_intervals(beats: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Median interval between neighbouring beats, null for a single one."""
+    gap = F.col("beat_us") - F.lag("beat_us").over(Window.partitionBy(*keys).orderBy("beat_us"))
+    return beats.select(*keys, gap.alias("gap")).groupBy(*keys).agg(F.median("gap").alias(name))
+
+
+def best_shift(predicted: DataFrame, reference: DataFrame, keys: list[str], tolerance_us: int = 70_000, reach_us: int = 250_000, step_us: int = 5_000, most_ratio: float = 1.1) -> DataFrame:
+    """The shift of the prediction at which most reference beats have one within the tolerance; of equals the smallest.
+
+    No shift (0, and no hits) where a side has one beat, or where the median
+    intervals differ by more than ``most_ratio``; the smallest of all where no
+    shift hits.  A pair of beats names its shifts by arithmetic, and only
+    beats of neighbouring slices of time are paired.
+    """
+    width, most = reach_us + tolerance_us, reach_us // step_us
+    a = reference.select(*keys, F.col("beat_us").alias("t"), F.floor(F.col("beat_us") / width).alias("slice"))
+    b = predicted.select(*keys, F.col("beat_us").alias("p"), F.floor(F.col("beat_us") / width).alias("own"))
+    b = b.withColumn("slice", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
+    first = F.greatest(F.lit(-most), F.ceil((F.col("t") - tolerance_us - F.col("p")) / step_us))
+    last = F.least(F.lit(most), F.floor((F.col("t") + tolerance_us - F.col("p")) / step_us))
+    near = a.join(b, [*keys, "slice"]).select(*keys, "t", first.alias("first"), last.alias("last")).where("first <= last")
+    hits = near.select(*keys, "t", F.explode(F.sequence("first", "last")).alias("n")).distinct().groupBy(*keys, "n").agg(F.count("*").alias("hits"))
+    top = hits.groupBy(*keys).agg(F.max(F.struct("hits", (-F.col("n")).alias("back"))).alias("top"))
+    own = middle_intervals(predicted, keys, "own").join(middle_intervals(reference, keys, "other"), keys)
+    like = F.coalesce((F.col("own") > 0) & (F.col("other") > 0) & (F.greatest("own", "other") / F.least("own", "other") <= most_ratio), F.lit(False))
+    shift = F.when(~like, 0).otherwise(F.coalesce(-F.col("top.back") * step_us, F.lit(-most * step_us))).cast("int")
+    return own.join(top, keys, "left").select(*keys, shift.alias("shift_us"), F.when(like, F.coalesce("top.hits", F.lit(0))).otherwise(0).cast("long").alias("hits"))
+
+
+def phase_aligned_f(predicted: DataFrame, reference: DataFrame, keys: list[str], tolerance_us: int = 70_000) -> DataFrame:
+    """F before and after the best shift."""
+    shift = best_shift(predicted, reference, keys, tolerance_us).select(*keys, "shift_us")
+    moved = predicted.join(shift, keys).select(*keys, (F.col("beat_us") + F.col("shift_us")).alias("beat_us"))
+    before, after = (f_measure(x, reference, keys, tolerance_us).select(*keys, F.col("f").alias(n)) for x, n in ((predicted, "f"), (moved, "f_aligned")))
+    return before.join(after, keys).join(shift, keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ RANGES = 64
 
 def range_of(key: Column, bounds: list) -> Column:
     """Number of the range that the key falls in; ``bounds`` ascend."""
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < key)) if bounds else F.lit(0)
+    return sum((F.coalesce((key > F.lit(b)).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
 
 
 def bounds_of(rows: DataFrame, key: str, ranges: int = RANGES) -> list:
@@ -41,6 +43,28 @@ def running_total(rows: DataFrame, key: str, amount: str, name: str, ranges: int
     return r.withColumn("own", F.coalesce(F.sum(amount).over(within), F.lit(0))).join(F.broadcast(before), "range").withColumn(name, F.col("own") + F.col("before")).drop("range", "own", "before")
 
 
+def running(rows: DataFrame, keys: Sequence[str], order: str, amount: Column, name: str, ranges: int = RANGES) -> DataFrame:
+    """``rows``, one for each (keys, order), with the sum of ``amount`` over the smaller orders of the same keys.
+
+    A key's rows are cut into ranges of the order, so that one key is not one
+    task; a row for each key and range is then summed on its own.
+    """
+    r = rows.withColumns({"_range": range_of(F.col(order), bounds_of(rows, order, ranges)), "_amount": amount})
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = r.groupBy(*keys, "_range").agg(F.sum("_amount").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(every), F.lit(0))).drop("_all")
+    return r.join(before, [*keys, "_range"]).withColumn(name, F.coalesce(F.sum("_amount").over(within), F.lit(0)) + F.col("_before")).drop("_range", "_amount", "_before")
+
+
+def least_from_here(rows: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, ranges: int = RANGES) -> DataFrame:
+    """The same for the least ``value`` of this and all greater orders."""
+    r = rows.withColumns({"_range": range_of(F.col(order), bounds_of(rows, order, ranges)), "_value": value})
+    within = Window.partitionBy(*keys, "_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    later = r.groupBy(*keys, "_range").agg(F.min("_value").alias("_own")).withColumn("_later", F.min("_own").over(every)).drop("_own")
+    return r.join(later, [*keys, "_range"]).withColumn(name, F.least(F.min("_value").over(within), F.col("_later"))).drop("_range", "_value", "_later")
+
+
 def dense_places(keys: DataFrame, key: str, name: str, ranges: int = RANGES) -> DataFrame:
     """Distinct keys with their place, from 1, in the order of all."""
     each = keys.select(key).distinct().withColumn("one", F.lit(1))

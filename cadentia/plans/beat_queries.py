@@ -71,11 +71,24 @@ def f_measure_120(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f_rounded(spark, sf_dir, 120_000)
 
 
-@query(f"WITH {ESTS}, s AS (SELECT stem_id, k, beat_us + shift_us AS beat_us, shift_us FROM ests, (SELECT unnest(range(-250000, 250001, 5000)) AS shift_us)), h AS (SELECT s.stem_id, shift_us, s.k, min(abs(s.beat_us - r.beat_us)) AS d FROM s JOIN refs r ON r.stem_id = s.stem_id GROUP BY ALL), c AS (SELECT stem_id, CAST(shift_us AS INTEGER) AS shift_us, count(*) FILTER (d <= 70000) AS hits FROM h GROUP BY ALL) SELECT stem_id, shift_us, hits FROM (SELECT *, row_number() OVER (PARTITION BY stem_id ORDER BY hits DESC, shift_us) AS r FROM c) WHERE r = 1")
+MID = "SELECT stem_id, median(ioi) AS m, count(*) AS n FROM (SELECT stem_id, beat_us - lag(beat_us) OVER (PARTITION BY stem_id ORDER BY beat_us) AS ioi FROM {0}) GROUP BY 1"
+SHIFT = f"WITH {ESTS}, s AS (SELECT stem_id, r.k, shift_us, min(abs(e.beat_us + shift_us - r.beat_us)) AS d FROM ests e JOIN refs r USING (stem_id), (SELECT unnest(range(-250000, 250001, 5000)) AS shift_us) GROUP BY ALL), c AS (SELECT stem_id, shift_us, count(*) FILTER (d <= 70000) AS hits FROM s GROUP BY ALL), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stem_id ORDER BY hits DESC, shift_us) AS r FROM c) WHERE r = 1), shifts AS (SELECT stem_id, CAST(CASE WHEN ok THEN shift_us ELSE 0 END AS INTEGER) AS shift_us, CASE WHEN ok THEN hits ELSE 0 END AS hits FROM (SELECT b.*, coalesce(x.m > 0 AND y.m > 0 AND greatest(x.m, y.m) / least(x.m, y.m)::DOUBLE <= 1.1::DOUBLE, false) AS ok FROM best b JOIN ({MID.format('ests')}) x USING (stem_id) JOIN ({MID.format('refs')}) y USING (stem_id)))"
+
+
+@query(f"{SHIFT} SELECT stem_id, shift_us, hits FROM shifts")
 def phase_aligned_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.best_shift(estimates(spark, sf_dir), references(spark, sf_dir), ["stem_id"])
 
 
+MOVED = SHIFT + ", moved AS (SELECT stem_id, beat_us + shift_us AS beat_us FROM ests JOIN shifts USING (stem_id)), " + ", ".join(f"{n} AS (SELECT p.stem_id, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END AS f FROM (SELECT stem_id, avg((d <= 70000)::INT) AS prec FROM (SELECT a.stem_id, a.beat_us, min(abs(a.beat_us - b.beat_us)) AS d FROM {t} a JOIN refs b USING (stem_id) GROUP BY 1, 2) GROUP BY 1) p JOIN (SELECT stem_id, avg((d <= 70000)::INT) AS rec FROM (SELECT a.stem_id, a.beat_us, min(abs(a.beat_us - b.beat_us)) AS d FROM refs a JOIN {t} b USING (stem_id) GROUP BY 1, 2) GROUP BY 1) q USING (stem_id))" for n, t in (("f0", "ests"), ("f1", "moved")))
+
+
+@query(f"{MOVED} SELECT stem_id, {R6.format('f0.f')} AS f, {R6.format('f1.f')} AS f_aligned, shift_us FROM f0 JOIN f1 USING (stem_id) JOIN shifts USING (stem_id)")
+def phase_aligned_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = M.phase_aligned_f(estimates(spark, sf_dir), references(spark, sf_dir), ["stem_id"])
+    return f.withColumns({c: X.half_even(F.col(c), 6) for c in ("f", "f_aligned")})
+
+
 PERIODS = f"WITH {ESTS}, pr AS (SELECT stem_id, median(ioi) AS ref_us FROM (SELECT stem_id, beat_us - lag(beat_us) OVER (PARTITION BY stem_id ORDER BY beat_us) AS ioi FROM refs) GROUP BY 1), pe AS (SELECT stem_id, median(ioi) * (CASE WHEN stem_id LIKE '%3' THEN 2.0 WHEN stem_id LIKE '%7' THEN 0.5 ELSE 1.0 END) AS est_us FROM (SELECT stem_id, beat_us - lag(beat_us) OVER (PARTITION BY stem_id ORDER BY beat_us) AS ioi FROM ests) GROUP BY 1)"
 
 
@@ -115,7 +128,7 @@ def bimodal_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.bimodal_strength(*uneven_peaks(spark, sf_dir)).withColumn("strength", X.half_even(F.col("strength"), 6))
 
 
-@query(f"{SHORT}, a AS (SELECT stem_id, tap_us, coalesce(lead(tap_us) OVER (PARTITION BY stem_id ORDER BY tap_us) - tap_us < 500000, false) AS short FROM p), r AS (SELECT *, coalesce(sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY stem_id ORDER BY tap_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM a), i AS (SELECT stem_id, row_number() OVER (PARTITION BY stem_id, run ORDER BY tap_us) AS i FROM r) SELECT stem_id, CASE WHEN i % 2 = 1 THEN 'A' ELSE 'B' END AS phase_group, count(*) AS n FROM i GROUP BY ALL")
+@query(f"{SHORT}, a AS (SELECT stem_id, tap_us, coalesce(lead(tap_us) OVER (PARTITION BY stem_id ORDER BY tap_us) - tap_us <= 500000, false) AS short FROM p), r AS (SELECT *, coalesce(sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY stem_id ORDER BY tap_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM a), i AS (SELECT stem_id, row_number() OVER (PARTITION BY stem_id, run ORDER BY tap_us) AS i FROM r) SELECT stem_id, CASE WHEN i % 2 = 1 THEN 'A' ELSE 'B' END AS phase_group, count(*) AS n FROM i GROUP BY ALL")
 def bimodal_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks, period = uneven_peaks(spark, sf_dir)
     t = period.select("stem_id", F.lit(500_000).alias("threshold_us"))
@@ -167,7 +180,7 @@ def midpoint_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("stem_id", "k", X.half_even(F.col("t_us"), 1).alias("mid_us"), (F.abs("off_us") <= 90_000).alias("supported"))
 
 
-@query(f"WITH {ESTS}, d AS (SELECT stem_id, beat_us, (beat_us - lag(beat_us) OVER (PARTITION BY stem_id ORDER BY beat_us)) / 1000.0::DOUBLE AS ioi FROM ests), i AS (SELECT stem_id, ioi, row_number() OVER (PARTITION BY stem_id ORDER BY beat_us) AS i FROM d WHERE ioi IS NOT NULL), r AS (SELECT a.stem_id, a.i AS first, b.i - a.i + 1 AS n, stddev_pop(c.ioi) / avg(c.ioi) AS cv FROM i a JOIN i b ON a.stem_id = b.stem_id AND b.i - a.i + 1 >= 6 JOIN i c ON c.stem_id = a.stem_id AND c.i BETWEEN a.i AND b.i GROUP BY ALL), s AS (SELECT *, n * exp(-cv / 0.05) AS score FROM r) SELECT stem_id, CAST(first AS INTEGER) AS first, CAST(n AS INTEGER) AS n, round_even(cv, 5) AS cv FROM (SELECT *, row_number() OVER (PARTITION BY stem_id ORDER BY round(score, 9) DESC, n, first) AS k FROM s) WHERE k = 1")
+@query(f"WITH {ESTS}, d AS (SELECT stem_id, beat_us, (beat_us - lag(beat_us) OVER (PARTITION BY stem_id ORDER BY beat_us)) / 1000.0::DOUBLE AS ioi FROM ests), i AS (SELECT stem_id, ioi, row_number() OVER (PARTITION BY stem_id ORDER BY beat_us) AS i FROM d WHERE ioi IS NOT NULL), r AS (SELECT a.stem_id, a.i AS first, b.i - a.i + 2 AS n, stddev_pop(c.ioi) / avg(c.ioi) AS cv FROM i a JOIN i b ON a.stem_id = b.stem_id AND b.i - a.i + 1 >= 5 JOIN i c ON c.stem_id = a.stem_id AND c.i BETWEEN a.i AND b.i GROUP BY ALL), s AS (SELECT *, n * exp(-cv / 0.05) AS score FROM r WHERE cv <= 0.15) SELECT stem_id, CAST(first AS INTEGER) AS first, CAST(n AS INTEGER) AS n, round_even(cv, 5) AS cv FROM (SELECT *, row_number() OVER (PARTITION BY stem_id ORDER BY round(score, 9) DESC, n, first) AS k FROM s) WHERE k = 1")
 def confident_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.steady_runs(estimates(spark, sf_dir)).select("stem_id", F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n"), X.half_even(F.col("cv"), 5).alias("cv"))
 

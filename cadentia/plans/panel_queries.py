@@ -94,13 +94,13 @@ RANK = "(rank() OVER ({p} ORDER BY {x}) + (count(*) OVER ({q}) - 1) / 2.0::DOUBL
 def wilcoxon_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = F.year("o_orderdate") < 1996
     c = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.round(F.avg(F.when(early, F.col("o_totalprice"))) - F.avg(F.when(~early, F.col("o_totalprice"))), 2).alias("d"))
-    return S.wilcoxon(c, ["o_orderpriority"], "d")
+    return S.wilcoxon(c, ["o_orderpriority"], "d").select("o_orderpriority", "n", "w_plus", "w_minus")
 
 
 @query("WITH r AS (SELECT l_returnflag, l_linestatus = 'F' AS f, (rank() OVER (PARTITION BY l_returnflag, l_shipmonth ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_shipmonth, l_quantity) - 1) / 2.0::DOUBLE) AS k, l_shipmonth FROM (SELECT *, month(l_shipdate) AS l_shipmonth FROM lineitem)) SELECT l_returnflag, CAST(l_shipmonth AS INTEGER) AS m, count(*) FILTER (f) AS n_first, count(*) FILTER (NOT f) AS n_second, coalesce(sum(k) FILTER (f), 0) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2.0::DOUBLE AS u FROM r GROUP BY 1, 2")
 def mannwhitney_u(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").withColumn("m", F.month("l_shipdate"))
-    return S.mann_whitney(t, ["l_returnflag", "m"], F.col("l_linestatus") == "F", "l_quantity")
+    return S.mann_whitney(t, ["l_returnflag", "m"], F.col("l_linestatus") == "F", "l_quantity").drop("ties")
 
 
 @query("WITH r AS (SELECT c_mktsegment, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS k FROM (SELECT c_mktsegment, CAST(floor(c_acctbal / 10) AS BIGINT) AS v FROM customer)), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY v)), g AS (SELECT count(*) AS m, sum(k) AS s FROM r GROUP BY c_mktsegment), q AS (SELECT sum(s * s / m) AS q, count(*) AS k, sum(m)::BIGINT AS n FROM g) SELECT k, n, round_even(((12.0::DOUBLE / (n::DOUBLE * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n::DOUBLE * n * n - n))) * 1e6, 0) / 1e6 AS h FROM q, t")
@@ -150,6 +150,25 @@ def fixed_effect_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("n", X.half_even(F.col("beta"), 6).alias("beta"), X.half_even(F.col("se"), 6).alias("se"))
 
 
+@query()
+def fixed_effect_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effect over all suppliers' months, of which few are complete."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    c = l.groupBy(F.col("l_suppkey").alias("r"), F.date_trunc("quarter", "l_shipdate").alias("s")).agg(F.avg("l_extendedprice").alias("y"), F.avg("l_discount").alias("x"))
+    e = S.two_way_effect(c, "r", "s", "x", "y")
+    return e.select("n", *(X.half_even(F.col(k), 6).alias(k) for k in ("beta", "se", "z", "lo", "hi", "p")))
+
+
+@query()
+def small_sample_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed-rank and rank-sum tests of each nation's suppliers and customers, which are few."""
+    a = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit(True).alias("supplier"), F.col("s_acctbal").alias("balance"))
+    b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.lit(False).alias("supplier"), F.col("c_acctbal").alias("balance"))
+    w = S.wilcoxon_p(a, ["nation"], "balance", 3).select("nation", F.lit("signed_rank").alias("test"), "n", F.col("w_plus").alias("value"), "median_difference", "method", "p", "p_greater")
+    u = S.mann_whitney_p(a.unionAll(b), ["nation"], F.col("supplier"), "balance")
+    return w.unionAll(u.select("nation", F.lit("rank_sum"), F.col("n_first") + F.col("n_second"), "u", F.lit(None).cast("double"), "method", F.lit(None).cast("double"), "p_greater"))
+
+
 @query()
 def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.permutation_test(vectors(spark, sf_dir), "panel", [f"is_{c}" for c in CLASSES], 9_999, 20260717)

@@ -203,4 +203,4 @@ def rank_test_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = o.groupBy("o_orderpriority", "o_custkey").agg(F.round(F.avg(F.when(early, F.col("o_totalprice"))) - F.avg(F.when(~early, F.col("o_totalprice"))), 2).alias("d"))
     c = table(spark, sf_dir, "customer").withColumn("v", F.floor(F.col("c_acctbal") / 10))
     n = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
-    return S.with_p(S.wilcoxon_z(d, "o_orderpriority", "d"), S.mann_whitney_z(o, "o_orderpriority", early, "o_totalprice"), S.kruskal(c, "c_mktsegment", "v"), S.spearman(c.join(n, "c_custkey"), ["c_mktsegment"], "c_acctbal", "n_orders"))
+    return S.with_p(S.wilcoxon_p(d, ["o_orderpriority"], "d"), S.mann_whitney_p(o, ["o_orderpriority"], early, "o_totalprice"), S.kruskal(c, "c_mktsegment", "v"), S.spearman(c.join(n, "c_custkey"), ["c_mktsegment"], "c_acctbal", "n_orders"))
