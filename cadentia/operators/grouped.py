@@ -60,17 +60,6 @@ def beat_metrics(reference: DataFrame, estimate: DataFrame, key: str = "stem_id"
     return paired(reference, estimate, key, kernel, f"{key} string, metric string, value double")
 
 
-def matchings(reference: DataFrame, estimate: DataFrame, key: str = "stem_id", tolerance_s: float = 0.07) -> DataFrame:
-    """Sizes of the greedy and of the maximum matching, and the greedy one's median offset."""
-
-    def kernel(k, x: np.ndarray, y: np.ndarray) -> pa.Table:
-        g = matching.greedy_match(x, y, tolerance_s)
-        off = [float(y[j] - x[i]) for i, j in g]
-        return pa.table({key: [k], "n_greedy": [len(g)], "n_maximum": [matching.maximum_match(x, y, tolerance_s)], "f_maximum": [matching.f_measure(x, y, tolerance_s)], "median_offset_s": pa.array([float(np.median(off)) if off else None], pa.float64())})
-
-    return paired(reference, estimate, key, kernel, f"{key} string, n_greedy long, n_maximum long, f_maximum double, median_offset_s double")
-
-
 def subsample(rows: DataFrame, keys: list[str], unit: str, n: int, draws: int, seed: int) -> DataFrame:
     """``draws`` samples of ``n`` units without replacement per key: units ranked by a hash of id, draw and seed."""
     units = rows.select(*keys, unit).distinct().select(*keys, unit, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))

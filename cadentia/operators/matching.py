@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 
 def nearest(events: DataFrame, beats: DataFrame, keys: list[str], start_us: int = 0, stop_us: int = 30_000_000, slice_us: int = 2_000_000) -> DataFrame:
     """Each event (``t_us``) with its nearest beat and the signed distance ``off_us``; ties take the earlier beat.
@@ -104,3 +106,65 @@ def phase_aligned_f(predicted: DataFrame, reference: DataFrame, keys: list[str],
     moved = predicted.join(shift, keys).select(*keys, (F.col("beat_us") + F.col("shift_us")).alias("beat_us"))
     before, after = (f_measure(x, reference, keys, tolerance_us).select(*keys, F.col("f").alias(n)) for x, n in ((predicted, "f"), (moved, "f_aligned")))
     return before.join(after, keys).join(shift, keys)
+
+
+def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], tolerance_us: int) -> DataFrame:
+    """All (keys, a_us, b_us) within the tolerance; a and b: keys and ``beat_us``.  Slices as wide as the tolerance meet their neighbours."""
+    width = max(tolerance_us, 1)
+    x = a.select(*keys, F.col("beat_us").alias("a_us"), F.floor(F.col("beat_us") / width).alias("slice"))
+    y = b.select(*keys, F.col("beat_us").alias("b_us"), F.floor(F.col("beat_us") / width).alias("own"))
+    y = y.withColumn("slice", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
+    return x.join(y, [*keys, "slice"]).where(F.abs(F.col("a_us") - F.col("b_us")) <= tolerance_us).drop("slice")
+
+
+def greedy_pairs(a: DataFrame, b: DataFrame, keys: list[str], tolerance_us: int = 70_000) -> DataFrame:
+    """One-to-one pairs by growing distance, then the earlier a, then the earlier b: (keys, a_us, b_us).
+
+    What taking the nearest pair of all again and again would find is found
+    in rounds: a pair that comes first for both its beats is taken, wherever
+    else pairs are left, and the pairs of taken beats go.  Beats of one side
+    are distinct times.
+    """
+    order = F.struct(F.abs(F.col("a_us") - F.col("b_us")).alias("d"), "a_us", "b_us")
+    left = durable(near_pairs(a, b, keys, tolerance_us).withColumn("order", order))
+    taken = None
+    while True:
+        first = [F.min("order").over(Window.partitionBy(*keys, c)) for c in ("a_us", "b_us")]
+        now = durable(left.withColumns({"first_a": first[0], "first_b": first[1]}).where((F.col("order") == F.col("first_a")) & (F.col("order") == F.col("first_b"))).select(*keys, "a_us", "b_us"))
+        taken = now if taken is None else taken.unionAll(now)
+        if now.isEmpty():
+            return taken
+        left = durable(left.join(now.select(*keys, "a_us"), [*keys, "a_us"], "left_anti").join(now.select(*keys, "b_us"), [*keys, "b_us"], "left_anti"))
+
+
+def maximum_matching(a: DataFrame, b: DataFrame, keys: list[str], tolerance_us: int = 70_000) -> DataFrame:
+    """Sizes per key: n_a, n_b and n_maximum, the most one-to-one pairs within the tolerance.
+
+    A sweep over time matches each beat with the earliest one of the other
+    side that still waits.  Where no beat of either side comes for longer than
+    the tolerance nothing waits, so runs between such gaps are swept apart.
+    """
+    u = a.select(*keys, "beat_us", F.lit(0).alias("side")).unionAll(b.select(*keys, "beat_us", F.lit(1).alias("side")))
+    w = Window.partitionBy(*keys).orderBy("beat_us", "side")
+    gap = F.coalesce(F.col("beat_us") - F.lag("beat_us").over(w) > tolerance_us, F.lit(True))
+    runs = u.withColumn("gap", gap).withColumn("run", F.sum(F.col("gap").cast("int")).over(w))
+    events = runs.groupBy(*keys, "run").agg(F.count_if(F.col("side") == 0).alias("n_a"), F.count_if(F.col("side") == 1).alias("n_b"), F.array_sort(F.collect_list(F.struct("beat_us", "side"))).alias("events"))
+    state = lambda n, side, waits: F.struct(n.cast("long").alias("n"), side.cast("int").alias("side"), waits.alias("waits"))
+
+    def step(acc, e):
+        waits = F.filter(acc["waits"], lambda t: t >= e["beat_us"] - tolerance_us)
+        match = (acc["side"] != e["side"]) & (F.size(waits) > 0)
+        kept = F.when(acc["side"] == e["side"], F.concat(waits, F.array(e["beat_us"]))).when(match, F.slice(waits, 2, F.greatest(F.size(waits) - 1, F.lit(0)))).otherwise(F.array(e["beat_us"]))
+        return state(acc["n"] + match.cast("long"), F.when(match, acc["side"]).otherwise(e["side"]), kept)
+
+    none = F.array().cast(f"array<{dict(u.dtypes)['beat_us']}>")
+    swept = events.withColumn("n", F.aggregate("events", state(F.lit(0), F.lit(0), none), step)["n"])
+    return swept.groupBy(*keys).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum("n").alias("n_maximum"))
+
+
+def matchings(reference: DataFrame, estimate: DataFrame, keys: list[str], tolerance_us: int = 70_000) -> DataFrame:
+    """Sizes of the greedy and of the maximum matching, F by the latter, and the greedy pairs' median offset, for keys with beats on either side."""
+    g = greedy_pairs(reference, estimate, keys, tolerance_us).groupBy(*keys).agg(F.count("*").alias("n_greedy"), (F.median(F.col("b_us") - F.col("a_us")) / 1_000_000).alias("median_offset_s"))
+    m = maximum_matching(reference, estimate, keys, tolerance_us)
+    f = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), 2 * F.col("n_maximum") / (F.col("n_a") + F.col("n_b"))).otherwise(0.0)
+    return m.join(g, keys, "left").select(*keys, F.coalesce("n_greedy", F.lit(0)).alias("n_greedy"), "n_maximum", f.alias("f_maximum"), "median_offset_s")

@@ -185,9 +185,21 @@ def confident_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.steady_runs(estimates(spark, sf_dir)).select("stem_id", F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n"), X.half_even(F.col("cv"), 5).alias("cv"))
 
 
-@query()
+NEAR_PAIRS = "pr AS (SELECT r.stem_id, r.beat_us AS a, e.beat_us AS b, abs(r.beat_us - e.beat_us) AS d FROM refs r JOIN ests e USING (stem_id) WHERE abs(r.beat_us - e.beat_us) <= 70000), g AS (SELECT stem_id, [a] AS ua, [b] AS ub FROM pr QUALIFY row_number() OVER (PARTITION BY stem_id ORDER BY d, a, b) = 1 UNION ALL (SELECT g.stem_id, list_append(ua, pr.a) AS ua, list_append(ub, pr.b) AS ub FROM g JOIN pr ON g.stem_id = pr.stem_id WHERE NOT list_contains(ua, pr.a) AND NOT list_contains(ub, pr.b) QUALIFY row_number() OVER (PARTITION BY g.stem_id ORDER BY d, a, b) = 1)), gp AS (SELECT stem_id, unnest(ua) AS a_us, unnest(ub) AS b_us FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY stem_id ORDER BY len(ua) DESC) = 1))"
+
+
+@query(f"WITH RECURSIVE {ESTS}, {NEAR_PAIRS} SELECT stem_id, a_us, b_us FROM gp")
+def greedy_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.greedy_pairs(references(spark, sf_dir), estimates(spark, sf_dir), ["stem_id"])
+
+
+SWEEP = "li AS (SELECT * FROM (SELECT stem_id, list(beat_us ORDER BY beat_us) AS x FROM refs GROUP BY 1) JOIN (SELECT stem_id, list(beat_us ORDER BY beat_us) AS y FROM ests GROUP BY 1) USING (stem_id)), sw AS (SELECT stem_id, 1 AS i, 1 AS j, 0 AS n FROM li UNION ALL SELECT sw.stem_id, i + (abs(x[i] - y[j]) <= 70000 OR x[i] < y[j])::INT, j + (abs(x[i] - y[j]) <= 70000 OR x[i] > y[j])::INT, n + (abs(x[i] - y[j]) <= 70000)::INT FROM sw JOIN li ON sw.stem_id = li.stem_id WHERE i <= len(x) AND j <= len(y))"
+
+
+@query(f"WITH RECURSIVE {ESTS}, {NEAR_PAIRS}, {SWEEP}, ng AS (SELECT stem_id, count(*) AS n_greedy, {R6.format('median(b_us - a_us) / 1e6::DOUBLE')} AS median_offset_s FROM gp GROUP BY 1), nm AS (SELECT sw.stem_id, CAST(max(n) AS BIGINT) AS n_maximum, any_value(len(x) + len(y)) AS total FROM sw JOIN li USING (stem_id) GROUP BY 1) SELECT stem_id, coalesce(n_greedy, 0) AS n_greedy, n_maximum, {R6.format('2 * n_maximum / total::DOUBLE')} AS f_maximum, median_offset_s FROM nm LEFT JOIN ng USING (stem_id)")
 def greedy_and_maximum_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped.matchings(references(spark, sf_dir), estimates(spark, sf_dir))
+    m = M.matchings(references(spark, sf_dir), estimates(spark, sf_dir), ["stem_id"])
+    return m.withColumns({c: X.half_even(F.col(c), 6) for c in ("f_maximum", "median_offset_s")})
 
 
 @query()
