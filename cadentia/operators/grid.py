@@ -15,17 +15,59 @@ def grid_points(params: DataFrame, start_us: int = 0, stop_us: int = 30 * SECOND
     return params.withColumn("k", F.explode(F.sequence(k0, k1))).withColumn("beat_us", F.col("phase_us") + F.col("k") * F.col("period_us"))
 
 
-def grid_scores(params: DataFrame, peaks: DataFrame, stop_us: int = 30 * SECOND) -> DataFrame:
-    """Share of a stem's peaks within 0.12 T + 20 ms of the grid, for each (period, phase); the nearest point comes by arithmetic.
+def with_grids(rows: DataFrame, first_us: int, step_us: int, n_periods: int, n_phases: int) -> DataFrame:
+    """``rows`` with every period first, first + step, ... and every phase, a share j of n of the period, rounded down."""
+    t = F.explode(F.sequence(F.lit(first_us).cast("long"), F.lit(first_us + step_us * (n_periods - 1)).cast("long"), F.lit(step_us).cast("long")))
+    j = F.explode(F.sequence(F.lit(0), F.lit(n_phases - 1)))
+    return rows.withColumn("period_us", t).withColumn("j", j).withColumn("phase_us", F.expr(f"period_us * j div {n_phases}")).drop("j")
 
-    Without ``stem_id`` the parameters are a list of constants that every peak is tried with.
+
+def grid_scores(peaks: DataFrame, first_us: int, step_us: int, n_periods: int, n_phases: int, stop_us: int = 30 * SECOND, curve: DataFrame | None = None, curve_step_us: int = 5_000, peak_weight: float = 0.5) -> DataFrame:
+    """For each stem, period and phase the share of the stem's peaks within 0.12 T + 20 ms of the grid; the nearest point comes by arithmetic.
+
+    With a ``curve`` (stem_id, g, y) also the mean of the scaled curve on the
+    grid's points, and the score: that mean and ``peak_weight`` of the share,
+    or -1 where there are less than two points.
     """
-    p = peaks.join(params, "stem_id") if "stem_id" in params.columns else peaks.withColumn("of", F.explode(F.array(*(F.struct(*(F.lit(v).cast("long").alias(c) for c, v in r.asDict().items())) for r in params.select("period_us", "phase_us").collect())))).select("stem_id", "tap_us", "of.*")
+    p = with_grids(peaks, first_us, step_us, n_periods, n_phases)
     t, phi, x = F.col("period_us"), F.col("phase_us"), F.col("tap_us")
     lo, hi = F.ceil((0 - phi) / t.cast("double")), F.floor((stop_us - phi) / t.cast("double"))
     k = F.greatest(lo, F.least(hi, F.rint((x - phi) / t.cast("double")).cast("long")))
     near = F.abs(x - (phi + k * t)) <= 0.12 * t + 20_000
-    return p.groupBy("stem_id", "period_us", "phase_us").agg(F.count("*").alias("n"), F.count_if(near).alias("n_near")).withColumn("coverage", F.col("n_near") / F.col("n"))
+    out = p.groupBy("stem_id", "period_us", "phase_us").agg(F.count("*").alias("n"), F.count_if(near).alias("n_near")).withColumn("coverage", F.col("n_near") / F.col("n"))
+    if curve is None:
+        return out
+    points = grid_points(with_grids(peaks.select("stem_id").distinct(), first_us, step_us, n_periods, n_phases), 0, stop_us).withColumnRenamed("beat_us", "t_us")
+    on = interpolated(points, curve, curve_step_us, "y").groupBy("stem_id", "period_us", "phase_us").agg(F.count("*").alias("n_points"), F.avg("y").alias("density"))
+    score = F.when(F.col("n_points") >= 2, F.col("density") + peak_weight * F.col("coverage")).otherwise(-1.0)
+    return out.join(on, ["stem_id", "period_us", "phase_us"]).withColumn("score", score).drop("n_points")
+
+
+def coverage_search(peaks: DataFrame, first_us: int = 280_000, step_us: int = 8_151, n_periods: int = 120, n_phases: int = 240, stop_us: int = 30 * SECOND) -> DataFrame:
+    """The grid that has most of a stem's peaks within 0.12 T + 20 ms of a point of the window: stem_id, period_us, phase (of n_phases), n_near.
+
+    Of equals the first period, then the first phase.  A peak is near a run of
+    phases, whose ends come by arithmetic; so a period costs a stem twice as
+    many rows as it has peaks, whatever the number of phases, and a running sum
+    over the ends counts the peaks of every phase.  Phases are exact shares
+    of the period, and all comparisons are between integers.
+    """
+    t = F.explode(F.sequence(F.lit(first_us).cast("long"), F.lit(first_us + step_us * (n_periods - 1)).cast("long"), F.lit(step_us).cast("long")))
+    p = peaks.select("stem_id", F.col("tap_us").cast("long").alias("x")).withColumn("t", t)
+    x, t, n = F.col("x"), F.col("t"), n_phases
+    reach = 12 * t + 2_000_000  # 100 times the tolerance
+    k = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((100 * x - reach) / (100 * t))), F.greatest(F.lit(0), F.floor((100 * x + reach) / (100 * t)))))
+    p = p.where(100 * x + reach >= 0).withColumn("k", k)
+    start = 100 * x - 100 * F.col("k") * t
+    down = lambda a, b: F.floor(a / b).cast("long") - (F.floor(a / b).cast("long") * b > a).cast("long")
+    first = -down(n * (reach - start), 100 * t)  # the least j with 100 * t * j >= n * (start - reach)
+    last = F.least(down(n * (start + reach), 100 * t), down(n * (F.lit(stop_us) - F.col("k") * t), t), F.lit(n - 1))
+    runs = p.select("stem_id", "t", F.greatest(first, F.lit(0)).alias("first"), last.alias("last")).where("first <= last")
+    ends = runs.select("stem_id", "t", F.explode(F.array(F.struct(F.col("first").alias("j"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("j"), F.lit(-1).alias("d")))).alias("e")).select("stem_id", "t", "e.*")
+    steps = ends.groupBy("stem_id", "t", "j").agg(F.sum("d").alias("d"))
+    level = F.sum("d").over(Window.partitionBy("stem_id", "t").orderBy("j").rowsBetween(Window.unboundedPreceding, 0))
+    best = steps.withColumn("n", level).groupBy("stem_id").agg(F.max(F.struct("n", (-F.col("t")).alias("t"), (-F.col("j")).alias("j"))).alias("b"))
+    return best.select("stem_id", (-F.col("b.t")).alias("period_us"), (-F.col("b.j")).cast("int").alias("phase"), F.col("b.n").alias("n_near"))
 
 
 def refine(peaks: DataFrame, params: DataFrame, fraction: float = 0.15, rounds: int = 3) -> DataFrame:

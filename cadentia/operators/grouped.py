@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..kernels import cascade as grids
 from ..kernels import matching, periods, signal
+from . import matching as nearby
+from . import timing
+from .durable import durable
 
 SECOND = 1_000_000.0
 
@@ -40,6 +43,91 @@ def consensus(peaks: DataFrame, params: grids.Params = grids.Params()) -> DataFr
     return peaks.select("stem_id", "tap_us").groupBy("stem_id").applyInArrow(kernel, "stem_id string, beats_us array<long>, period_s double, cv double, label string, path string, scores map<string,double>")
 
 
+def consensus_sweep(peaks: DataFrame, variants: dict[str, grids.Params]) -> DataFrame:
+    """(stem_id, variant, beats_us): each stem's grid under each set of parameters; a stem and a variant are one task's row of work."""
+    shared = dict(variants)
+    each = peaks.select("stem_id", "tap_us", F.explode(F.array(*map(F.lit, shared))).alias("variant"))
+
+    def kernel(t: pa.Table) -> pa.Table:
+        x = np.sort(t.column("tap_us").to_numpy() / SECOND)
+        beats = grids.cascade(x, shared[one(t, "variant")]).beats if len(x) >= 3 else np.empty(0)
+        return pa.table({"stem_id": [one(t, "stem_id")], "variant": [one(t, "variant")], "beats_us": pa.array([np.rint(beats * SECOND).astype(np.int64)], pa.list_(pa.int64()))})
+
+    return each.groupBy("stem_id", "variant").applyInArrow(kernel, "stem_id string, variant string, beats_us array<long>")
+
+
+#: What is varied, one at a time, in the sensitivity analysis (fixed values).
+VARIANTS = {
+    "T_steps_80": {"periods": 80},
+    "T_steps_160": {"periods": 160},
+    "phi_steps_160": {"phases": 160},
+    "phi_steps_320": {"phases": 320},
+    "peak_weight_025": {"peak_weight": 0.25},
+    "peak_weight_075": {"peak_weight": 0.75},
+    "snap_weight_025": {"snap_share": 0.25},
+    "snap_weight_065": {"snap_share": 0.65},
+    "snap_max_008": {"snap_reach": 0.08},
+    "snap_max_016": {"snap_reach": 0.16},
+    "bimodal_008": {"bimodal": 0.08},
+    "bimodal_012": {"bimodal": 0.12},
+    "ioi_min_023": {"ioi_min": 0.23},
+    "ioi_min_033": {"ioi_min": 0.33},
+}
+
+
+def sensitivity(peaks: DataFrame, variants: dict[str, dict] = VARIANTS) -> DataFrame:
+    """Each stem's grid under each variant against its default grid: stem_id, variant, n_beats and what ``compared_grids`` tells."""
+    made = durable(consensus_sweep(peaks, {"default": grids.Params()} | {k: grids.Params(**v) for k, v in variants.items()}))
+    beats = made.select("stem_id", "variant", F.explode("beats_us").alias("beat_us"))
+    default = beats.where("variant = 'default'").select("stem_id", "beat_us", F.explode(F.array(*map(F.lit, variants))).alias("variant"))
+    found = nearby.compared_grids(default, beats.where("variant <> 'default'"), ["stem_id", "variant"])
+    return made.where("variant <> 'default'").select("stem_id", "variant", F.size("beats_us").alias("n_beats")).join(found, ["stem_id", "variant"], "left")
+
+
+def sampled_groups(taps: DataFrame, sizes: list[int], reps: int, seed: int) -> DataFrame:
+    """Taps of two disjoint samples (group A and B) of n participants of each stem with 2 n at least, by an order of hashes: stem_id, n, rep, group, tap_us.
+
+    Only the taps of who is drawn are repeated.
+    """
+    units = taps.select("stem_id", "participant").distinct()
+    drawn = units.withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    cell = Window.partitionBy("stem_id", "n", "rep")
+    drawn = drawn.withColumns({"place": F.row_number().over(cell.orderBy(F.xxhash64("participant", "n", "rep", F.lit(seed)), "participant")), "of": F.count("*").over(cell)})
+    drawn = drawn.where((F.col("place") <= 2 * F.col("n")) & (2 * F.col("n") <= F.col("of")))
+    return taps.join(drawn.select("stem_id", "participant", "n", "rep", F.when(F.col("place") <= F.col("n"), "A").otherwise("B").alias("group")), ["stem_id", "participant"]).select("stem_id", "n", "rep", "group", "tap_us")
+
+
+def final_grid_reliability(taps: DataFrame, sizes: list[int], reps: int, seed: int) -> DataFrame:
+    """Grids of samples of n participants against the stem's whole grid, and of disjoint samples against each other.
+
+    Every sample goes from taps to peaks to a grid as a stem does, under a
+    name of its own.  Rows: comparison, stem_id, n, rep, group, and what
+    ``compared_grids`` tells.
+    """
+    part = F.concat_ws("\u001f", "stem_id", "n", "rep", "group")
+    samples = sampled_groups(taps, sizes, reps, seed).select(part.alias("stem_id"), "tap_us")
+    whole = taps.select(F.concat_ws("\u001f", "stem_id", F.lit("0"), F.lit("0"), F.lit("all")).alias("stem_id"), "tap_us")
+    made = consensus(density_peaks(timing.pooled_density(samples.unionAll(whole))))
+    name = F.split("stem_id", "\u001f")
+    beats = durable(made.select(name[0].alias("stem_id"), name[1].cast("int").alias("n"), name[2].cast("int").alias("rep"), name[3].alias("group"), F.explode("beats_us").alias("beat_us")))
+    subset = beats.where("group <> 'all'")
+    cells = subset.select("stem_id", "n", "rep", "group").distinct()
+    keys = ["stem_id", "n", "rep", "group"]
+    against = beats.where("group = 'all'").select("stem_id", "beat_us").join(cells, "stem_id")
+    one_way = nearby.compared_grids(against, subset, keys).withColumn("comparison", F.lit("subsample_vs_full"))
+    a, b = (subset.where(F.col("group") == g).drop("group") for g in "AB")
+    both = nearby.compared_grids(a, b, keys[:3]).withColumns({"group": F.lit("AB"), "comparison": F.lit("independent_n_vs_n")})
+    return one_way.unionByName(both)
+
+
+def reliability_summary(rows: DataFrame) -> DataFrame:
+    """Per comparison and n: stems, repetitions, F averaged by stem, shares at the matched rate, and medians of phase and timing offsets."""
+    stem = rows.groupBy("comparison", "n", "stem_id").agg(F.avg("f").alias("f"))
+    by = stem.groupBy("comparison", "n").agg(F.count("*").alias("n_stems"), F.avg("f").alias("mean_f"), F.median("f").alias("median_f"))
+    rest = rows.groupBy("comparison", "n").agg(F.count_distinct("rep").alias("n_repetitions"), F.avg((F.col("relation") == "matched").cast("double")).alias("matched_share"), F.median(F.abs("phase_offset")).alias("median_abs_phase"), F.median("median_abs_offset_ms").alias("median_abs_offset_ms"))
+    return by.join(rest, ["comparison", "n"])
+
+
 def paired(reference: DataFrame, estimate: DataFrame, key: str, kernel, schema: str) -> DataFrame:
     """Kernel over (key, sorted seconds of the reference, of the estimate); both have key and ``beat_us``."""
 
@@ -160,24 +248,6 @@ def estimated_periods(peaks: DataFrame) -> DataFrame:
     return peaks.select("stem_id", "tap_us").groupBy("stem_id").applyInArrow(kernel, "stem_id string, acf_period_s double, n_candidates int, period_s double, phase_s double")
 
 
-def compared_grids(reference: DataFrame, estimate: DataFrame, key: str = "stem_id", start_s: float = 10.0, stop_s: float = 25.0) -> DataFrame:
-    """F by maximum matching, periods, their ratio, circular phase offset and median greedy offset, in the evaluation window."""
-
-    def kernel(k, x: np.ndarray, y: np.ndarray) -> pa.Table:
-        x, y = (v[(v >= start_s) & (v <= stop_s)] for v in (x, y))
-        p, q = (float(np.median(np.diff(v))) if len(v) > 1 else None for v in (x, y))
-        off = [abs(float(y[j] - x[i])) for i, j in matching.greedy_match(x, y, 0.07)]
-        phase = None
-        if p and q and 0.80 <= q / p <= 1.25:
-            a = 2 * np.pi * (y - x[matching.nearest_index(x, y)]) / p
-            phase = float(np.arctan2(np.sin(a).mean(), np.cos(a).mean()) / (2 * np.pi))
-        f = matching.f_measure(x, y) if len(x) and len(y) else None
-        values = {"f": f, "reference_period_s": p, "estimate_period_s": q, "ratio": q / p if p and q else None, "phase_offset": phase, "median_offset_ms": float(np.median(off)) * 1000 if off else None}
-        return pa.table({key: [k], **{n: pa.array([v], pa.float64()) for n, v in values.items()}})
-
-    return paired(reference, estimate, key, kernel, f"{key} string, f double, reference_period_s double, estimate_period_s double, ratio double, phase_offset double, median_offset_ms double")
-
-
 def levels_of(reference: DataFrame, estimate: DataFrame, key: str = "stem_id", start_s: float = 10.0, stop_s: float = 25.0) -> DataFrame:
     """F, and the shares tracked at the annotated and at any metrical level, untrimmed within the window."""
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import ratio_class
 from .durable import durable
 
 
@@ -158,8 +159,8 @@ def maximum_matching(a: DataFrame, b: DataFrame, keys: list[str], tolerance_us:
         return state(acc["n"] + match.cast("long"), F.when(match, acc["side"]).otherwise(e["side"]), kept)
 
     none = F.array().cast(f"array<{dict(u.dtypes)['beat_us']}>")
-    swept = events.withColumn("n", F.aggregate("events", state(F.lit(0), F.lit(0), none), step)["n"])
-    return swept.groupBy(*keys).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum("n").alias("n_maximum"))
+    swept = events.withColumn("_matched", F.aggregate("events", state(F.lit(0), F.lit(0), none), step)["n"])
+    return swept.groupBy(*keys).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum("_matched").alias("n_maximum"))
 
 
 def matchings(reference: DataFrame, estimate: DataFrame, keys: list[str], tolerance_us: int = 70_000) -> DataFrame:
@@ -168,3 +169,23 @@ def matchings(reference: DataFrame, estimate: DataFrame, keys: list[str], tolera
     m = maximum_matching(reference, estimate, keys, tolerance_us)
     f = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), 2 * F.col("n_maximum") / (F.col("n_a") + F.col("n_b"))).otherwise(0.0)
     return m.join(g, keys, "left").select(*keys, F.coalesce("n_greedy", F.lit(0)).alias("n_greedy"), "n_maximum", f.alias("f_maximum"), "median_offset_s")
+
+
+def compared_grids(reference: DataFrame, estimate: DataFrame, keys: list[str], start_us: int = 10_000_000, stop_us: int = 25_000_000, tolerance_us: int = 70_000) -> DataFrame:
+    """Two grids of each key within a window: F by the maximum matching, median intervals, their ratio and class, circular phase, greedy pairs' median distance.
+
+    F is null where a side is empty; the phase, in cycles of the reference, is
+    that of grids of one rate alone.  A key of one side has a row too.
+    """
+    inside = F.col("beat_us").between(start_us, stop_us)
+    x, y = (d.where(inside).select(*keys, "beat_us") for d in (reference, estimate))
+    every = reference.select(*keys).unionAll(estimate.select(*keys)).distinct()
+    f = maximum_matching(x, y, keys, tolerance_us).select(*keys, F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), 2 * F.col("n_maximum") / (F.col("n_a") + F.col("n_b"))).alias("f"))
+    p, q = (middle_intervals(d, keys, n) for d, n in ((x, "p"), (y, "q")))
+    g = greedy_pairs(x, y, keys, tolerance_us).groupBy(*keys).agg((F.median(F.abs(F.col("b_us") - F.col("a_us"))) / 1000).alias("median_abs_offset_ms"))
+    ratio = F.when(F.col("p") > 0, F.col("q") / F.col("p"))
+    out = every.join(p, keys, "left").join(q, keys, "left").join(f, keys, "left").join(g, keys, "left").withColumns({"ratio": ratio, "relation": ratio_class(ratio)})
+    turn = 2 * 3.141592653589793 * F.col("off_us") / F.col("p")
+    near = nearest(y.select(*keys, F.col("beat_us").alias("t_us")), x, keys).join(out.where("relation = 'matched'").select(*keys, "p"), keys)
+    phase = near.groupBy(*keys).agg((F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn))) / (2 * 3.141592653589793)).alias("phase_offset"))
+    return out.join(phase, keys, "left").select(*keys, "f", (F.col("p") / 1e6).alias("reference_period_s"), (F.col("q") / 1e6).alias("estimate_period_s"), "ratio", "relation", "phase_offset", "median_abs_offset_ms")

@@ -135,12 +135,25 @@ def bimodal_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.phase_groups(peaks, t).groupBy("stem_id", "phase_group").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ESTS}, g AS (SELECT 300000 + 50000 * i AS period_us, (300000 + 50000 * i) * j // 12 AS phase_us FROM (SELECT unnest(range(12)) AS i), (SELECT unnest(range(12)) AS j)), x AS (SELECT stem_id, period_us, phase_us, beat_us, greatest(ceil(-phase_us / period_us::DOUBLE), least(floor((30000000 - phase_us) / period_us::DOUBLE), round_even((beat_us - phase_us) / period_us::DOUBLE, 0))) AS k FROM ests, g) SELECT stem_id, period_us, phase_us, count(*) AS n, count(*) FILTER (abs(beat_us - (phase_us + k * period_us)) <= 0.12 * period_us + 20000) AS n_near, {R6.format('count(*) FILTER (abs(beat_us - (phase_us + k * period_us)) <= 0.12 * period_us + 20000) / count(*)::DOUBLE')} AS coverage FROM x GROUP BY ALL")
+COVER = "g AS (SELECT 300000 + 50000 * i AS period_us, (300000 + 50000 * i) * j // 12 AS phase_us FROM (SELECT unnest(range(12)) AS i), (SELECT unnest(range(12)) AS j)), x AS (SELECT stem_id, period_us, phase_us, beat_us, greatest(ceil(-phase_us / period_us::DOUBLE), least(floor((30000000 - phase_us) / period_us::DOUBLE), round_even((beat_us - phase_us) / period_us::DOUBLE, 0))) AS k FROM ests, g), cov AS (SELECT stem_id, period_us, phase_us, count(*) AS n, count(*) FILTER (abs(beat_us - (phase_us + k * period_us)) <= 0.12 * period_us + 20000) AS n_near FROM x GROUP BY ALL)"
+COUNTED = "cells AS (SELECT s.stem_id, g, count(e.beat_us)::DOUBLE AS y FROM (SELECT stem_id, unnest(range(0, 300)) AS g FROM stems) s LEFT JOIN ests e ON e.stem_id = s.stem_id AND floor(e.beat_us / 100000.0::DOUBLE) = g GROUP BY 1, 2), cv AS (SELECT stem_id, g, y / (max(y) OVER (PARTITION BY stem_id) + 1e-12) AS y, lead(y) OVER (PARTITION BY stem_id ORDER BY g) / (max(y) OVER (PARTITION BY stem_id) + 1e-12) AS later FROM cells), pt AS (SELECT stem_id, period_us, phase_us, phase_us + unnest(range(0, CAST(floor((30000000 - phase_us) / period_us::DOUBLE) AS BIGINT) + 1)) * period_us AS t FROM (SELECT DISTINCT stem_id FROM ests), g), den AS (SELECT pt.stem_id, period_us, phase_us, avg(coalesce(CASE WHEN t % 100000 = 0 THEN y ELSE y + (later - y) * (t % 100000) / 100000.0::DOUBLE END, 0)) AS density FROM pt LEFT JOIN cv ON cv.stem_id = pt.stem_id AND cv.g = t // 100000 GROUP BY ALL)"
+
+
+@query(f"WITH {ESTS}, {COVER}, {COUNTED} SELECT stem_id, period_us, phase_us, n, n_near, {R6.format('n_near / n::DOUBLE')} AS coverage, {R6.format('density')} AS density, {R6.format('density + 0.5 * n_near / n::DOUBLE')} AS score FROM cov JOIN den USING (stem_id, period_us, phase_us)")
 def grid_score_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = spark.range(12).select((300_000 + 50_000 * F.col("id")).alias("period_us"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("j"))
-    params = i.select("period_us", F.expr("period_us * j div 12").alias("phase_us"))
+    """Whole scores of 144 grids: density on the grid, from counts in steps of 100 ms, and share of peaks near it."""
     peaks = estimates(spark, sf_dir).select("stem_id", F.col("beat_us").alias("tap_us"))
-    return G.grid_scores(params, peaks).withColumn("coverage", X.half_even(F.col("coverage"), 6))
+    counts = peaks.groupBy("stem_id", F.floor(F.col("tap_us") / STEP).alias("g")).agg(F.count("*").alias("n"))
+    every = peaks.select("stem_id").distinct().withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(299).cast("long"))))
+    curve = every.join(counts, ["stem_id", "g"], "left").select("stem_id", "g", F.coalesce("n", F.lit(0)).cast("double").alias("y"))
+    s = G.grid_scores(peaks, 300_000, 50_000, 12, 12, curve=curve, curve_step_us=STEP)
+    return s.withColumns({c: X.half_even(F.col(c), 6) for c in ("coverage", "density", "score")})
+
+
+@query(f"WITH {ESTS}, g AS (SELECT 280000 + 8151 * i AS t, j FROM (SELECT unnest(range(120)) AS i), (SELECT unnest(range(240)) AS j)), x AS (SELECT stem_id, t, j, 240 * beat_us - t * j AS d, (7200000000 - t * j) // (240 * t) AS top FROM ests, g), c AS (SELECT stem_id, t, j, count(*) FILTER (5 * abs(d - 240 * t * greatest(0, least(top, CAST(round(d / (240.0::DOUBLE * t)) AS BIGINT)))) <= 144 * t + 24000000) AS n_near FROM x GROUP BY ALL) SELECT stem_id, CAST(t AS BIGINT) AS period_us, CAST(j AS INTEGER) AS phase, CAST(n_near AS BIGINT) AS n_near FROM (SELECT *, row_number() OVER (PARTITION BY stem_id ORDER BY n_near DESC, t, j) AS r FROM c) WHERE r = 1")
+def coverage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of 120 periods and 240 phases by the share of peaks near the grid."""
+    return G.coverage_search(estimates(spark, sf_dir).select("stem_id", F.col("beat_us").alias("tap_us")))
 
 
 def refine_sql() -> str:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import grid as G
 from ..operators import grouped, local
 from ..operators import inference as S
 from ..operators import matching as M
 from ..operators import timing as T
-from .beat_queries import NEAR, uneven_peaks
+from .beat_queries import MID, NEAR, NEAR_PAIRS, SWEEP, uneven_peaks
 from .mapping import ESTS, REFS, TAPPED_ESTS, TAPPED_REFS, estimates, references, table, tapped_estimates, tapped_references, taps
 from .panel_queries import panel_periods, trial_periods
 from .registry import query
-from .timing_queries import CLEAN, distinct_taps
+from .timing_queries import CLEAN, distinct_taps, find_peaks
 
 R6 = "round_even(({}) * 1e6, 0) / 1e6"
 STAGES = ("raw", "clean", "peaks", "peaks_shifted")
@@ -148,9 +149,28 @@ def period_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.estimated_periods(uneven_peaks(spark, sf_dir)[0])
 
 
-@query()
+CUT = f"WITH RECURSIVE {ESTS}, rw AS (SELECT * FROM refs WHERE beat_us BETWEEN 10000000 AND 25000000), ew AS (SELECT * FROM ests WHERE beat_us BETWEEN 10000000 AND 25000000), {NEAR_PAIRS}, {SWEEP}".replace("FROM refs r JOIN ests e", "FROM rw r JOIN ew e").replace("AS x FROM refs", "AS x FROM rw").replace("AS y FROM ests", "AS y FROM ew")
+
+
+@query(f"{CUT}, fm AS (SELECT sw.stem_id, 2 * max(n) / any_value(len(x) + len(y))::DOUBLE AS f FROM sw JOIN li USING (stem_id) GROUP BY 1), gm AS (SELECT stem_id, median(abs(b_us - a_us)) / 1000.0::DOUBLE AS off FROM gp GROUP BY 1), rp AS ({MID.format('rw')}), ep AS ({MID.format('ew')}), cp AS (SELECT a.stem_id, x.m AS p, y.m AS q, y.m / x.m AS ratio FROM (SELECT DISTINCT stem_id FROM stems) a LEFT JOIN rp x USING (stem_id) LEFT JOIN ep y USING (stem_id)), nr AS {NEAR.format(cols='a.stem_id, a.k', t='a.beat_us', a='ew', b='rw')}, ph AS (SELECT stem_id, atan2(avg(sin(2 * pi() * (t_us - nearest_us) / p)), avg(cos(2 * pi() * (t_us - nearest_us) / p))) / (2 * pi()) AS phase FROM nr JOIN cp USING (stem_id) WHERE ratio BETWEEN 0.80 AND 1.25 GROUP BY 1) SELECT stem_id, {R6.format('f')} AS f, p / 1e6 AS reference_period_s, q / 1e6 AS estimate_period_s, {R6.format('ratio')} AS ratio, CASE WHEN ratio IS NULL OR ratio <= 0 THEN 'unclear' WHEN ratio BETWEEN 0.35 AND 0.65 THEN 'double' WHEN ratio BETWEEN 0.80 AND 1.25 THEN 'matched' WHEN ratio BETWEEN 1.75 AND 2.25 THEN 'half' ELSE 'other' END AS relation, {R6.format('phase')} AS phase_offset, {R6.format('off')} AS median_abs_offset_ms FROM cp LEFT JOIN fm USING (stem_id) LEFT JOIN gm USING (stem_id) LEFT JOIN ph USING (stem_id)")
 def grid_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped.compared_grids(references(spark, sf_dir), estimates(spark, sf_dir))
+    """Every stem's estimated beats against its grid, from 10 to 25 s."""
+    c = M.compared_grids(references(spark, sf_dir), estimates(spark, sf_dir), ["stem_id"])
+    return c.withColumns({k: X.half_even(F.col(k), 6) for k in ("f", "ratio", "phase_offset", "median_abs_offset_ms")})
+
+
+@query()
+def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fourteen variants of the search against the default: mean F, and the share of stems at its rate."""
+    s = grouped.sensitivity(find_peaks(spark, sf_dir))
+    return s.groupBy("variant").agg(F.count("*").alias("n_stems"), F.avg("f").alias("mean_f"), F.min("f").alias("least_f"), F.avg((F.col("relation") == "matched").cast("double")).alias("matched_share"))
+
+
+@query()
+def final_grid_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids of samples of cleaned trials against the whole and against each other."""
+    t = T.cleaned_fast(taps(spark, sf_dir).select("stem_id", "participant", "tap_us")).select("stem_id", "participant", "tap_us")
+    return grouped.reliability_summary(grouped.final_grid_reliability(t, [5, 10, 20, 30, 50], 1, 20260717))
 
 
 @query()
@@ -164,8 +184,6 @@ def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = of(est, "n_consensus", "consensus_s").join(of(ref, "n_reference", "reference_s"), "stem_id")
     near = local.median_offset(M.nearest(est.select("stem_id", F.col("beat_us").alias("t_us")), ref, ["stem_id"]), ["stem_id"])
-    from ..operators import grid as G
-
     strength = G.bimodal_strength(est.select("stem_id", F.col("beat_us").alias("tap_us")), p.select("stem_id", (F.col("consensus_s") * 1e6).alias("period_us"))).select("stem_id", "strength", F.col("flag").alias("bimodal"))
     ratio, octave = F.col("consensus_s") / F.col("reference_s"), X.octave_class(F.col("consensus_s") / F.col("reference_s"))
     rows = p.join(near, "stem_id").join(strength, "stem_id").join(grouped.levels_of(ref, est), "stem_id")

@@ -8,6 +8,7 @@ import pytest
 from cadentia.kernels import cascade as C
 from cadentia.kernels import periods, signal
 from cadentia.operators import grouped
+from cadentia.operators import matching as nearby
 
 W0, W1 = 0.0, 30.0
 
@@ -291,6 +292,64 @@ def test_convergence_grows(spark):
 def test_grid_comparison(spark):
     ref = spark.createDataFrame([("a", 500_000 * k) for k in range(61)] + [("b", 500_000 * k) for k in range(61)], "stem_id string, beat_us long")
     est = spark.createDataFrame([("a", 500_000 * k + 50_000) for k in range(60)] + [("b", 1_000_000 * k) for k in range(31)], "stem_id string, beat_us long")
-    got = {r.stem_id: r for r in grouped.compared_grids(ref, est).collect()}
-    assert got["a"].ratio == pytest.approx(1) and got["a"].phase_offset == pytest.approx(0.1) and got["a"].median_offset_ms == pytest.approx(50)
+    got = {r.stem_id: r for r in nearby.compared_grids(ref, est, ["stem_id"]).collect()}
+    assert got["a"].ratio == pytest.approx(1) and got["a"].phase_offset == pytest.approx(0.1) and got["a"].median_abs_offset_ms == pytest.approx(50)
     assert got["b"].ratio == pytest.approx(2) and got["b"].phase_offset is None and got["b"].f == pytest.approx(2 * 16 / 47)
+
+
+def test_matchings_against_plain_loops(spark):
+    """Dense and sparse random beats, ties, chains and one-sided keys."""
+    from cadentia.kernels import matching as plain
+
+    rng = np.random.default_rng(12)
+    cases = {f"s{i}": tuple(np.unique(rng.integers(0, 4_000, n)) * 1000 for n in rng.integers(0, 60, 2)) for i in range(12)}
+    cases |= {"dense": tuple(np.unique(rng.integers(0, 1_000, 80)) * 1000 for _ in range(2)), "chain": (np.arange(0, 400_000, 20_000) + np.arange(20) ** 2, np.arange(10_000, 410_000, 20_000)), "only": (np.array([5]), np.empty(0, int))}
+    frame = lambda j: spark.createDataFrame([(k, int(t)) for k, v in cases.items() for t in v[j]], "stem_id string, beat_us long")
+    pairs = {}
+    for r in nearby.greedy_pairs(frame(0), frame(1), ["stem_id"]).collect():
+        pairs.setdefault(r.stem_id, []).append((r.a_us, r.b_us))
+    got = {r.stem_id: r for r in nearby.matchings(frame(0), frame(1), ["stem_id"]).collect()}
+    for k, (a, b) in cases.items():
+        want = [(int(a[i]), int(b[j])) for i, j in plain.greedy_match(a, b, 70_000)]
+        assert sorted(pairs.get(k, [])) == want
+        if len(a) + len(b):
+            assert (got[k].n_greedy, got[k].n_maximum) == (len(want), plain.maximum_match(a, b, 70_000))
+            assert got[k].f_maximum == pytest.approx(plain.f_measure(a / 1, b / 1, 70_000))
+
+
+def test_coverage_search(spark):
+    """Against trying every grid."""
+    from cadentia.operators import grid as G
+
+    rng = np.random.default_rng(13)
+    peaks = {"even": 300_000 + 612_000 * np.arange(45) + rng.integers(-20_000, 20_000, 45), "odd": np.sort(rng.integers(0, 30_000_000, 30)), "edge": np.array([0, 10, 29_999_999, 30_000_000]), "one": np.array([7])}
+    df = spark.createDataFrame([(k, int(t)) for k, v in peaks.items() for t in v], "stem_id string, tap_us long")
+    got = {r.stem_id: (r.n_near, r.period_us, r.phase) for r in G.coverage_search(df, 280_000, 40_000, 25, 24).collect()}
+    for k, x in peaks.items():
+        best = (0, 0, 0)
+        for t in range(280_000, 280_000 + 25 * 40_000, 40_000):
+            for j in range(24):
+                grid = t * j + 24 * t * np.arange((24 * 30_000_000 - t * j) // (24 * t) + 1)
+                n = int((100 * abs(24 * x[:, None] - grid[None]).min(axis=1) <= 24 * (12 * t + 2_000_000)).sum())
+                if n > best[0]:
+                    best = (n, t, j)
+        assert got[k] == best
+
+
+def test_sensitivity_and_reliability(spark):
+    """A clear beat survives every variant, and samples of it find it too."""
+    rng = np.random.default_rng(14)
+    taps = [("s", u, int(1e6 * t)) for u in range(12) for t in np.arange(0.4, 30, 0.6) + rng.normal(0, 0.03, 50) if 0 <= t <= 30]
+    taps = spark.createDataFrame(taps, "stem_id string, participant long, tap_us long")
+    few = {k: v for k, v in grouped.VARIANTS.items() if k in ("T_steps_80", "bimodal_008", "snap_max_016")}
+    peaks = spark.createDataFrame([("s", int(1e6 * t)) for t in np.arange(0.4, 30, 0.6)], "stem_id string, tap_us long")
+    s = grouped.sensitivity(peaks, few).collect()
+    assert {r.variant for r in s} == set(few) and all(r.f > 0.95 and r.relation == "matched" and r.n_beats > 40 for r in s)
+    rows = grouped.final_grid_reliability(taps, [3, 6, 7], 2, 1)
+    got = rows.collect()
+    assert sorted((r.comparison, r.n, r.rep, r.group) for r in got) == sorted([("subsample_vs_full", n, rep, g) for n in (3, 6) for rep in (0, 1) for g in "AB"] + [("independent_n_vs_n", n, rep, "AB") for n in (3, 6) for rep in (0, 1)])
+    assert all(r.f > 0.9 for r in got)
+    chosen = grouped.sampled_groups(taps, [3], 1, 1).join(taps, ["stem_id", "tap_us"]).groupBy("group").agg({"participant": "count"}).count()
+    assert chosen == 2
+    summary = {(r.comparison, r.n): r for r in grouped.reliability_summary(rows).collect()}
+    assert summary["subsample_vs_full", 6].n_repetitions == 2 and summary["subsample_vs_full", 6].mean_f > 0.9
