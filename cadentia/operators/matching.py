@@ -72,6 +72,40 @@ def f_measure(predicted: DataFrame, reference: DataFrame, keys: list[str], toler
     return m.select(*keys, "n_predicted", "n_reference", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f"))
 
 
+def verified_peaks(computed: DataFrame, released: DataFrame, keys: list[str], same_us: int = 1_000, step_us: int = 5_100) -> DataFrame:
+    """How each key's computed peaks agree with released ones, place by place: n_computed, n_released, worst_us and outcome.
+
+    equal: as many, none farther than ``same_us``; one_step: none farther than
+    ``step_us``; else differing, as is a key that was not released.  Keys that
+    were not computed have no row.  computed and released: keys and ``tap_us``.
+    """
+    w = Window.partitionBy(*keys).orderBy("tap_us")
+    a, b = (d.select(*keys, F.row_number().over(w).alias("place"), F.col("tap_us").alias(n)) for d, n in ((computed, "a_us"), (released, "b_us")))
+    by = a.join(b, [*keys, "place"], "full").groupBy(*keys).agg(F.count("a_us").alias("n_computed"), F.count("b_us").alias("n_released"), F.max(F.abs(F.col("a_us") - F.col("b_us"))).alias("worst_us"))
+    like = F.col("n_computed") == F.col("n_released")
+    outcome = F.when(like & (F.col("worst_us") <= same_us), "equal").when(like & (F.col("worst_us") <= step_us), "one_step").otherwise("differing")
+    return by.where("n_computed > 0").withColumn("outcome", outcome)
+
+
+def stage_alignments(raw: DataFrame, clean: DataFrame, beats: DataFrame, peaks_of, tolerance_us: int = 70_000) -> DataFrame:
+    """Alignment with the reference at the six stages from taps to peaks: stem_id, stage and what ``alignment`` tells.
+
+    raw and clean: stem_id and ``tap_us`` of pooled taps.  Stages: both pools,
+    the peaks of either, and the peaks of either pool's taps that hit a beat.
+    ``peaks_of`` gives (stem_id, tap_us) of the peaks of pools named by stem_id.
+    """
+    pools = raw.select(F.lit("raw").alias("pool"), "stem_id", "tap_us").unionAll(clean.select(F.lit("clean"), "stem_id", "tap_us"))
+    near = nearest(pools.withColumnRenamed("tap_us", "t_us"), beats, ["stem_id"])
+    hits = near.where(F.abs("off_us") <= tolerance_us).select(F.concat(F.lit("hits_"), "pool").alias("pool"), "stem_id", F.col("t_us").alias("tap_us"))
+    sets = pools.unionAll(hits).select(F.concat_ws("\u001f", "pool", "stem_id").alias("stem_id"), "tap_us")
+    name = F.split("stem_id", "\u001f")
+    peaks = peaks_of(sets).select(name[0].alias("pool"), name[1].alias("stem_id"), "tap_us")
+    events = pools.select(F.concat_ws("_", F.lit("pooled"), "pool", F.lit("taps")).alias("stage"), "stem_id", F.col("tap_us").alias("t_us"))
+    events = events.unionAll(peaks.select(F.concat(F.lit("peaks_from_"), "pool"), "stem_id", "tap_us"))
+    keyed = beats.select("stem_id", "beat_us").join(events.select("stem_id", "stage").distinct(), "stem_id")
+    return alignment(events, keyed, ["stem_id", "stage"], tolerance_us)
+
+
 def middle_intervals(beats: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Median interval between neighbouring beats, null for a single one."""
     gap = F.col("beat_us") - F.lag("beat_us").over(Window.partitionBy(*keys).orderBy("beat_us"))

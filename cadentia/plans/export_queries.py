@@ -184,11 +184,11 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taps(spark, sf_dir).groupBy("stem_id").agg(F.count_if(inside).alias("n_window"), F.count("*").alias("n_all"), X.half_even(F.avg(F.when(inside, 1.0).otherwise(0.0)), 9).alias("share"))
 
 
-@query("SELECT doc_id, len(string_split(source, 'e')) AS n_parts, string_split(source, 'e')[-1] AS last_part, concat_ws(' -> ', lang, source, 'end') AS path, json_object('lang', lang, 'n', n_chars)::VARCHAR AS record FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+@query("SELECT doc_id, len(string_split(source, 'e')) AS n_parts, string_split(source, 'e')[-1] AS last_part, concat_ws(' -> ', lang, source, 'end') AS path, json_object('lang', lang, 'n', n_chars)::VARCHAR AS record FROM documents")
 def labels_and_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text taken apart and put together, and a row as JSON."""
-    d = table(spark, sf_dir, "documents").where("source is not null and lang is not null")
-    return d.select("doc_id", F.size(F.split("source", "e")).cast("long").alias("n_parts"), F.element_at(F.split("source", "e"), -1).alias("last_part"), F.concat_ws(" -> ", "lang", "source", F.lit("end")).alias("path"), F.to_json(F.struct("lang", F.col("n_chars").alias("n"))).alias("record"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(F.split("source", "e")).cast("long").alias("n_parts"), F.element_at(F.split("source", "e"), -1).alias("last_part"), F.concat_ws(" -> ", "lang", "source", F.lit("end")).alias("path"), F.to_json(F.struct("lang", F.col("n_chars").alias("n")), {"ignoreNullFields": "false"}).alias("record"))
 
 
 @query(f"WITH {REFS}, p AS (SELECT stem_id, beat_us, 400000 + 50000 * ord AS period_us, 100000 * ord AS phase_us FROM refs) SELECT stem_id, CAST(period_us AS BIGINT) AS period_us, count(*) AS n, CAST(max(abs(beat_us - (phase_us + round_even((beat_us - phase_us) / period_us::DOUBLE, 0) * period_us))) AS DOUBLE) AS worst_us FROM p GROUP BY 1, 2")

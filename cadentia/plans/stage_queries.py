@@ -159,6 +159,27 @@ def grid_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumns({k: X.half_even(F.col(k), 6) for k in ("f", "ratio", "phase_offset", "median_abs_offset_ms")})
 
 
+@query()
+def six_stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From taps to peaks of hits: means over stems at each stage."""
+    raw = distinct_taps(spark, sf_dir).select("stem_id", "tap_us")
+    clean = T.cleaned_fast(taps(spark, sf_dir).select("stem_id", "participant", "tap_us")).select("stem_id", "tap_us")
+    a = M.stage_alignments(raw, clean, tapped_references(spark, sf_dir), lambda pools: grouped.density_peaks(T.pooled_density(pools)))
+    return a.groupBy("stage").agg(F.count("*").alias("n_stems"), F.avg("hit_rate").alias("hit_rate"), F.avg("mean_abs_us").alias("mean_abs_us"), F.avg("median_abs_us").alias("median_abs_us"))
+
+
+RELEASED = f"WITH {ESTS}, rel AS (SELECT stem_id, CASE WHEN ord = 1 THEN beat_us ELSE beat_us + (k % 3) * CASE WHEN ord = 2 THEN 400 WHEN ord = 3 THEN 2500 ELSE 4000 END END AS tap_us FROM ests JOIN stems USING (stem_id) WHERE NOT (ord = 5 AND k % 9 = 0)), ra AS (SELECT stem_id, row_number() OVER (PARTITION BY stem_id ORDER BY beat_us) AS i, beat_us AS a FROM ests), rb AS (SELECT stem_id, row_number() OVER (PARTITION BY stem_id ORDER BY tap_us) AS i, tap_us AS b FROM rel), rv AS (SELECT stem_id, count(a) AS n_computed, count(b) AS n_released, max(abs(a - b)) AS worst_us FROM ra FULL JOIN rb USING (stem_id, i) GROUP BY 1)"
+
+
+@query(f"{RELEASED} SELECT stem_id, n_computed, n_released, worst_us, CASE WHEN n_computed = n_released AND worst_us <= 1000 THEN 'equal' WHEN n_computed = n_released AND worst_us <= 5100 THEN 'one_step' ELSE 'differing' END AS outcome FROM rv WHERE n_computed > 0")
+def peak_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks against a released set that is the same, a step off, farther off, or short of some."""
+    e = estimates(spark, sf_dir).join(references(spark, sf_dir).select("stem_id", "ord").distinct(), "stem_id")
+    step = F.when(F.col("ord") == 1, 0).when(F.col("ord") == 2, 400).when(F.col("ord") == 3, 2_500).otherwise(4_000)
+    released = e.where("not (ord = 5 and k % 9 = 0)").select("stem_id", (F.col("beat_us") + (F.col("k") % 3) * step).alias("tap_us"))
+    return M.verified_peaks(e.select("stem_id", F.col("beat_us").alias("tap_us")), released, ["stem_id"])
+
+
 @query()
 def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fourteen variants of the search against the default: mean F, and the share of stems at its rate."""

@@ -353,3 +353,22 @@ def test_sensitivity_and_reliability(spark):
     assert chosen == 2
     summary = {(r.comparison, r.n): r for r in grouped.reliability_summary(rows).collect()}
     assert summary["subsample_vs_full", 6].n_repetitions == 2 and summary["subsample_vs_full", 6].mean_f > 0.9
+
+
+def test_verified_peaks(spark):
+    sets = {"same": ([1_000, 9_000], [1_500, 9_000]), "step": ([1_000, 9_000], [6_100, 9_000]), "far": ([1_000], [6_101]), "fewer": ([1_000, 2_000], [1_000]), "none": ([5], []), "unseen": ([], [5])}
+    frame = lambda j: spark.createDataFrame([(k, t) for k, v in sets.items() for t in v[j]], "stem_id string, tap_us long")
+    got = {r.stem_id: r.outcome for r in nearby.verified_peaks(frame(0), frame(1), ["stem_id"]).collect()}
+    assert got == {"same": "equal", "step": "one_step", "far": "differing", "fewer": "differing", "none": "differing"}
+
+
+def test_six_stages(spark):
+    """Pools, their peaks and the peaks of hits, where the peaks of a pool are its tenth taps."""
+    raw = spark.createDataFrame([("s", 500_000 * k + d) for k in range(1, 20) for d in (0, 10_000, 200_000)], "stem_id string, tap_us long")
+    clean = raw.where("tap_us % 500000 < 100000")
+    beats = spark.createDataFrame([("s", 500_000 * k) for k in range(61)], "stem_id string, beat_us long")
+    got = {r.stage: r for r in nearby.stage_alignments(raw, clean, beats, lambda pools: pools.where("tap_us % 500000 <> 10000")).collect()}
+    assert set(got) == {"pooled_raw_taps", "pooled_clean_taps", "peaks_from_raw", "peaks_from_clean", "peaks_from_hits_raw", "peaks_from_hits_clean"}
+    assert got["pooled_raw_taps"].hit_rate == pytest.approx(2 / 3) and got["pooled_clean_taps"].hit_rate == 1
+    assert got["peaks_from_raw"].hit_rate == pytest.approx(1 / 2) and got["peaks_from_hits_raw"].hit_rate == 1 and got["peaks_from_hits_raw"].n == 19
+    assert got["pooled_clean_taps"].mean_abs_us == 5_000 and got["peaks_from_clean"].mean_abs_us == 0

@@ -120,3 +120,34 @@ def test_payload_texts(spark):
 
     d = spark.createDataFrame([("['1.5', 2]", None), ("(250, 300)", None), (None, "[0.25, 0.5]"), ("oops", "")], "a string, b string")
     assert [r.v for r in d.select(E.tap_list_ms([F.col("a"), F.col("b")]).alias("v")).collect()] == [[1500.0, 2000.0], [250.0, 300.0], [250.0, 500.0], []]
+
+
+def test_trials_over_a_stream(spark, tmp_path):
+    """Shuffled, repeated and late taps: what is given out equals the batch form, and each tap has its nearest beat."""
+    import numpy as np
+
+    from cadentia.operators import matching
+    from cadentia.operators import timing as T
+    from cadentia.streaming.trials import scored_trials
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for w in range(12):
+        t = np.unique((np.arange(0, 30, 0.5) + rng.normal(0, 0.03, 60)).clip(0, 30) * 1e6).astype(int)
+        t = np.delete(t, rng.choice(len(t), 6, replace=False))
+        rows += [("ab"[w % 2], w, int(x), 1_700_000_000_000_000 + 40_000_000 * (w // 4) + int(x)) for x in t]
+    rows += rows[:50] + [("a", 0, -5, 1_700_000_000_000_000), ("a", 0, 31_000_000, 1_700_000_031_000_000)]
+    columns = "stem_id string, participant long, tap_us long, at long"
+    for i, part in enumerate((rows[:250] + rows[400:], rows[250:400])):
+        spark.createDataFrame(part, columns).selectExpr("*", "timestamp_micros(at) ts").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    spark.createDataFrame([("z", 99, 1, 1_700_003_600_000_000)], columns).selectExpr("*", "timestamp_micros(at) ts").coalesce(1).write.parquet(str(tmp_path / "in/2"))
+    schema = columns + ", ts timestamp"
+    beats = spark.createDataFrame([(s, 500_000 * k) for s in "ab" for k in range(61)], "stem_id string, beat_us long")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    scored_trials(stream, beats, str(tmp_path / "out"), str(tmp_path / "state"), late="2 minutes").awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    batch = T.cleaned_fast(spark.createDataFrame(rows, columns).select("stem_id", "participant", "tap_us"))
+    want = matching.nearest(batch.select("stem_id", "participant", batch.tap_us.alias("t_us")), beats, ["stem_id"])
+    key = lambda r: (r.stem_id, r.participant, r.t_us, r.nearest_us)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert {r.participant for r in got.select("participant").distinct().collect()} == set(range(12))
