@@ -9,12 +9,14 @@ piece of text, so each step is one vector operation.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, durable, ranges, table, texts, utf8
 
@@ -104,8 +106,8 @@ def tables(rows: list[tuple[int, bytes | str | None]]) -> tuple[dict[bytes, int]
     return known, [Matcher(np.array(list(x), np.int32).reshape(len(x), m), [np.array(sorted(s)) for s in x.values()], len(known)) for m, x in sorted(windows.items())], ids
 
 
-def scan(docs: DataFrame, rows: list[tuple[int, str | None]]) -> DataFrame:
-    """``docs`` (ROW, doc_id, text) with, for each row, its number of words, the runs of hit words (start * 2**32 + end) and the items found."""
+def scan(docs: DataFrame, rows: list[tuple[int, str | None]], keep: tuple[str, ...] = ()) -> tuple[DataFrame, Broadcast]:
+    """``docs`` (ROW, doc_id, text) with, for each row, its number of words, the runs of hit words (start * 2**32 + end) and the items found, and columns to ``keep``; and the tables."""
     known, built, ids = tables(rows)
     held = docs.sparkSession.sparkContext.broadcast((known, [vars(m) for m in built], ids))  # plain data: its class may not be installed there
 
@@ -128,9 +130,10 @@ def scan(docs: DataFrame, rows: list[tuple[int, str | None]]) -> DataFrame:
                 for d, s, p in zip(of.tolist(), (at - first[of]).tolist(), which.tolist(), strict=True):
                     runs[d].append(s << 32 | s + m.m)
                     items[d].update(m.items[p].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(sizes), pa.array([merged(x) for x in runs], pa.list_(pa.int64())), pa.array([sorted(ids[k] for k in x) for x in items], pa.list_(pa.int64()))], names=[ROW, "doc_id", "n_words", "runs", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(sizes), pa.array([merged(x) for x in runs], pa.list_(pa.int64())), pa.array([sorted(ids[k] for k in x) for x in items], pa.list_(pa.int64())), *(batch.column(c) for c in keep)], names=[ROW, "doc_id", "n_words", "runs", "items", *keep])
 
-    return arrow_map(docs, kernel, f"{ROW} long, doc_id long, n_words long, runs array<long>, items array<long>")
+    schema = T._parse_datatype_string(f"{ROW} long, doc_id long, n_words long, runs array<long>, items array<long>")
+    return arrow_map(docs, kernel, T.StructType([*schema.fields, *(docs.schema[c] for c in keep)])), held
 
 
 def merged(runs: list[int]) -> list[int]:
@@ -145,21 +148,27 @@ def merged(runs: list[int]) -> list[int]:
     return [s << 32 | e for s, e in out]
 
 
-def chunks(benchmark: DataFrame, limit: int = CHUNK_WINDOWS) -> Iterator[list[tuple[int, str | None]]]:
-    """Benchmark rows in groups of at most ``limit`` windows or one item, as they stream to the driver.
+def rounds(benchmark: DataFrame, limit: int = CHUNK_WINDOWS) -> tuple[int, Callable[[int], list[tuple[int, str | None]]]]:
+    """The number of rounds, and what gives a round's benchmark rows, about ``limit`` windows, dealt by a hash.
 
-    An item id that stands in several rows is kept with each; its windows are the rows' windows together.
+    No more than one round's rows are on the driver.  An item id that stands
+    in several rows is kept with each; its windows are the rows' windows together.
     """
-    held, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        n = max(1, len(words((r.text or "").encode())))
-        if held and size + n > limit:
-            yield held
-            held, size = [], 0
-        held.append((r.item_id, r.text))
-        size += n
-    if held:
-        yield held
+    n = F.greatest(F.lit(1), F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")))
+    rows = durable(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("item_row")))
+    n_rounds = max(1, -(-(rows.agg(F.sum(n)).head()[0] or 0) // limit))
+    return n_rounds, lambda k: [(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_row"), F.lit(n_rounds)) == k).select("item_id", "text").collect()]
+
+
+def rescanned(own: DataFrame, n_rounds: int, of: Callable[[int], list[tuple[int, str | None]]]) -> DataFrame:
+    """What all rounds find in ``own``, whose ROW is written: every row of the first round, and of the others those with a hit; one round's tables at a time."""
+    found = None
+    for k in range(n_rounds):
+        here, held = scan(own, of(k))
+        here = durable(here if found is None else here.where(F.size("runs") > 0))
+        held.destroy()
+        found = here if found is None else found.unionAll(here)
+    return found
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, limit: int = CHUNK_WINDOWS) -> DataFrame:
@@ -170,16 +179,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, limit: int = CHUNK_WINDOWS) -> D
     row each.  Over several rounds a row is known by a number of its own,
     which is written with its text before the first.
     """
-    rounds = list(chunks(benchmark, limit)) or [[]]
+    n_rounds, of = rounds(benchmark, limit)
     own = texts(docs)
-    if len(rounds) == 1:
-        all_of = scan(own.withColumn(ROW, F.lit(0).cast("long")), rounds[0])
+    if n_rounds == 1:
+        all_of, _ = scan(own.withColumn(ROW, F.lit(0).cast("long")), of(0))
     else:
-        own = durable(own.withColumn(ROW, F.monotonically_increasing_id()))
-        found = [scan(own, rows) for rows in rounds]
-        all_of = found[0]
-        for x in found[1:]:
-            all_of = all_of.unionAll(x.where(F.size("runs") > 0))  # the first round has all rows
+        all_of = rescanned(durable(own.withColumn(ROW, F.monotonically_increasing_id())), n_rounds, of)
         all_of = all_of.groupBy(ROW, "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,10 +200,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, limit: int = CHUNK_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` without a benchmark window, each judged by its own text, also where a doc_id repeats or is null."""
+    n_rounds, of = rounds(benchmark, limit)
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if n_rounds == 1:
+        return scan(own.withColumn(ROW, F.lit(0).cast("long")), of(0), ("row",))[0].where(F.size("runs") == 0).select("row.*")
+    own = durable(own.withColumn(ROW, F.monotonically_increasing_id()))
+    bad = durable(rescanned(own, n_rounds, of).where(F.size("runs") > 0).select(ROW).distinct())
+    return own.join(bad, ROW, "left_anti").select("row.*")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a benchmark window."""
-    bad = mark(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 ORACLE = r"""

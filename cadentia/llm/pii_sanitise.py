@@ -34,24 +34,30 @@ REACH = 64
 SUPPORT, DISCLOSURE = 3, 0.8
 SPAN = "array<struct<s:bigint,e:bigint,v:string>>"
 NONE = f"cast(array() as {SPAN})"
+#: Spans that are gathered at a time.
+HELD = 256
 
 
 def located(text: Column, pattern: str, keep) -> Column:
     """Spans (s, e, v) of the pattern's matches for which keep(v) holds, in code points.
 
     The pieces between matches and the matches themselves give the places.
+    Appending copies an array, so spans are gathered a few hundred at a time.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(F.split(text, pattern, -1), found, lambda p, v: F.struct(F.length(p).cast("long").alias("gap"), v.alias("v")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(NONE).alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(NONE).alias("held"), F.expr(f"cast(array() as array<{SPAN}>)").alias("full"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         e = s + F.coalesce(F.length(x["v"]), F.lit(0))
         span = F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"))
-        return F.struct(e.alias("at"), F.when(x["v"].isNotNull() & keep(x["v"]), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        state = lambda held, full: F.struct(e.alias("at"), held.alias("held"), full.alias("full"))
+        more = F.when(F.size(acc["held"]) < HELD, state(F.array_append(acc["held"], span), acc["full"])).otherwise(state(F.array(span), F.array_append(acc["full"], acc["held"])))
+        return F.when(x["v"].isNotNull() & keep(x["v"]), more).otherwise(state(acc["held"], acc["full"]))
 
-    return F.when(text.rlike(pattern), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.expr(NONE))
+    spans = F.aggregate(both, start, step, lambda acc: F.flatten(F.array_append(acc["full"], acc["held"])))
+    return F.when(text.rlike(pattern), spans).otherwise(F.expr(NONE))
 
 
 def digits(v: Column) -> Column:

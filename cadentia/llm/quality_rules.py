@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, durable, table, texts, utf8, with_ids
 
@@ -70,7 +71,8 @@ def counts(text: bytes, known: dict[bytes, int]) -> tuple[int, ...]:
 
 def measure(docs: DataFrame, *keep: str) -> DataFrame:
     """One row of counts per row of ``docs``; the text itself stays behind."""
-    schema = "doc_id long, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + ", ".join(f"{c} long" for c in COUNTS)
+    own = texts(docs, *keep)
+    schema = T.StructType([own.schema["doc_id"], *(own.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +80,7 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
             found = np.array([counts(x, known) for x in utf8(batch, "text")], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in keep), *(pa.array(found[:, i]) for i in range(len(COUNTS)))], names=["doc_id", *keep, *COUNTS])
 
-    return arrow_map(texts(docs, *keep), kernel, schema)
+    return arrow_map(own, kernel, schema)
 
 
 def share(over: str, of: str):
@@ -130,15 +132,15 @@ def thresholds(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     return {k: certify(h[0], h[1], alpha / len(FEATURES), delta / len(by)) for k, h in by.items()}
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Counts and a verdict for every row of ``docs``.
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and a verdict for every row of ``docs``, and the columns to ``keep``.
 
     Null text has no words and fails; a stratum without labels keeps all that
     pass the base rules; a null language is the stratum "und"; repeated rows
     get a row each; of several labels of a document the lowest counts.
     """
     cuts = thresholds(docs, labels, alpha, delta)
-    rows = measure(docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("stratum")), "stratum")
+    rows = measure(docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("stratum"), *keep), "stratum", *keep)
     rejected = F.lit(False)
     for feature, parts in FEATURES.items():
         cut = F.lit(BINS)
@@ -147,7 +149,7 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
                 cut = F.when(F.col("stratum") == stratum, F.lit(value)).otherwise(cut)
         rejected = rejected | (share(*parts) > cut)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return rows.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
+    return rows.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & ~rejected).alias("kept"), *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +157,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with the columns they came with."""
-    kept = judge(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows that the rules keep, with the columns they came with.
+
+    A row is judged by its own text: one without a doc_id as well, and of rows
+    that share a doc_id each for itself.  Rows go through the counting whole, so
+    nothing is joined.
+    """
+    rows = docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))
+    return judge(rows, table(spark, sf_dir, "labels"), keep=("row",)).where("kept").select("row.*")

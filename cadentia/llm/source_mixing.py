@@ -26,46 +26,49 @@ BLOCKS, BLOCK_ROWS = 1024, 10_000
 SEED = 20240501
 
 
-def tempered(tokens: dict, exponent: float) -> dict:
-    """Weights proportional to share ** exponent; a source without tokens has none."""
-    total = sum(tokens.values())
+def tempered(tokens: dict, exponent: float, times: dict | None = None) -> dict:
+    """Weights proportional to share ** exponent; a source without tokens has none.  An entry stands for as many sources as ``times`` says, one by default."""
+    of = lambda s: times[s] if times else 1
+    total = sum(n * of(s) for s, n in tokens.items())
     raw = {s: (n / total) ** exponent if n else 0.0 for s, n in tokens.items()} if total else dict.fromkeys(tokens, 0.0)
-    norm = math.fsum(raw.values())
+    norm = math.fsum(w * of(s) for s, w in raw.items())
     return {s: w / norm if norm else 0.0 for s, w in raw.items()}
 
 
-def entropy(weights: dict[str, float]) -> float:
-    return -math.fsum(w * math.log(w) for w in weights.values() if w > 0)
+def entropy(weights: dict, times: dict | None = None) -> float:
+    return -math.fsum(w * math.log(w) * (times[s] if times else 1) for s, w in weights.items() if w > 0)
 
 
 def repeats(tokens: dict[str, int], weights: dict[str, float], budget: float) -> float:
     return max((weights[s] * budget / n for s, n in tokens.items() if n), default=0.0)
 
 
-def exponent_for(tokens: dict[str, int], budget: float, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None) -> float:
+def exponent_for(tokens: dict, budget: float, max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, times: dict | None = None) -> float:
     """The least exponent in [0, 1] whose mix keeps the limit; with a target, the largest one that reaches that entropy as well if the limit lets it.
 
     Repetitions fall and entropy falls as the exponent grows, so bisection
     finds both.  At 1 each source is passed over budget / tokens times.
     """
     lo, hi = 0.0, 1.0
-    if repeats(tokens, tempered(tokens, 0.0), budget) <= max_repeats:
+    most = lambda x: repeats(tokens, tempered(tokens, x, times), budget)
+    spread = lambda x: entropy(tempered(tokens, x, times), times)
+    if most(0.0) <= max_repeats:
         least = 0.0
     else:
         for _ in range(60):
             mid = (lo + hi) / 2
-            lo, hi = (lo, mid) if repeats(tokens, tempered(tokens, mid), budget) <= max_repeats else (mid, hi)
+            lo, hi = (lo, mid) if most(mid) <= max_repeats else (mid, hi)
         least = hi
     if target_entropy is None:
         return least
-    if entropy(tempered(tokens, 1.0)) >= target_entropy:
+    if spread(1.0) >= target_entropy:
         return 1.0
     lo, hi = least, 1.0
-    if entropy(tempered(tokens, least)) < target_entropy:
+    if spread(least) < target_entropy:
         return least
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if entropy(tempered(tokens, mid)) >= target_entropy else (lo, mid)
+        lo, hi = (mid, hi) if spread(mid) >= target_entropy else (lo, mid)
     return lo
 
 
@@ -86,19 +89,19 @@ def in_block(seed: int, n_blocks: int) -> Column:
 def layout(sizes: DataFrame, max_repeats: float, target_entropy: float | None, budget: int | None, seed: int) -> tuple[DataFrame, int]:
     """Blocks of each source in their order (source, block, in_block, before, place, weight, passes, part), and the number of blocks.
 
-    sizes: doc_id, source, n_tokens.  The driver gets the token totals of
-    sources, equal ones once.
+    sizes: doc_id, source, n_tokens.  The driver gets the different token
+    totals of sources with their numbers: of T tokens sqrt(2 T) at most.
     """
     n_blocks = BLOCKS
     while n_blocks * BLOCK_ROWS < sizes.count():
         n_blocks *= 2
     blocks = durable(sizes.groupBy("source", in_block(seed, n_blocks).alias("block")).agg(F.sum("n_tokens").alias("in_block")))
     totals = durable(blocks.groupBy("source").agg(F.sum("in_block").alias("tokens")))
-    counted = [(int(r.tokens or 0), r.sources) for r in totals.groupBy("tokens").agg(F.count("*").alias("sources")).toLocalIterator()]
-    tokens = {(n, i): n for n, times in counted for i in range(times)}
-    goal = sum(tokens.values()) if budget is None else budget
-    weights = tempered(tokens, exponent_for(tokens, goal, max_repeats, target_entropy))
-    each = [(n, weights[n, 0]) for n, _ in sorted(counted)]
+    times = {int(r.tokens or 0): r.sources for r in totals.groupBy("tokens").agg(F.count("*").alias("sources")).toLocalIterator()}
+    tokens = {n: n for n in times}
+    goal = sum(n * k for n, k in times.items()) if budget is None else budget
+    weights = tempered(tokens, exponent_for(tokens, goal, max_repeats, target_entropy, times), times)
+    each = [(n, weights[n]) for n in sorted(weights)]
     weighed = totals.join(totals.sparkSession.createDataFrame(each, "tokens long, weight double"), "tokens")
     aim = F.col("weight") * F.lit(float(goal))
     passes = F.when(F.col("tokens") > 0, F.floor(aim / F.col("tokens"))).otherwise(F.lit(0)).cast("long")
@@ -138,7 +141,8 @@ def mixed(docs: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: flo
     """The mix itself: the rows of ``docs``, each as often as the plan uses it.
 
     All columns of ``docs`` and one, ``mix``: weight, copy (1, 2, ...), block
-    and place.  Sorted by copy, place and block, a source's rows are in the
+    and place; where ``docs`` has a column of that name, it is ``mix_``, and so
+    on.  Sorted by copy, place and block, a source's rows are in the
     order in which they are read.  Texts meet the blocks, which are few, and
     only those of a source's cut block are shuffled.
     """
@@ -149,7 +153,10 @@ def mixed(docs: DataFrame, max_repeats: float = MAX_REPEATS, target_entropy: flo
     rows = rows.select("row", "doc_id", "source", words.alias("n_tokens"), in_block(seed, n_blocks).alias("block"))
     used = with_copies(rows, placed, seed, ["row"]).where("copies > 0")
     each = used.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("row.*", F.struct("weight", "copy", "block", "place").alias("mix"))
+    name = "mix"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return each.select("row.*", F.struct("weight", "copy", "block", "place").alias(name))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -407,3 +408,56 @@ def test_stages_on_odd_rows(spark, odd, empty, corpus):
             assert set(d.columns) <= set(out.columns) and (name == "source_mixing" or n <= d.count()), name
         assert {r.doc_id for r in stage(spark, clash, SF).collect()} == {900, 901, 902} or name == "source_mixing"
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_stages_judge_each_row_by_its_own_text(spark, tmp_path):
+    """Null and repeated ids, several texts under one id, columns of the operators' own names: the exact rows that stay."""
+    good = " ".join(f"word{i}" for i in range(80))
+    window = " ".join(f"bench{i}" for i in range(12))
+    rows = [(1, good), (1, "short"), (None, good + " x"), (None, "short"), (2, good), (2, good), (3, good + " " + window), (None, window), (3, good), (4, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, 7, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row long, runs string")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(9, window)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    kept = quality_rules.stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and key(kept) == sorted([r for r in rows if r[1] and len(r[1].split()) >= 50], key=repr)
+    clean = decontaminate.stage(spark, docs, str(tmp_path))
+    want = sorted([r for r in rows if not r[1] or window not in r[1]], key=repr)
+    assert clean.columns == docs.columns and key(clean) == want
+    bench = spark.createDataFrame([(9, window), (10, "alpha beta"), (None, "word1"), (11, None)], "item_id long, text string")
+    assert key(decontaminate.clean(docs, bench, 1)) == key(decontaminate.clean(docs, bench)) == want
+
+
+def test_mix_beside_a_column_of_its_name(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", "own") for i in range(9)], "doc_id long, text string, source string, Mix string")
+    mix = source_mixing.mixed(docs)
+    assert mix.columns == ["doc_id", "text", "source", "Mix", "mix_"] and {r.Mix for r in mix.collect()} == {"own"}
+
+
+def test_equal_totals_count_as_often_as_they_occur():
+    tokens = {"a": 10, "b": 10, "c": 10, "d": 1000, "e": 0}
+    grouped, times = {10: 10, 1000: 1000, 0: 0}, {10: 3, 1000: 1, 0: 1}
+    for target in (None, 1.0):
+        x, y = (source_mixing.exponent_for(t, 1030, 1.5, target, n) for t, n in ((tokens, None), (grouped, times)))
+        assert x == pytest.approx(y)
+        v, w = source_mixing.tempered(tokens, x), source_mixing.tempered(grouped, y, times)
+        assert v["a"] == pytest.approx(w[10]) and v["d"] == pytest.approx(w[1000]) and w[0] == 0
+        assert source_mixing.entropy(v) == pytest.approx(source_mixing.entropy(w, times))
+
+
+def test_very_many_spans(spark):
+    """More spans than are gathered at a time, in time that grows with them."""
+    took = []
+    for n in (700, 12_000):
+        text = " ".join(f"m{i}@x.org" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        r = pii_sanitise.entities(docs).select("email").first()
+        took.append(time.time() - start)
+        at, want = 0, []
+        for i in range(n):
+            v = f"m{i}@x.org"
+            want.append((at, at + len(v)))
+            at += len(v) + 1
+        assert [(x.s, x.e) for x in r.email] == want
+    assert took[1] < 8 * took[0] + 6
