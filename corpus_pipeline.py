@@ -26,12 +26,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, through the shared folder of spark.checkpoint.dir."""
+    """The stages over ``documents``, through the shared folder of spark.checkpoint.dir; a stage's rows go once the next one's are written."""
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
