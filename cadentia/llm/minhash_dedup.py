@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, arrow_map, durable, hashed, hot_keys, longs, mix, split_join, strips, summed, table, texts, utf8, with_ids, with_rows
 from .graph import components
-from .setjoin import candidates, prefix
+from .setjoin import WORDS, candidates, parities, prefix
 
 REGISTERS, BAND = 128, 4
 MANTISSA, EMPTY = 10, 0xFFFF
@@ -180,11 +180,12 @@ def across(members: DataFrame, labels: DataFrame, docs: DataFrame, width: int, p
         for batch in batches:
             sets = [shingles(t, width, known) for t in utf8(batch, "text")]
             n = np.array([len(x) for x in sets], np.int64)
-            token, own, size_at = prefix(np.concatenate([np.empty(0, np.uint64), *sets]), n, counts.value, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(longs(batch, "doc_id")[own]), pa.array(longs(batch, "label")[own]), pa.array(size_at)], names=["token", "sa", "sb", "size_at"])
+            tokens = np.concatenate([np.empty(0, np.uint64), *sets])
+            bits = parities(tokens, n)
+            token, own, size_at = prefix(tokens, n, counts.value, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(longs(batch, "doc_id")[own]), pa.array(longs(batch, "label")[own]), pa.array(size_at), *(pa.array(bits[own, i]) for i in range(WORDS))], names=["token", "id", "label", "size_at", *(f"p{i}" for i in range(WORDS))])
 
-    pairs = candidates(arrow_map(chosen, entries, "token long, sa long, sb long, size_at long"), percent, labels=True)
-    return pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b")).distinct()
+    return candidates(arrow_map(chosen, entries, "token long, id long, label long, size_at long, " + ", ".join(f"p{i} long" for i in range(WORDS))), percent)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -194,9 +195,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets of ``width``-word shingles; the component is named by its least
     doc_id.  A text without words (or null) has an empty set, no links and is
     kept; a text of fewer words is one shingle.  Rows that repeat a doc_id
-    are one document and get a row each; a null doc_id stands alone.
+    are one document and get a row each; where their texts differ, the document
+    has the links of all of them.  A null doc_id stands alone.
     """
     sig = durable(signatures(docs, width))
+    several = sig.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi"))
+    if several.where("lo <> hi").isEmpty():
+        return linked(docs, sig, width, percent)
+    return by_rows(docs, width, percent)
+
+
+def by_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` where a doc_id has several texts: rows are linked, and then rows of one doc_id are one node."""
+    row = F.monotonically_increasing_id()
+    rows = durable(texts(docs).select("doc_id", "text", row.alias("row")))
+    own = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text")
+    found = linked(own, durable(signatures(own, width)), width, percent)
+    of = rows.where("doc_id is not null").select("row", F.col("doc_id").alias("id"))
+    made = durable(found.where("doc_id is not null").join(of, F.col("doc_id") == F.col("row")).select("id", "row", "n_shingles", "component_id"))
+    first = made.where("n_shingles > 0").groupBy("id").agg(F.min("row").alias("a"))
+    same = made.where("n_shingles > 0").join(first, "id").select("a", F.col("row").alias("b"))
+    labels = components(made.select(F.col("component_id").alias("a"), F.col("row").alias("b")).unionAll(same))
+    named = made.join(labels, F.col("row") == F.col("node"), "left").withColumn("label", F.coalesce("label", "row"))
+    least = named.groupBy("label").agg(F.min("id").alias("least"))
+    out = named.join(least, "label").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+    return out.unionAll(found.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long"), "kept"))
+
+
+def linked(docs: DataFrame, sig: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` from the signatures (written), where a doc_id has one set."""
     full = sig.where("n > 0 and doc_id is not null")
     same = ["set_a", "set_b", "n"]
     classes = durable(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
@@ -216,10 +243,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if more.limit(1).count():
             labels = components(edges.unionAll(more))
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("label", "rep").alias("component_id"))
-    linked = split_join(full, named, same, "doc_id", hot_keys(classes, same, F.col("copies")))
+    joined = split_join(full, named, same, "doc_id", hot_keys(classes, same, F.col("copies")))
     alone = sig.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
-    return linked.unionByName(alone.select(linked.columns)).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
+    return joined.unionByName(alone.select(joined.columns)).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, longs, ranges
 
 
+#: Words of parities of a set.
+WORDS = 4
+
+
 def overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Common tokens that sizes n and m need: the least i with 100 * i >= percent * (n + m - i)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -48,33 +52,40 @@ def prefix(h: np.ndarray, n: np.ndarray, counts: np.ndarray, percent: int) -> tu
     return h[at].view(np.int64), own, n[own] << 32 | (at - start[own])
 
 
-def candidates(entries: DataFrame, percent: int, labels: bool) -> DataFrame:
-    """Pairs (a1, a2, b1, b2) of sets that share a prefix token and pass the length and position bounds.
+def parities(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """WORDS words of parities for each of the sets that lie one after another in ``h``: two sets differ in as many tokens, at least, as their parities in bits."""
+    bit = (h >> np.uint64(40) & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    own = np.repeat(np.arange(len(n)), n)
+    odd = (np.bincount(own * (64 * WORDS) + bit, minlength=len(n) * 64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(n), 64 * WORDS), axis=1, bitorder="little").view(np.int64).reshape(len(n), WORDS)
+
+
+def candidates(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids of different labels whose sets share a prefix token and pass the bounds of length, position and parities.
 
-    entries: (token, sa, sb, size_at).  Without ``labels`` sa and sb are a
-    set's id, and sb its parities, which bound the difference of two sets; with
-    them sa is the id and sb a label, and only different labels pair.
+    entries: (token, id, label, size_at, p0, p1, ...).  Where sets resemble each
+    other, but not enough, as letters of one form do, the parities let few of
+    their pairs pass.
     """
-    names = ["a1", "a2", "b1", "b2"]
+    names = ["token", "id", "label", "size_at", *(f"p{i}" for i in range(WORDS))]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by token and size; of a group that goes on, only rows within reach of the next size are held."""
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [longs(batch, c) for c in ("token", "sa", "sb", "size_at")]
+            cols = [longs(batch, c) for c in names]
             held = 0
             if rest is not None:
                 held = len(rest[0])
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
-            token, sa, sb, packed = cols
+            token, own, label, packed = cols[:4]
             n, at = packed >> 32, packed & 0xFFFFFFFF
-            bits = sb.view(np.uint64)
             active, d = np.arange(len(token)), 1
-            if labels and len(token):  # a group of one label has no pair
+            if len(token):  # a group of one label has no pair
                 new = np.concatenate([[True], token[1:] != token[:-1]])
                 group = np.cumsum(new) - 1
                 first = np.nonzero(new)[0]
-                active = active[(np.minimum.reduceat(sb, first) != np.maximum.reduceat(sb, first))[group]]
+                active = active[(np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first))[group]]
             while len(active):
                 active = active[active + d < len(token)]
                 other = active + d
@@ -82,17 +93,16 @@ def candidates(entries: DataFrame, percent: int, labels: bool) -> DataFrame:
                 active, other = active[near], other[near]  # sorted by size: who is out of reach stays so
                 i, j = active[other >= held], other[other >= held]
                 need = overlap(n[i], n[j], percent)
-                ok = np.minimum(n[i] - at[i], n[j] - at[j]) >= need
+                ok = (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & (label[i] != label[j])
                 i, j, need = i[ok], j[ok], need[ok]
-                ok = sb[i] != sb[j] if labels else (np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need) & ((sa[i] != sa[j]) | (sb[i] != sb[j]))
-                i, j = i[ok], j[ok]
-                if len(i):
-                    swap = (sa[i] > sa[j]) | ((sa[i] == sa[j]) & (sb[i] > sb[j]))
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sa[i], sb[i], sa[j], sb[j])], names=names)
+                apart = sum((np.bitwise_count((p[i] ^ p[j]).view(np.uint64)).astype(np.int64) for p in cols[4:]), np.zeros(len(i), np.int64))
+                ok = apart <= n[i] + n[j] - 2 * need
+                a, b = own[i[ok]], own[j[ok]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
                 d += 1
             keep = (token == token[-1]) & (100 * n >= percent * n[-1]) if len(token) else np.zeros(0, bool)
             rest = [c[keep] for c in cols]
 
-    found = arrow_map(entries.repartition("token").sortWithinPartitions("token", "size_at"), kernel, ", ".join(f"{c} long" for c in names))
+    found = arrow_map(entries.repartition("token").sortWithinPartitions("token", "size_at"), kernel, "a long, b long")
     return found.distinct()

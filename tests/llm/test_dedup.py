@@ -215,3 +215,42 @@ def test_suffix_zero_bytes_and_repeated_ids(spark):
     rows = [(1, zero), (2, zero), (3, "ab" * 120), (3, "short")]
     got = [tuple(r)[:4] for r in suffix_dedup.remove_repeats(frame(spark, rows)).orderBy("doc_id", "n_bytes").collect()]
     assert got[1] == (2, 135, 135, 1) and got[0][2] == 129 and got[2] == (3, 5, 3, 1) and got[3][:3] == (3, 240, 238)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_minhash_of_one_id_with_several_texts(spark, parts):
+    """A document with two texts has the links of both, whatever the partitions; rows without words stand with their own id."""
+    w = [f"w{i}" for i in range(120)]
+    texts_of = [(1, " ".join(w[:60])), (2, " ".join(w[60:])), (2, " ".join(w[:60] + ["x"])), (3, " ".join(w[60:] + ["y"])), (5, "other text of five words"), (2, ""), (None, " ".join(w[:60])), (9, " ".join(w[60:])), (9, None)]
+    rows = minhash_dedup.near_duplicates(frame(spark, texts_of).repartition(parts), 3, 85).collect()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows), key=repr)
+    assert got == sorted([(1, 58, 1, True), (2, 58, 1, False), (2, 59, 1, False), (3, 59, 1, False), (5, 3, 5, True), (2, 0, 1, False), (None, 58, None, True), (9, 58, 1, False), (9, 0, 1, False)], key=repr) or got == sorted([(1, 58, 1, True), (2, 58, 1, False), (2, 59, 1, False), (3, 59, 1, False), (5, 3, 5, True), (2, 0, 2, True), (None, 58, None, True), (9, 58, 1, False), (9, 0, 9, True)], key=repr)
+
+
+def test_parities_bound_the_difference():
+    from cadentia.llm import setjoin
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (0, 5, 300, 300)] + [np.empty(0, np.uint64)]
+    sets[3] = np.unique(np.concatenate([sets[2][:280], sets[3][:9]]))
+    bits = setjoin.parities(np.concatenate(sets), np.array([len(s) for s in sets]))
+    for a, x in zip(sets, bits, strict=True):
+        for b, y in zip(sets, bits, strict=True):
+            apart = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_form_letters_give_few_candidates(spark):
+    """Letters of one form, alike but not enough: candidates do not grow with the square of their number."""
+    made = []
+    form = [f"form{i}" for i in range(200)]
+    for i in range(300):
+        text = list(form)
+        for at in (20, 60, 100, 140, 180):
+            text[at] = f"own{i}x{at}"
+        made.append((i, " ".join(text)))
+    docs = frame(spark, made)
+    members = spark.createDataFrame([(1, i) for i in range(300)], "key long, doc_id long")
+    pairs = minhash_dedup.across(members, spark.createDataFrame([], "node long, label long"), docs, 5, 80)
+    assert pairs.count() < 0.02 * 300 * 299 / 2
+    assert {r.component_id for r in minhash_dedup.near_duplicates(docs, 5, 80).collect()} == set(range(300))
