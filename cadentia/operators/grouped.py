@@ -148,14 +148,6 @@ def beat_metrics(reference: DataFrame, estimate: DataFrame, key: str = "stem_id"
     return paired(reference, estimate, key, kernel, f"{key} string, metric string, value double")
 
 
-def subsample(rows: DataFrame, keys: list[str], unit: str, n: int, draws: int, seed: int) -> DataFrame:
-    """``draws`` samples of ``n`` units without replacement per key: units ranked by a hash of id, draw and seed."""
-    units = rows.select(*keys, unit).distinct().select(*keys, unit, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    w = Window.partitionBy(*keys, "draw").orderBy(F.xxhash64(unit, "draw", F.lit(seed)), unit)
-    chosen = units.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
-    return rows.join(chosen, [*keys, unit])
-
-
 def poisson(*parts) -> Column:
     """A Poisson(1) number from a hash of the parts."""
     u = (F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) + 0.5) / float(1 << 53)
@@ -212,28 +204,31 @@ def convergence(taps: DataFrame, sizes: list[int], reps: int, seed: int, start_s
     taps: stem_id, participant, tap_us.  A row for each stem, size, repetition
     and comparison.  Samples are orders of a hash of participant, repetition
     and seed.  Means of densities are densities of weighted taps, so a sample
-    is one pass over a stem's taps.
+    is one pass over a stem's taps, which are copied once for 20 repetitions of all sizes.
     """
-    blocks = taps.select("stem_id", "participant", F.col("tap_us").cast("long").alias("tap_us"), F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(b).alias("block")) for n in sizes for b in range(0, reps, 20)))).alias("x")).select("stem_id", "participant", "tap_us", "x.*")
+    own = taps.groupBy("stem_id", "participant").agg(F.collect_list(F.col("tap_us").cast("long")).alias("taps"))
+    blocks = own.withColumn("block", F.explode(F.array(*map(F.lit, range(0, reps, 20)))))
 
     def kernel(t: pa.Table) -> pa.Table:
-        n, first = one(t, "n"), one(t, "block")
-        ids, who = np.unique(t.column("participant").to_numpy(), return_inverse=True)
-        sec = t.column("tap_us").to_numpy() / SECOND
+        first = one(t, "block")
+        lists = t.column("taps").to_pylist()
+        who = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        sec = np.array([x for taps in lists for x in taps]) / SECOND
+        order = np.argsort(t.column("participant").to_numpy(), kind="stable")
         out = []
-        if n <= len(ids):
-            whole = signal.participant_density(sec, who, np.ones(len(ids)))
-            for rep in range(first, min(first + 20, reps)):
-                order = np.random.default_rng([seed, n, rep]).permutation(len(ids))
-                pick = lambda a, b: np.isin(np.arange(len(ids)), order[a:b]).astype(float)  # noqa: B023, E731
+        whole = signal.participant_density(sec, who, np.ones(len(lists)))
+        for n in sizes:
+            for rep in range(first, min(first + 20, reps)) if n <= len(lists) else ():
+                drawn = order[np.random.default_rng([seed, n, rep]).permutation(len(lists))]
+                pick = lambda a, b: np.isin(np.arange(len(lists)), drawn[a:b]).astype(float)  # noqa: B023, E731
                 half = signal.participant_density(sec, who, pick(0, n))
-                out.append(("subsample_vs_full", rep, *signal.compared(whole, half, start_s, stop_s)))
-                if 2 * n <= len(ids):
-                    out.append(("independent_n_vs_n", rep, *signal.compared(half, signal.participant_density(sec, who, pick(n, 2 * n)), start_s, stop_s)))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table({"stem_id": pa.array([one(t, "stem_id")] * len(out), pa.string()), "n": pa.array([n] * len(out), pa.int32()), "comparison": pa.array(cols[0], pa.string()), "rep": pa.array(cols[1], pa.int32()), **{k: pa.array(c, pa.float64(), from_pandas=True) for k, c in zip(("density_r", "peak_f", "offset_ms"), cols[2:], strict=True)}})
+                out.append((n, "subsample_vs_full", rep, *signal.compared(whole, half, start_s, stop_s)))
+                if 2 * n <= len(lists):
+                    out.append((n, "independent_n_vs_n", rep, *signal.compared(half, signal.participant_density(sec, who, pick(n, 2 * n)), start_s, stop_s)))
+        cols = list(zip(*out, strict=True)) or [[]] * 6
+        return pa.table({"stem_id": pa.array([one(t, "stem_id")] * len(out), pa.string()), "n": pa.array(cols[0], pa.int32()), "comparison": pa.array(cols[1], pa.string()), "rep": pa.array(cols[2], pa.int32()), **{k: pa.array(c, pa.float64(), from_pandas=True) for k, c in zip(("density_r", "peak_f", "offset_ms"), cols[3:], strict=True)}})
 
-    return blocks.groupBy("stem_id", "n", "block").applyInArrow(kernel, "stem_id string, n int, comparison string, rep int, density_r double, peak_f double, offset_ms double")
+    return blocks.groupBy("stem_id", "block").applyInArrow(kernel, "stem_id string, n int, comparison string, rep int, density_r double, peak_f double, offset_ms double")
 
 
 def estimated_periods(peaks: DataFrame) -> DataFrame:

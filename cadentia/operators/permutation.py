@@ -10,6 +10,7 @@ panel and draw.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from .durable import durable
 from .inference import step_up
-from .ordering import dense_places
+from .ordering import dense_places, running
 
 #: Draws of a block, and trials of a stem that one task holds at a time, about.
 BLOCK, SHARD = 2_000, 1_000
@@ -261,6 +262,51 @@ def pairwise_tests(vectors: DataFrame, group: str, columns: Sequence[str], permu
     return tests.select(at("a", name).alias(f"{group}_a"), at("b", name).alias(f"{group}_b"), at("a", size).cast("long").alias("n_a"), at("b", size).cast("long").alias("n_b"), "observed", "permutations", "p", "q", *(F.get("diff", F.lit(j)).alias(f"{c}_a_minus_b") for j, c in enumerate(columns)))
 
 
+BINS, PER_SECOND = 600, 20
+
+
+def sampled_coherence(taps: DataFrame, keys: Sequence[str], n: int, draws: int, seed: int, least_taps: int = 2) -> DataFrame:
+    """Mean coherence of ``draws`` samples of ``n`` participants of each key: keys, istc and draws; null and 0 where fewer have ``least_taps`` taps.
+
+    A participant is a set of 100 ms bins, one row; which draws it is in comes
+    from its place among its key's participants, so rows are not repeated for
+    the draws, and tasks send counts by draw and bin.
+    """
+    bins = F.sequence(F.ceil((F.col("tap_us") - 50_000) / 50_000.0), F.floor((F.col("tap_us") + 50_000) / 50_000.0))
+    units = taps.groupBy(*keys, "participant").agg(F.count("*").alias("taps"), F.array_distinct(F.flatten(F.collect_list(bins))).alias("bins")).where(F.col("taps") >= least_taps)
+    units = units.withColumn("bins", F.filter("bins", lambda b: (b >= 0) & (b < BINS)))
+    size = units.groupBy(*keys).agg(F.count("*").alias("of")).where(F.col("of") >= n)
+    cell = F.to_json(F.struct(*keys)).alias("cell")
+    rows = running(units.join(size, list(keys)), keys, "participant", F.lit(1), "place").select(cell, "of", "place", "bins")
+    columns = np.arange(1, draws + 1)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["cell", "counts"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for name, of, place, own in zip(*(b.column(c).to_pylist() for c in ("cell", "of", "place", "bins")), strict=True):
+                if name not in held and len(held) >= STEP:
+                    yield given()
+                total = held.setdefault(name, np.zeros((draws, BINS)))
+                labels = Labels((n, of - n), (seed + zlib.crc32(name.encode())) & 0xFFFFFFFF)
+                chosen = np.flatnonzero(labels.of(np.array([place]), columns)[0] == 0)
+                total[chosen[:, None], np.array(own, np.int64)[None]] += 1
+        yield given()
+
+    def means(t: pa.Table) -> pa.Table:
+        most = array_of(t, "counts", (draws, BINS // PER_SECOND, PER_SECOND)).max(axis=2)
+        return pa.table({"cell": t.column("cell")[:1], "istc": [float(most.mean())]})
+
+    found = added(rows.mapInArrow(kernel, "cell string, counts binary"), {"cell": "string"}, "counts").groupBy("cell").applyInArrow(means, "cell string, istc double")
+    every = taps.select(*keys).distinct().withColumn("cell", F.to_json(F.struct(*keys)))
+    return every.join(found, "cell", "left").select(*keys, "istc", F.when(F.col("istc").isNotNull(), draws).otherwise(0).cast("long").alias("draws"))
+
+
 def other_middles(values: np.ndarray) -> np.ndarray:
     """For each entry the median of the row's other finite entries, of OTHERS at least; rows are sorted once, and an entry's own place is stepped over."""
     order = np.argsort(values, axis=1, kind="stable")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -222,16 +222,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.bootstrap_mean(p, ["stem_id"], "period_s", 2_000, 20260718)
 
 
-def subsampled_coherence(t: DataFrame, keys: tuple[str, ...], n: int, draws: int, seed: int) -> DataFrame:
-    """Mean coherence over ``draws`` samples of ``n`` participants, of those with two taps or more; null and no draws for a cell of fewer."""
-    by = Window.partitionBy(*keys)
-    units = t.groupBy(*keys, "participant").agg(F.count("*").alias("taps")).withColumn("enough", F.count_if(F.col("taps") >= 2).over(by) >= n)
-    drawn = grouped.subsample(t.join(units.where("enough and taps >= 2").select(*keys, "participant"), [*keys, "participant"], "left_semi"), list(keys), "participant", n, draws, seed)
-    means = T.coherence(drawn, (*keys, "draw")).groupBy(*keys).agg(F.avg("istc").alias("istc"), F.count("*").alias("draws"))
-    return t.select(*keys).distinct().join(means, list(keys), "left").fillna(0, ["draws"])
-
-
 @query()
 def subsample_istc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coherence of equal numbers of participants, drawn by hash: 500 draws of seven."""
-    return subsampled_coherence(taps(spark, sf_dir).select("stem_id", "panel", "participant", "tap_us"), ("stem_id", "panel"), 7, 500, 20260720)
+    return permutation.sampled_coherence(taps(spark, sf_dir).select("stem_id", "panel", "participant", "tap_us"), ["stem_id", "panel"], 7, 500, 20260720)
