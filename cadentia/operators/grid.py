@@ -157,6 +157,29 @@ def phase_groups(peaks: DataFrame, threshold_us: DataFrame) -> DataFrame:
     return d.withColumn("i", F.row_number().over(place)).select("stem_id", "tap_us", F.when(F.col("i") % 2 == 1, "A").otherwise("B").alias("phase_group"))
 
 
+def bimodality_audit(peaks: DataFrame, period_us: DataFrame, least_gap: float = 0.12, least_group: int = 4) -> DataFrame:
+    """Each stem's bimodal score, whether its peaks split in two phase groups, and the groups.
+
+    peaks: stem_id, tap_us; period_us: stem_id, period_us.  A stem splits where
+    its largest gap between sorted short intervals reaches ``least_gap`` of the
+    period and both groups, told apart at the middle of that gap (the first of
+    equals), have ``least_group`` peaks.  Rows: stem_id, period_us, n_peaks,
+    score, is_bimodal, phase_delta_us (0 without a split), n_a, n_b.
+    """
+    scores = bimodal_score(peaks, period_us)
+    w = Window.partitionBy("stem_id").orderBy("tap_us")
+    d = peaks.withColumn("ioi", F.col("tap_us") - F.lag("tap_us").over(w)).join(period_us, "stem_id").where(F.col("ioi") < 0.9 * F.col("period_us"))
+    before = F.lag("ioi").over(Window.partitionBy("stem_id").orderBy("ioi"))
+    gaps = d.select("stem_id", "ioi", before.alias("before")).where("before is not null")
+    middle = gaps.groupBy("stem_id").agg((F.max_by(F.col("before") + F.col("ioi"), F.struct(F.col("ioi") - F.col("before"), -F.col("ioi"))) / 2.0).alias("threshold_us"))
+    found = scores.join(middle, "stem_id", "left").withColumn("apart", F.col("score") >= least_gap)
+    groups = phase_groups(peaks, found.where("apart").select("stem_id", "threshold_us")).groupBy("stem_id").agg(F.count_if(F.col("phase_group") == "A").alias("a"), F.count_if(F.col("phase_group") == "B").alias("b"))
+    out = found.join(groups, "stem_id", "left").join(period_us, "stem_id")
+    split = F.coalesce((F.col("a") >= least_group) & (F.col("b") >= least_group), F.lit(False))
+    zero = lambda c: F.when(split, F.col(c)).otherwise(0)
+    return out.select("stem_id", "period_us", "n_peaks", "score", split.alias("is_bimodal"), zero("threshold_us").cast("double").alias("phase_delta_us"), zero("a").cast("long").alias("n_a"), zero("b").cast("long").alias("n_b"))
+
+
 def interpolated(points: DataFrame, curve: DataFrame, step_us: int, name: str = "y") -> DataFrame:
     """Points with the value at ``t_us`` of their stem's curve, which is linear between grid points and 0 outside.
 

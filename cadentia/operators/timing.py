@@ -109,6 +109,24 @@ def interval_stats(taps: DataFrame, keys: Sequence[str] = TRIAL) -> DataFrame:
     return t.groupBy(*keys).agg(F.count("*").alias("n_taps"), F.median("ioi").alias("median_ioi_us"), F.when(F.count("ioi") >= 2, F.stddev_pop("ioi") / F.avg("ioi")).alias("cv"))
 
 
+def trial_descriptives(taps: DataFrame, keys: Sequence[str] = TRIAL) -> DataFrame:
+    """Taps, median interval in seconds and variation of each trial; a single interval varies by 0, a single tap by nothing."""
+    t = with_intervals(taps, keys)
+    cv = F.when(F.avg("ioi") > 0, F.stddev_pop("ioi") / F.avg("ioi"))
+    return t.groupBy(*keys).agg(F.count("*").alias("n_taps"), (F.median("ioi") / SECOND).alias("median_ioi_s"), cv.alias("ioi_cv"))
+
+
+def descriptives_by(trials: DataFrame, group: str) -> DataFrame:
+    """Trials and participants of each group, and what their descriptives are on the whole; trials: as ``trial_descriptives`` gives them, with the group."""
+    return trials.groupBy(group).agg(F.count("*").alias("n_trials"), F.count_distinct("participant").alias("n_participants"), F.avg("n_taps").alias("mean_n_taps"), F.median("median_ioi_s").alias("median_ioi_s"), F.avg("ioi_cv").alias("mean_ioi_cv"))
+
+
+def described(rows: DataFrame, value: str) -> DataFrame:
+    """One row: number, mean, sample deviation, least, quartiles (interpolated) and greatest."""
+    q = [F.percentile(value, F.lit(p)).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75)]
+    return rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), *q, F.max(value).alias("greatest"))
+
+
 def tempo(taps: DataFrame, least_ioi_us: int = 50_000) -> DataFrame:
     """Beats a minute from the median of intervals over ``least_ioi_us``."""
     t = with_intervals(taps).where(F.col("ioi") > least_ioi_us)

@@ -11,8 +11,8 @@ from ..operators import grouped, local
 from ..operators import inference as S
 from ..operators import matching as M
 from ..operators import timing as T
-from .beat_queries import MID, NEAR, NEAR_PAIRS, SWEEP, uneven_peaks
-from .mapping import ESTS, REFS, TAPPED_ESTS, TAPPED_REFS, estimates, references, table, tapped_estimates, tapped_references, taps
+from .beat_queries import MID, NEAR, NEAR_PAIRS, SHORT, SWEEP, uneven_peaks
+from .mapping import ESTS, REFS, TAPPED_ESTS, TAPPED_REFS, TAPS, estimates, references, table, tapped_estimates, tapped_references, taps
 from .panel_queries import panel_periods, trial_periods
 from .registry import query
 from .timing_queries import CLEAN, distinct_taps, find_peaks
@@ -180,6 +180,30 @@ def peak_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.verified_peaks(e.select("stem_id", F.col("beat_us").alias("tap_us")), released, ["stem_id"])
 
 
+@query("WITH " + TAPS + ", t0 AS (SELECT DISTINCT stem_id, participant, panel, tap_us FROM taps), d AS (SELECT *, tap_us - lag(tap_us) OVER (PARTITION BY stem_id, participant, panel ORDER BY tap_us) AS ioi FROM t0), t AS (SELECT stem_id, participant, panel, count(*) AS n, median(ioi) / 1e6 AS m, CASE WHEN avg(ioi) > 0 THEN stddev_pop(ioi) / avg(ioi) END AS cv FROM d GROUP BY 1, 2, 3) SELECT panel, count(*) AS n_trials, count(DISTINCT participant) AS n_participants, " + R6.format("avg(n)") + " AS mean_n_taps, " + R6.format("median(m)") + " AS median_ioi_s, " + R6.format("avg(cv)") + " AS mean_ioi_cv FROM t GROUP BY 1")
+def panel_descriptives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tapping of each panel's trials on the whole."""
+    t = T.clipped(taps(spark, sf_dir).select("stem_id", "participant", "panel", "tap_us"))
+    d = T.descriptives_by(T.trial_descriptives(t, ("stem_id", "participant", "panel")), "panel")
+    return d.withColumns({c: X.half_even(F.col(c), 6) for c in ("mean_n_taps", "median_ioi_s", "mean_ioi_cv")})
+
+
+@query(f"WITH {ESTS}, n AS (SELECT count(*) AS n FROM ests GROUP BY stem_id) SELECT count(*) AS n, {R6.format('avg(n)')} AS mean, {R6.format('stddev_samp(n)')} AS std, min(n) AS least, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, max(n) AS greatest FROM n")
+def beats_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many beats the stems have."""
+    d = T.described(estimates(spark, sf_dir).groupBy("stem_id").agg(F.count("*").alias("k")), "k")
+    return d.withColumns({c: X.half_even(F.col(c), 6) for c in ("mean", "std")})
+
+
+AUDIT = SHORT + ", s AS (SELECT d.stem_id, period_us, ioi, lag(ioi) OVER (PARTITION BY d.stem_id ORDER BY ioi) AS before FROM d JOIN t USING (stem_id) WHERE ioi < 0.9 * period_us), g AS (SELECT stem_id, count(*) AS n_short, max(ioi - before) / max(period_us)::DOUBLE AS gap, arg_max((before + ioi) / 2.0::DOUBLE, (ioi - before) * 1e9::DOUBLE - ioi) AS threshold FROM s GROUP BY 1), n AS (SELECT stem_id, count(*) AS n_peaks FROM p GROUP BY 1), sc AS (SELECT stem_id, n_peaks, CASE WHEN n_peaks >= 8 AND n_short >= 3 THEN coalesce(gap, 0) ELSE 0 END AS score, threshold FROM n LEFT JOIN g USING (stem_id)), a AS (SELECT p.stem_id, tap_us, coalesce(lead(tap_us) OVER (PARTITION BY p.stem_id ORDER BY tap_us) - tap_us <= threshold, false) AS short FROM p JOIN sc USING (stem_id) WHERE score >= 0.12), r AS (SELECT *, coalesce(sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY stem_id ORDER BY tap_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM a), i AS (SELECT stem_id, row_number() OVER (PARTITION BY stem_id, run ORDER BY tap_us) AS i FROM r), c AS (SELECT stem_id, count(*) FILTER (i % 2 = 1) AS a, count(*) FILTER (i % 2 = 0) AS b, count(*) FILTER (i % 2 = 1) >= 4 AND count(*) FILTER (i % 2 = 0) >= 4 AS ok FROM i GROUP BY 1)"
+
+
+@query(f"{AUDIT} SELECT stem_id, period_us, n_peaks, {R6.format('score')} AS score, coalesce(ok, false) AS is_bimodal, CASE WHEN ok THEN threshold ELSE 0 END AS phase_delta_us, CASE WHEN ok THEN a ELSE 0 END AS n_a, CASE WHEN ok THEN b ELSE 0 END AS n_b FROM sc JOIN t USING (stem_id) LEFT JOIN c USING (stem_id)")
+def bimodality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stem's peaks, and whether they come in two phase groups."""
+    return G.bimodality_audit(*uneven_peaks(spark, sf_dir)).withColumn("score", X.half_even(F.col("score"), 6))
+
+
 @query()
 def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fourteen variants of the search against the default: mean F, and the share of stems at its rate."""
