@@ -76,11 +76,25 @@ def prominence(y: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     return out
 
 
-def pick_peaks(y: np.ndarray, distance: int = 30, least_prominence: float = 0.10) -> np.ndarray:
-    """Peaks of a curve scaled to 1: apart by ``distance`` samples, then prominent."""
+def widths(y: np.ndarray, peaks: np.ndarray, prominences: np.ndarray) -> np.ndarray:
+    """Samples between the points, interpolated, at which a peak's flanks fall to half its prominence; an end of the curve ends a flank."""
+    out = np.empty(len(peaks))
+    for j, (p, height) in enumerate(zip(peaks, y[peaks] - prominences / 2, strict=True)):
+        below = np.nonzero(y <= height)[0]
+        i, k = below[below < p].max(initial=-1), below[below > p].min(initial=len(y))
+        left = i + (height - y[i]) / (y[i + 1] - y[i]) if i >= 0 else 0.0
+        right = k - (height - y[k]) / (y[k - 1] - y[k]) if k < len(y) else len(y) - 1.0
+        out[j] = right - left
+    return out
+
+
+def pick_peaks(y: np.ndarray, distance: int = 30, least_prominence: float = 0.10, least_width: float = 0.0) -> np.ndarray:
+    """Peaks of a curve scaled to 1: apart by ``distance`` samples, then prominent, then ``least_width`` samples wide at half their prominence."""
     if len(y) < 4 or not y.max() > 0:
         return np.empty(0, int)
     y = y / y.max()
     p = local_peaks(y)
     p = p[apart(p, y[p], distance)]
-    return p[prominence(y, p) >= least_prominence]
+    own = prominence(y, p)
+    p, own = p[own >= least_prominence], own[own >= least_prominence]
+    return p[widths(y, p, own) >= least_width] if least_width > 0 else p

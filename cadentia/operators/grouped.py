@@ -20,14 +20,14 @@ def one(t: pa.Table, column: str):
     return t.column(column)[0].as_py()
 
 
-def density_peaks(density: DataFrame, step_us: int = 5_000, distance: int = 30, least_prominence: float = 0.10) -> DataFrame:
+def density_peaks(density: DataFrame, step_us: int = 5_000, distance: int = 30, least_prominence: float = 0.10, least_width: float = 0.0) -> DataFrame:
     """Peaks of each stem's curve; density: (stem_id, g, density), missing points are 0."""
 
     def kernel(t: pa.Table) -> pa.Table:
         g, d = t.column("g").to_numpy(), t.column("density").to_numpy()
         y = np.zeros(int(g.max()) + 1)
         y[g] = d
-        p = signal.pick_peaks(y, distance, least_prominence)
+        p = signal.pick_peaks(y, distance, least_prominence, least_width)
         return pa.table({"stem_id": [one(t, "stem_id")] * len(p), "peak_index": np.arange(len(p), dtype=np.int32), "tap_us": p.astype(np.int64) * step_us, "height": y[p] / y.max() if len(p) else y[p]})
 
     return density.select("stem_id", F.col("g").cast("long").alias("g"), "density").groupBy("stem_id").applyInArrow(kernel, "stem_id string, peak_index int, tap_us long, height double")

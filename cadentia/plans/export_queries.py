@@ -9,6 +9,7 @@ from ..functions import expressions as X
 from ..operators import exports as E
 from ..operators import grid as G
 from ..operators import inference as S
+from ..operators.ordering import running
 from .mapping import REFS, TAPS, references, table, taps
 from .registry import query
 
@@ -123,8 +124,8 @@ def mapped_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(concat(c_custkey, '|20260717')), c_custkey) AS place FROM customer")
 def seeded_block_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random but reproducible order within blocks, from a digest of id and seed."""
-    w = Window.partitionBy("c_mktsegment").orderBy(F.md5(F.concat(F.col("c_custkey").cast("string"), F.lit("|20260717"))), "c_custkey")
-    return table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", F.row_number().over(w).cast("long").alias("place"))
+    c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", F.md5(F.concat(F.col("c_custkey").cast("string"), F.lit("|20260717"))).alias("digest"))
+    return running(c, ["c_mktsegment"], "digest", F.lit(1), "before").select("c_mktsegment", "c_custkey", (F.col("before") + 1).cast("long").alias("place"))
 
 
 @query("WITH o(label, place) AS (VALUES ('R', 1), ('X', 2), ('N', 3), ('A', 4)), n AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1) SELECT label, place, n::DOUBLE AS n FROM o LEFT JOIN n ON l_returnflag = label")

@@ -17,10 +17,17 @@ from pyspark.sql import functions as F
 BLANKS = r"[\s,]+"
 
 
-def csv_columns(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:
-    """The wanted columns that the files have, as text; absent ones are left out."""
+def csv_columns(spark: SparkSession, path: str, wanted: Sequence[str], where: str | None = None, parts: int | None = None, by: str | None = None) -> DataFrame:
+    """The wanted columns that the files have, as text; absent ones are left out.
+
+    ``where`` is a condition on any of the files' columns, applied as rows are
+    read, so of a file of any size only what it lets pass is kept.  A gzip file
+    is read by one task; ``parts`` deals its rows to so many, by the column
+    ``by`` if there is one.
+    """
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return df.select(*(c for c in wanted if c in df.columns))
+    df = (df.where(where) if where else df).select(*(c for c in wanted if c in df.columns))
+    return df if parts is None else df.repartition(parts, by) if by else df.repartition(parts)
 
 
 def merged_exports(spark: SparkSession, paths: Sequence[str], wanted: Sequence[str], level: int = 1) -> DataFrame:
@@ -139,6 +146,26 @@ def required(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def experiment_nodes(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """A row for each stem and condition, trimmed, with the path of its sound; an error names columns or files that are missing.
+
+    files: path and stem of the sounds there are, as ``wav_headers`` gives them.
+    """
+    needed = ["stimulus_id", "condition", "corpus", "corpus_group", "audio_filename"]
+    rows = required(manifest, needed).select(*(F.trim(F.col(c).cast("string")).alias(c) for c in needed))
+    name = F.element_at(F.split("path", "/"), -1)
+    found = rows.join(files.groupBy(name.alias("audio_filename")).agg(F.min("path").alias("path")), "audio_filename", "left")
+    if lost := [r[0] for r in found.where("path is null").select("audio_filename").distinct().orderBy("audio_filename").limit(5).collect()]:
+        raise FileNotFoundError(", ".join(map(str, lost)))
+    return found.select(F.col("stimulus_id").alias("stem"), "condition", "corpus", "corpus_group", "path")
+
+
+def sound_list(wanted: DataFrame, files: DataFrame, keep_missing: bool) -> DataFrame:
+    """The wanted paths, each once, with whether they exist; those that don't are kept, as one tracker's list has it, or dropped, as the other's."""
+    w = wanted.select(F.trim("path").alias("path")).where("path <> ''").distinct()
+    return w.join(files.select("path", F.lit(True).alias("exists")).distinct(), "path", "left" if keep_missing else "inner").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
 def ragged(rows: DataFrame, values: str, offsets: str) -> DataFrame:
     """Arrays from one flat array and its offsets."""
     o = F.col(offsets)
@@ -201,8 +228,8 @@ def stem_tempo(rows: DataFrame, dataset: str) -> DataFrame:
 
 
 def source_countries(rows: DataFrame, stem: str = "stim_name", country: str = "source_country") -> DataFrame:
-    """(stem, source_country), a row for each stem."""
-    return rows.select(F.trim(F.col(stem)).alias("stem"), F.trim(F.col(country)).alias("source_country")).dropDuplicates(["stem"])
+    """(stem, source_country), a row for each stem; of several countries the first by name."""
+    return rows.groupBy(F.trim(F.col(stem)).alias("stem")).agg(F.min(F.trim(F.col(country))).alias("source_country"))
 
 
 def split_roles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import socket
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +19,30 @@ def write_vectors(df: DataFrame, path: str, places: int = 9) -> None:
     lines.write.mode("overwrite").partitionBy("stem").text(path)
 
 
-def provenance(inputs: DataFrame, outputs: DataFrame, config_sha256: str) -> DataFrame:
-    """A row for each file with its role and digest; both tables as ``readers.files`` gives them."""
+def commit_of(folder: str) -> str | None:
+    """The commit that a git folder stands at, read from its files; None where there is none."""
+    head = os.path.join(folder, ".git", "HEAD")
+    if not os.path.isfile(head):
+        return None
+    with open(head) as f:
+        text = f.read().strip()
+    if not text.startswith("ref: "):
+        return text
+    name = text[5:]
+    loose, packed = os.path.join(folder, ".git", name), os.path.join(folder, ".git", "packed-refs")
+    if os.path.isfile(loose):
+        with open(loose) as f:
+            return f.read().strip()
+    if os.path.isfile(packed):
+        with open(packed) as f:
+            return next((line.split()[0] for line in f if line.rstrip().endswith(" " + name)), None)
+    return None
+
+
+def provenance(inputs: DataFrame, outputs: DataFrame, config_sha256: str, commit: str | None = None, host: str | None = None) -> DataFrame:
+    """A row for each file with its role and digest, and the run's host and commit; both tables as ``readers.files`` gives them."""
     role = lambda d, r: d.select(F.lit(r).alias("role"), "path", "length", "sha256")
-    return role(inputs, "input").unionAll(role(outputs, "output")).withColumns({"config_sha256": F.lit(config_sha256), "written_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")})
+    return role(inputs, "input").unionAll(role(outputs, "output")).withColumns({"config_sha256": F.lit(config_sha256), "host": F.lit(host or socket.gethostname()), "commit": F.lit(commit).cast("string"), "written_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")})
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -99,3 +99,13 @@ def test_cleaning_keeps_ends_and_settles():
     c = clean_array(t)
     assert c[0] == t[0] and c[-1] == t[-1] and len(c) < len(t)
     assert (clean_array(np.array([1, 2, 3])) == [1, 2, 3]).all()
+
+
+def test_peak_widths():
+    """Triangles: half the height is met half way down, and an edge ends a flank."""
+    y = np.concatenate([np.arange(0, 10), np.arange(10, -1, -1), np.arange(1, 4), np.arange(4, -1, -1)]).astype(float)
+    p = signal.local_peaks(y)
+    assert p.tolist() == [10, 24]
+    assert signal.widths(y, p, signal.prominence(y, p)).tolist() == [10.0, 4.0]
+    assert signal.widths(np.array([4.0, 5.0, 0.0, 0.0]), np.array([1]), np.array([5.0])).tolist() == [1.5]
+    assert signal.pick_peaks(y, 1, 0.1, 5.0).tolist() == [10] and signal.pick_peaks(y, 1, 0.1).tolist() == [10, 24]

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cadentia.sources import readers, sinks
@@ -151,3 +152,42 @@ def test_trials_over_a_stream(spark, tmp_path):
     key = lambda r: (r.stem_id, r.participant, r.t_us, r.nearest_us)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
     assert {r.participant for r in got.select("participant").distinct().collect()} == set(range(12))
+
+
+def test_filtered_and_dealt_exports(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "t.csv.gz", "wt") as f:
+        f.write("a,b,c\n" + "".join(f"{i},{i % 3},x\n" for i in range(90)))
+    d = readers.csv_columns(spark, f"{tmp_path}/t.csv.gz", ["a", "z"], "b = '1'", 4)
+    assert d.columns == ["a"] and d.count() == 30 and d.rdd.getNumPartitions() == 4
+    assert readers.csv_columns(spark, f"{tmp_path}/t.csv.gz", ["a", "b"], parts=3, by="b").count() == 90
+
+
+def test_nodes_and_sound_lists(spark):
+    files = spark.createDataFrame([("/d/a.wav", "a"), ("/e/a.wav", "a"), ("/d/b.wav", "b")], "path string, stem string")
+    rows = spark.createDataFrame([(" s ", "crowd", "c", "g", "a.wav ")], "stimulus_id string, condition string, corpus string, corpus_group string, audio_filename string")
+    assert readers.experiment_nodes(rows, files).first() == ("s", "crowd", "c", "g", "/d/a.wav")
+    with pytest.raises(ValueError, match="corpus"):
+        readers.experiment_nodes(rows.drop("corpus"), files)
+    with pytest.raises(FileNotFoundError, match="gone.wav"):
+        readers.experiment_nodes(rows.withColumn("audio_filename", F.lit("gone.wav")), files)
+    wanted = spark.createDataFrame([("/d/b.wav",), ("/d/b.wav ",), ("/d/x.wav",), ("",)], "path string")
+    assert sorted((r.path, r.exists) for r in readers.sound_list(wanted, files, True).collect()) == [("/d/b.wav", True), ("/d/x.wav", False)]
+    assert [r.path for r in readers.sound_list(wanted, files, False).collect()] == ["/d/b.wav"]
+    c = spark.createDataFrame([("s", "B"), ("s ", "A"), ("t", None)], "stim_name string, source_country string")
+    assert {tuple(r) for r in readers.source_countries(c).collect()} == {("s", "A"), ("t", None)}
+
+
+def test_commit_of(tmp_path):
+    git = tmp_path / ".git"
+    assert sinks.commit_of(str(tmp_path)) is None
+    (git / "refs/heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    assert sinks.commit_of(str(tmp_path)) is None
+    (git / "packed-refs").write_text("# pack\nabc refs/heads/main\n")
+    assert sinks.commit_of(str(tmp_path)) == "abc"
+    (git / "refs/heads/main").write_text("def\n")
+    assert sinks.commit_of(str(tmp_path)) == "def"
+    (git / "HEAD").write_text("0123\n")
+    assert sinks.commit_of(str(tmp_path)) == "0123"
