@@ -56,6 +56,19 @@ def row_filter(rule: str | None, position: Column) -> Column:
     raise ValueError(f"unknown row filter: {rule}")
 
 
+def row_filter_by(rule: Column, position: Column) -> Column:
+    """The same language where each row brings its rule; null lets everything pass, and what is none of it is an error."""
+    r = F.replace(rule, F.lit(" "), F.lit(""))
+    listed = F.transform(F.filter(F.split(F.regexp_extract(r, r"\{(.*)\}", 1), ","), lambda x: x != ""), lambda x: x.cast("int"))
+    return (
+        F.when(rule.isNull(), True)
+        .when(r.rlike("^pos>=-?[0-9]+$"), position >= F.substring(r, 6, 20).try_cast("int"))
+        .when(r.rlike("^pos==-?[0-9]+$"), position == F.substring(r, 6, 20).try_cast("int"))
+        .when(r.rlike("^posin\\{[-0-9,]*\\}$"), F.array_contains(listed, position))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown row filter: "), rule)).cast("boolean"))
+    )
+
+
 def metric_relation(reference: Column, predicted: Column) -> Column:
     """Audit classes of a period ratio, in order of precedence."""
     r = predicted / reference

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import number_list, row_filter_by, seconds_to_ms
+
 PAYLOAD = "failed boolean, extracted_onsets string"
 
 
@@ -24,17 +26,79 @@ def aligned_taps(analysis: Column, key: str = "resp_onsets_aligned", offset_ms:
     return F.when(F.coalesce(outer["failed"], F.lit(False)), F.array().cast("array<double>")).otherwise(F.coalesce(inside, F.array().cast("array<double>")))
 
 
+def truth(value: Column, absent: bool) -> Column:
+    """Whether a JSON value (variant) counts as true: null, 0, and what is empty do not; ``absent`` for none at all."""
+    kind = F.schema_of_variant(value)
+    as_text = F.try_variant_get(value, "$", "string")
+    return (
+        F.when(value.isNull(), absent)
+        .when(F.is_variant_null(value), False)
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(kind == "STRING", as_text != "")
+        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), ~F.to_json(value).isin("{}", "[]"))
+        .otherwise(F.try_variant_get(value, "$", "double") != 0)
+    )
+
+
+def flattened_analysis(rows: DataFrame, analysis: str = "analysis") -> DataFrame:
+    """``rows`` with analysis_failed, resp_onsets_aligned (JSON text) and analysis_reason from a nested payload.
+
+    A missing payload failed, for the reason "missing"; one that can't be read
+    failed, for the reason "parse_error"; a payload without ``failed`` failed too.
+    The inner object may be encoded once more.  Absent reasons are empty.
+    """
+    whole = F.try_parse_json(F.col(analysis))
+    rows = rows.withColumn("_a", whole)
+    rows = rows.withColumns({"_failed": F.try_variant_get("_a", "$.failed", "variant"), "_eo": F.try_variant_get("_a", "$.extracted_onsets", "variant"), "_object": F.schema_of_variant("_a").startswith("OBJECT")})
+    encoded = F.schema_of_variant("_eo") == "STRING"
+    inner = F.when(encoded, F.try_parse_json(F.try_variant_get("_eo", "$", "string"))).otherwise(F.col("_eo"))
+    rows = rows.withColumn("_inner", inner)
+    bad = F.col(analysis).isNotNull() & (~F.coalesce("_object", F.lit(False)) | (F.coalesce(encoded, F.lit(False)) & F.col("_inner").isNull()))
+    found = F.try_variant_get("_inner", "$.resp_onsets_aligned", "variant")
+    ok = F.col(analysis).isNotNull() & ~bad
+    reason = F.coalesce(F.try_variant_get("_a", "$.reason", "string"), F.when(F.try_variant_get("_a", "$.reason", "variant").isNull(), ""))
+    out = rows.withColumns(
+        {
+            "analysis_failed": F.when(ok, truth(F.col("_failed"), True)).otherwise(True),
+            "resp_onsets_aligned": F.when(ok & found.isNotNull() & ~F.is_variant_null(found), F.to_json(found)),
+            "analysis_reason": F.when(F.col(analysis).isNull(), "missing").when(bad, "parse_error").otherwise(reason),
+        }
+    )
+    return out.drop("_a", "_failed", "_eo", "_object", "_inner")
+
+
+def mapped_references(beats: DataFrame, sources: DataFrame, clip_s: float = 30.0) -> DataFrame:
+    """(stem, t, pos) of each stem's reference within its clip, by a map of sources.
+
+    beats: path, t, pos (as ``readers.beat_files`` gives them, by path);
+    sources: stem, path (null where a stem has no reference), row_filter and
+    clip_offset_s (may be null).  The offset is taken off after the filter; a
+    beat up to 1 ms before the clip counts as its start.
+    """
+    m = sources.where("path is not null").select("stem", "path", "row_filter", F.coalesce("clip_offset_s", F.lit(0.0)).alias("offset"))
+    kept = beats.join(m, "path").where(row_filter_by(F.col("row_filter"), F.col("pos"))).withColumn("t", F.col("t") - F.col("offset"))
+    return kept.where((F.col("t") >= -1e-3) & (F.col("t") < clip_s)).select("stem", F.greatest("t", F.lit(0.0)).alias("t"), "pos")
+
+
+def canonical_stem(group: Column, audio: Column, name: Column) -> Column:
+    """A trial's stem by its corpus group's naming: the sound's file name where its folder tells, else the stimulus name (fixed rules)."""
+    base = lambda c: F.regexp_replace(F.element_at(F.split(F.trim(c), "/"), -1), r"(?<=.)\.[^.]*$", "")
+    return (
+        F.when(group == "ballroom", F.when(F.contains(audio, F.lit("ballroom_wav")), base(audio)).otherwise(name))
+        .when(group == "mirex", F.when(F.contains(audio, F.lit("/mirex/")), base(audio)).otherwise(name))
+        .when(group == "benchmark100", F.regexp_replace(name, "^[^/]*/", ""))
+        .when(group == "globalmood40", F.trim(base(audio)))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown corpus group: "), F.coalesce(group, F.lit("null")))))
+    )
+
+
 def quoted_list(text: Column) -> Column:
     """A list of numbers written with either kind of quotes, or as a Python literal."""
-    from ..functions.expressions import number_list
-
     return number_list(F.translate(text, "'()", '"[]'))
 
 
 def tap_list_ms(row_keys: Sequence[Column]) -> Column:
     """The first candidate text with a number in it, as milliseconds; lists in seconds are scaled."""
-    from ..functions.expressions import seconds_to_ms
-
     lists = [quoted_list(c) for c in row_keys]
     return seconds_to_ms(F.coalesce(*(F.when(F.size(x) > 0, x) for x in lists), F.array().cast("array<double>")))
 

@@ -43,6 +43,21 @@ def consensus(peaks: DataFrame, params: grids.Params = grids.Params()) -> DataFr
     return peaks.select("stem_id", "tap_us").groupBy("stem_id").applyInArrow(kernel, "stem_id string, beats_us array<long>, period_s double, cv double, label string, path string, scores map<string,double>")
 
 
+def annotator_consensus(annotations: DataFrame, least: int = 3, params: grids.Params = grids.Params()) -> DataFrame:
+    """Each stem's grid from its annotators' times, as ``consensus`` has it: rounded to 1 ms, cleaned by annotator, pooled.
+
+    annotations: stem_id, annotator, times (seconds).  An annotator with fewer
+    than ``least`` times within the window, before or after cleaning, is left out.
+    """
+    ms = F.round(F.col("t") * 1000).cast("long") * 1000
+    taps = annotations.select("stem_id", F.col("annotator").alias("participant"), F.explode("times").alias("t")).where("t is not null").select("stem_id", "participant", ms.alias("tap_us"))
+    enough = lambda d: d.groupBy("stem_id", "participant").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("stem_id", "participant")
+    inside = timing.clipped(taps, round(params.start * 1e6), round(params.stop * 1e6))
+    clean = timing.cleaned_fast(inside.join(enough(inside), ["stem_id", "participant"], "left_semi"))
+    clean = clean.join(enough(clean), ["stem_id", "participant"], "left_semi")
+    return consensus(density_peaks(timing.pooled_density(clean)), params)
+
+
 def consensus_sweep(peaks: DataFrame, variants: dict[str, grids.Params]) -> DataFrame:
     """(stem_id, variant, beats_us): each stem's grid under each set of parameters; a stem and a variant are one task's row of work."""
     shared = dict(variants)

@@ -372,3 +372,10 @@ def test_six_stages(spark):
     assert got["pooled_raw_taps"].hit_rate == pytest.approx(2 / 3) and got["pooled_clean_taps"].hit_rate == 1
     assert got["peaks_from_raw"].hit_rate == pytest.approx(1 / 2) and got["peaks_from_hits_raw"].hit_rate == 1 and got["peaks_from_hits_raw"].n == 19
     assert got["pooled_clean_taps"].mean_abs_us == 5_000 and got["peaks_from_clean"].mean_abs_us == 0
+
+
+def test_annotator_consensus(spark):
+    rng = np.random.default_rng(15)
+    rows = [("s", a, [float(x) for x in np.arange(0.5, 30, 0.5) + rng.normal(0, 0.01, 59)]) for a in range(6)] + [("s", 9, [1.0, 2.0]), ("s", 10, None), ("t", 1, [0.1, 0.2])]
+    got = grouped.annotator_consensus(spark.createDataFrame(rows, "stem_id string, annotator int, times array<double>")).collect()
+    assert [r.stem_id for r in got] == ["s"] and got[0].period_s == pytest.approx(0.5, abs=0.01) and len(got[0].beats_us) >= 57
