@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, table, texts
+from .common import arrow_map, durable, hot_keys, split_join, table, texts
 
 KINDS = ("assign", "access", "hex", "key", "jwt", "opaque")
 BASE = {
@@ -96,14 +96,14 @@ def secrets(docs: DataFrame) -> DataFrame:
     owner of its own kind; a null doc_id is no document in the counts; rows
     that repeat a doc_id get a row each and count as one document.
     """
-    rows = durable(scan(docs))
-    each = rows.where(F.size("found") > 0).select("doc_id", F.concat(F.lit("="), "source").alias("source"), F.explode("found.h").alias("h"))
+    rows = durable(scan(docs).withColumn("row", F.monotonically_increasing_id()))
+    each = rows.where(F.size("found") > 0).select("row", "doc_id", F.concat(F.lit("="), "source").alias("source"), F.explode("found.h").alias("h"))
     per_doc = each.select("h", "source", "doc_id").distinct()  # a row for each value, owner and document, however often it stands there
     owners = F.count_distinct("source") + F.max(F.col("source").isNull().cast("int"))
-    held = per_doc.groupBy("h").agg(owners.alias("owners"), F.count_distinct("doc_id").alias("n_docs"))
-    shared = held.where((F.col("owners") >= SHARED_OWNERS) | (F.col("n_docs") >= SHARED_DOCS)).select("h")
-    examples = each.select("doc_id", "h").distinct().join(shared, "h").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("h").alias("examples"))
-    told = rows.join(examples, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "found", "examples")
+    held = per_doc.groupBy("h").agg(owners.alias("owners"), F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("c"))
+    shared = durable(held.where((F.col("owners") >= SHARED_OWNERS) | (F.col("n_docs") >= SHARED_DOCS)).select("h", "c"))
+    met = split_join(each.select("row", "h").distinct(), shared.select("h"), ["h"], "row", hot_keys(shared, ["h"], F.col("c")))  # a value of very many documents is met in parts
+    told = rows.join(met.groupBy("row").agg(F.collect_list("h").alias("examples")), "row", "left").select("doc_id", "found", "examples")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "n_weak"]
