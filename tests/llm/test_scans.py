@@ -461,3 +461,34 @@ def test_very_many_spans(spark):
             at += len(v) + 1
         assert [(x.s, x.e) for x in r.email] == want
     assert took[1] < 8 * took[0] + 6
+
+
+def test_restored_words_are_the_likeliest(spark):
+    """Every path through the lattice is scored for short tokens."""
+    import itertools
+
+    rng = random.Random(11)
+    docs = frame(spark, [(i, " ".join("".join(rng.choices("abstioe", k=rng.randrange(2, 7))) for _ in range(30))) for i in range(20)])
+    model = toxicity.CharModel(toxicity.char_counts(docs))
+
+    def value(word):
+        p = [32, 32, *map(ord, word), 32]
+        return sum(model.log(*p[i : i + 3]) for i in range(len(p) - 2))
+
+    tried = 0
+    for _ in range(150):
+        token = "".join(rng.choices("aabsttio134$0._", k=rng.randrange(1, 8)))
+        options = []
+        for c, run in itertools.groupby(token):
+            n = len(list(run))
+            if c in toxicity.GAPS:
+                options.append([""])
+            elif c.isalpha():
+                options.append([c] if n == 1 else [c, c + c])
+            else:
+                options.append([*toxicity.LEET[c], *([x + x for x in toxicity.LEET[c]] if n > 1 else [])])
+        every = ["".join(x) for x in itertools.product(*options)]
+        tried += len(every) > 1
+        got = toxicity.restore(token, model)
+        assert got in every and value(got) == pytest.approx(max(map(value, every)))
+    assert tried > 50
