@@ -12,6 +12,7 @@ from ..kernels import matching, periods, signal
 from . import matching as nearby
 from . import timing
 from .durable import durable
+from .permutation import added, array_of, scrambled
 
 SECOND = 1_000_000.0
 
@@ -181,28 +182,81 @@ def numbered(rows: DataFrame, name: str = "copy") -> DataFrame:
     return each.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
 
 
+def drawn_sums(rows: DataFrame, keys: list[str], own: str, columns: list[str], draws: int, seed: int) -> DataFrame:
+    """(cell, sums): for each key, as JSON, the weighted sums of the columns and of 1 under every draw; draw 0 weighs each row 1.
+
+    A row's weight in a draw is a Poisson(1) number from its number ``own`` and
+    the draw, so rows are not repeated: tasks add them up, and only sums are shuffled.
+    """
+    cell = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
+    number = np.arange(1, draws + 1, dtype=np.uint64) + np.uint64(seed << 20)
+    each, width = scrambled(number), len(columns) + 1
+
+    def kernel(batches):
+        steps = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 12)]))
+        held: dict[str, np.ndarray] = {}
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["cell", "sums"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for name, h, x in zip(*(b.column(c).to_pylist() for c in ("cell", "own", "x")), strict=True):
+                if name not in held and len(held) >= 64:
+                    yield given()
+                u = (scrambled(each ^ np.uint64(h & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(float) / float(1 << 53)
+                weight = np.concatenate([[1.0], np.searchsorted(steps, u)])
+                total = held.setdefault(name, np.zeros((width, draws + 1)))
+                total += np.array([*x, 1.0])[:, None] * weight
+        yield given()
+
+    made = rows.select(cell.alias("cell"), F.col(own).alias("own"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    return added(made.mapInArrow(kernel, "cell string, sums binary"), {"cell": "string"}, "sums")
+
+
+def percentiles(values: np.ndarray) -> tuple[float | None, float | None, int]:
+    """The 95 % interval of the draws that have a value, and their number."""
+    values = values[np.isfinite(values)]
+    return (*np.percentile(values, [2.5, 97.5]).tolist(), len(values)) if len(values) else (None, None, 0)
+
+
+def keyed(found: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``found`` with its cells' keys instead of their JSON."""
+    return rows.select(*keys).distinct().withColumn("cell", F.to_json(F.struct(*keys)) if keys else F.lit("{}")).join(found, "cell").drop("cell")
+
+
 def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, draws: int, seed: int) -> DataFrame:
-    """Percentile interval of the mean by a Poisson bootstrap: each row's weight in a draw is a Poisson(1) number from its hash.
+    """Percentile interval of the mean by a Poisson bootstrap over rows with a value; equal rows have weights of their own.
 
-    Sums per draw combine on the map side, so a group of any size is never held whole.
     A draw in which all weights of a small group are 0 has no mean and is not counted.
     """
-    d = numbered(rows).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("weight", poisson("draw", *rows.columns, "copy", F.lit(seed)))
-    means = d.groupBy(*keys, "draw").agg(F.try_divide(F.sum(F.col("weight") * F.col(value)), F.sum("weight")).alias("mean"))
-    return means.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"), F.count("mean").alias("draws"))
+    d = numbered(rows).where(F.col(value).isNotNull())
+    d = d.withColumn("_own", F.xxhash64(*rows.columns, "copy"))
+
+    def kernel(t: pa.Table) -> pa.Table:
+        total, weight = array_of(t, "sums", (2, draws + 1))[:, 1:]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            lo, hi, n = percentiles(total / weight)
+        return pa.table({"cell": t.column("cell")[:1], "lo": pa.array([lo], pa.float64()), "hi": pa.array([hi], pa.float64()), "draws": pa.array([n], pa.int64())})
+
+    found = drawn_sums(d, keys, "_own", [value], draws, seed).groupBy("cell").applyInArrow(kernel, "cell string, lo double, hi double, draws long")
+    return keyed(found, rows, keys).select(*keys, "lo", "hi", "draws")
 
 
 def bootstrap_shares(rows: DataFrame, keys: list[str], unit: str, flags: list[str], draws: int, seed: int) -> DataFrame:
-    """Shares of categories with percentile intervals, units (participants) drawn whole; rows: keys, unit and 0/1 flags.
+    """Shares of categories with percentile intervals, units (participants) drawn whole; rows: keys, unit and 0/1 flags."""
+    own = rows.groupBy(*keys, unit).agg(F.count("*").alias("_total"), *(F.sum(c).alias(c) for c in flags)).withColumn("_own", F.xxhash64(*keys, unit))
 
-    A unit's Poisson(1) weight in a draw comes from its hash, so sums per draw combine on the map side.
-    """
-    own = rows.groupBy(*keys, unit).agg(F.count("*").alias("total"), *(F.sum(c).alias(c) for c in flags))
-    d = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("weight", F.when(F.col("draw") == 0, 1).otherwise(poisson("draw", *keys, unit, F.lit(seed))))
-    s = d.groupBy(*keys, "draw").agg(*(F.try_divide(F.sum(F.col("weight") * F.col(c)), F.sum(F.col("weight") * F.col("total"))).alias(c) for c in flags))
-    long = s.select(*keys, "draw", F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("share")) for c in flags))).alias("x")).select(*keys, "draw", "x.*")
-    boot = F.when(F.col("draw") > 0, F.col("share"))
-    return long.groupBy(*keys, "category").agg(F.max(F.when(F.col("draw") == 0, F.col("share"))).alias("share"), F.percentile(boot, F.lit(0.025)).alias("lo"), F.percentile(boot, F.lit(0.975)).alias("hi"), F.count(boot).alias("draws"))
+    def kernel(t: pa.Table) -> pa.Table:
+        sums = array_of(t, "sums", (len(flags) + 2, draws + 1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            share = sums[: len(flags)] / sums[len(flags)]
+        lo, hi, n = zip(*(percentiles(x[1:]) for x in share), strict=True)
+        return pa.table({"cell": [one(t, "cell")] * len(flags), "category": flags, "share": pa.array(share[:, 0], pa.float64(), from_pandas=True), "lo": pa.array(lo, pa.float64()), "hi": pa.array(hi, pa.float64()), "draws": pa.array(n, pa.int64())})
+
+    found = drawn_sums(own, keys, "_own", [*flags, "_total"], draws, seed).groupBy("cell").applyInArrow(kernel, "cell string, category string, share double, lo double, hi double, draws long")
+    return keyed(found, rows, keys).select(*keys, "category", "share", "lo", "hi", "draws")
 
 
 def bootstrap_median(rows: DataFrame, keys: list[str], value: str, draws: int, seed: int) -> DataFrame:
