@@ -90,7 +90,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word -> 64-bit hash, each word hashed once; emptied when it has grown large."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

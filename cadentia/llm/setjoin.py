@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, longs, ranges
 
 
-#: Words of parities of a set.
-WORDS = 4
+#: Words of parities of a set, and sets whose parities are counted at once.
+WORDS, SETS = 4, 1024
 
 
 def overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -54,10 +54,15 @@ def prefix(h: np.ndarray, n: np.ndarray, counts: np.ndarray, percent: int) -> tu
 
 def parities(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     """WORDS words of parities for each of the sets that lie one after another in ``h``: two sets differ in as many tokens, at least, as their parities in bits."""
-    bit = (h >> np.uint64(40) & np.uint64(64 * WORDS - 1)).astype(np.int64)
-    own = np.repeat(np.arange(len(n)), n)
-    odd = (np.bincount(own * (64 * WORDS) + bit, minlength=len(n) * 64 * WORDS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(n), 64 * WORDS), axis=1, bitorder="little").view(np.int64).reshape(len(n), WORDS)
+    bit = (h >> np.uint64(40) & np.uint64(64 * WORDS - 1)).astype(np.uint8 if WORDS <= 4 else np.uint16)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    out = np.empty((len(n), WORDS), np.int64)
+    for i in range(0, len(n), SETS):  # a table of counts for so many sets at once
+        j = min(i + SETS, len(n))
+        own = np.repeat(np.arange(j - i), n[i:j])
+        odd = (np.bincount(own * (64 * WORDS) + bit[ends[i] : ends[j]], minlength=(j - i) * 64 * WORDS) & 1).astype(np.uint8)
+        out[i:j] = np.packbits(odd.reshape(j - i, 64 * WORDS), axis=1, bitorder="little").view(np.int64)
+    return out
 
 
 def candidates(entries: DataFrame, percent: int) -> DataFrame:
