@@ -223,3 +223,33 @@ def compared_grids(reference: DataFrame, estimate: DataFrame, keys: list[str], s
     near = nearest(y.select(*keys, F.col("beat_us").alias("t_us")), x, keys).join(out.where("relation = 'matched'").select(*keys, "p"), keys)
     phase = near.groupBy(*keys).agg((F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn))) / (2 * 3.141592653589793)).alias("phase_offset"))
     return out.join(phase, keys, "left").select(*keys, "f", (F.col("p") / 1e6).alias("reference_period_s"), (F.col("q") / 1e6).alias("estimate_period_s"), "ratio", "relation", "phase_offset", "median_abs_offset_ms")
+
+
+def variant_metrics(beats: DataFrame, reference: DataFrame, tolerance_us: int = 70_000, wide_us: int = 120_000) -> DataFrame:
+    """Each variant of each stem's beats against its reference: a row for each variant and stem.
+
+    beats: variant, stem_id, beat_us; reference: stem_id, beat_us.  F at both
+    tolerances, F after the best shift and that shift, the median distance of
+    the reference beats that are hit, and how many beats lie in 30 s and in its
+    middle.  Stems without a reference have no row.
+    """
+    keys = ["variant", "stem_id"]
+    own = durable(beats.select(*keys, "beat_us"))
+    ref = durable(reference.select("stem_id", "beat_us").join(own.select(*keys).distinct(), "stem_id"))
+    aligned = phase_aligned_f(own, ref, keys, tolerance_us)
+    wide = f_measure(own, ref, keys, wide_us).select(*keys, F.col("f").alias("f_wide"))
+    off = F.when(F.abs("off_us") <= tolerance_us, F.abs("off_us"))
+    near = nearest(ref.select(*keys, F.col("beat_us").alias("t_us")), own, keys).groupBy(*keys).agg((F.median(off) / 1000).alias("median_off_ms"))
+    n = own.groupBy(*keys).agg(F.count_if(F.col("beat_us").between(0, 30_000_000)).alias("n_30s"), F.count_if(F.col("beat_us").between(10_000_000, 25_000_000)).alias("n_10_25"))
+    return aligned.join(wide, keys).join(near, keys).join(n, keys).select(*keys, "f", "f_wide", "f_aligned", (F.col("shift_us") / 1000).alias("shift_ms"), "median_off_ms", "n_30s", "n_10_25")
+
+
+def by_corpus(metrics: DataFrame, corpora: DataFrame, metric: str = "f") -> DataFrame:
+    """Mean and median of a metric for each corpus and variant; corpora: stem_id, corpus."""
+    return metrics.join(corpora, "stem_id").groupBy("corpus", "variant").agg(F.count(metric).alias("n_stems"), F.avg(metric).alias(f"mean_{metric}"), F.median(metric).alias(f"median_{metric}"))
+
+
+def against_baselines(metrics: DataFrame, variant: str, metric: str = "f") -> DataFrame:
+    """(baseline, stem_id, difference) of one variant's metric less each other's, over stems that have both."""
+    one = metrics.where(F.col("variant") == variant).select("stem_id", F.col(metric).alias("_own"))
+    return metrics.where(F.col("variant") != variant).join(one, "stem_id").select(F.col("variant").alias("baseline"), "stem_id", (F.col("_own") - F.col(metric)).alias("difference")).where("difference is not null")

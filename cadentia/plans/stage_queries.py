@@ -204,6 +204,36 @@ def bimodality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.bimodality_audit(*uneven_peaks(spark, sf_dir)).withColumn("score", X.half_even(F.col("score"), 6))
 
 
+VARIANTS = f"WITH {ESTS}, v AS (SELECT 'crowd' AS variant, stem_id, k, beat_us FROM ests UNION ALL SELECT 'late', stem_id, k, beat_us + 45000 FROM ests UNION ALL SELECT 'sparse', stem_id, k, beat_us FROM ests WHERE k % 4 <> 0), sh AS (SELECT variant, stem_id, r.k, shift_us, min(abs(e.beat_us + shift_us - r.beat_us)) AS d FROM v e JOIN refs r USING (stem_id), (SELECT unnest(range(-250000, 250001, 5000)) AS shift_us) GROUP BY ALL), hc AS (SELECT variant, stem_id, shift_us, count(*) FILTER (d <= 70000) AS hits FROM sh GROUP BY ALL), hb AS (SELECT * FROM hc QUALIFY row_number() OVER (PARTITION BY variant, stem_id ORDER BY hits DESC, shift_us) = 1), vm AS (SELECT variant, stem_id, median(ioi) AS m FROM (SELECT variant, stem_id, beat_us - lag(beat_us) OVER (PARTITION BY variant, stem_id ORDER BY beat_us) AS ioi FROM v) GROUP BY 1, 2), rm AS (SELECT stem_id, median(ioi) AS m FROM (SELECT stem_id, beat_us - lag(beat_us) OVER (PARTITION BY stem_id ORDER BY beat_us) AS ioi FROM refs) GROUP BY 1), sf AS (SELECT b.variant, b.stem_id, CASE WHEN coalesce(x.m > 0 AND y.m > 0 AND greatest(x.m, y.m) / least(x.m, y.m)::DOUBLE <= 1.1::DOUBLE, false) THEN shift_us ELSE 0 END AS shift_us FROM hb b JOIN vm x USING (variant, stem_id) JOIN rm y ON y.stem_id = b.stem_id), w AS (SELECT v.*, beat_us + shift_us AS moved FROM v JOIN sf USING (variant, stem_id)), pd AS (SELECT w.variant, w.stem_id, w.k, min(abs(w.beat_us - r.beat_us)) AS d, min(abs(w.moved - r.beat_us)) AS dm FROM w JOIN refs r USING (stem_id) GROUP BY ALL), rd AS (SELECT w.variant, w.stem_id, r.k, min(abs(w.beat_us - r.beat_us)) AS d, min(abs(w.moved - r.beat_us)) AS dm FROM w JOIN refs r USING (stem_id) GROUP BY ALL), pf AS (SELECT variant, stem_id, avg((d <= 70000)::INT) AS p, avg((d <= 120000)::INT) AS pw, avg((dm <= 70000)::INT) AS pm FROM pd GROUP BY 1, 2), rf AS (SELECT variant, stem_id, avg((d <= 70000)::INT) AS r, avg((d <= 120000)::INT) AS rw, avg((dm <= 70000)::INT) AS rm, median(CASE WHEN d <= 70000 THEN d END) / 1000 AS med FROM rd GROUP BY 1, 2), nn AS (SELECT variant, stem_id, count(*) FILTER (beat_us BETWEEN 0 AND 30000000) AS n_30s, count(*) FILTER (beat_us BETWEEN 10000000 AND 25000000) AS n_10_25 FROM v GROUP BY 1, 2), mt AS (SELECT variant, stem_id, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f, CASE WHEN pw + rw > 0 THEN 2 * pw * rw / (pw + rw) ELSE 0 END AS f_wide, CASE WHEN pm + rm > 0 THEN 2 * pm * rm / (pm + rm) ELSE 0 END AS f_aligned, shift_us / 1000.0::DOUBLE AS shift_ms, med AS median_off_ms, n_30s, n_10_25 FROM pf JOIN rf USING (variant, stem_id) JOIN sf USING (variant, stem_id) JOIN nn USING (variant, stem_id))"
+
+
+def metrics_of_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = estimates(spark, sf_dir)
+    v = e.select(F.lit("crowd").alias("variant"), "stem_id", "beat_us").unionAll(e.select(F.lit("late"), "stem_id", F.col("beat_us") + 45_000)).unionAll(e.where("k % 4 <> 0").select(F.lit("sparse"), "stem_id", "beat_us"))
+    return M.variant_metrics(v, references(spark, sf_dir))
+
+
+@query(f"{VARIANTS} SELECT variant, stem_id, {R6.format('f')} AS f, {R6.format('f_wide')} AS f_wide, {R6.format('f_aligned')} AS f_aligned, shift_ms, {R6.format('median_off_ms')} AS median_off_ms, n_30s, n_10_25 FROM mt")
+def variant_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of metrics of every stem and variant."""
+    return metrics_of_variants(spark, sf_dir).withColumns({c: X.half_even(F.col(c), 6) for c in ("f", "f_wide", "f_aligned", "median_off_ms")})
+
+
+@query(f"{VARIANTS} SELECT 'c' || ord AS corpus, variant, count(f) AS n_stems, {R6.format('avg(f)')} AS mean_f, {R6.format('median(f)')} AS median_f FROM mt JOIN stems USING (stem_id) GROUP BY 1, 2")
+def variants_by_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and median F of each corpus and variant; a corpus is a tempo."""
+    corpora = references(spark, sf_dir).select("stem_id", F.concat(F.lit("c"), "ord").alias("corpus")).distinct()
+    m = M.by_corpus(metrics_of_variants(spark, sf_dir), corpora)
+    return m.withColumns({c: X.half_even(F.col(c), 6) for c in ("mean_f", "median_f")})
+
+
+@query()
+def variant_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first variant's F against each other's: signed ranks over stems, and step-up q values."""
+    d = M.against_baselines(metrics_of_variants(spark, sf_dir), "crowd").withColumn("difference", F.round("difference", 9))
+    return S.step_up(S.wilcoxon_p(d, ["baseline"], "difference").withColumn("family", F.lit(0)), ["family"], "p").drop("family")
+
+
 @query()
 def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fourteen variants of the search against the default: mean F, and the share of stems at its rate."""
