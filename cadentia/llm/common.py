@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
 #: What an Arrow batch may hold: rows, and bytes, which bound it where documents are long.
-BATCH_ROWS, BATCH_BYTES = 100_000, 6 << 20
+BATCH_ROWS, BATCH_BYTES = 100_000, 3 << 20
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
