@@ -34,10 +34,12 @@ from .setjoin import by_line, overlap
 from .tokens import Words
 
 PERCENT = 80
-#: Cells of the table of counts (4 bytes each).
+#: Cells of the table of counts (4 bytes each), a power of 2.
 CELLS = 1 << 20
 #: Tokens that a task gathers before it drops the repeated lines among them; a line counts as three at least.
 GATHER = 2_000_000
+#: Bytes of text whose words a task takes at once.
+PIECE_BYTES = 1 << 17
 #: Likeliest earlier sets that a token's group names for a line, unless the first is near beyond doubt.
 LIKELIEST = 3
 #: Tokens of open lines in one broadcast block (8 bytes each).
@@ -46,7 +48,15 @@ SALT = np.uint64(0xA0761D6478BD642F)
 
 
 def cells_of(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(CELLS)).astype(np.int64)
+    return (h & np.uint64(CELLS - 1)).view(np.int64)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about PIECE_BYTES, whose arrays stay in a core's cache."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def token_counts(docs: DataFrame) -> np.ndarray:
@@ -54,25 +64,48 @@ def token_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             np.add.at(cells, cells_of(Words(batch.column("text")).hash), 1)
         yield strips(cells)
 
     return np.minimum(summed(arrow_map(texts(docs), count, "strip int, cells binary"), CELLS), 2**31 - 1).astype(np.int32)
 
 
+class Sought:
+    """Some tokens, to be found among very many."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.marked = np.unique(tokens), np.zeros(CELLS, bool)
+        self.marked[cells_of(tokens)] = True
+
+    def held(self, h: np.ndarray) -> np.ndarray:
+        """Which of the hashes are of these tokens."""
+        at = np.flatnonzero(self.marked[cells_of(h)])
+        return at[self.tokens[np.minimum(np.searchsorted(self.tokens, h[at]), len(self.tokens) - 1)] == h[at]]
+
+
 class Lines:
-    """The lines with a word: row, number, and their distinct tokens in order of rarity, one line after another."""
+    """The lines with a word: row, number, and their distinct tokens in order of rarity, one line after another.
+
+    Given ``sought``, only lines that have one of its tokens.
+    """
 
-    def __init__(self, column: pa.Array, counts: np.ndarray):
+    def __init__(self, column: pa.Array, counts: np.ndarray, sought: Sought | None = None):
         w = Words(column)
         row = w.rows()
         number = w.lines(row)
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
         of = np.cumsum(new) - 1
-        order = by_line(of, w.hash, counts[cells_of(w.hash)])
-        of, h = of[order], w.hash[order]
+        h = w.hash
+        if sought is not None:
+            use = np.zeros(int(new.sum()), bool)
+            use[of[sought.held(h)]] = True
+            use = use[of]
+            row, number, new, h = row[use], number[use], new[use], h[use]
+            of = np.cumsum(new) - 1
+        order = by_line(of, h, counts[cells_of(h)])
+        of, h = of[order], h[order]
         once = np.ones(len(h), bool)
         once[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
         self.row, self.number = row[new], number[new]
@@ -191,7 +224,7 @@ def entries(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 yield rows(h[start[own] + at].view(np.int64), n[own], at, sa[own], sb[own], sc[own], doc[own], line[own])
 
         gathered = 0
-        for batch in batches:
+        for batch in pieces(batches):
             batch = batch.filter(batch.column("doc_id").is_valid())
             x = Lines(batch.column("text"), counted)
             kept.append([*class_ids(x.tokens, x.start), longs(batch, "doc_id")[x.row], x.number, x.size, x.tokens])
@@ -367,9 +400,10 @@ def looked_up(docs: DataFrame, block: list[np.ndarray], counts: np.ndarray, perc
         token, own, place = token[by], own[by], place[by]
         _, low, high = (x.view(np.uint64) for x in class_ids(sets, start))
         done = np.zeros(len(n), bool)
-        for batch in batches:
+        sought = Sought(token)
+        for batch in pieces(batches):
             batch = batch.filter(batch.column("doc_id").is_valid())
-            x = Lines(batch.column("text"), counted)
+            x = Lines(batch.column("text"), counted, sought)
             docs_of = longs(batch, "doc_id")[x.row]
             _, x_low, x_high = (v.view(np.uint64) for v in class_ids(x.tokens, x.start))
             size = prefix_sizes(x.size, percent)

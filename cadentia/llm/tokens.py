@@ -1,32 +1,32 @@
 """Words of a batch of texts as arrays: where they stand, and 64-bit hashes, without a Python object for each.
 
-A word's hash is a polynomial in its bytes, modulo 2 ** 64, put through a
-finaliser; one prefix sum over a piece of text gives the hashes of all words.
+A word's hash takes its bytes by eights, all words of a piece at once, each
+eight put through a finaliser with the hash of those before; long words are
+hashed one by one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .common import mix
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-#: Bytes hashed at once; a longer word is hashed whole.
-PIECE = 1 << 18
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+#: Words hashed at once, and bytes of a word from which on it is hashed by itself.
+PIECE, LONG = 1 << 14, 32
+#: The bytes of a word within an eight, by their number.
+KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Bytes of words between blanks, and of words of letters, digits and everything beyond ASCII.
 BLANK_SPLIT = np.ones(256, bool)
 BLANK_SPLIT[[9, 10, 11, 12, 13, 32]] = False
 PLAIN = np.ones(256, bool)
 PLAIN[:0x30] = PLAIN[0x3A:0x61] = PLAIN[0x7B:0x80] = False
 
-_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0, 1, ... n - 1 modulo 2 ** 64."""
     out = np.ones(max(n, 1), np.uint64)
@@ -38,16 +38,6 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, ``n`` at least; those for a piece are kept in the worker."""
-    if len(_tables[0]) < n:
-        if n > 4 * PIECE:
-            return powers(BASE, n), powers(INVERSE, n)
-        n = max(n, PIECE + (PIECE >> 2))
-        _tables[:] = [powers(BASE, n), powers(INVERSE, n)]
-    return _tables[0], _tables[1]
-
-
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and where each row's start, with the end; null is empty."""
     if column.null_count:
@@ -60,32 +50,39 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def bounds(data: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word and the byte after it; words end with their row."""
-    if not len(data):
-        none = np.empty(0, np.int64)
-        return none, none
-    mark = word[data]
-    begin, end = mark.copy(), mark.copy()
-    begin[1:] &= ~mark[:-1]
-    end[:-1] &= ~mark[1:]
-    edge = at[(at > 0) & (at < len(data))]
-    begin[edge], end[edge - 1] = mark[edge], mark[edge - 1]
-    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+    gap = np.flatnonzero(np.frombuffer(data.tobytes().translate((~word).tobytes()), bool))
+    begin = np.insert(gap + 1, np.searchsorted(gap, at[:-1]), at[:-1])
+    end = np.insert(gap, np.searchsorted(gap, at[1:]), at[1:])
+    full = begin < end
+    return begin[full], end[full]
+
+
+def eight(eights: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The ``left`` bytes from byte ``at`` on, eight at most, as a number."""
+    place, shift = at >> 3, ((at & 7) << 3).view(np.uint64)
+    x = eights[place] >> shift
+    x |= eights[place + 1] << np.uint64(1) << np.uint64(63) - shift
+    x &= KEEP[np.minimum(left, 8)]
+    return x
 
 
 def hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hash of each of the words, whose bounds ascend; upper-case letters of ASCII count as lower-case."""
+    """Hash of each of the words; upper-case letters of ASCII count as lower-case."""
+    text = data.tobytes().translate(LOWER)
+    eights = np.frombuffer(text + bytes(16 - len(text) % 8), "<u8")
     out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(stop, start[i] + PIECE, "right")))
-        lo, hi = int(start[i]), int(stop[j - 1])
-        up, back = tables(hi - lo)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(BYTE[LOWER[data[lo:hi]]] * up[: hi - lo], out=sums[1:])
-        s, e = start[i:j] - lo, stop[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * back[s]
-        i = j
-    return mix(out)
+    for i in range(0, len(start), PIECE):
+        s = start[i : i + PIECE]
+        n = stop[i : i + PIECE] - s
+        h = mix(n.view(np.uint64) * np.uint64(BASE) ^ eight(eights, s, n))
+        word = np.arange(len(s))
+        for k in range(8, min(int(n.max()), LONG), 8):
+            word = word[n[word] > k]
+            h[word] = mix(h[word] ^ eight(eights, s[word] + k, n[word] - k))
+        for j in np.flatnonzero(n > LONG).tolist():
+            h[j] = xxhash.xxh64_intdigest(text[s[j] : s[j] + n[j]])
+        out[i : i + PIECE] = h
+    return out
 
 
 class Words:

@@ -2,13 +2,16 @@
 
 import collections
 import hashlib
+import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cadentia.llm import common, line_dedup, minhash_dedup, suffix_dedup
 from cadentia.llm.graph import components
+from cadentia.llm.tokens import Words
 
 from .conftest import frame
 
@@ -122,6 +125,41 @@ def test_lines_looked_up(docs, corpus, block_tokens):
     assert got == {a for a in want if a in {tuple(r) for r in lines.collect()}} and got
 
 
+def test_lookup_sorts_lines_that_meet_the_block(docs, corpus, monkeypatch):
+    """Of the corpus, only lines with a token of the block's prefixes are put in order, and words are taken by small pieces."""
+    counts = line_dedup.token_counts(docs)
+    kernels, sorted_, taken = [], [], []
+    by_line, words = line_dedup.by_line, line_dedup.Words
+    monkeypatch.setattr(line_dedup, "arrow_map", lambda df, kernel, schema: kernels.append(kernel) or df)
+    monkeypatch.setattr(line_dedup, "by_line", lambda line, h, count: sorted_.append(set(h.tolist())) or by_line(line, h, count))
+    monkeypatch.setattr(line_dedup, "Words", lambda column: taken.append(column) or words(column))
+    text = "a b c d e f g h"
+    tokens = np.sort(words(pa.array([text])).hash)
+    line_dedup.looked_up(docs, [np.array([9999]), np.array([0]), np.array([8]), tokens], counts, 80)
+    rows = [(i, t) for i, t in enumerate([t for _, t in corpus if t and len(t) < 10_000] * 20)] + [(8888, f"x y z\n{text} i\nq r s"), (9999, text)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    (out,) = kernels[0](iter([batch]))
+    assert out.to_pylist() == [{"doc_id": 9999, "line": 0}]
+    far = set(words(pa.array(["x y z q r s"])).hash.tolist())
+    assert set().union(*sorted_[1:]) <= set(words(pa.array([f"{text} i j k"])).hash.tolist()) and not far & set().union(*sorted_)
+    assert batch.nbytes > 2 * line_dedup.PIECE_BYTES and max(c.nbytes for c in taken) < 2 * line_dedup.PIECE_BYTES
+
+
+def test_words_as_arrays():
+    """Bounds and hashes of words of any length, against a regular expression."""
+    edge = " ".join(x * n for n in (1, 7, 8, 9, 15, 16, 17, 31, 32, 33, 64, 1000) for x in ("a", "B", "b", "é"))
+    column = pa.array([" a  Bb\tccc\n\x0b", None, "", edge, "[`@{ AZ az", "ABCDEFGH abcdefgh abcdefghi", " ", "q", "x" * 40 + "y", "X" * 40 + "y", "x" * 40 + "z"])
+    hashes = {}
+    for part in (column, column.slice(3, 4), column.slice(1, 2), column.slice(0, 0)):
+        w = Words(part)
+        found = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in part.to_pylist()]
+        assert np.diff(w.first).tolist() == [len(x) for x in found]
+        assert [bytes(w.data[a:b]) for a, b in zip(w.start, w.stop, strict=True)] == [x for y in found for x in y]
+        for x, h in zip((x.lower() for y in found for x in y), w.hash.tolist(), strict=True):
+            assert hashes.setdefault(x, h) == h
+    assert len(set(hashes.values())) == len(hashes) > 40
+
+
 def test_lines_far_down(spark):
     """Lines and places beyond what few bits hold."""
     far = "\n" * 4_200_000 + "w1 w2 w3 w4 w5 w6"
