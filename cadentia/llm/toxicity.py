@@ -35,7 +35,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 GAPS = " .-_*"
 #: What a token in disguise looks like: letters beside stand-ins or split by gaps, or a letter twice running.
 HIDDEN = re.compile(r"[^\W\d_][0-9@$!|+€(*.\-_]+[^\W\d_]|[0-9@$|+€(][^\W\d_]|[^\W\d_][0-9@$|+€(]|([^\W\d_])\1")
-DOUBLE = re.compile(r"([^\W\d_])\1")
+DOUBLE = re.compile(r"([^\W\d_])\1+")
 EDGES = ".,;:?\"'`)]}>#%&*~-_ "
 
 
@@ -142,19 +142,57 @@ def restore(token: str, model: CharModel) -> str:
     return "".join(reversed(plain))
 
 
+def undoubled(word: str, model: CharModel) -> str:
+    """What ``restore`` gives for a word of letters alone.
+
+    A letter or more between two doubled ones make all paths meet, so each
+    doubled letter is judged by its neighbours.
+    """
+    points = [32, 32, *map(ord, word), 32]
+    plain, done, score = [], 0, 0.0
+    for m in DOUBLE.finditer(word):
+        i, j = m.span()
+        if i == done and i:
+            return restore(word, model)
+        a, b, c, after = points[i], points[i + 1], points[i + 2], points[j + 2]
+        before = (score if i == done + 1 else 0.0) + model.log(a, b, c)
+        one, two = before + model.log(b, c, after), before + model.log(b, c, c) + model.log(c, c, after)
+        plain += word[done:i], word[i] if one >= two else word[i] * 2
+        done, score = j, max(one, two)
+    return "".join([*plain, word[done:]])
+
+
+#: What a character may be to HIDDEN, as bits: a letter, a blank between tokens, a stand-in or gap before a letter, a stand-in after one.
+LETTER, BLANK, BEFORE, AFTER = 1, 2, 4, 8
+
+
+def kinds() -> np.ndarray:
+    """The bits of each code point; the last stands for all beyond, as letters."""
+    every = "".join(map(chr, range(0x10000)))
+    out = np.zeros(0x10000, np.uint8)
+    for pattern, bit in ((r"[^\W\d_]", LETTER), (r"[0-9@$!|+€(*.\-_]", BEFORE), (r"[0-9@$|+€(]", AFTER)):
+        out[[m.start() for m in re.finditer(pattern, every)]] |= bit
+    out[[i for i, c in enumerate(every) if c.isspace()]] = BLANK
+    out[-1] = LETTER
+    return out
+
+
 class Restorer:
-    """Restores tokens, each once; what it knows is emptied before a text when it has grown large."""
+    """Restores tokens, each once; what it knows is emptied before a few texts when it has grown large."""
 
     LIMIT = 500_000
+    #: Characters of texts whose tokens are looked for at once.
+    CHARS = 1 << 15
 
     def __init__(self, counts: np.ndarray):
-        self.model, self.known = CharModel(counts), {}
+        self.model, self.known, self.kinds = CharModel(counts), {}, kinds()
+        self.pairs = np.array([bool(x & BEFORE and y & LETTER or x & LETTER and y & AFTER) for x in range(16) for y in range(16)])
 
     def plain(self, token: str) -> str:
         """The word behind a token in disguise, "" for any other."""
         t = token.strip(EDGES)
         if t.isalpha():
-            known = restore(t, self.model) if DOUBLE.search(t) else ""
+            known = undoubled(t, self.model) if DOUBLE.search(t) else ""
         else:
             if t.endswith("$$$"):
                 t = t.rstrip("$")  # decoration, as a run of any other symbol
@@ -163,19 +201,50 @@ class Restorer:
             known = restore(t, self.model) if HIDDEN.search(t) and sum(c.isalpha() for c in t) >= 2 else ""
         return "" if known == t else known  # the text has it
 
-    def extra(self, text: str) -> str:
-        """Plain forms of the words in disguise."""
-        tokens = text.lower().split()
+    def extras(self, texts: list[str]) -> Iterator[str]:
+        """Plain forms of the words in disguise, for each text."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text.lower())
+            size += len(text)
+            if size >= self.CHARS:
+                yield from self.found(some)
+                some, size = [], 0
+        if some:
+            yield from self.found(some)
+
+    def found(self, some: list[str]) -> list[str]:
+        """The same for a few lower-case texts: only tokens with two characters running that HIDDEN begins or ends with are looked at."""
         if len(self.known) >= self.LIMIT:
             self.known.clear()
-        for t in set(tokens).difference(self.known):
-            self.known[t] = self.plain(t)
-        found = [x for x in map(self.known.__getitem__, tokens) if x]
-        alone = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], alone, [0]])))
-        for a, b in edge.reshape(-1, 2)[edge[1::2] - edge[::2] >= 3].tolist():
-            found.append(restore("".join(tokens[a:b]), self.model))
-        return " ".join(found)
+        joined = "\n".join(some) + "\n"
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kinds[np.minimum(points, 0xFFFF)]
+        gap = np.flatnonzero(kind == BLANK)
+        start = np.concatenate([[0], gap[:-1] + 1])
+        full = start < gap
+        start, stop = start[full], gap[full]
+        size = np.fromiter(map(len, some), np.int64, len(some)) + 1
+        of = np.searchsorted(np.cumsum(size) - size, start, "right") - 1
+        out: list[list[str]] = [[] for _ in some]
+        hit = self.pairs[kind[:-1] << 4 | kind[1:]] | (points[1:] == points[:-1]) & (kind[1:] == LETTER)
+        word = np.searchsorted(start, np.flatnonzero(hit), "right") - 1
+        word = word[np.concatenate([[True], word[1:] != word[:-1]])] if len(word) else word
+        for k, a, b in zip(of[word].tolist(), start[word].tolist(), stop[word].tolist(), strict=True):
+            t = joined[a:b]
+            x = self.known.get(t)
+            if x is None:
+                self.known[t] = x = self.plain(t)
+            if x:
+                out[k].append(x)
+        alone = np.flatnonzero(stop - start == 1)
+        if len(alone):
+            cut = (np.diff(alone) > 1) | (np.diff(of[alone]) > 0)
+            first, last = alone[np.concatenate([[True], cut])], alone[np.concatenate([cut, [True]])]
+            for a, b in zip(first.tolist(), last.tolist(), strict=True):
+                if b - a >= 2:
+                    out[of[a]].append(restore("".join(joined[start[a] : stop[b]].split()), self.model))
+        return [" ".join(x) for x in out]
 
 
 def all_grams(text: str, letters: Letters) -> np.ndarray:
@@ -196,9 +265,16 @@ def all_grams(text: str, letters: Letters) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def grams(text: str, letters: Letters) -> np.ndarray:
-    """Distinct cells of the n-grams within words."""
-    return np.unique(all_grams(text, letters))
+class Distinct:
+    """Distinct ones among cells below ``size``: each cell's last place is noted, in a table that needs no clearing."""
+
+    def __init__(self, size: int):
+        self.last = np.zeros(size, np.int32)
+
+    def of(self, cells: np.ndarray) -> np.ndarray:
+        place = np.arange(len(cells), dtype=np.int32)
+        self.last[cells] = place
+        return cells[self.last[cells] == place]
 
 
 def gram_counts(rows: DataFrame, counts: np.ndarray) -> np.ndarray:
@@ -206,13 +282,13 @@ def gram_counts(rows: DataFrame, counts: np.ndarray) -> np.ndarray:
     held = rows.sparkSession.sparkContext.broadcast(counts)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, letters, restorer = np.zeros((4, GRAMS), np.int32), Letters(), Restorer(held.value)
+        cells, letters, restorer, distinct = np.zeros((4, GRAMS), np.int32), Letters(), Restorer(held.value), Distinct(GRAMS)
         sizes = np.zeros(STRIP, np.int64)
         for batch in batches:
-            for text, toxic, half in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), batch.column("half").to_pylist(), strict=True):
+            found = [x or "" for x in batch.column("text").to_pylist()]
+            for text, extra, toxic, half in zip(found, restorer.extras(found), batch.column("toxic").to_pylist(), batch.column("half").to_pylist(), strict=True):
                 k = 2 * half + toxic
-                text = text or ""
-                cells[k, grams(f"{text} {restorer.extra(text)}".lower(), letters)] += 1
+                cells[k, distinct.of(all_grams(f"{text} {extra}".lower(), letters))] += 1
                 sizes[k] += 1
         for k in range(4):
             b = strips(cells[k])
@@ -234,8 +310,8 @@ def weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) ->
     return np.where((a >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (np.nan_to_num(ratio) >= LEAST_RATIO), odds, 0).astype(np.float32)
 
 
-def evidence(text: str, w: np.ndarray, letters: Letters, restorer: Restorer) -> float:
-    cells = all_grams(f"{text} {restorer.extra(text)}".lower(), letters)
+def evidence(text: str, extra: str, w: np.ndarray, letters: Letters) -> float:
+    cells = all_grams(f"{text} {extra}".lower(), letters)
     return float(w[np.unique(cells[w[cells] > 0])].sum())
 
 
@@ -272,7 +348,8 @@ def train(docs: DataFrame, labels: DataFrame, training) -> tuple[np.ndarray, np.
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, restorer = Letters(), Restorer(held.value[0])
         for batch in batches:
-            x = [evidence(t or "", held.value[1][1 - h], letters, restorer) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True)]
+            found = [x or "" for x in batch.column("text").to_pylist()]
+            x = [evidence(t, e, held.value[1][1 - h], letters) for t, e, h in zip(found, restorer.extras(found), batch.column("half").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("toxic")], names=["x", "toxic"])
 
     most = marked.count()
@@ -299,7 +376,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         counts, w, slope, base = held.value
         letters, restorer = Letters(), Restorer(counts)
         for batch in batches:
-            x = np.array([evidence(t or "", w, letters, restorer) for t in batch.column("text").to_pylist()], float)
+            found = [x or "" for x in batch.column("text").to_pylist()]
+            x = np.array([evidence(t, e, w, letters) for t, e in zip(found, restorer.extras(found), strict=True)], float)
             p = 1 / (1 + np.exp(-np.clip(slope * np.log1p(x) + base, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 

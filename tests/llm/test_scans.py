@@ -492,3 +492,37 @@ def test_restored_words_are_the_likeliest(spark):
         got = toxicity.restore(token, model)
         assert got in every and value(got) == pytest.approx(max(map(value, every)))
     assert tried > 50
+
+
+def test_only_words_in_disguise_are_looked_at():
+    """Plain words of the texts' own, as asked token by token, and no others asked; doubled letters as by the whole lattice."""
+    rng = random.Random(3)
+    counts = np.random.default_rng(3).integers(0, 100, toxicity.PAIRS + toxicity.TRIPLES)
+    asked, restorer = toxicity.Restorer(counts), toxicity.Restorer(counts)
+    restorer.CHARS = 200
+
+    def extra(text):
+        tokens = text.lower().split()
+        found = [x for x in map(asked.plain, tokens) if x]
+        run = []
+        for t in [*tokens, "end"]:
+            if len(t) == 1:
+                run.append(t)
+                continue
+            found += [toxicity.restore("".join(run), asked.model)] if len(run) > 2 else []
+            run = []
+        return " ".join(found)
+
+    odd = "aabbeeilos  \n\t .-_*0134$!|+€(@'\",;²½ßİΣσéÉ\u3000\x1c日本😀𝐚𝐚\ud800٣"
+    texts = ["".join(rng.choices(odd, k=rng.choice([0, 1, 3, 30, 300]))) for _ in range(600)]
+    assert list(restorer.extras(texts)) == [extra(t) for t in texts] and any(map(extra, texts))
+    restorer.known.clear()
+    plain = ["the quick brown fox, and (so) on: 1984 ends. " * 50, "d3ra letter a b c"]
+    assert list(restorer.extras(plain)) == [extra(t) for t in plain] and set(restorer.known) == {"d3ra", "letter", "(so)"}
+    for _ in range(3000):
+        word = "".join(rng.choice("aabeiostß") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(1, 9)))
+        assert toxicity.undoubled(word, asked.model) == toxicity.restore(word, asked.model)
+    distinct = toxicity.Distinct(500)
+    for n in (0, 1, 5, 5000, 40):
+        cells = np.random.default_rng(n).integers(0, 500, n)
+        assert sorted(distinct.of(cells).tolist()) == np.unique(cells).tolist()
