@@ -33,10 +33,11 @@ def running_total(rows: DataFrame, key: str, amount: str, name: str, ranges: int
     """``rows`` (one for each key) with the sum of ``amount`` over all smaller keys.
 
     Each range is summed by its own task; the ranges' totals, a row each, are
-    summed on their own and joined.
+    summed on their own and joined.  A null key comes after all others.
     """
-    r = rows.withColumn("range", range_of(F.col(key), bounds_of(rows, key, ranges)))
-    within = Window.partitionBy("range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    bounds = bounds_of(rows, key, ranges)
+    r = rows.withColumn("range", F.when(F.col(key).isNull(), len(bounds)).otherwise(range_of(F.col(key), bounds)))
+    within = Window.partitionBy("range").orderBy(F.asc_nulls_last(key)).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # a row for each of the ranges, RANGES at most
     before = r.groupBy("range").agg(F.sum(amount).alias("of_range")).select("range", F.coalesce(F.sum("of_range").over(every), F.lit(0)).alias("before"))

@@ -123,3 +123,13 @@ def test_nudges_and_curves_by_hand(spark):
     one = spark.createDataFrame([("a", 0, 0.0, 1.0, None), ("b", 0, 10.0, 0.5, 1_000_000), ("b", 500_000, 400_000.0, 1.0, 0)], "stem_id string, t_us long, target_us double, density double, off_us long")
     cost = {r.stem_id: r.cost for r in G.placement_cost(one, (1.0, 2.0, 3.0)).collect()}
     assert cost == pytest.approx({"a": 1e6, "b": 0.01 - 1.5 + 1.5})
+
+
+def test_pseudonyms_of_many_and_of_none(spark, tmp_path):
+    """More ids than four digits tell, and an event of nobody, against the SQL."""
+    spark.range(10_050).selectExpr("if(id = 7, null, id * 3) as user_id").write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in QUERIES["pseudonym_keys"](spark, str(tmp_path)).select("participant", "pseudonym").collect()}
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = set(con.sql(ORACLES["pseudonym_keys"]).project("participant, pseudonym").fetchall())
+    assert got == want and len(got) == 10_050
