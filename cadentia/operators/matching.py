@@ -6,12 +6,20 @@ carries the last event of the other side forward and the next one back.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio_class
 from .durable import durable
 
+#: Rows whose sets of beats a kernel works on at once.
+SETS = 1_000
+
 
 def nearest(events: DataFrame, beats: DataFrame, keys: list[str], start_us: int = 0, stop_us: int = 30_000_000, slice_us: int = 2_000_000) -> DataFrame:
     """Each event (``t_us``) with its nearest beat and the signed distance ``off_us``; ties take the earlier beat.
@@ -225,23 +233,103 @@ def compared_grids(reference: DataFrame, estimate: DataFrame, keys: list[str], s
     return out.join(phase, keys, "left").select(*keys, "f", (F.col("p") / 1e6).alias("reference_period_s"), (F.col("q") / 1e6).alias("estimate_period_s"), "ratio", "relation", "phase_offset", "median_abs_offset_ms")
 
 
-def variant_metrics(beats: DataFrame, reference: DataFrame, tolerance_us: int = 70_000, wide_us: int = 120_000) -> DataFrame:
+class Sets:
+    """Two sorted sets of whole numbers for each row, ``a`` and ``b``, laid end to end."""
+
+    def __init__(self, a: pa.ListArray, b: pa.ListArray):
+        self.n = len(a)
+        self.sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+        self.row = [np.repeat(np.arange(self.n), k) for k in self.sizes]
+        self.value = [pc.list_flatten(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+        self.start = [np.cumsum(k) - k for k in self.sizes]
+
+    def place(self, side: int, row: np.ndarray, t: np.ndarray, how: str) -> np.ndarray:
+        """Where t belongs in the row's set of ``side``; rows are kept apart by more than any value's reach."""
+        own = self.value[side]
+        low = min(own.min(initial=0), t.min(initial=0))
+        span = max(own.max(initial=0), t.max(initial=0)) - low + 1
+        return np.searchsorted(self.row[side] * span + (own - low), row * span + (t - low), side=how)
+
+    def distance(self, side: int, row: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Of t to the nearest of the row's set of ``side``, which is not empty."""
+        after = self.place(side, row, t, "left")
+        first, own = self.start[side][row], self.value[side]
+        last = first + self.sizes[side][row] - 1
+        return np.minimum(abs(t - own[np.clip(after, first, last)]), abs(t - own[np.clip(after - 1, first, last)]))
+
+    def share(self, near: np.ndarray, side: int) -> np.ndarray:
+        """Share of each row's set of ``side`` that is near."""
+        return np.bincount(self.row[side], near, self.n) / self.sizes[side]
+
+    def middle(self, row: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Median of each row's values."""
+        n = np.bincount(row, minlength=self.n)
+        v, start = v[np.lexsort((v, row))], np.cumsum(n) - n
+        out = np.full(self.n, np.nan)
+        some = n > 0
+        out[some] = (v[(start + (n - 1) // 2)[some]] + v[(start + n // 2)[some]]) / 2
+        return out
+
+    def interval(self, side: int) -> np.ndarray:
+        same = self.row[side][1:] == self.row[side][:-1]
+        return self.middle(self.row[side][1:][same], np.diff(self.value[side])[same])
+
+    def shift(self, tolerance: int, reach: int, step: int, most_ratio: float) -> np.ndarray:
+        """``best_shift`` of a to b.  The shifts that bring a value of a to one of b are a run; a later value's run starts lower, so it adds what lies under the run before."""
+        most = reach // step
+        row, t = self.row[1], self.value[1]
+        low, high = self.place(0, row, t - reach - tolerance, "left"), self.place(0, row, t + reach + tolerance, "right")
+        n = high - low
+        of = np.repeat(np.arange(len(t)), n)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        apart = t[of] - self.value[0][at]
+        first, last = np.maximum(-most, -((tolerance - apart) // step)), np.minimum(most, (apart + tolerance) // step)
+        again = np.flatnonzero(of[1:] == of[:-1]) + 1
+        last[again] = np.minimum(last[again], first[again - 1] - 1)
+        ok, width = first <= last, 2 * most + 2
+        cell = row[of[ok]] * width + most
+        ends = np.bincount(cell + first[ok], minlength=self.n * width) - np.bincount(cell + last[ok] + 1, minlength=self.n * width)
+        best = (np.cumsum(ends.reshape(self.n, width), axis=1)[:, :-1].argmax(axis=1) - most) * step
+        x, y = self.interval(0), self.interval(1)
+        like = (x > 0) & (y > 0)
+        like[like] = np.maximum(x, y)[like] / np.minimum(x, y)[like] <= most_ratio
+        return np.where(like, best, 0)
+
+
+def variant_metrics(beats: DataFrame, reference: DataFrame, tolerance_us: int = 70_000, wide_us: int = 120_000, reach_us: int = 250_000, step_us: int = 5_000, most_ratio: float = 1.1) -> DataFrame:
     """Each variant of each stem's beats against its reference: a row for each variant and stem.
 
     beats: variant, stem_id, beat_us; reference: stem_id, beat_us.  F at both
     tolerances, F after the best shift and that shift, the median distance of
     the reference beats that are hit, and how many beats lie in 30 s and in its
-    middle.  Stems without a reference have no row.
+    middle.  Stems without a reference have no row.  A row carries a variant's
+    and its stem's beats, so they are shuffled once for all metrics, and not
+    at all where they lie by stem already.
     """
-    keys = ["variant", "stem_id"]
-    own = durable(beats.select(*keys, "beat_us"))
-    ref = durable(reference.select("stem_id", "beat_us").join(own.select(*keys).distinct(), "stem_id"))
-    aligned = phase_aligned_f(own, ref, keys, tolerance_us)
-    wide = f_measure(own, ref, keys, wide_us).select(*keys, F.col("f").alias("f_wide"))
-    off = F.when(F.abs("off_us") <= tolerance_us, F.abs("off_us"))
-    near = nearest(ref.select(*keys, F.col("beat_us").alias("t_us")), own, keys).groupBy(*keys).agg((F.median(off) / 1000).alias("median_off_ms"))
-    n = own.groupBy(*keys).agg(F.count_if(F.col("beat_us").between(0, 30_000_000)).alias("n_30s"), F.count_if(F.col("beat_us").between(10_000_000, 25_000_000)).alias("n_10_25"))
-    return aligned.join(wide, keys).join(near, keys).join(n, keys).select(*keys, "f", "f_wide", "f_aligned", (F.col("shift_us") / 1000).alias("shift_ms"), "median_off_ms", "n_30s", "n_10_25")
+    sets = lambda d, name, *keys: d.where("beat_us is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("beat_us").cast("long"))).alias(name))
+    rows = sets(beats, "own", "stem_id", "variant").join(sets(reference, "ref", "stem_id"), "stem_id").select("variant", "stem_id", "own", "ref")
+    metrics = {"f": "double", "f_wide": "double", "f_aligned": "double", "shift_ms": "double", "median_off_ms": "double", "n_30s": "bigint", "n_10_25": "bigint"}
+
+    def f_of(s: Sets, a: np.ndarray, b: np.ndarray, within: int) -> np.ndarray:
+        p, r = s.share(a <= within, 0), s.share(b <= within, 1)
+        return np.where(p + r > 0, 2 * p * r / np.where(p + r > 0, p + r, 1), 0.0)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SETS):
+                b = batch.slice(i, SETS)
+                s = Sets(b.column("own"), b.column("ref"))
+                own, ref = s.value
+                to_ref, to_own = s.distance(1, s.row[0], own), s.distance(0, s.row[1], ref)
+                shift = s.shift(tolerance_us, reach_us, step_us, most_ratio)
+                moved, met = s.distance(1, s.row[0], own + shift[s.row[0]]), s.distance(0, s.row[1], ref - shift[s.row[1]])
+                hit = to_own <= tolerance_us
+                off = s.middle(s.row[1][hit], to_own[hit]) / 1000
+                inside = lambda low, high: pa.array(np.bincount(s.row[0][(own >= low) & (own <= high)], minlength=s.n))  # noqa: B023, E731
+                out = [pa.array(x) for x in (f_of(s, to_ref, to_own, tolerance_us), f_of(s, to_ref, to_own, wide_us), f_of(s, moved, met, tolerance_us), shift / 1000)]
+                yield pa.RecordBatch.from_arrays([b.column("variant"), b.column("stem_id"), *out, pa.array(off, mask=np.isnan(off)), inside(0, 30_000_000), inside(10_000_000, 25_000_000)], names=["variant", "stem_id", *metrics])
+
+    return rows.mapInArrow(kernel, ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes[:2], *metrics.items()]))
 
 
 def by_corpus(metrics: DataFrame, corpora: DataFrame, metric: str = "f") -> DataFrame:

@@ -208,8 +208,10 @@ VARIANTS = f"WITH {ESTS}, v AS (SELECT 'crowd' AS variant, stem_id, k, beat_us F
 
 
 def metrics_of_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = estimates(spark, sf_dir)
-    v = e.select(F.lit("crowd").alias("variant"), "stem_id", "beat_us").unionAll(e.select(F.lit("late"), "stem_id", F.col("beat_us") + 45_000)).unionAll(e.where("k % 4 <> 0").select(F.lit("sparse"), "stem_id", "beat_us"))
+    e = estimates(spark, sf_dir).repartition("stem_id")
+    late, sparse = F.col("beat_us") + 45_000, F.when(F.col("k") % 4 != 0, F.col("beat_us"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), b.alias("beat_us")) for n, b in (("crowd", F.col("beat_us")), ("late", late), ("sparse", sparse)))))
+    v = e.select("stem_id", each.alias("v")).select("v.variant", "stem_id", "v.beat_us")
     return M.variant_metrics(v, references(spark, sf_dir))
 
 

@@ -159,3 +159,35 @@ def test_steady_runs(spark):
                 if cv <= 0.15 and n * math.exp(-cv / 0.05) > best[0] + 1e-9:
                     best = (n * math.exp(-cv / 0.05), (i + 1, n))
         assert got.get(k) == best[1]
+
+
+def test_variant_metrics_of_odd_sets(spark):
+    """Against the operators that join beats one by one: single, far, equal, dense and negative beats."""
+    rng = np.random.default_rng(15)
+    cases = {"even": (np.arange(40) * 500_000 + 60_000, np.arange(40) * 500_000), "single": (np.array([5]), np.arange(9) * 500_000), "both": (np.array([5]), np.array([80_000])), "far": (np.arange(9) * 500_000 + 40_000_000, np.arange(9) * 500_000), "twice": (np.repeat(np.arange(9) * 550_000, 2), np.arange(9) * 500_000), "early": (np.arange(9) * 550_000 - 2_000_000, np.arange(9) * 500_000 - 2_100_000)}
+    for i in range(8):
+        r = np.sort(rng.choice(28_000_000, 60, replace=False))
+        cases[f"r{i}"] = (np.sort(r[rng.random(60) < 0.9] + rng.integers(-200_000, 200_000)), r)
+        cases[f"d{i}"] = tuple(np.sort(rng.choice(3_000_000, 60, replace=False)) for _ in range(2))
+    beats = spark.createDataFrame([("v", k, int(t)) for k, v in cases.items() for t in v[0]] + [("w", "even", 7), ("v", "none", 1), ("v", "even", None)], "variant string, stem_id string, beat_us long").repartition(3)
+    refs = spark.createDataFrame([(k, int(t)) for k, v in cases.items() for t in v[1]] + [("other", 3)], "stem_id string, beat_us long").repartition(3)
+    got = {(r.variant, r.stem_id): r for r in matching.variant_metrics(beats, refs).collect()}
+    assert set(got) == {("v", k) for k in cases} | {("w", "even")}
+    mine = beats.where("variant = 'v' and beat_us is not null").drop("variant")
+    for r in matching.phase_aligned_f(mine, refs, ["stem_id"]).collect():
+        m = got["v", r.stem_id]
+        assert (m.f, m.f_aligned, m.shift_ms) == (pytest.approx(r.f), pytest.approx(r.f_aligned), r.shift_us / 1000)
+    for r in matching.f_measure(mine, refs, ["stem_id"], 120_000).collect():
+        assert got["v", r.stem_id].f_wide == pytest.approx(r.f)
+    for k, (a, b) in cases.items():
+        d = abs(b[:, None] - a[None]).min(axis=1)
+        want = float(np.median(d[d <= 70_000])) / 1000 if (d <= 70_000).any() else None
+        m = got["v", k]
+        assert (m.median_off_ms, m.n_30s, m.n_10_25) == (want, ((a >= 0) & (a <= 30_000_000)).sum(), ((a >= 10_000_000) & (a <= 25_000_000)).sum())
+
+
+def test_variant_metrics_shuffle_once(spark):
+    """Beats that lie by stem are not shuffled again, and those of the reference once."""
+    beats = spark.createDataFrame([("v", "a", 1)], "variant string, stem_id string, beat_us long").repartition("stem_id")
+    plan = matching.variant_metrics(beats, spark.createDataFrame([("a", 1)], "stem_id string, beat_us long"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Join") == 1 and plan.count("Window") == 0
