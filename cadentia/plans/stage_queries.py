@@ -12,7 +12,7 @@ from ..operators import inference as S
 from ..operators import matching as M
 from ..operators import timing as T
 from .beat_queries import MID, NEAR, NEAR_PAIRS, SHORT, SWEEP, uneven_peaks
-from .mapping import ESTS, REFS, TAPPED_ESTS, TAPPED_REFS, TAPS, estimates, references, table, tapped_estimates, tapped_references, taps
+from .mapping import ESTS, REFS, TAPPED_ESTS, TAPPED_REFS, TAPS, estimates, references, stems, table, tapped_estimates, tapped_references, taps
 from .panel_queries import panel_periods, trial_periods
 from .registry import query
 from .timing_queries import CLEAN, distinct_taps, find_peaks
@@ -224,7 +224,7 @@ def variant_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{VARIANTS} SELECT 'c' || ord AS corpus, variant, count(f) AS n_stems, {R6.format('avg(f)')} AS mean_f, {R6.format('median(f)')} AS median_f FROM mt JOIN stems USING (stem_id) GROUP BY 1, 2")
 def variants_by_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and median F of each corpus and variant; a corpus is a tempo."""
-    corpora = references(spark, sf_dir).select("stem_id", F.concat(F.lit("c"), "ord").alias("corpus")).distinct()
+    corpora = stems(spark, sf_dir).select("stem_id", F.concat(F.lit("c"), "ord").alias("corpus"))
     m = M.by_corpus(metrics_of_variants(spark, sf_dir), corpora)
     return m.withColumns({c: X.half_even(F.col(c), 6) for c in ("mean_f", "median_f")})
 

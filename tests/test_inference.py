@@ -191,3 +191,11 @@ def test_variant_metrics_shuffle_once(spark):
     beats = spark.createDataFrame([("v", "a", 1)], "variant string, stem_id string, beat_us long").repartition("stem_id")
     plan = matching.variant_metrics(beats, spark.createDataFrame([("a", 1)], "stem_id string, beat_us long"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Join") == 1 and plan.count("Window") == 0
+
+
+def test_corpora_are_not_read_off_the_grids(spark, tmp_path):
+    """A stem names its corpus; its grid of beats is made once, for the metrics."""
+    from cadentia.plans import stage_queries as Q
+
+    plan = Q.variants_by_corpus(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(") == 2 and plan.count("Exchange hashpartitioning") <= 6
