@@ -11,6 +11,7 @@ from ..operators import grouped, local
 from ..operators import inference as S
 from ..operators import matching as M
 from ..operators import timing as T
+from ..operators.durable import durable
 from .beat_queries import MID, NEAR, NEAR_PAIRS, SHORT, SWEEP, uneven_peaks
 from .mapping import ESTS, REFS, TAPPED_ESTS, TAPPED_REFS, TAPS, estimates, references, stems, table, tapped_estimates, tapped_references, taps
 from .panel_queries import panel_periods, trial_periods
@@ -231,9 +232,11 @@ def variants_by_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def variant_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first variant's F against each other's: signed ranks over stems, and step-up q values."""
-    d = M.against_baselines(metrics_of_variants(spark, sf_dir), "crowd").withColumn("difference", F.round("difference", 9))
-    return S.step_up(S.wilcoxon_p(d, ["baseline"], "difference").withColumn("family", F.lit(0)), ["family"], "p").drop("family")
+    """The first variant's F against each other's: signed ranks over stems, and step-up q values; each step is kept, as the next reads it several times."""
+    m = durable(metrics_of_variants(spark, sf_dir).select("variant", "stem_id", "f"))
+    d = durable(M.against_baselines(m, "crowd").withColumn("difference", F.round("difference", 9)))
+    w = durable(S.wilcoxon_p(d, ["baseline"], "difference"))
+    return S.step_up(w.withColumn("family", F.lit(0)), ["family"], "p").drop("family")
 
 
 @query()

@@ -199,3 +199,19 @@ def test_corpora_are_not_read_off_the_grids(spark, tmp_path):
 
     plan = Q.variants_by_corpus(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate explode(") == 2 and plan.count("Exchange hashpartitioning") <= 6
+
+
+def test_variant_tests_take_the_metrics_once(spark, monkeypatch):
+    from cadentia.plans import stage_queries as Q
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(v, f"s{i}", i / 10 + j * (i % 3) / 50) for i in range(12) for j, v in enumerate(("crowd", "late", "sparse"))], "variant string, stem_id string, f double")
+    monkeypatch.setattr(Q, "metrics_of_variants", lambda *_: rows.mapInArrow(counted, rows.schema))
+    assert {r.baseline for r in Q.variant_tests(spark, "").collect()} == {"late", "sparse"}
+    assert seen.value == 36
