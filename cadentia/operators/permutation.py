@@ -30,6 +30,8 @@ BLOCK, SHARD = 2_000, 1_000
 #: Rows whose arrays a kernel works on at once.
 STEP = 64
 ROUNDS = 6
+#: Elements that are worked on at once and stay near; sizes of a half for which 16 bits of a hash are even.
+NEAR, NARROW = 1 << 15, 1 << 12
 #: Places whose panels are looked up in a table; those of more are searched for.
 TABLE = 1 << 20
 #: Bounds of the classes of a period ratio, in order: double, matched, half (fixed values); then other and unclear.
@@ -59,34 +61,49 @@ class Labels:
         n = sum(self.sizes)
         a = max(2, int(np.ceil(np.sqrt(n))))
         b = max(2, -(-n // a))
-        keys = scrambled(scrambled(draws.astype(np.uint64) + np.uint64(self.seed << 20))[:, None] + np.arange(ROUNDS, dtype=np.uint64))
-
-        def shifted(half: np.ndarray, other: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
-            h = (other + key) * np.uint64(0x7FB5D329728EA185)
-            h = (h ^ h >> np.uint64(29)) * np.uint64(0x81DADEF4BC2DD44D) >> np.uint64(32)
-            half = half + (h * np.uint64(size) >> np.uint64(32))
-            return half - np.uint64(size) * (half >= size)
+        keys = scrambled(scrambled(draws.astype(np.uint64) + np.uint64(self.seed << 20))[:, None] + np.arange(ROUNDS, dtype=np.uint64)).astype(np.uint32)
+
+        def shift(half: np.ndarray, other: np.ndarray, key: np.ndarray, size: int, h: np.ndarray) -> None:
+            """Add to ``half``, modulo its size, what the other half and the key name; 32 bits, in place."""
+            np.add(other, key, out=h)
+            h *= np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0xC2B2AE35)
+            if size <= NARROW:
+                h >>= np.uint32(16)
+                h *= np.uint32(size)
+                h >>= np.uint32(16)
+            else:
+                h[...] = np.multiply(h, np.uint64(size), dtype=np.uint64) >> np.uint64(32)
+            half += h
+            np.minimum(half, np.subtract(half, np.uint32(size), out=h), out=half)  # below 0 wraps around
 
         def once(x: np.ndarray, key: np.ndarray) -> np.ndarray:
-            left = x // np.uint64(b)
-            right = x - left * np.uint64(b)
+            left, right = np.empty(np.broadcast_shapes(x.shape, key.shape[1:]), np.uint32), np.empty(np.broadcast_shapes(x.shape, key.shape[1:]), np.uint32)
+            left[...], right[...] = x // b, x % b
+            h = np.empty_like(left)
             for r in range(0, ROUNDS, 2):
-                left = shifted(left, right, key[..., r], a)
-                right = shifted(right, left, key[..., r + 1], b)
-            return left * np.uint64(b) + right
-
-        out = once(np.broadcast_to(place.astype(np.uint64)[:, None], (len(place), len(draws))), keys)
-        while True:
-            i, d = np.nonzero(out >= n)
-            if not len(i):
-                break
-            out[i, d] = once(out[i, d], keys[d])
-        out = out.astype(np.int64)
+                shift(left, right, key[r], a, h)
+                shift(right, left, key[r + 1], b, h)
+            return left.astype(np.int64) * b + right if n > 1 << 31 else (left * np.uint32(b) + right).astype(np.int64)
+
+        place = place.astype(np.int64)
+        out, keys = np.empty((len(place), len(draws)), np.int64), np.ascontiguousarray(keys.T)
+        rows = max(1, NEAR // max(1, len(draws)))
+        for i in range(0, len(place), rows):
+            out[i : i + rows] = once(place[i : i + rows, None], keys)
+        flat = out.reshape(-1)
+        far = np.flatnonzero(flat >= n)
+        while len(far):
+            flat[far] = once(flat[far], keys[:, far % len(draws)])
+            far = far[flat[far] >= n]
         out[:, draws == 0] = place[:, None]
         return out
 
     def of(self, place: np.ndarray, draws: np.ndarray) -> np.ndarray:
         ends = np.cumsum(self.sizes)
+        if len(ends) == 2:
+            return (self.moved(place, draws) >= ends[0]).astype(np.int64)
         if ends[-1] > TABLE:
             return np.searchsorted(ends, self.moved(place, draws), side="right")
         return np.repeat(np.arange(len(ends)), self.sizes)[self.moved(place, draws)]
@@ -186,6 +203,19 @@ def group_sums(labels: Labels, place: np.ndarray, x: np.ndarray, draws: np.ndarr
     return total.T.reshape(len(draws), k, x.shape[1]), n.reshape(len(draws), k)
 
 
+def first_sums(labels: Labels, place: np.ndarray, x: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Sums of the rows of x that each draw puts into the first of two groups."""
+    total = np.zeros((len(draws), x.shape[1]))
+    for i in range(0, len(place), STEP):
+        total += (labels.of(place[i : i + STEP], draws) == 0).T.astype(float) @ x[i : i + STEP]
+    return total
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores: there are few, and each takes much work, so sizes in bytes say nothing of it."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "place")
+
+
 def permutation_test(vectors: DataFrame, group: str, columns: Sequence[str], permutations: int, seed: int, unit: str = "participant") -> DataFrame:
     """Share of label permutations whose between-group statistic reaches the observed one: observed, permutations, p.
 
@@ -220,10 +250,12 @@ def pairwise_tests(vectors: DataFrame, group: str, columns: Sequence[str], permu
     in.  A row for each pair: group_a, group_b, n_a, n_b, observed, p, q and
     a difference a - b for each column.
     """
+    vectors = durable(vectors)
     units, names, sizes = placed(vectors, unit, group)
     k = len(names)
     schema = "a int, b int, draw int, statistic double, diff array<double>"
     rows = vectors.join(units.select(unit, "place", "panel_no"), unit).select("panel_no", "place", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    rows = spread(rows)
     starts = np.cumsum([0, *sizes])
     pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
     labels = {(a, b): Labels((sizes[a], sizes[b]), seed + 1 + a * k + b) for a, b in pairs}
@@ -238,25 +270,24 @@ def pairwise_tests(vectors: DataFrame, group: str, columns: Sequence[str], permu
                     continue
                 local = np.where(panel[mine] == a, place[mine] - starts[a], place[mine] - starts[b] + sizes[a])
                 for first, stop in blocks(permutations):
-                    s, n = group_sums(labels[a, b], local, x[mine], np.arange(first, stop))
                     have = total.setdefault((a, b, first, stop), [0, 0])
-                    have[0], have[1] = have[0] + s, have[1] + n
-        for (a, b, first, stop), (s, n) in total.items():
-            yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (a, b, first, stop)), pa.array([s.tobytes()]), pa.array([n.tobytes()])], names=["a", "b", "first", "stop", "sums", "counts"])
+                    have[0], have[1] = have[0] + first_sums(labels[a, b], local, x[mine], np.arange(first, stop)), have[1] + x[mine].sum(axis=0)
+        for (a, b, first, stop), (s, every) in total.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (a, b, first, stop)), pa.array([s.tobytes()]), pa.array([every.tobytes()])], names=["a", "b", "first", "stop", "sums", "every"])
 
     def finish(t: pa.Table) -> pa.Table:
-        draws = draws_of(t)
-        s, n = array_of(t, "sums", (len(draws), 2, len(columns))), array_of(t, "counts", (len(draws), 2))
-        mean = s / np.maximum(n, 1)[..., None]
-        grand = s.sum(axis=1) / np.maximum(n.sum(axis=1), 1)[:, None]
-        value = (n * ((mean - grand[:, None]) ** 2).sum(axis=2)).sum(axis=1)
-        own = [t.column(c)[0].as_py() for c in "ab"]
+        draws, own = draws_of(t), [t.column(c)[0].as_py() for c in "ab"]
+        n, every = np.array([sizes[i] for i in own], float), array_of(t, "every", (len(columns),))
+        s = array_of(t, "sums", (len(draws), len(columns)))
+        mean = np.stack([s, every - s], axis=1) / n[:, None]
+        value = (n * ((mean - (every / n.sum())) ** 2).sum(axis=2)).sum(axis=1)
         return pa.table({"a": np.full(len(draws), own[0], np.int32), "b": np.full(len(draws), own[1], np.int32), "draw": draws.astype(np.int32), "statistic": value, "diff": pa.array([(mean[0, 0] - mean[0, 1]).tolist() if d == 0 else None for d in draws], pa.list_(pa.float64()))})
 
     keys = {"a": "int", "b": "int"} | DRAWS
-    sums = added(rows.mapInArrow(kernel, "a int, b int, first int, stop int, sums binary, counts binary"), keys, "sums", "counts")
-    stats = sums.groupBy(*keys).applyInArrow(finish, schema)
-    tests = step_up(p_value(stats, "a", "b").withColumn("family", F.lit(0)), ["family"], "p").join(stats.where("draw = 0").select("a", "b", "diff"), ["a", "b"])
+    sums = added(rows.mapInArrow(kernel, "a int, b int, first int, stop int, sums binary, every binary"), keys, "sums", "every")
+    stats = durable(sums.groupBy(*keys).applyInArrow(finish, schema))
+    p = durable(p_value(stats, "a", "b").withColumn("family", F.lit(0)))
+    tests = step_up(p, ["family"], "p").join(stats.where("draw = 0").select("a", "b", "diff"), ["a", "b"])
     name, size = (F.array(*map(F.lit, x)) if x else F.array() for x in ([str(n) for n in names], [int(s) for s in sizes]))
     at = lambda column, of: F.get(of, F.col(column))
     return tests.select(at("a", name).alias(f"{group}_a"), at("b", name).alias(f"{group}_b"), at("a", size).cast("long").alias("n_a"), at("b", size).cast("long").alias("n_b"), "observed", "permutations", "p", "q", *(F.get("diff", F.lit(j)).alias(f"{c}_a_minus_b") for j, c in enumerate(columns)))

@@ -174,3 +174,30 @@ def test_rebuilt_query_sees_the_observed_values(spark):
     got = {r.outcome: r.observed for r in P.rebuilt_permutation(Q.trials_with_taps(spark, sf), 3, 1).collect()}
     assert got["metrical_choice"] == pytest.approx(Q.between_group_stat(spark, sf).first().statistic, abs=1e-6)
     assert got["circular_phase"] == pytest.approx(Q.phase_group_stat(spark, sf).first().statistic, abs=1e-6)
+
+
+def test_pairs_take_the_vectors_once(spark):
+    """What gives the vectors runs once, and their rows are dealt over the cores, however few bytes they have."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    v = spark.range(0, 60, numPartitions=1).selectExpr("id as participant", "cast(id % 4 as int) as panel", "cast(id % 7 as double) as x")
+    got = P.pairwise_tests(v.mapInArrow(counted, v.schema), "panel", ["x"], 19, 3).collect()
+    assert len(got) == 6 and seen.value == 60
+    assert P.spread(v.withColumnRenamed("participant", "place")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_labels_of_many_places():
+    """Halves over 16 bits of hash and places over 32 bits: still one place each, and all of them used."""
+    for n in (1 << 25, (1 << 32) + 7):
+        lab = P.Labels((n // 3, n - n // 3), 2)
+        place = np.unique(np.random.default_rng(3).integers(0, n, 20_000))
+        moved = lab.moved(place, np.arange(4))
+        assert (moved[:, 0] == place).all() and moved.min() >= 0 and moved.max() < n
+        for column in moved[:, 1:].T:
+            assert len(np.unique(column)) == len(place)
+            assert abs(np.bincount(column * 16 // n, minlength=16) / len(place) - 1 / 16).max() < 0.01
