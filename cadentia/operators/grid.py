@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
+#: Stems whose peaks a kernel works on at once.
+STEMS = 500
 
 
 def grid_points(params: DataFrame, start_us: int = 0, stop_us: int = 30 * SECOND) -> DataFrame:
@@ -15,32 +22,76 @@ def grid_points(params: DataFrame, start_us: int = 0, stop_us: int = 30 * SECOND
     return params.withColumn("k", F.explode(F.sequence(k0, k1))).withColumn("beat_us", F.col("phase_us") + F.col("k") * F.col("period_us"))
 
 
-def with_grids(rows: DataFrame, first_us: int, step_us: int, n_periods: int, n_phases: int) -> DataFrame:
-    """``rows`` with every period first, first + step, ... and every phase, a share j of n of the period, rounded down."""
-    t = F.explode(F.sequence(F.lit(first_us).cast("long"), F.lit(first_us + step_us * (n_periods - 1)).cast("long"), F.lit(step_us).cast("long")))
-    j = F.explode(F.sequence(F.lit(0), F.lit(n_phases - 1)))
-    return rows.withColumn("period_us", t).withColumn("j", j).withColumn("phase_us", F.expr(f"period_us * j div {n_phases}")).drop("j")
+def stems_of(peaks: DataFrame) -> DataFrame:
+    """(stem_id, taps): a row for each stem with its peaks; no shuffle where they lie by stem already."""
+    return peaks.where("tap_us is not null").groupBy("stem_id").agg(F.collect_list(F.col("tap_us").cast("long")).alias("taps"))
+
+
+def some_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows of ``stems_of`` at a time, and each peak's row and time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, STEMS):
+            b = batch.slice(i, STEMS)
+            taps = b.column("taps")
+            n = pc.list_value_length(taps).to_numpy(zero_copy_only=False)
+            yield b, np.repeat(np.arange(len(n)), n), pc.list_flatten(taps).to_numpy(zero_copy_only=False)
 
 
-def grid_scores(peaks: DataFrame, first_us: int, step_us: int, n_periods: int, n_phases: int, stop_us: int = 30 * SECOND, curve: DataFrame | None = None, curve_step_us: int = 5_000, peak_weight: float = 0.5) -> DataFrame:
-    """For each stem, period and phase the share of the stem's peaks within 0.12 T + 20 ms of the grid; the nearest point comes by arithmetic.
+def grid_scores(peaks: DataFrame, first_us: int, step_us: int, n_periods: int, n_phases: int, stop_us: int = 30 * SECOND, curve: DataFrame | None = None, curve_step_us: int = 5_000, peak_weight: float = 0.5, counted: int = 0) -> DataFrame:
+    """For each stem, period and phase (a share j of n of the period, rounded down) the share of the stem's peaks within 0.12 T + 20 ms of the grid; the nearest point comes by arithmetic.
 
-    With a ``curve`` (stem_id, g, y) also the mean of the scaled curve on the
+    With a ``curve`` (stem_id, g from 0 on, y) also the mean of the scaled curve on the
     grid's points, and the score: that mean and ``peak_weight`` of the share,
-    or -1 where there are less than two points.
+    or -1 where there are less than two points.  With ``counted`` the curve is
+    the stem's peaks in each of so many steps.  A stem is one row until its
+    grids are written out.
     """
-    p = with_grids(peaks, first_us, step_us, n_periods, n_phases)
-    t, phi, x = F.col("period_us"), F.col("phase_us"), F.col("tap_us")
-    lo, hi = F.ceil((0 - phi) / t.cast("double")), F.floor((stop_us - phi) / t.cast("double"))
-    k = F.greatest(lo, F.least(hi, F.rint((x - phi) / t.cast("double")).cast("long")))
-    near = F.abs(x - (phi + k * t)) <= 0.12 * t + 20_000
-    out = p.groupBy("stem_id", "period_us", "phase_us").agg(F.count("*").alias("n"), F.count_if(near).alias("n_near")).withColumn("coverage", F.col("n_near") / F.col("n"))
-    if curve is None:
-        return out
-    points = grid_points(with_grids(peaks.select("stem_id").distinct(), first_us, step_us, n_periods, n_phases), 0, stop_us).withColumnRenamed("beat_us", "t_us")
-    on = interpolated(points, curve, curve_step_us, "y").groupBy("stem_id", "period_us", "phase_us").agg(F.count("*").alias("n_points"), F.avg("y").alias("density"))
-    score = F.when(F.col("n_points") >= 2, F.col("density") + peak_weight * F.col("coverage")).otherwise(-1.0)
-    return out.join(on, ["stem_id", "period_us", "phase_us"]).withColumn("score", score).drop("n_points")
+    rows, types = stems_of(peaks), dict(peaks.dtypes)
+    if curve is not None:
+        rows = rows.join(curve.where("g >= 0").groupBy("stem_id").agg(F.collect_list(F.struct(F.col("g").cast("long").alias("g"), F.col("y").cast("double").alias("y"))).alias("curve")), "stem_id")
+    given = curve is not None
+    dense = given or counted > 0
+    grids = [(t, t * j // n_phases) for t in range(first_us, first_us + step_us * n_periods, step_us) for j in range(n_phases)]
+
+    def curves(b: pa.RecordBatch, row: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled curves, a row for each stem, and where each ends."""
+        if not given:
+            g = x // curve_step_us
+            ok = (g >= 0) & (g < counted)
+            y = np.bincount(row[ok] * counted + g[ok], minlength=b.num_rows * counted).reshape(-1, counted).astype(float)
+            ends = np.full(b.num_rows, counted)
+        else:
+            c = b.column("curve")
+            n, flat = pc.list_value_length(c).to_numpy(zero_copy_only=False), pc.list_flatten(c)
+            of, g = np.repeat(np.arange(len(n)), n), flat.field("g").to_numpy()
+            ends = np.zeros(len(n), np.int64)
+            np.maximum.at(ends, of, g + 1)
+            y = np.zeros((len(n), ends.max(initial=1)))
+            y[of, g] = flat.field("y").to_numpy(zero_copy_only=False)
+        return y / (y.max(axis=1, keepdims=True) + 1e-12), ends
+
+    def density(y: np.ndarray, ends: np.ndarray, t: int, phi: int) -> tuple[np.ndarray, int]:
+        points = np.arange(phi % t, stop_us + 1, t)
+        g, part = points // curve_step_us, points % curve_step_us / curve_step_us
+        at, after = (np.minimum(i, y.shape[1] - 1) for i in (g, g + 1))
+        inside = np.where(part == 0, g, g + 1) < ends[:, None]
+        value = np.where(inside, y[:, at] + (y[:, after] - y[:, at]) * part, 0.0)
+        return value.sum(axis=1) / max(len(points), 1), len(points)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, row, x in some_stems(batches):
+            n = np.bincount(row, minlength=b.num_rows)
+            y = curves(b, row, x) if dense else None
+            for t, phi in grids:
+                k = np.clip(np.rint((x - phi) / t), -(phi // t), (stop_us - phi) // t).astype(np.int64)
+                near = np.bincount(row, abs(x - (phi + k * t)) <= 0.12 * t + 20_000, b.num_rows).astype(np.int64)
+                out = {"stem_id": b.column("stem_id"), "period_us": np.full(len(n), t), "phase_us": np.full(len(n), phi), "n": n, "n_near": near, "coverage": near / n}
+                if dense:
+                    mean, points = density(*y, t, phi)
+                    out |= {"density": mean, "score": mean + peak_weight * (near / n) if points >= 2 else np.full(len(n), -1.0)}
+                yield pa.RecordBatch.from_pydict(out)
+
+    return rows.mapInArrow(kernel, f"stem_id {types['stem_id']}, period_us long, phase_us long, n long, n_near long, coverage double" + (", density double, score double" if dense else ""))
 
 
 def coverage_search(peaks: DataFrame, first_us: int = 280_000, step_us: int = 8_151, n_periods: int = 120, n_phases: int = 240, stop_us: int = 30 * SECOND) -> DataFrame:

@@ -143,10 +143,7 @@ COUNTED = "cells AS (SELECT s.stem_id, g, count(e.beat_us)::DOUBLE AS y FROM (SE
 def grid_score_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole scores of 144 grids: density on the grid, from counts in steps of 100 ms, and share of peaks near it."""
     peaks = estimates(spark, sf_dir).select("stem_id", F.col("beat_us").alias("tap_us"))
-    counts = peaks.groupBy("stem_id", F.floor(F.col("tap_us") / STEP).alias("g")).agg(F.count("*").alias("n"))
-    every = peaks.select("stem_id").distinct().withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(299).cast("long"))))
-    curve = every.join(counts, ["stem_id", "g"], "left").select("stem_id", "g", F.coalesce("n", F.lit(0)).cast("double").alias("y"))
-    s = G.grid_scores(peaks, 300_000, 50_000, 12, 12, curve=curve, curve_step_us=STEP)
+    s = G.grid_scores(peaks, 300_000, 50_000, 12, 12, curve_step_us=STEP, counted=300)
     return s.withColumns({c: X.half_even(F.col(c), 6) for c in ("coverage", "density", "score")})
 
 

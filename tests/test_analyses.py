@@ -379,3 +379,37 @@ def test_annotator_consensus(spark):
     rows = [("s", a, [float(x) for x in np.arange(0.5, 30, 0.5) + rng.normal(0, 0.01, 59)]) for a in range(6)] + [("s", 9, [1.0, 2.0]), ("s", 10, None), ("t", 1, [0.1, 0.2])]
     got = grouped.annotator_consensus(spark.createDataFrame(rows, "stem_id string, annotator int, times array<double>")).collect()
     assert [r.stem_id for r in got] == ["s"] and got[0].period_s == pytest.approx(0.5, abs=0.01) and len(got[0].beats_us) >= 57
+
+
+def test_grid_scores_against_plain_loops(spark):
+    """Shares, densities of a given and of a counted curve, and scores, with peaks beyond the window and at its ends."""
+    from cadentia.operators import grid as G
+
+    rng = np.random.default_rng(16)
+    peaks = {"even": 300_000 + 600_000 * np.arange(49), "odd": np.sort(rng.integers(0, 30_000_000, 30)), "edge": np.array([-700_000, 0, 29_999_999, 30_000_000, 31_500_000]), "one": np.array([7])}
+    df = spark.createDataFrame([(k, int(t)) for k, v in peaks.items() for t in v], "stem_id string, tap_us long").repartition(3)
+    held = {k: rng.random(rng.integers(5, 40)) for k in peaks}
+    curve = spark.createDataFrame([(k, g, float(y)) for k, v in held.items() for g, y in enumerate(v)], "stem_id string, g long, y double")
+    step = 1_000_000
+    for given in (True, False):
+        curves = held if given else {k: np.bincount(x[(x >= 0) & (x < 30 * step)] // step, minlength=30) for k, x in peaks.items()}
+        rows = G.grid_scores(df, 290_000, 170_001, 4, 3, curve=curve if given else None, curve_step_us=step, counted=0 if given else 30).collect()
+        assert len(rows) == 4 * 4 * 3
+        for r in rows:
+            x, y = peaks[r.stem_id], curves[r.stem_id] / (max(curves[r.stem_id]) + 1e-12)
+            points = [p for p in range(-10 * r.period_us + r.phase_us, 30 * step + 1, r.period_us) if 0 <= p]
+            near = sum(min(abs(int(t) - p) for p in points) <= 0.12 * r.period_us + 20_000 for t in x)
+            value = [0.0 if p // step >= len(y) else y[p // step] if p % step == 0 else 0.0 if p // step + 1 >= len(y) else y[p // step] + (y[p // step + 1] - y[p // step]) * (p % step) / step for p in points]
+            assert (r.n, r.n_near) == (len(x), near)
+            assert (r.density, r.score) == (pytest.approx(np.mean(value)), pytest.approx(np.mean(value) + near / len(x) / 2))
+
+
+@pytest.mark.parametrize("search", ["grid_scores"])
+def test_grids_are_not_shuffled(spark, search):
+    """Peaks that lie by stem are not shuffled again, and grids never are."""
+    from cadentia.operators import grid as G
+
+    peaks = spark.createDataFrame([("a", 1)], "stem_id string, tap_us long").repartition("stem_id")
+    found = G.coverage_search(peaks) if search == "coverage_search" else G.grid_scores(peaks, 300_000, 50_000, 12, 12, counted=30)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
