@@ -98,27 +98,41 @@ def coverage_search(peaks: DataFrame, first_us: int = 280_000, step_us: int = 8_
     """The grid that has most of a stem's peaks within 0.12 T + 20 ms of a point of the window: stem_id, period_us, phase (of n_phases), n_near.
 
     Of equals the first period, then the first phase.  A peak is near a run of
-    phases, whose ends come by arithmetic; so a period costs a stem twice as
-    many rows as it has peaks, whatever the number of phases, and a running sum
-    over the ends counts the peaks of every phase.  Phases are exact shares
-    of the period, and all comparisons are between integers.
+    phases, whose ends come by arithmetic, and a running sum over the ends
+    counts the peaks of every phase.  A stem is one row, so what is shuffled
+    are its peaks.  Phases are exact shares of the period, and all comparisons
+    are between integers.
     """
-    t = F.explode(F.sequence(F.lit(first_us).cast("long"), F.lit(first_us + step_us * (n_periods - 1)).cast("long"), F.lit(step_us).cast("long")))
-    p = peaks.select("stem_id", F.col("tap_us").cast("long").alias("x")).withColumn("t", t)
-    x, t, n = F.col("x"), F.col("t"), n_phases
-    reach = 12 * t + 2_000_000  # 100 times the tolerance
-    k = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((100 * x - reach) / (100 * t))), F.greatest(F.lit(0), F.floor((100 * x + reach) / (100 * t)))))
-    p = p.where(100 * x + reach >= 0).withColumn("k", k)
-    start = 100 * x - 100 * F.col("k") * t
-    down = lambda a, b: F.floor(a / b).cast("long") - (F.floor(a / b).cast("long") * b > a).cast("long")
-    first = -down(n * (reach - start), 100 * t)  # the least j with 100 * t * j >= n * (start - reach)
-    last = F.least(down(n * (start + reach), 100 * t), down(n * (F.lit(stop_us) - F.col("k") * t), t), F.lit(n - 1))
-    runs = p.select("stem_id", "t", F.greatest(first, F.lit(0)).alias("first"), last.alias("last")).where("first <= last")
-    ends = runs.select("stem_id", "t", F.explode(F.array(F.struct(F.col("first").alias("j"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("j"), F.lit(-1).alias("d")))).alias("e")).select("stem_id", "t", "e.*")
-    steps = ends.groupBy("stem_id", "t", "j").agg(F.sum("d").alias("d"))
-    level = F.sum("d").over(Window.partitionBy("stem_id", "t").orderBy("j").rowsBetween(Window.unboundedPreceding, 0))
-    best = steps.withColumn("n", level).groupBy("stem_id").agg(F.max(F.struct("n", (-F.col("t")).alias("t"), (-F.col("j")).alias("j"))).alias("b"))
-    return best.select("stem_id", (-F.col("b.t")).alias("period_us"), (-F.col("b.j")).cast("int").alias("phase"), F.col("b.n").alias("n_near"))
+    n = n_phases
+
+    def counts(row: np.ndarray, x: np.ndarray, stems: int, t: int) -> np.ndarray:
+        """Peaks near the grid, by stem and phase."""
+        reach = 12 * t + 2_000_000  # 100 times the tolerance
+        ok = 100 * x + reach >= 0
+        row, x = row[ok], x[ok]
+        low, high = (np.maximum(0, (100 * x + d) // (100 * t)) for d in (-reach, reach))
+        ends = np.zeros(stems * (n + 1), np.int64)
+        for i in range(int((high - low).max(initial=-1)) + 1):
+            k = low + i
+            start = 100 * (x - k * t)
+            first = np.maximum(0, -(n * (reach - start) // (100 * t)))  # the least j with 100 * t * j >= n * (start - reach)
+            last = np.minimum(np.minimum(n * (start + reach) // (100 * t), n * (stop_us - k * t) // t), n - 1)
+            some = (k <= high) & (first <= last)
+            at = row[some] * (n + 1)
+            ends += np.bincount(at + first[some], minlength=len(ends)) - np.bincount(at + last[some] + 1, minlength=len(ends))
+        return np.cumsum(ends.reshape(stems, n + 1), axis=1)[:, :n]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, row, x in some_stems(batches):
+            best = np.stack([np.full(b.num_rows, v) for v in (-1, 0, 0)])
+            for t in range(first_us, first_us + step_us * n_periods, step_us):
+                near = counts(row, x, b.num_rows, t)
+                j = near.argmax(axis=1)
+                now = np.stack([near[np.arange(b.num_rows), j], np.full(b.num_rows, t), j])
+                best = np.where(now[0] > best[0], now, best)
+            yield pa.RecordBatch.from_pydict({"stem_id": b.column("stem_id"), "period_us": best[1], "phase": best[2].astype(np.int32), "n_near": best[0]})
+
+    return stems_of(peaks).mapInArrow(kernel, f"stem_id {dict(peaks.dtypes)['stem_id']}, period_us long, phase int, n_near long")
 
 
 def refine(peaks: DataFrame, params: DataFrame, fraction: float = 0.15, rounds: int = 3) -> DataFrame:

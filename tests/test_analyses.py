@@ -404,7 +404,7 @@ def test_grid_scores_against_plain_loops(spark):
             assert (r.density, r.score) == (pytest.approx(np.mean(value)), pytest.approx(np.mean(value) + near / len(x) / 2))
 
 
-@pytest.mark.parametrize("search", ["grid_scores"])
+@pytest.mark.parametrize("search", ["grid_scores", "coverage_search"])
 def test_grids_are_not_shuffled(spark, search):
     """Peaks that lie by stem are not shuffled again, and grids never are."""
     from cadentia.operators import grid as G
@@ -413,3 +413,11 @@ def test_grids_are_not_shuffled(spark, search):
     found = G.coverage_search(peaks) if search == "coverage_search" else G.grid_scores(peaks, 300_000, 50_000, 12, 12, counted=30)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+def test_coverage_search_without_a_hit(spark):
+    """A stem whose only peak lies far beyond the window has the first grid, as in SQL."""
+    from cadentia.operators import grid as G
+
+    peaks = spark.createDataFrame([("far", 40_000_000), ("none", None)], "stem_id string, tap_us long")
+    assert [tuple(r) for r in G.coverage_search(peaks, 280_000, 40_000, 3, 4).collect()] == [("far", 280_000, 0, 0)]
