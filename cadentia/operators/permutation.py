@@ -25,8 +25,8 @@ from .durable import durable
 from .inference import step_up
 from .ordering import dense_places, running
 
-#: Draws of a block, and trials of a stem that one task holds at a time, about.
-BLOCK, SHARD = 2_000, 1_000
+#: Draws of a block; trials of a stem, and participants with all their trials, that one task holds at a time, about.
+BLOCK, SHARD, PEOPLE = 2_000, 8_000, 1_000
 #: Rows whose arrays a kernel works on at once.
 STEP = 64
 ROUNDS = 6
@@ -216,6 +216,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "place")
 
 
+def shared_out(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows by key, in several parts for each core: a key's few rows take much work."""
+    return rows.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def permutation_test(vectors: DataFrame, group: str, columns: Sequence[str], permutations: int, seed: int, unit: str = "participant") -> DataFrame:
     """Share of label permutations whose between-group statistic reaches the observed one: observed, permutations, p.
 
@@ -410,9 +415,10 @@ def reference_periods(trials: DataFrame, labels: Labels, n_draws: int) -> DataFr
         return row_of(t, keys, reference=other_middles((found[0] + found[1]) / 2))
 
     key_types = "stem_id string, first int, stop int"
+    sliced = shared_out(sliced, [*keys, "slice"])
     n = sliced.groupBy(*keys, "slice").applyInArrow(counted, f"{key_types}, slice int, n binary")
     known = n.groupBy(*keys).applyInArrow(summed_up, f"{key_types}, slice int, before binary, total binary")
-    found = sliced.groupBy(*keys, "slice").cogroup(known.groupBy(*keys, "slice")).applyInArrow(middles, f"{key_types}, found binary")
+    found = sliced.groupBy(*keys, "slice").cogroup(shared_out(known, [*keys, "slice"]).groupBy(*keys, "slice")).applyInArrow(middles, f"{key_types}, found binary")
     return found.groupBy(*keys).applyInArrow(others, f"{key_types}, reference binary")
 
 
@@ -431,33 +437,6 @@ class Stem:
             label = self.labels.of(self.place[rows], self.draws)
             yield rows, label, class_of(self.period[rows, None] / self.reference[np.arange(len(self.draws)), label])
 
-    def directions(self, rows: slice) -> Iterator[tuple[int, np.ndarray]]:
-        """Per trial with taps its number among ``rows`` and the sums of its taps' directions, for every draw and panel's reference."""
-        periods, at = np.unique(self.reference, return_inverse=True)
-        for i, taps in self.taps(rows):
-            yield i, summed_directions(taps, periods)[at.reshape(self.reference.shape)]
-
-    def own_directions(self, rows: slice, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """The same for its own panel's reference alone."""
-        column = np.arange(len(self.draws))
-        for i, taps in self.taps(rows):
-            periods, at = np.unique(self.reference[column, label[i]], return_inverse=True)
-            yield i, summed_directions(taps, periods)[at]
-
-    def taps(self, rows: slice) -> Iterator[tuple[int, np.ndarray]]:
-        for i, taps in enumerate(self.t.column("taps")[rows.start : rows.stop].to_pylist()):
-            if taps:
-                yield i, np.asarray(taps, float)
-
-
-def summed_directions(taps: np.ndarray, periods: np.ndarray) -> np.ndarray:
-    """Sum of the unit vectors of the taps' phases, for each period."""
-    out = np.zeros(len(periods), complex)
-    for i in range(0, len(taps), STEP):
-        turn = taps[i : i + STEP, None] * (2 * np.pi / periods)
-        out += np.cos(turn).sum(axis=0) + 1j * np.sin(turn).sum(axis=0)
-    return out
-
 
 def over_stems(trials: DataFrame, refs: DataFrame, labels: Labels, n_draws: int, kernel: Callable[[Stem, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Call ``kernel`` with each shard of each stem's trials and the stem's row of ``refs``, for each block of draws."""
@@ -471,7 +450,7 @@ def over_stems(trials: DataFrame, refs: DataFrame, labels: Labels, n_draws: int,
     def both(t: pa.Table, r: pa.Table) -> pa.Table:
         return kernel(Stem(t, r, labels), r) if t.num_rows else empty
 
-    return dealt.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(both, schema)
+    return shared_out(dealt, keys).groupBy(*keys).cogroup(shared_out(spread, keys).groupBy(*keys)).applyInArrow(both, schema)
 
 
 KEYS = ["stem_id", "first", "stop"]
@@ -523,21 +502,81 @@ def sized(sums: DataFrame, labels: Labels, width: int) -> DataFrame:
     return added(part, DRAWS, "sums").groupBy("first", "stop").applyInArrow(kernel, "draw int, statistic double")
 
 
+class Turns:
+    """Directions of trials' taps at many periods: sums of unit vectors, taken at a few frequencies and interpolated between them.
+
+    A sum is a smooth function of the frequency.  With the middle of the taps'
+    times as origin it turns by ``half`` at most within half the band of the
+    frequencies, so Chebyshev points some more than that give it to rounding.
+    Where there are no more periods than points these are the periods.
+    """
+
+    def __init__(self, periods: np.ndarray, taps: list[np.ndarray]):
+        every = np.concatenate([*taps, np.zeros(0)])
+        self.middle = (every.min() + every.max()) / 2 if len(every) else 0.0
+        self.periods = np.where(np.isfinite(periods) & (periods > 0), periods, np.nan)
+        known = np.unique(self.periods[np.isfinite(self.periods)])
+        frequency = 1 / self.periods
+        low, high = (1 / known[-1], 1 / known[0]) if len(known) else (1.0, 1.0)
+        half = np.pi * (high - low) * (np.ptp(every) / 2 if len(every) else 0.0)
+        n = int(half + 12 * np.cbrt(half)) + 6
+        if len(known) <= n:
+            self.nodes = 1 / known
+            self.weights = (self.periods.reshape(-1)[:, None] == known).astype(float)
+        else:
+            angle = np.pi * (2 * np.arange(n) + 1) / (2 * n)
+            self.nodes = (low + high) / 2 + (high - low) / 2 * np.cos(angle)
+            apart = frequency.reshape(-1)[:, None] - self.nodes
+            with np.errstate(divide="ignore", invalid="ignore"):
+                w = (-1.0) ** np.arange(n) * np.sin(angle) / apart
+                w /= w.sum(axis=1, keepdims=True)
+            on = np.flatnonzero((apart == 0).any(axis=1))
+            w[on] = apart[on] == 0
+            self.weights = np.nan_to_num(w)
+        carrier = np.exp(2j * np.pi * np.nan_to_num(self.middle * frequency))
+        self.carrier = np.where(np.isfinite(self.periods), carrier, 0)
+
+    def at_nodes(self, taps: list[np.ndarray]) -> np.ndarray:
+        """Rows are trials, columns the real, then the imaginary parts."""
+        out = np.zeros((len(taps), 2 * len(self.nodes)))
+        n = np.array([len(t) for t in taps])
+        some = np.flatnonzero(n)
+        if len(some) and len(self.nodes):
+            turn = 2 * np.pi * (np.concatenate(taps) - self.middle)[:, None] * self.nodes
+            out[some] = np.add.reduceat(np.hstack([np.cos(turn), np.sin(turn)]), (np.cumsum(n) - n)[some], axis=0)
+        return out
+
+
+def taps_of(t: pa.Table) -> list[np.ndarray]:
+    return [np.asarray(x or [], float) for x in t.column("taps").to_pylist()]
+
+
 def phase_vectors(trials: DataFrame, refs: DataFrame, labels: Labels, n_draws: int) -> DataFrame:
-    """(place, first, stop, sums, counts): a participant's sums of residual (sin, cos) of its matched trials' phases, and their number, for each draw.
+    """(first, stop, sums, counts), any number of rows to a block: by panel, participants' mean residual (sin, cos) of their matched trials' phases, and how many have one.
 
     A phase is the direction of a trial's taps at the period of the panel's
-    reference, against the mean of the other panels' unit directions.
+    reference, against the mean of the other panels' unit directions.  A task
+    has all trials of some participants; the stems' means, known only at the
+    end, are taken off the panels' sums.
     """
     k = len(labels.sizes)
 
     def pooled(s: Stem, _: pa.Table) -> pa.Table:
         d = len(s.draws)
-        total, column = np.zeros((d, k, k), complex), np.arange(d)
-        for rows, label, _kind in s.steps():
-            for i, z in s.directions(rows):
-                total[column, :, label[i]] += z
-        return row_of(s.t, KEYS, pooled=total.view(np.float64))
+        taps = taps_of(s.t)
+        turns = Turns(s.reference, taps)
+        m = len(turns.nodes)
+        total = np.zeros((d * k, 2 * m))
+        for i in range(0, len(taps), STEP):
+            label = np.ascontiguousarray(labels.of(s.place[i : i + STEP], s.draws).astype(np.int32).T)
+            x = turns.at_nodes(taps[i : i + STEP])
+            for j in range(0, d, STEP):
+                one = (label[j : j + STEP, None] == np.arange(k, dtype=np.int32)[:, None]).astype(float)
+                total[j * k : (j + STEP) * k] += one.reshape(-1, len(x)) @ x
+        total = total.reshape(d, k, 2, m)
+        weights = turns.weights.reshape(d, k, m).transpose(0, 2, 1)
+        v = (total[:, :, 0] @ weights + 1j * (total[:, :, 1] @ weights)).transpose(0, 2, 1) * turns.carrier[..., None]
+        return row_of(s.t, KEYS, pooled=np.ascontiguousarray(v).view(np.float64))
 
     def angles(t: pa.Table) -> pa.Table:
         d = len(draws_of(t))
@@ -549,63 +588,79 @@ def phase_vectors(trials: DataFrame, refs: DataFrame, labels: Labels, n_draws: i
         some = (unit != 0).sum(axis=2)
         return row_of(t, KEYS, angle=np.where(some > 0, np.angle(unit.sum(axis=2)), np.nan))
 
-    def phases(s: Stem, r: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per trial with taps: place, (sin, cos) and whether it counts, over draws."""
-        if not r.num_rows:  # no reference, so nothing matches it
-            return
-        angle, column = array_of(r, "angle", (len(s.draws), k)), np.arange(len(s.draws))
-        for rows, label, kind in s.steps():
-            for i, own in s.own_directions(rows, label):
-                ref = angle[column, label[i]]
-                a = np.angle(own) - ref
-                ok = (kind[i] == MATCHED) & np.isfinite(ref) & (np.abs(own) > 0)
-                yield s.place[rows][i], np.where(ok, np.stack([np.sin(a), np.cos(a)]), 0), ok
-
-    def means(s: Stem, r: pa.Table) -> pa.Table:
-        total, n = np.zeros((2, len(s.draws))), np.zeros(len(s.draws))
-        for _, v, ok in phases(s, r):
-            total += v
-            n += ok
-        return row_of(s.t, KEYS, total=total, n=n)
-
-    def residuals(s: Stem, r: pa.Table) -> pa.Table:
-        d = len(s.draws)
-        mean = array_of(r, "total", (2, d)) / np.maximum(array_of(r, "n", (d,)), 1) if r.num_rows else 0
-        places, sums, counts = [], [], []
-        for place, v, ok in phases(s, r):
-            if ok.any():
-                places.append(int(place))
-                sums.append(np.where(ok, v - mean, 0).tobytes())
-                counts.append(ok.astype(float).tobytes())
-        return pa.table({"place": pa.array(places, pa.int64()), **{c: pa.array([s.t.column(c)[0].as_py()] * len(places), pa.int32()) for c in DRAWS}, "sums": pa.array(sums, pa.binary()), "counts": pa.array(counts, pa.binary())})
+    def matched(own: pa.Table, row: pa.Table, place: np.ndarray, draws: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For some places at a time those that have a trial of the stem, (sin, cos) and whether it counts, over draws."""
+        reference, angle = (array_of(row, c, (len(draws), k)) for c in ("reference", "angle"))
+        at, period, taps = own.column("place").to_numpy(), floats(own, "period_us"), taps_of(own)
+        turns, column = Turns(reference, taps), np.arange(len(draws))
+        back = np.where(np.isfinite(angle), turns.carrier * np.exp(-1j * np.nan_to_num(angle)), 0)
+        m = len(turns.nodes)
+        weights = np.ascontiguousarray(turns.weights.T)
+        for i in range(0, len(place), STEP):
+            mine = np.flatnonzero(np.isin(at, place[i : i + STEP]))
+            mine = mine[np.argsort(at[mine])]
+            label = labels.of(at[mine], draws)
+            cell = column * k + label
+            x = turns.at_nodes([taps[j] for j in mine])
+            z = np.empty(cell.shape, complex)
+            for j in range(0, len(draws), STEP):  # of the panels' columns each draw's own is taken
+                some = cell[:, j : j + STEP] - j * k
+                of = weights[:, j * k : (j + STEP) * k]
+                z.real[:, j : j + STEP], z.imag[:, j : j + STEP] = (np.take_along_axis(y @ of, some, axis=1) for y in (x[:, :m], x[:, m:]))
+            size = np.abs(z)
+            ok = (class_of(period[mine, None] / reference.reshape(-1)[cell]) == MATCHED) & np.isfinite(angle.reshape(-1)[cell]) & (size > 0)
+            u = np.where(ok, z * back.reshape(-1)[cell] / np.where(size > 0, size, 1), 0)
+            yield np.isin(place[i : i + STEP], at[mine]), np.stack([u.imag, u.real]), ok
+
+    def people(t: pa.Table, r: pa.Table) -> pa.Table:
+        if not t.num_rows or not r.num_rows:
+            return schema.empty_table()
+        draws = draws_of(t)
+        d, names = len(draws), r.column("stem_id").to_pylist()
+        place, stem = np.unique(t.column("place").to_numpy()), np.array(t.column("stem_id").to_pylist())
+        parts = [matched(t.filter(pa.array(stem == n)), r.slice(j, 1), place, draws) for j, n in enumerate(names)]
+        sums, counts = np.zeros((2, d * k)), np.zeros(d * k)
+        total, n, shares = np.zeros((len(names), 2, d)), np.zeros((len(names), d)), np.zeros((len(names), d * k))
+        for i, found in enumerate(zip(*parts, strict=True)):
+            at = (labels.of(place[i * STEP : (i + 1) * STEP], draws) + np.arange(d) * k)
+            own, of = np.zeros((2, *at.shape)), np.zeros(at.shape)
+            for has, v, ok in found:
+                own[:, has] += v
+                of[has] += ok
+            share = 1 / np.maximum(of, 1)
+            for c in (0, 1):
+                sums[c] += np.bincount(at.ravel(), (own[c] * share).ravel(), d * k)
+            counts += np.bincount(at.ravel(), (of > 0).ravel(), d * k)
+            for j, (has, v, ok) in enumerate(found):
+                total[j] += v.sum(axis=1)
+                n[j] += ok.sum(axis=0)
+                shares[j] += np.bincount(at[has].ravel(), (ok * share[has]).ravel(), d * k)
+        out = [("", sums.T, counts, np.zeros(0), np.zeros(0)), *((s, np.zeros(0), shares[j], total[j], n[j]) for j, s in enumerate(names))]
+        head = [pa.array([t.column(c)[0].as_py()] * len(out), pa.int32()) for c in DRAWS]
+        return pa.table([pa.array([i > 0 for i in range(len(out))]), pa.array([o[0] for o in out]), *head, *(pa.array([np.ascontiguousarray(o[c]).tobytes() for o in out], pa.binary()) for c in range(1, 5))], schema=schema)
+
+    def off(t: pa.Table) -> pa.Table:
+        """What the stem's mean takes off the panels' sums."""
+        d = len(draws_of(t))
+        mean = array_of(t, "total", (2, d)) / np.maximum(array_of(t, "n", (d,)), 1)
+        return row_of(t, ["first", "stop"], sums=-array_of(t, "counts", (d, k))[..., None] * mean.T[:, None], counts=np.zeros((d, k)))
 
     all_of = added(over_stems(trials, refs, labels, n_draws, pooled, f"{HEAD}, pooled binary"), KEY_TYPES, "pooled")
-    refs = refs.join(all_of.groupBy(*KEYS).applyInArrow(angles, f"{HEAD}, angle binary"), KEYS)
-    mean = added(over_stems(trials, refs, labels, n_draws, means, f"{HEAD}, total binary, n binary"), KEY_TYPES, "total", "n")
-    each = over_stems(trials, refs.join(mean, KEYS), labels, n_draws, residuals, "place long, first int, stop int, sums binary, counts binary")
-    return added(each, {"place": "long"} | DRAWS, "sums", "counts")
+    refs = durable(refs.join(all_of.groupBy(*KEYS).applyInArrow(angles, f"{HEAD}, angle binary"), KEYS))
+    layout = "of_stem boolean, stem_id string, first int, stop int, sums binary, counts binary, total binary, n binary"
+    schema = to_arrow_schema(_parse_datatype_string(layout))
+    shards = max(1, -(-sum(labels.sizes) // PEOPLE))
+    dealt = in_blocks(trials.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")), n_draws)
+    spread_refs = refs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    keys = ["first", "stop", "shard"]
+    found = durable(shared_out(dealt, keys).groupBy(*keys).cogroup(shared_out(spread_refs, keys).groupBy(*keys)).applyInArrow(people, layout))
+    means = added(found.where("of_stem"), KEY_TYPES, "counts", "total", "n").groupBy(*KEYS).applyInArrow(off, "first int, stop int, sums binary, counts binary")
+    return found.where("not of_stem").select(*DRAWS, "sums", "counts").unionAll(means)
 
 
 def phase_statistics(people: DataFrame, labels: Labels) -> DataFrame:
     """(draw, statistic) of participants' mean residual (sin, cos), over those who have one; people: rows of ``phase_vectors``."""
-    k = len(labels.sizes)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], list[np.ndarray]] = {}
-        for b in batches:
-            for place, first, stop, s, n in zip(*(b.column(c).to_pylist() for c in ("place", "first", "stop", "sums", "counts")), strict=True):
-                draws = np.arange(first, stop)
-                n = np.frombuffer(n, np.float64)
-                mean = np.frombuffer(s, np.float64).reshape(2, -1) / np.maximum(n, 1)
-                label, column = labels.of(np.array([place]), draws)[0], np.arange(len(draws))
-                if (first, stop) not in total:
-                    total[first, stop] = [np.zeros((len(draws), k, 2)), np.zeros((len(draws), k))]
-                total[first, stop][0][column, label] += mean.T
-                total[first, stop][1][column, label] += n > 0
-        for (first, stop), (s, n) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([stop], pa.int32()), pa.array([s.tobytes()]), pa.array([n.tobytes()])], names=["first", "stop", "sums", "counts"])
-
-    return statistics(people.mapInArrow(kernel, "first int, stop int, sums binary, counts binary"), k, 2)
+    return statistics(people, len(labels.sizes), 2)
 
 
 def rebuilt_permutation(trials: DataFrame, permutations: int, seed: int) -> DataFrame:

@@ -201,3 +201,41 @@ def test_labels_of_many_places():
         for column in moved[:, 1:].T:
             assert len(np.unique(column)) == len(place)
             assert abs(np.bincount(column * 16 // n, minlength=16) / len(place) - 1 / 16).max() < 0.01
+
+
+@pytest.mark.parametrize("spread", [0.0, 1e-6, 0.02, 0.6])
+def test_turns_are_sums_of_unit_vectors(spread):
+    """Narrow and wide bands of periods, with periods that are missing, equal, and on a node; trials without taps."""
+    rng = np.random.default_rng(6)
+    taps = [rng.uniform(0, 3e7, n) for n in (12, 0, 1, 40)]
+    periods = 700_000 * (1 + spread * rng.uniform(-1, 1, (300, 4)))
+    periods[3, 1], periods[4] = np.nan, periods[5]
+    t = P.Turns(periods, taps)
+    assert spread == 0 or len(t.nodes) < 1_000
+    periods[0, 0] = 1 / t.nodes[-1]
+    t = P.Turns(periods, taps)
+    x, m = t.at_nodes(taps), len(t.nodes)
+    got = (x[:, :m] @ t.weights.T + 1j * (x[:, m:] @ t.weights.T)).reshape(4, 300, 4) * t.carrier
+    for z, own in zip(got, taps, strict=True):
+        want = np.nan_to_num(np.exp(2j * np.pi * own[:, None, None] / periods).sum(axis=0))
+        assert abs(z - want).max() < 1e-11 * max(1, len(own))
+
+
+def test_phases_by_parts_of_participants(spark, monkeypatch):
+    """Many draws, so that sums are interpolated, in parts of few participants, give what one part gives; no row of a participant and draw is shuffled."""
+    rng = np.random.default_rng(8)
+    rows = [(s, w, float(500_000 + rng.integers(-9_000, 9_000)), 0.5, sorted(int(x) for x in 500_000 * np.arange(12) + rng.normal(0, 30_000, 12))) for s in "uv" for w in range(40) if (s, w) != ("v", 7)]
+    t = spark.createDataFrame(rows, "stem_id string, place long, period_us double, weight double, taps array<long>")
+    labels = P.Labels((10, 10, 10, 10), 3)
+    refs = P.durable(P.reference_periods(t, labels, 60))
+    whole = {r.draw: r.statistic for r in P.phase_statistics(P.phase_vectors(t, refs, labels, 60), labels).collect()}
+    monkeypatch.setattr(P, "PEOPLE", 9)
+    monkeypatch.setattr(P, "STEP", 4)
+    people = P.phase_vectors(t, refs, labels, 60)
+    assert "place" not in people.columns
+    parts = {r.draw: r.statistic for r in P.phase_statistics(people, labels).collect()}
+    assert sorted(whole) == list(range(61)) and parts == pytest.approx(whole, rel=1e-9)
+    label = labels.of(np.arange(40), np.arange(61))
+    for d in (0, 37, 60):
+        want = rebuilt_by_loops([(s, w, p, x) for s, w, p, _, x in rows], {w: int(label[w, d]) for w in range(40)})[1]
+        assert whole[d] == pytest.approx(want, rel=1e-9)
